@@ -164,3 +164,7 @@ def json_safe(df: DataFrame) -> DataFrame:
             c = c.cast("string")
         out.append(c.alias(field.name))
     return df.select(*out)
+
+
+def kind_is_moment(df: DataFrame, name: str) -> bool:
+    return isinstance(dtype_of(df, name), TEMPORAL)

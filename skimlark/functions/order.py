@@ -190,7 +190,7 @@ def _bracketed_quantiles(base, width, probs, by, config):
         *[F.count_if(F.col(f"_v{i}") < F.col(f"_lo{i}_{j}")).alias(f"_below{i}_{j}") for i in ks for j in js],
         *[F.count_if(F.col(f"_v{i}").between(F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}"))).alias(f"_in{i}_{j}")
           for i in ks for j in js])
-    joined = brackets.join(counted, by) if by else brackets.join(F.broadcast(counted))
+    joined = brackets.join(counted, by) if by else _attach(brackets, counted, by, config)
     checked = [F.col(c) for c in by] + [F.col(f"_n{i}") for i in ks]
     for i in ks:
         for j, p in enumerate(probs):

@@ -26,6 +26,14 @@ def melt(row: DataFrame, names: Sequence[str], fields: Sequence[str]) -> DataFra
         for i, c in enumerate(names)])))
 
 
+def one_row(*tables: DataFrame) -> DataFrame:
+    """Single-row tables with different columns, merged into one row."""
+    merged = tables[0]
+    for t in tables[1:]:
+        merged = merged.unionByName(t, allowMissingColumns=True)
+    return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
+
+
 def value_key(df: DataFrame, position: int, name: str) -> Column:
     """A struct that identifies a value of any plain type.
 

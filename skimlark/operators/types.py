@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from skimlark.config import DEFAULT, Config
 from skimlark.functions.exprs import (
-    BOOLEAN_WORDS, FLOATING, INTEGRAL, NESTED, NUMERIC, TEMPORAL, TIME_FORMATS, ZERO_PADDED_PATTERN,
+    BOOLEAN_WORDS, FLOATING, INFINITY_WORDS, INTEGRAL, NESTED, NUMERIC, TEMPORAL, TIME_FORMATS, ZERO_PADDED_PATTERN,
     col, dtype_of, finite, is_missing, parse_any_time, parse_number, parse_time, present, stripped)
 from skimlark.functions.values import chunks, distinct_counts, melt
 
@@ -25,7 +25,7 @@ LONG_CELL = 20  # characters from which a cell counts as long text
 MOMENT_START = r"^\d{1,4}[-/:.年]"  # what every known time format begins with
 MOMENT_LENGTH = 32  # no text of a known time format is longer
 SIGNALS = ["n", "non_null", "bool_like", "zero_padded_ratio", "numeric_ratio", "time_hits", "avg_len",
-           "long_text_ratio"]
+           "long_text_ratio", "infinities"]
 
 
 def id_hint(name: str) -> bool:
@@ -68,11 +68,14 @@ def _signal_columns(df: DataFrame, i: int, name: str) -> list[Column]:
         "non_null": F.count(c),
         "bool_like": never, "zero_padded_ratio": zero, "numeric_ratio": zero,
         "time_hits": F.array(F.lit(0).cast("long")), "avg_len": zero, "long_text_ratio": zero,
+        "infinities": F.lit(0).cast("long"),
     }
     if kind == "number":
         out["numeric_ratio"] = (F.count(c) > 0).cast("double")
         if isinstance(dtype_of(df, name), INTEGRAL):
             out["bool_like"] = F.coalesce(F.bool_and(c.isin(0, 1)), never)
+        elif isinstance(dtype_of(df, name), FLOATING):
+            out["infinities"] = F.count_if(F.abs(c) == F.lit(float("inf")))
     elif kind == "boolean":
         out["bool_like"] = F.count(c) > 0
     elif kind == "moment":
@@ -85,7 +88,8 @@ def _signal_columns(df: DataFrame, i: int, name: str) -> list[Column]:
             numeric_ratio=_share(parse_number(text).isNotNull(), c),
             time_hits=F.array(*[F.count(parse_time(moment, fmt)) for fmt, _ in TIME_FORMATS]),
             avg_len=F.coalesce(F.avg(F.length(text)), zero),
-            long_text_ratio=_share(F.length(text) > LONG_CELL, c))
+            long_text_ratio=_share(F.length(text) > LONG_CELL, c),
+            infinities=F.count_if(F.lower(F.replace(text, F.lit(","), F.lit(""))).isin(INFINITY_WORDS)))
     return [out[s].alias(f"{i}_{s}") for s in SIGNALS]
 
 
@@ -133,7 +137,7 @@ def type_signals(df: DataFrame, columns: Sequence[str] | None = None, *, all_dis
         "id_hint", "date_hint", "bool_like", "zero_padded_ratio", "numeric_ratio",
         F.when(F.col("non_null") > 0, best / F.col("non_null")).otherwise(0.0).alias("dt_ratio"),
         F.when((F.col("kind") == "string") & (best > 0), first_best).alias("dt_format"),
-        "avg_len", "long_text_ratio")
+        "avg_len", "long_text_ratio", "infinities")
 
 
 def _name_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -146,11 +150,13 @@ def _name_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None, *, overrides: Mapping[str, str] | None = None,
                 config: Config = DEFAULT) -> DataFrame:
     """``ordinal, column, semantic_type, confidence, reason, effective_type``, one row per column."""
-    return classify(type_signals(df, columns, all_distinct=False, config=config), overrides=overrides, config=config)
+    signals = type_signals(df, columns, all_distinct=False, config=config)
+    return classify(signals, overrides=overrides, config=config).select(
+        "ordinal", "column", "semantic_type", "confidence", "reason", "effective_type", "dt_format")
 
 
 def classify(signals: DataFrame, *, overrides: Mapping[str, str] | None = None, config: Config = DEFAULT) -> DataFrame:
-    """The ordered rules over ``type_signals``; the first that holds decides."""
+    """``type_signals`` plus the verdict of the ordered rules; the first that holds decides."""
     kind, ur = F.col("kind"), F.col("ur")
     unique_id = F.col("id_hint") & (ur >= config.id_unique_ratio)
     parses = (
@@ -175,8 +181,8 @@ def classify(signals: DataFrame, *, overrides: Mapping[str, str] | None = None,
         hit = F.struct(F.lit(name).alias("t"), confidence.alias("c"), F.lit(reason).alias("r"))
         verdict = F.when(condition, hit).otherwise(verdict)
     return signals.withColumn("_v", verdict).select(
-        "ordinal", "column", F.col("_v.t").alias("semantic_type"), F.col("_v.c").alias("confidence"),
-        F.col("_v.r").alias("reason"), _effective(F.col("_v.t"), overrides).alias("effective_type"), "dt_format")
+        "*", F.col("_v.t").alias("semantic_type"), F.col("_v.c").alias("confidence"),
+        F.col("_v.r").alias("reason"), _effective(F.col("_v.t"), overrides).alias("effective_type")).drop("_v")
 
 
 def _effective(inferred: Column, overrides: Mapping[str, str] | None) -> Column:
