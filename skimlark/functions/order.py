@@ -13,18 +13,24 @@ import math
 import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skimlark.config import DEFAULT, Config
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, ``spark.checkpoint.dir``; a local one only where none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skimlark-"))
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skimlark-"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: survives lost executors and cuts the plan."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from skimlark.config import DEFAULT, Config
 from skimlark.functions.exprs import cell_text, col, finite, iso_from_micros, kind_is_moment, micros
 
-SAMPLE_FACTS = ["original_count", "plotted_count", "sampled"]
-
 
 def sample_rows(df: DataFrame, n: int | None = None, *, seed: int | None = None, key: Sequence[str] | None = None,
                 order_by: Sequence[str] | None = None, config: Config = DEFAULT) -> DataFrame:
@@ -20,7 +18,7 @@ def sample_rows(df: DataFrame, n: int | None = None, *, seed: int | None = None,
 
     Every row draws a number and the n smallest win. With a unique ``key`` the
     number is a hash of seed and key, the same however the rows are
-    partitioned; without one it is Spark's seeded ``rand``. Rows above a
+    partitioned; without one it is Spark's seeded ``rand`` (equal rows draw apart). Rows above a
     threshold that about n rows pass are dropped inside their task, so the final
     ordering sees little more than n rows, not n rows of every task.
     """
@@ -30,7 +28,8 @@ def sample_rows(df: DataFrame, n: int | None = None, *, seed: int | None = None,
     if total <= n:
         return df.orderBy(*order_by) if order_by else df
     if key:
-        draw = F.pmod(F.xxhash64(F.lit(seed), *[col(c) for c in key]), F.lit(2**53)) / F.lit(float(2**53))
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(c).cast("string") for c in key]))
+        draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
     else:
         draw = F.rand(seed)
     drawn = df.withColumn("_draw", draw)
@@ -57,14 +56,17 @@ def time_axis(types: Mapping[str, str]) -> str | None:
 
 
 def aligned_series(df: DataFrame, types: Mapping[str, str], columns: Sequence[str] | None = None, *,
-                   n: int | None = None, key: Sequence[str] | None = None, order_by: Sequence[str] | None = None,
+                   sample: int | None = None, key: Sequence[str] | None = None, order_by: Sequence[str] | None = None,
                    config: Config = DEFAULT) -> DataFrame:
-    """Chart columns of one common row sample.
+    """Chart columns of the same rows: all of them, or one common sample.
 
     Numbers become finite doubles or null, moments ISO text, the rest text;
     ``x_axis`` repeats the first datetime column of the table.
     """
-    rows = sample_rows(df, n, key=key, order_by=order_by, config=config)
+    if sample is not None:
+        df = sample_rows(df, sample, key=key, order_by=order_by, config=config)
+    elif order_by:
+        df = df.orderBy(*order_by)
     out = []
     for c in columns or types:
         if types[c] == "numeric":
@@ -77,4 +79,4 @@ def aligned_series(df: DataFrame, types: Mapping[str, str], columns: Sequence[st
     if axis is not None:
         moment = iso_from_micros(micros(df, axis)) if kind_is_moment(df, axis) else cell_text(df, axis)
         out.append(moment.alias("x_axis"))
-    return rows.select(*out)
+    return df.select(*out)

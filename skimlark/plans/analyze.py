@@ -132,7 +132,9 @@ def analyze(df: DataFrame, *, overrides: Mapping[str, str] | None = None, pairs:
         "warnings": warnings,
         "findings": findings_table(dataset, summary, warnings),
         "sample_facts": sampling.sample_facts(data, config=config),
-        "series": sampling.aligned_series(data, types, [c for c in kept if c in types], key=sample_key, order_by=order_by, config=config),
+        "series": sampling.aligned_series(
+            data, types, [c for c in kept if c in types], sample=config.plot_sample_size, key=sample_key,
+            order_by=order_by, config=config),
     }
     if numeric:
         tables["numeric_profile"] = profile.numeric_profile(data, numeric, config=config)
