@@ -170,7 +170,7 @@ RAISED = [
     ("high_cardinality", f"t IN ('categorical', 'text') AND {UR} >= 0.5 AND u > 30"),
     ("id_like", "t = 'id_like'"), ("infinity", "t = 'numeric' AND infinities > 0"),
     ("near_constant", "non_null > 0 AND missing_rate >= 0.995 AND t <> 'unknown' AND u <= 1")]
-FLAG_LIST = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{f}' END" for f, c in RAISED) + "], x -> x IS NOT NULL)"
+FLAG_LIST = "[x FOR x IN [" + ", ".join(f"CASE WHEN {c} THEN '{f}' END" for f, c in RAISED) + "] IF x IS NOT NULL]"
 SEVERITY = """CASE WHEN flag IN ('all_missing', 'stray_content_candidate') OR (flag = 'high_missing' AND missing_rate >= 0.8) THEN 'critical'
   WHEN flag IN ('has_missing', 'id_like') THEN 'info' ELSE 'warning' END"""
 
