@@ -52,8 +52,8 @@ class Config:
     """Rank distance of a bracket from its target, about twice the sketch error."""
     columns_per_pass: int = 40
     """Columns put into one wide aggregate."""
-    pairs_per_pass: int = 300
-    """Column pairs put into one wide aggregate; more go through matrix products."""
+    pairs_per_pass: int = 6
+    """Column pairs put into one aggregate of expressions; more go through matrix products."""
 
 
 DEFAULT = Config()

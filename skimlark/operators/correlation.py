@@ -109,7 +109,7 @@ def pearson_pairs(df: DataFrame, pairs: Sequence[Pair], *, config: Config = DEFA
     at = {c: i for i, c in enumerate(features)}
     base = _finite_table(df, features)
     if len(pairs) > config.pairs_per_pass:
-        return _pearson_wide(base, features, pairs)
+        return _pearson_products(base, features, pairs)
     aggs = []
     for k, (a, b) in enumerate(pairs):
         x, y = F.col(f"f{at[a]}"), F.col(f"f{at[b]}")
@@ -120,7 +120,7 @@ def pearson_pairs(df: DataFrame, pairs: Sequence[Pair], *, config: Config = DEFA
     return _labelled(pairs, base.agg(*aggs), "pearson")
 
 
-def _pearson_wide(base: DataFrame, features: Sequence[str], pairs: Sequence[Pair]) -> DataFrame:
+def _pearson_products(base: DataFrame, features: Sequence[str], pairs: Sequence[Pair]) -> DataFrame:
     columns = [f"f{i}" for i in range(len(features))]
     means = base.agg(*[F.avg(c).alias(c) for c in columns]).first()  # one number per feature
     centred = base.select(*[(F.col(c) - F.lit(means[c] or 0.0)).alias(c) for c in columns])

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from skimlark.config import DEFAULT, Config
 from skimlark.functions.exprs import (
-    FLOATING, INTEGRAL, NESTED, TEMPORAL, col, dtype_of, finite, is_missing, iso_from_micros, micros, present)
+    FLOATING, INTEGRAL, NESTED, TEMPORAL, col, dtype_of, finite, is_missing, iso_from_micros, micros, parse_number, present)
 from skimlark.functions.order import exact_quantiles, previous_value, running_total
 from skimlark.functions.values import chunks, melt, one_row, top_values, value_counts
 
@@ -38,47 +38,66 @@ def fences(q1: float, q3: float) -> tuple[float, float]:
 def numeric_profile(df: DataFrame, columns: Sequence[str], *, config: Config = DEFAULT) -> DataFrame:
     """One row of moments, quartiles and outlier counts per column.
 
-    The quartiles are found first; then a single aggregate, partial on every
-    task, computes all the rest including the values beyond the fences.
+    The quartiles are found first. Then one aggregate over (column, value) cells,
+    partial on every task, does the rest: power sums around the median, which is
+    never more than one deviation from the mean, and values beyond the fences.
+    Grouping by column keeps the generated code small for any number of columns.
     """
     columns = list(columns)
     cuts = quartiles(df, columns, config)
-    tables = []
-    for part in chunks(columns, config.columns_per_pass):
-        base = df.select(*[col(c) for c in part], *[finite(df, c).alias(f"_f{i}") for i, c in enumerate(part)])
-        aggs = [F.count(F.lit(1)).alias("rows")]
-        for i, c in enumerate(part):
-            v, raw = F.col(f"_f{i}"), present(df, c)
-            number = raw.cast("double") if isinstance(dtype_of(df, c), FLOATING) else F.lit(None).cast("double")
-            outside = F.lit(0).cast("long")
-            if c in cuts and cuts[c][2] > cuts[c][0]:
-                lo, hi = fences(cuts[c][0], cuts[c][2])
-                outside = F.count_if((v < lo) | (v > hi))
-            aggs += [a.alias(f"{i}_{f}") for f, a in {
-                "count": F.count(raw), "finite_count": F.count(v),
-                "positive_infinity_count": F.count_if(number == float("inf")),
-                "negative_infinity_count": F.count_if(number == float("-inf")),
-                "mean": F.avg(v), "min": F.min(v), "max": F.max(v), "std": F.stddev_samp(v),
-                "variance": F.var_samp(v), "g1": F.skewness(v), "g2": F.kurtosis(v),
-                "zero_count": F.count_if(v == 0), "outlier_count": outside}.items()]
-        row = df_row = base.agg(*aggs)
-        made = {}
-        for i, c in enumerate(part):
-            def f(field, i=i):
-                return F.col(f"{i}_{field}")
-            n = f("finite_count").cast("double")
-            q1, median, q3 = (F.lit(x).cast("double") for x in cuts.get(c, (None, None, None)))
-            made.update({f"{i}_{k}": v for k, v in {
-                "missing_count": F.col("rows") - f("count"),
-                "missing_rate": F.try_divide((F.col("rows") - f("count")).cast("double"), F.col("rows")),
-                "q1": q1, "median": median, "q3": q3, "iqr": q3 - q1,
-                "skewness": F.when(n > 2, f("g1") * F.sqrt(n * (n - 1)) / (n - 2)),
-                "kurtosis": F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * f("g2") + 6)),
-                "zero_rate": F.try_divide(f("zero_count").cast("double"), n),
-                "outlier_rate": F.try_divide(f("outlier_count").cast("double"), n)}.items()})
-        row = df_row.withColumns(made)
-        tables.append(melt(row, part, NUMERIC_FIELDS).drop("position"))
-    return _stack(tables)
+
+    def per_column(pick) -> Column:
+        """A number per column, chosen by the cell's position."""
+        numbers = [pick(cuts[c]) if c in cuts else None for c in columns]
+        return F.get(F.array(*[F.lit(x).cast("double") for x in numbers]), F.col("position"))
+
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), _raw_number(df, c).alias("x"),
+                 present(df, c).isNotNull().alias("there")) for i, c in enumerate(columns)])))
+    known = cells.withColumn("v", F.when(F.abs("x") < float("inf"), F.col("x"))).withColumn(
+        "d", F.col("v") - per_column(lambda q: q[1]))
+    v, d, square = F.col("v"), F.col("d"), F.col("d") * F.col("d")
+    spread = per_column(lambda q: q[2] - q[0]) > 0
+    outside = (v < per_column(lambda q: fences(q[0], q[2])[0])) | (v > per_column(lambda q: fences(q[0], q[2])[1]))
+    sums = known.groupBy("position", "column").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("there").alias("count"), F.count("v").alias("finite_count"),
+        F.count_if(F.col("x") == float("inf")).alias("positive_infinity_count"),
+        F.count_if(F.col("x") == float("-inf")).alias("negative_infinity_count"),
+        F.min("v").alias("min"), F.max("v").alias("max"), F.count_if(v == 0).alias("zero_count"),
+        F.count_if(spread & outside).alias("outlier_count"),
+        F.sum(d).alias("s1"), F.sum(square).alias("s2"), F.sum(square * d).alias("s3"), F.sum(square * square).alias("s4"))
+
+    n, c = F.col("finite_count").cast("double"), F.col("count")
+    shift, p2, p3, p4 = (F.try_divide(F.col(f"s{k}"), n) for k in (1, 2, 3, 4))  # shift: mean minus median
+    m2 = F.greatest(p2 - shift**2, F.lit(0.0))
+    m3 = p3 - 3 * shift * p2 + 2 * shift**3
+    m4 = p4 - 4 * shift * p3 + 6 * shift**2 * p2 - 3 * shift**4
+    varies = F.col("max") > F.col("min")
+    g1 = F.when(varies, m3 / F.pow(m2, F.lit(1.5)))
+    g2 = F.when(varies, m4 / (m2 * m2) - 3)
+    variance = F.when(n > 1, F.when(varies, m2 * n / (n - 1)).otherwise(0.0))
+    q1, median, q3 = (per_column(lambda q, j=j: q[j]) for j in range(3))
+    made = {
+        "missing_count": F.col("rows") - c,
+        "missing_rate": F.try_divide((F.col("rows") - c).cast("double"), F.col("rows")),
+        "mean": median + shift, "median": median, "std": F.sqrt(variance), "variance": variance,
+        "q1": q1, "q3": q3, "iqr": q3 - q1,
+        "skewness": F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2)),
+        "kurtosis": F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)),
+        "zero_rate": F.try_divide(F.col("zero_count").cast("double"), n),
+        "outlier_rate": F.try_divide(F.col("outlier_count").cast("double"), n)}
+    names = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("position", "column"))
+    counts = ["rows", "count", "finite_count", "positive_infinity_count", "negative_infinity_count", "zero_count", "outlier_count"]
+    complete = names.join(F.broadcast(sums), ["position", "column"], "left").fillna(0, counts)  # one row per column
+    return complete.withColumns(made).select("column", *NUMERIC_FIELDS)
+
+
+def _raw_number(df: DataFrame, name: str) -> Column:
+    """The value as double with infinities kept and NaN as null; strings are parsed."""
+    dtype = dtype_of(df, name)
+    if isinstance(dtype, FLOATING):
+        return present(df, name).cast("double")
+    return parse_number(col(name)) if isinstance(dtype, T.StringType) else finite(df, name)
 
 
 def _stack(tables: list[DataFrame]) -> DataFrame:

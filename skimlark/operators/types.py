@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from skimlark.config import DEFAULT, Config
 from skimlark.functions.exprs import (
     BOOLEAN_WORDS, FLOATING, INFINITY_WORDS, INTEGRAL, NESTED, NUMERIC, TEMPORAL, TIME_FORMATS, ZERO_PADDED_PATTERN,
-    col, dtype_of, finite, is_missing, parse_any_time, parse_number, parse_time, present, stripped)
-from skimlark.functions.values import chunks, distinct_counts, melt
+    col, dtype_of, finite, is_missing, micros, parse_any_time, parse_number, parse_time, present, stripped)
+from skimlark.functions.values import distinct_counts, melt
 
 # Name patterns and the names of the semantic types.
 ID_NAME = re.compile(r"(^|[_\s-])(id|uuid|guid|serial|code|编号|序号|编码)($|[_\s-])")
@@ -23,9 +23,9 @@ OVERRIDE_TYPES = ["numeric", "categorical", "datetime", "text", "ignore"]
 LONG_CELL = 20  # characters from which a cell counts as long text
 
 MOMENT_START = r"^\d{1,4}[-/:.年]"  # what every known time format begins with
-MOMENT_LENGTH = 32  # no text of a known time format is longer
-SIGNALS = ["n", "non_null", "bool_like", "zero_padded_ratio", "numeric_ratio", "time_hits", "avg_len",
-           "long_text_ratio", "infinities"]
+SIGNAL_SCHEMA = """ordinal int, column string, kind string, n long, non_null long, u long, ur double, id_hint boolean,
+    date_hint boolean, bool_like boolean, zero_padded_ratio double, numeric_ratio double, dt_ratio double,
+    dt_format string, avg_len double, long_text_ratio double, infinities long"""
 
 
 def id_hint(name: str) -> bool:
@@ -45,106 +45,96 @@ def kind_of(df: DataFrame, name: str) -> str:
     return "string"
 
 
-def _share(condition: Column, of: Column) -> Column:
-    return F.coalesce(F.avg(F.when(of.isNotNull(), F.coalesce(condition, F.lit(False)).cast("double"))), F.lit(0.0))
+def _cell(df: DataFrame, position: int, name: str) -> Column:
+    """What the signals need of one value, the same struct for every kind of column."""
+    kind, c = kind_of(df, name), present(df, name)
+    whole, real = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    dtype = dtype_of(df, name)
+    if kind == "string":
+        text = stripped(c)
+    elif kind == "boolean":
+        whole, flag = c.cast("bigint"), c.isNotNull()
+    elif kind == "moment":
+        whole, flag = micros(df, name), F.lit(False)
+    elif isinstance(dtype, INTEGRAL):
+        whole, flag = c.cast("bigint"), c.isin(0, 1)
+    elif kind == "number":
+        real, flag = c.cast("double"), F.lit(False)
+    return F.struct(F.lit(position).alias("position"), c.isNotNull().alias("there"), whole.alias("whole"),
+                    real.alias("real"), text.alias("text"), flag.alias("flag"))
 
 
-def _texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The columns plus, for strings, the stripped text and what may be a moment."""
-    extra = {}
-    for i, name in enumerate(columns):
-        if kind_of(df, name) == "string":
-            text = stripped(present(df, name))
-            extra[f"_text{i}"] = text
-            extra[f"_moment{i}"] = F.when(text.rlike(MOMENT_START) & (F.length(text) <= MOMENT_LENGTH), text)
-    return df.select(*[col(c) for c in columns]).withColumns(extra) if extra else df.select(*[col(c) for c in columns])
+def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(F.inline(F.array(*[_cell(df, i, c) for i, c in enumerate(columns)])))
 
 
-def _signal_columns(df: DataFrame, i: int, name: str) -> list[Column]:
-    kind, c = kind_of(df, name), present(df, name)
-    never, zero = F.lit(False), F.lit(0.0)
-    out = {
-        "n": F.count(F.lit(1)),
-        "non_null": F.count(c),
-        "bool_like": never, "zero_padded_ratio": zero, "numeric_ratio": zero,
-        "time_hits": F.array(F.lit(0).cast("long")), "avg_len": zero, "long_text_ratio": zero,
-        "infinities": F.lit(0).cast("long"),
-    }
-    if kind == "number":
-        out["numeric_ratio"] = (F.count(c) > 0).cast("double")
-        if isinstance(dtype_of(df, name), INTEGRAL):
-            out["bool_like"] = F.coalesce(F.bool_and(c.isin(0, 1)), never)
-        elif isinstance(dtype_of(df, name), FLOATING):
-            out["infinities"] = F.count_if(F.abs(c) == F.lit(float("inf")))
-    elif kind == "boolean":
-        out["bool_like"] = F.count(c) > 0
-    elif kind == "moment":
-        out["time_hits"] = F.array(F.count(c))
-    elif kind == "string":
-        text, moment = F.col(f"_text{i}"), F.col(f"_moment{i}")
-        out.update(
-            bool_like=F.coalesce(F.bool_and(F.lower(text).isin(BOOLEAN_WORDS)), never),
-            zero_padded_ratio=_share(text.rlike(ZERO_PADDED_PATTERN), c),
-            numeric_ratio=_share(parse_number(text).isNotNull(), c),
-            time_hits=F.array(*[F.count(parse_time(moment, fmt)) for fmt, _ in TIME_FORMATS]),
-            avg_len=F.coalesce(F.avg(F.length(text)), zero),
-            long_text_ratio=_share(F.length(text) > LONG_CELL, c),
-            infinities=F.count_if(F.lower(F.replace(text, F.lit(","), F.lit(""))).isin(INFINITY_WORDS)))
-    return [out[s].alias(f"{i}_{s}") for s in SIGNALS]
+def _measure(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """Signals of all columns in one aggregate by column; strings may get a second for dates.
+
+    Grouping cells by column keeps the plan the same for two columns or two
+    thousand, and each task hands on one row per column. The many time formats
+    are only tried on columns where some text begins like a moment.
+    """
+    text, there = F.col("text"), F.col("there")
+    bare = F.lower(F.replace(text, F.lit(","), F.lit("")))
+    share = lambda c: F.coalesce(F.avg(F.when(text.isNotNull(), c.cast("double"))), F.lit(0.0))
+    infinite = F.coalesce(bare.isin(INFINITY_WORDS), F.abs("real") == float("inf"))
+    table = _cells(df, columns).groupBy("position").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(there).alias("non_null"),
+        F.coalesce(F.bool_and(F.coalesce("flag", F.lower(text).isin(BOOLEAN_WORDS))), F.lit(False)).alias("bool_like"),
+        share(text.rlike(ZERO_PADDED_PATTERN)).alias("zero_padded_ratio"),
+        share(parse_number(text).isNotNull()).alias("numeric_ratio"),
+        F.count_if(text.rlike(MOMENT_START)).alias("moments"),
+        F.coalesce(F.avg(F.length(text)), F.lit(0.0)).alias("avg_len"),
+        share(F.length(text) > LONG_CELL).alias("long_text_ratio"),
+        F.count_if(infinite).alias("infinities"),
+        F.coalesce(F.min("whole") < F.max("whole"), F.min("real") < F.max("real")).alias("spread"))
+    found = {columns[r["position"]]: r.asDict() for r in table.collect()}  # one row per column
+    maybe = [c for c in columns if c in found and found[c]["moments"] > 0]
+    if maybe:
+        dated = _cells(df, maybe).where(text.rlike(MOMENT_START)).groupBy("position").agg(
+            F.array(*[F.count(parse_time(text, fmt)) for fmt, _ in TIME_FORMATS]).alias("hits"))
+        for r in dated.collect():
+            found[maybe[r["position"]]]["hits"] = r["hits"]
+    return found
 
 
 def _counted(df: DataFrame, name: str) -> bool:
     """Does a rule need the exact distinct count of this column?"""
     kind = kind_of(df, name)
-    return kind in ("string", "moment") or (kind == "number" and id_hint(name))
+    return kind == "string" or (kind == "number" and id_hint(name))
 
 
 def type_signals(df: DataFrame, columns: Sequence[str] | None = None, *, all_distinct: bool = True,
                  config: Config = DEFAULT) -> DataFrame:
     """What the inference rules look at, one row per column.
 
-    ``all_distinct=False`` skips the exact distinct count where no rule needs
-    it; ``u`` is then 2 for a column whose smallest and largest value differ.
+    The table is read when this is called; the result is a small local table, so
+    rules built on it read nothing again. ``all_distinct=False`` skips the exact
+    distinct count where no rule needs it; ``u`` is then 2 for a column whose
+    smallest and largest value differ.
     """
     columns = list(columns or df.columns)
     plain = [c for c in columns if kind_of(df, c) != "nested"]
     counted = plain if all_distinct else [c for c in plain if _counted(df, c)]
-    tables = []
-    for part in chunks(columns, config.columns_per_pass):
-        aggs = [a for i, c in enumerate(part) for a in _signal_columns(df, i, c)]
-        for i, c in enumerate(part):
-            spread = F.lit(None).cast("long")
-            if c in plain and c not in counted:
-                v = present(df, c)
-                spread = F.when(F.min(v) < F.max(v), 2).when(F.count(v) > 0, 1).otherwise(0).cast("long")
-            aggs.append(spread.alias(f"{i}_spread"))
-        tables.append(melt(_texts(df, part).agg(*aggs), part, [*SIGNALS, "spread"]))
-    signals = tables[0]
-    for t in tables[1:]:
-        signals = signals.unionByName(t)
-    if counted:
-        signals = signals.join(F.broadcast(distinct_counts(df, counted)), "column", "left")  # a row per column
-    else:
-        signals = signals.withColumn("u", F.lit(None).cast("long"))
-    facts = _name_facts(df, columns)
-    u = F.coalesce("u", "spread", F.lit(0)).cast("long")
-    best = F.array_max("time_hits")
-    names = F.array(*[F.lit(fmt) for fmt, _ in TIME_FORMATS])
-    first_best = F.get(names, (F.array_position("time_hits", best) - 1).cast("int"))
-    return signals.join(F.broadcast(facts), "column").select(
-        "ordinal", "column", "kind", "n", "non_null", u.alias("u"),
-        F.when(F.col("non_null") > 0, u / F.col("non_null")).otherwise(0.0).alias("ur"),
-        "id_hint", "date_hint", "bool_like", "zero_padded_ratio", "numeric_ratio",
-        F.when(F.col("non_null") > 0, best / F.col("non_null")).otherwise(0.0).alias("dt_ratio"),
-        F.when((F.col("kind") == "string") & (best > 0), first_best).alias("dt_format"),
-        "avg_len", "long_text_ratio", "infinities")
-
-
-def _name_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Facts that follow from name and declared type alone (metadata)."""
-    rows = [(i, c, kind_of(df, c), id_hint(c), date_hint(c)) for i, c in enumerate(columns)]
-    return df.sparkSession.createDataFrame(
-        rows, "ordinal int, column string, kind string, id_hint boolean, date_hint boolean")
+    measured = _measure(df, columns)
+    distinct = {r["column"]: r["u"] for r in distinct_counts(df, counted).collect()} if counted else {}
+    rows = []
+    for i, c in enumerate(columns):
+        kind = kind_of(df, c)
+        m = measured.get(c) or {"n": 0, "non_null": 0, "bool_like": False, "zero_padded_ratio": 0.0, "numeric_ratio": 0.0,
+                                "avg_len": 0.0, "long_text_ratio": 0.0, "infinities": 0, "spread": None}
+        there = m["non_null"]
+        u = distinct.get(c, 0) if c in counted else (0 if kind == "nested" or not there else 2 if m["spread"] else 1)
+        hits = [there] if kind == "moment" else m.get("hits") or [0]
+        best = max(hits)
+        rows.append((
+            i, c, kind, m["n"], there, u, u / there if there else 0.0, id_hint(c), date_hint(c), m["bool_like"],
+            m["zero_padded_ratio"], float(there > 0) if kind == "number" else m["numeric_ratio"],
+            best / there if there else 0.0, TIME_FORMATS[hits.index(best)][0] if kind == "string" and best else None,
+            m["avg_len"], m["long_text_ratio"], m["infinities"]))
+    return df.sparkSession.createDataFrame(rows, SIGNAL_SCHEMA)
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None, *, overrides: Mapping[str, str] | None = None,

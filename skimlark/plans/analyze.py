@@ -97,9 +97,8 @@ def analyze(df: DataFrame, *, overrides: Mapping[str, str] | None = None, pairs:
     if threshold is not None and not 0 <= threshold <= 1:
         raise ValueError("the correlation threshold lies between 0 and 1")
     chosen = semantic.check_overrides(overrides)
-    facts = quality.column_facts(df, overrides=chosen, config=config)
-    verdicts = sorted(facts.collect(), key=lambda r: r["ordinal"])  # one row per column
-    small = df.sparkSession.createDataFrame(verdicts, facts.schema)
+    small = quality.column_facts(df, overrides=chosen, config=config)  # a local table, one row per column
+    verdicts = sorted(small.collect(), key=lambda r: r["ordinal"])
     types = {r["column"]: r["effective_type"] for r in verdicts}
     usable_table = quality.usable_columns(small, config)
     kept = [c for c in quality.usable_list(usable_table) if types[c] != "ignore"]
