@@ -62,7 +62,25 @@ def dtype_of(df: DataFrame, name: str) -> T.DataType:
 
 def col(name: str) -> Column:
     """Column by exact name, also when the name holds dots or blanks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    """The column's name inside SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def present_sql(df: DataFrame, name: str) -> str:
+    """``present`` as SQL text, for structs built once per column of a wide table."""
+    c = quoted(name)
+    return f"if(isnan({c}), NULL, {c})" if isinstance(dtype_of(df, name), FLOATING) else c
+
+
+def micros_sql(df: DataFrame, name: str) -> str:
+    c = quoted(name)
+    if isinstance(dtype_of(df, name), T.TimestampType):
+        return f"unix_micros({c})"
+    return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({c} AS TIMESTAMP_NTZ))"
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
@@ -116,11 +134,7 @@ def parse_any_time(c: Column) -> Column:
 
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970 of a date or timestamp column."""
-    c = col(name)
-    if isinstance(dtype_of(df, name), T.TimestampType):
-        return F.unix_micros(c)
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", epoch, c.cast("timestamp_ntz"))
+    return F.expr(micros_sql(df, name))
 
 
 def iso_from_micros(c: Column) -> Column:

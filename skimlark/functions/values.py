@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skimlark.functions.exprs import FLOATING, INTEGRAL, TEMPORAL, col, dtype_of, micros, present
+from skimlark.functions.exprs import FLOATING, INTEGRAL, TEMPORAL, col, dtype_of, micros_sql, present_sql
 
 LONG_TEXT = 40  # characters; longer strings are grouped by digest and this prefix
 
@@ -34,30 +34,27 @@ def one_row(*tables: DataFrame) -> DataFrame:
     return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
 
 
-def value_key(df: DataFrame, position: int, name: str) -> Column:
-    """A struct that identifies a value of any plain type.
+def value_key(df: DataFrame, position: int, name: str) -> str:
+    """SQL text of a struct that identifies a value of any plain type.
 
     Numbers and moments stay binary. A long string is carried as digest plus
     prefix, so that counting documents does not shuffle documents.
     """
     dtype = dtype_of(df, name)
-    c = present(df, name)
-    whole = F.lit(None).cast("bigint")
-    real = F.lit(None).cast("double")
-    text = F.lit(None).cast("string")
-    digest = F.lit(None).cast("binary")
+    c = present_sql(df, name)
+    whole, real, text, digest = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)", "CAST(NULL AS BINARY)"
     if isinstance(dtype, INTEGRAL):
-        whole = c.cast("bigint")
+        whole = f"CAST({c} AS BIGINT)"
     elif isinstance(dtype, FLOATING):
-        real = c.cast("double")
+        real = f"CAST({c} AS DOUBLE)"
     elif isinstance(dtype, TEMPORAL):
-        whole = micros(df, name)
+        whole = micros_sql(df, name)
     else:
-        text = F.substring(c.cast("string"), 1, LONG_TEXT)
-        digest = F.when(F.length(c.cast("string")) > LONG_TEXT, F.unhex(F.md5(c.cast("string"))))
-    return F.struct(
-        F.lit(position).alias("position"), whole.alias("whole"), real.alias("real"),
-        text.alias("text"), digest.alias("digest"), c.isNotNull().alias("there"))
+        string = f"CAST({c} AS STRING)"
+        text = f"substring({string}, 1, {LONG_TEXT})"
+        digest = f"if(length({string}) > {LONG_TEXT}, unhex(md5({string})), NULL)"
+    return (f"named_struct('position', {position}, 'whole', {whole}, 'real', {real}, 'text', {text}, "
+            f"'digest', {digest}, 'there', {c} IS NOT NULL)")
 
 
 KEY = ["position", "whole", "real", "text", "digest"]
@@ -65,7 +62,7 @@ KEY = ["position", "whole", "real", "text", "digest"]
 
 def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``position, whole, real, text, digest, count`` of every distinct value."""
-    cells = df.select(F.inline(F.array(*[value_key(df, i, c) for i, c in enumerate(names)])))
+    cells = df.selectExpr(f"inline(array({', '.join(value_key(df, i, c) for i, c in enumerate(names))}))")
     return cells.where("there").groupBy(*KEY).agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skimlark.config import DEFAULT, Config
@@ -192,10 +192,7 @@ def _masks(base: DataFrame, features: Sequence[str], pairs: Sequence[Pair]) -> t
 def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], *, config: Config = DEFAULT) -> DataFrame:
     """``feature_a, feature_b, method, n, r``: Pearson of average ranks, ranked within each pair's rows.
 
-    Every (feature, mask) is ranked once, on distinct values with counts. Ranks
-    of columns with few distinct values, and of the most frequent values of the
-    others, are looked up by broadcast; only the remaining cells are shuffled,
-    so neither a frequent value nor a wide table becomes one task's work.
+    Every (feature, mask) is ranked once and shared by all pairs on that mask.
     """
     features = sorted({c for p in pairs for c in p})
     at = {c: i for i, c in enumerate(features)}
@@ -204,6 +201,7 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], *, config: Config = DEF
     tasks = sorted({(c, masks[p]) for p in pairs for c in p})
     number = {t: k for k, t in enumerate(tasks)}
     size = {(c, masks[p]): shared[p] for p in pairs for c in p}
+    middles = [(size[t] + 1) / 2 for t in tasks]
 
     def cell(task) -> Column:
         c, mask = task
@@ -213,71 +211,96 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], *, config: Config = DEF
         return v
 
     values = base.select(*[cell(t).alias(f"v{k}") for t, k in number.items()])
-    cells = values.select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("task"), F.col(f"v{k}").alias("v")) for k in number.values()]))).where("v IS NOT NULL")
-    counts = cells.groupBy("task", "v").agg(F.count(F.lit(1)).alias("c"))
-    middle = F.get(F.array(*[F.lit((size[t] + 1) / 2) for t in tasks]), F.col("task"))
-    ranks = materialize(
-        running_total(counts, ["task"], ["v"], "c", rows, config)
-        .select("task", "v", "c", (F.col("before") + (F.col("c") + 1) / 2 - middle).alias("d")))
-    facts = {r["task"]: r for r in ranks.groupBy("task").agg(
-        F.count(F.lit(1)).alias("distinct"), F.sum(F.col("c") * F.col("d") * F.col("d")).alias("ss")).collect()}
-
-    small, budget = [], config.broadcast_rows
-    for k in sorted(facts, key=lambda k: facts[k]["distinct"]):
-        if facts[k]["distinct"] <= budget:
-            small.append(k)
-            budget -= facts[k]["distinct"]
-    large = [k for k in sorted(facts) if k not in small]
-    ranked = _look_up(values, ranks, tasks, size, small, large, config)
+    if rows <= config.single_task_rows:
+        ranked = _rank_rows(values, middles)
+    else:
+        ranked = _rank_values(values, middles, [size[t] for t in tasks], rows, config)
 
+    ends = [(number[a, masks[a, b]], number[b, masks[a, b]]) for a, b in pairs]
     if len(pairs) > config.pairs_per_pass:
-        names = [f"d{k}" for k in number.values()]
-        sums = pair_products(ranked, names)
-        spread = ranks.sparkSession.createDataFrame(
-            [(min(x, y), max(x, y), a, b, int(shared[a, b]), float(facts[x]["ss"] * facts[y]["ss"]) if x in facts and y in facts else 0.0)
-             for a, b in pairs for x, y in [(number[a, masks[a, b]], number[b, masks[a, b]])]],
-            "i int, j int, feature_a string, feature_b string, n long, ss double")
-        return F.broadcast(spread).join(sums.select("i", "j", "sxy"), ["i", "j"], "left").select(  # one row per pair
-            "feature_a", "feature_b", F.lit("spearman").alias("method"), "n",
-            F.when(F.col("ss") > 0, F.col("sxy") / F.sqrt("ss")).alias("r"))
+        sums = pair_products(ranked, [f"d{k}" for k in number.values()])
+        asked = ranked.sparkSession.createDataFrame(
+            [(min(e), max(e), a, b, int(shared[a, b])) for e, (a, b) in zip(ends, pairs)],
+            "i int, j int, feature_a string, feature_b string, n long")
+        spread = F.sqrt(F.col("sxx") * F.col("syy"))
+        return F.broadcast(asked).join(sums, ["i", "j"], "left").select(  # one row per pair
+            "feature_a", "feature_b", F.lit("spearman").alias("method"), asked["n"],
+            F.when(spread > 0, F.col("sxy") / spread).alias("r"))
     aggs = []
-    for k, (a, b) in enumerate(pairs):
-        x, y = number[a, masks[a, b]], number[b, masks[a, b]]
-        ss = facts[x]["ss"] * facts[y]["ss"] if x in facts and y in facts else 0.0
-        product = F.sum(F.col(f"d{x}") * F.col(f"d{y}"))
-        aggs += [F.first(F.lit(shared[a, b])).alias(f"n{k}"),
-                 (product / float(ss) ** 0.5 if ss > 0 else F.first(F.lit(None).cast("double"))).alias(f"r{k}")]
+    for k, ((x, y), pair) in enumerate(zip(ends, pairs)):
+        x, y = F.col(f"d{x}"), F.col(f"d{y}")
+        spread = F.sqrt(F.sum(x * x) * F.sum(y * y))
+        aggs += [F.coalesce(F.max(F.lit(shared[pair])), F.lit(shared[pair])).alias(f"n{k}"),
+                 F.when(spread > 0, F.sum(x * y) / spread).alias(f"r{k}")]
     return _labelled(pairs, ranked.agg(*aggs), "spearman")
 
 
-def _look_up(values, ranks, tasks, size, small, large, config):
-    """Rank deviations ``d{task}`` next to each other, one row per input row."""
-    if large:
-        # ids must stay the same for every reader
-        values = materialize(values.withColumn("_id", F.monotonically_increasing_id()))
-    wide = values
+def _with_ids(values: DataFrame) -> DataFrame:
+    """Rows under ids that stay the same for every reader: written, not recomputed."""
+    return materialize(values.withColumn("_id", F.monotonically_increasing_id()))
+
+
+def _cells_of(values: DataFrame, tasks: Sequence[int], *keep: str, unless: Mapping[int, Column] | None = None) -> DataFrame:
+    """``keep..., task, v`` of the non-null values (``unless`` marks those already done)."""
+    value = {k: F.col(f"v{k}") for k in tasks}
+    for k, done in (unless or {}).items():
+        value[k] = F.when(~done, value[k])
+    cells = [F.struct(F.lit(k).alias("task"), value[k].alias("v")) for k in tasks]
+    return values.select(*keep, F.inline(F.array(*cells))).where("v IS NOT NULL")
+
+
+def _by_row(cells: DataFrame, tasks: Sequence[int], prefix: str) -> DataFrame:
+    """Cells back to one row per id, a column per task."""
+    return cells.groupBy("_id").agg(*[F.max(F.when(F.col("task") == k, F.col("d"))).alias(f"{prefix}{k}") for k in tasks])
+
+
+def _middle(middles: Sequence[float]) -> Column:
+    return F.get(F.array(*[F.lit(float(m)) for m in middles]), F.col("task"))
+
+
+def _rank_rows(values: DataFrame, middles: Sequence[float]) -> DataFrame:
+    """Rank deviations ``d{task}`` when one task can order a whole column: a window per column."""
+    tasks = range(len(middles))
+    cells = _cells_of(_with_ids(values), tasks, "_id")
+    ordered = Window.partitionBy("task").orderBy("v")
+    equal = ordered.rangeBetween(Window.currentRow, Window.currentRow)  # same sort, no second one
+    d = F.rank().over(ordered) + (F.count(F.lit(1)).over(equal) - 1) / 2 - _middle(middles)
+    return _by_row(cells.withColumn("d", d), tasks, "d").drop("_id")
+
+
+def _rank_values(values: DataFrame, middles: Sequence[float], sizes: Sequence[int], rows: int, config: Config) -> DataFrame:
+    """Rank deviations ``d{task}`` at any size: ranks belong to distinct values, not to rows.
+
+    Ranks of columns with few distinct values, and of the most frequent values of
+    the others, are looked up by broadcast; only the remaining cells are shuffled
+    to their rank, so no frequent value becomes one task's work.
+    """
+    tasks = range(len(middles))
+    counts = _cells_of(values, tasks).groupBy("task", "v").agg(F.count(F.lit(1)).alias("c"))
+    ranks = materialize(
+        running_total(counts, ["task"], ["v"], "c", rows, config)
+        .select("task", "v", "c", (F.col("before") + (F.col("c") + 1) / 2 - _middle(middles)).alias("d")))
+    distinct = {r["task"]: r["count"] for r in ranks.groupBy("task").count().collect()}  # one row per task
+    small, budget = [], config.broadcast_rows
+    for k in sorted(tasks, key=lambda k: distinct.get(k, 0)):
+        if distinct.get(k, 0) <= budget:
+            small.append(k)
+            budget -= distinct.get(k, 0)
+    large = [k for k in tasks if k not in small]
+    wide = _with_ids(values) if large else values
     per_task = max(1, config.broadcast_rows // max(1, len(large)))
-    for k in [*small, *large]:
+    for k in tasks:
         table = ranks.where(F.col("task") == k)
         if k in large:  # values holding 1/per_task of the rows or more: at most per_task of them
-            table = table.where(F.col("c") * per_task >= size[tasks[k]])
+            table = table.where(F.col("c") * per_task >= sizes[k])
         table = table.select(F.col("v").alias(f"v{k}"), F.col("d").alias(f"d{k}"))
         wide = wide.join(F.broadcast(table), f"v{k}", "left")
-    found = {f"d{k}" for k in [*small, *large]}
-    missing = {f"d{k}": F.lit(None).cast("double") for k in range(len(tasks)) if f"d{k}" not in found}
-    wide = wide.withColumns(missing) if missing else wide
     if not large:
-        return wide.select(*[f"d{k}" for k in range(len(tasks))])
-    rest = wide.select("_id", F.inline(F.array_compact(F.array(*[
-        F.when(F.col(f"v{k}").isNotNull() & F.col(f"d{k}").isNull(),
-               F.struct(F.lit(k).alias("task"), F.col(f"v{k}").alias("v"))) for k in large]))))
+        return wide.select(*[f"d{k}" for k in tasks])
+    rest = _cells_of(wide, large, "_id", unless={k: F.col(f"d{k}").isNotNull() for k in large})
     cold = ranks.where(F.col("task").isin(large)).select("task", "v", "d")
-    cells = rest.join(cold, ["task", "v"]).groupBy("_id").agg(*[
-        F.max(F.when(F.col("task") == k, F.col("d"))).alias(f"e{k}") for k in large])
-    joined = wide.join(cells, "_id", "left")
-    return joined.select(*[
-        F.coalesce(f"d{k}", f"e{k}").alias(f"d{k}") if k in large else F.col(f"d{k}") for k in range(len(tasks))])
+    joined = wide.join(_by_row(rest.join(cold, ["task", "v"]), large, "e"), "_id", "left")
+    return joined.select(*[F.coalesce(f"d{k}", f"e{k}").alias(f"d{k}") if k in large else F.col(f"d{k}") for k in tasks])
 
 
 # ---- matrices --------------------------------------------------------------

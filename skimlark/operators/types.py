@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from skimlark.config import DEFAULT, Config
 from skimlark.functions.exprs import (
     BOOLEAN_WORDS, FLOATING, INFINITY_WORDS, INTEGRAL, NESTED, NUMERIC, TEMPORAL, TIME_FORMATS, ZERO_PADDED_PATTERN,
-    col, dtype_of, finite, is_missing, micros, parse_any_time, parse_number, parse_time, present, stripped)
+    col, dtype_of, finite, is_missing, micros_sql, parse_any_time, parse_number,
+    parse_time, present, present_sql, stripped)
 from skimlark.functions.values import distinct_counts, melt
 
 # Name patterns and the names of the semantic types.
@@ -20,6 +21,7 @@ ID_NAME = re.compile(r"(^|[_\s-])(id|uuid|guid|serial|code|编号|序号|编码)
 DATE_NAME = re.compile(r"date|time|timestamp|datetime|日期|时间")
 SEMANTIC_TYPES = ["numeric", "categorical", "datetime", "boolean", "text", "id_like", "constant", "unknown"]
 OVERRIDE_TYPES = ["numeric", "categorical", "datetime", "text", "ignore"]
+WHITESPACE_SQL = r" \t\n\r\u000b\u000c"
 LONG_CELL = 20  # characters from which a cell counts as long text
 
 MOMENT_START = r"^\d{1,4}[-/:.年]"  # what every known time format begins with
@@ -45,28 +47,26 @@ def kind_of(df: DataFrame, name: str) -> str:
     return "string"
 
 
-def _cell(df: DataFrame, position: int, name: str) -> Column:
-    """What the signals need of one value, the same struct for every kind of column."""
-    kind, c = kind_of(df, name), present(df, name)
-    whole, real = F.lit(None).cast("bigint"), F.lit(None).cast("double")
-    text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    dtype = dtype_of(df, name)
+def _cell(df: DataFrame, position: int, name: str) -> str:
+    """SQL text of what the signals need of one value, the same struct for every kind of column."""
+    kind, c, dtype = kind_of(df, name), present_sql(df, name), dtype_of(df, name)
+    whole, real, text, flag = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)", "CAST(NULL AS BOOLEAN)"
     if kind == "string":
-        text = stripped(c)
+        text = f"btrim({c}, '{WHITESPACE_SQL}')"
     elif kind == "boolean":
-        whole, flag = c.cast("bigint"), c.isNotNull()
+        whole, flag = f"CAST({c} AS BIGINT)", f"{c} IS NOT NULL"
     elif kind == "moment":
-        whole, flag = micros(df, name), F.lit(False)
+        whole, flag = micros_sql(df, name), "false"
     elif isinstance(dtype, INTEGRAL):
-        whole, flag = c.cast("bigint"), c.isin(0, 1)
+        whole, flag = f"CAST({c} AS BIGINT)", f"{c} IN (0, 1)"
     elif kind == "number":
-        real, flag = c.cast("double"), F.lit(False)
-    return F.struct(F.lit(position).alias("position"), c.isNotNull().alias("there"), whole.alias("whole"),
-                    real.alias("real"), text.alias("text"), flag.alias("flag"))
+        real, flag = f"CAST({c} AS DOUBLE)", "false"
+    return (f"named_struct('position', {position}, 'there', {c} IS NOT NULL, 'whole', {whole}, 'real', {real}, "
+            f"'text', {text}, 'flag', {flag})")
 
 
 def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(F.inline(F.array(*[_cell(df, i, c) for i, c in enumerate(columns)])))
+    return df.selectExpr(f"inline(array({', '.join(_cell(df, i, c) for i, c in enumerate(columns))}))")
 
 
 def _measure(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
