@@ -216,10 +216,10 @@ def _bracketed_quantiles(base, width, probs, by, config):
 
     edges = final.select(*by, *[f"{e}{i}_{j}" for e in ("_lo", "_hi") for i in ks for j in js])
     rows = _attach(base, edges, by, config)
-    cells = rows.select(*by, F.inline(F.array_compact(F.array(*[
-        F.when(F.col(f"_v{i}").between(F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}")),
-               F.struct(F.lit(i).alias("_k"), F.lit(j).alias("_j"), F.col(f"_v{i}").alias("_v")))
-        for i in ks for j in js]))))
+    cells = rows.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_k"), F.lit(j).alias("_j"),
+                 F.when(F.col(f"_v{i}").between(F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}")), F.col(f"_v{i}")).alias("_v"))
+        for i in ks for j in js]))).where("_v IS NOT NULL")
     counts = cells.groupBy(*by, "_k", "_j", "_v").agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_total(counts, [*by, "_k", "_j"], ["_v"], "_c", inside_rows, config)
 
