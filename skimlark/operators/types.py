@@ -13,7 +13,7 @@ from skimlark.config import DEFAULT, Config
 from skimlark.functions.exprs import (
     BOOLEAN_WORDS, FLOATING, INFINITY_WORDS, INTEGRAL, NESTED, NUMERIC, TEMPORAL, TIME_FORMATS, ZERO_PADDED_PATTERN,
     col, dtype_of, finite, is_missing, micros_sql, parse_any_time, parse_number,
-    parse_time, present, present_sql, stripped)
+    parse_time, present, present_sql, quoted, stripped)
 from skimlark.functions.values import distinct_counts, melt
 
 # Name patterns and the names of the semantic types.
@@ -25,6 +25,9 @@ WHITESPACE_SQL = r" \t\n\r\u000b\u000c"
 LONG_CELL = 20  # characters from which a cell counts as long text
 
 MOMENT_START = r"^\d{1,4}[-/:.年]"  # what every known time format begins with
+NUMBER_START = r"^[-+.,\diI]"  # what a number or an infinity begins with, commas included
+NO_SIGNALS = {"n": 0, "non_null": 0, "bool_like": False, "zero_padded_ratio": 0.0, "numeric_ratio": 0.0, "avg_len": 0.0,
+              "long_text_ratio": 0.0, "infinities": 0, "spread": None, "hits": [0]}
 SIGNAL_SCHEMA = """ordinal int, column string, kind string, n long, non_null long, u long, ur double, id_hint boolean,
     date_hint boolean, bool_like boolean, zero_padded_ratio double, numeric_ratio double, dt_ratio double,
     dt_format string, avg_len double, long_text_ratio double, infinities long"""
@@ -48,52 +51,64 @@ def kind_of(df: DataFrame, name: str) -> str:
 
 
 def _cell(df: DataFrame, position: int, name: str) -> str:
-    """SQL text of what the signals need of one value, the same struct for every kind of column."""
+    """SQL text of what the signals need of one value, the same struct for all columns but strings."""
     kind, c, dtype = kind_of(df, name), present_sql(df, name), dtype_of(df, name)
-    whole, real, text, flag = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)", "CAST(NULL AS BOOLEAN)"
-    if kind == "string":
-        text = f"btrim({c}, '{WHITESPACE_SQL}')"
-    elif kind == "boolean":
+    whole, real, flag = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "false"
+    if kind == "boolean":
         whole, flag = f"CAST({c} AS BIGINT)", f"{c} IS NOT NULL"
     elif kind == "moment":
-        whole, flag = micros_sql(df, name), "false"
+        whole = micros_sql(df, name)
     elif isinstance(dtype, INTEGRAL):
         whole, flag = f"CAST({c} AS BIGINT)", f"{c} IN (0, 1)"
     elif kind == "number":
-        real, flag = f"CAST({c} AS DOUBLE)", "false"
+        real = f"CAST({c} AS DOUBLE)"
     return (f"named_struct('position', {position}, 'there', {c} IS NOT NULL, 'whole', {whole}, 'real', {real}, "
-            f"'text', {text}, 'flag', {flag})")
+            f"'flag', {flag})")
 
 
-def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.selectExpr(f"inline(array({', '.join(_cell(df, i, c) for i, c in enumerate(columns))}))")
+def _text_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    cells = [f"named_struct('position', {i}, 'text', btrim({quoted(c)}, '{WHITESPACE_SQL}'))" for i, c in enumerate(columns)]
+    return df.selectExpr(f"inline(array({', '.join(cells)}))")
 
 
 def _measure(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
-    """Signals of all columns in one aggregate by column; strings may get a second for dates.
+    """Signals of all columns: an aggregate for strings, one for the rest, one for likely dates.
 
     Grouping cells by column keeps the plan the same for two columns or two
     thousand, and each task hands on one row per column. The many time formats
     are only tried on columns where some text begins like a moment.
     """
-    text, there = F.col("text"), F.col("there")
-    bare = F.lower(F.replace(text, F.lit(","), F.lit("")))
-    share = lambda c: F.coalesce(F.avg(F.when(text.isNotNull(), c.cast("double"))), F.lit(0.0))
-    infinite = F.coalesce(bare.isin(INFINITY_WORDS), F.abs("real") == float("inf"))
-    table = _cells(df, columns).groupBy("position").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(there).alias("non_null"),
-        F.coalesce(F.bool_and(F.coalesce("flag", F.lower(text).isin(BOOLEAN_WORDS))), F.lit(False)).alias("bool_like"),
-        share(text.rlike(ZERO_PADDED_PATTERN)).alias("zero_padded_ratio"),
-        share(parse_number(text).isNotNull()).alias("numeric_ratio"),
-        F.count_if(text.rlike(MOMENT_START)).alias("moments"),
-        F.coalesce(F.avg(F.length(text)), F.lit(0.0)).alias("avg_len"),
-        share(F.length(text) > LONG_CELL).alias("long_text_ratio"),
-        F.count_if(infinite).alias("infinities"),
-        F.coalesce(F.min("whole") < F.max("whole"), F.min("real") < F.max("real")).alias("spread"))
-    found = {columns[r["position"]]: r.asDict() for r in table.collect()}  # one row per column
-    maybe = [c for c in columns if c in found and found[c]["moments"] > 0]
+    strings = [c for c in columns if kind_of(df, c) == "string"]
+    others = [c for c in columns if c not in strings]
+    found: dict[str, dict] = {}
+    if others:
+        cells = df.selectExpr(f"inline(array({', '.join(_cell(df, i, c) for i, c in enumerate(others))}))")
+        table = cells.groupBy("position").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("there").alias("non_null"),
+            F.coalesce(F.bool_and("flag"), F.lit(False)).alias("bool_like"),
+            F.count_if(F.abs("real") == float("inf")).alias("infinities"),
+            F.coalesce(F.min("whole") < F.max("whole"), F.min("real") < F.max("real")).alias("spread"))
+        found.update({others[r["position"]]: r.asDict() for r in table.collect()})  # one row per column
+    if strings:
+        text, size = F.col("text"), F.length("text")
+        share = lambda c: F.coalesce(F.avg(F.when(text.isNotNull(), F.coalesce(c, F.lit(False)).cast("double"))), F.lit(0.0))
+        # cheap tests first: what cannot be a number, an infinity or a yes is not looked at closely
+        number = F.when(text.rlike(NUMBER_START), parse_number(text))
+        word = F.when(size <= max(map(len, BOOLEAN_WORDS)), F.lower(text))
+        table = _text_cells(df, strings).groupBy("position").agg(
+            F.count(F.lit(1)).alias("n"), F.count(text).alias("non_null"),
+            F.coalesce(F.bool_and(F.when(text.isNotNull(), F.coalesce(word.isin(BOOLEAN_WORDS), F.lit(False)))), F.lit(False))
+            .alias("bool_like"),
+            share(text.rlike(ZERO_PADDED_PATTERN)).alias("zero_padded_ratio"),
+            share(number.isNotNull()).alias("numeric_ratio"),
+            F.count_if(F.abs(number) == float("inf")).alias("infinities"),
+            F.count_if(text.rlike(MOMENT_START)).alias("moments"),
+            F.coalesce(F.avg(size), F.lit(0.0)).alias("avg_len"), share(size > LONG_CELL).alias("long_text_ratio"))
+        found.update({strings[r["position"]]: r.asDict() for r in table.collect()})
+    maybe = [c for c in strings if found.get(c, {}).get("moments")]
     if maybe:
-        dated = _cells(df, maybe).where(text.rlike(MOMENT_START)).groupBy("position").agg(
+        text = F.col("text")
+        dated = _text_cells(df, maybe).where(text.rlike(MOMENT_START)).groupBy("position").agg(
             F.array(*[F.count(parse_time(text, fmt)) for fmt, _ in TIME_FORMATS]).alias("hits"))
         for r in dated.collect():
             found[maybe[r["position"]]]["hits"] = r["hits"]
@@ -123,11 +138,10 @@ def type_signals(df: DataFrame, columns: Sequence[str] | None = None, *, all_dis
     rows = []
     for i, c in enumerate(columns):
         kind = kind_of(df, c)
-        m = measured.get(c) or {"n": 0, "non_null": 0, "bool_like": False, "zero_padded_ratio": 0.0, "numeric_ratio": 0.0,
-                                "avg_len": 0.0, "long_text_ratio": 0.0, "infinities": 0, "spread": None}
+        m = NO_SIGNALS | measured.get(c, {})
         there = m["non_null"]
         u = distinct.get(c, 0) if c in counted else (0 if kind == "nested" or not there else 2 if m["spread"] else 1)
-        hits = [there] if kind == "moment" else m.get("hits") or [0]
+        hits = [there] if kind == "moment" else m["hits"]
         best = max(hits)
         rows.append((
             i, c, kind, m["n"], there, u, u / there if there else 0.0, id_hint(c), date_hint(c), m["bool_like"],
