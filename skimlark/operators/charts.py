@@ -50,8 +50,8 @@ def full_counts(df: DataFrame, columns: Sequence[str], *, config: Config = DEFAU
     """As ``category_counts``, for columns with few distinct values only."""
     columns = list(columns)
     counts = value_counts(df, columns)
-    few = counts.groupBy("position").agg(F.count(F.lit(1)).alias("u")).where(
-        F.col("u") <= config.full_counts_max_cardinality)
+    few = counts.groupBy("position").agg(F.count(F.lit(1)).alias("u"), F.sum("count").alias("n")).where(
+        (F.col("u") <= config.full_counts_max_cardinality) & (F.col("n") > 0))  # n: share the shuffle of the counts
     tops = top_values(df, counts, columns, config.top_k_categories)
     return tops.join(F.broadcast(few), "position", "left_semi").select(_name(columns), "rank", "value", "count")
 
@@ -200,6 +200,11 @@ def _first_labels(df: DataFrame, column: str, count: int) -> list[str]:
     return [r["label"] for r in c.collect()]
 
 
+def _joint_counts(cells: DataFrame, *by: str) -> DataFrame:
+    """Row counts per combination of categories, written once: labels and counts read no row again."""
+    return materialize(cells.groupBy(*by).agg(F.count(F.lit(1)).alias("count")))
+
+
 def _triples(df: DataFrame, value: str | None, **categories: str) -> DataFrame:
     """Category texts under short names, and the finite value as ``y``."""
     out = [cell_text(df, c).alias(k) for k, c in categories.items()]
@@ -221,7 +226,8 @@ def group_box(df: DataFrame, value: str, category: str, *, config: Config = DEFA
 def grouped_box(df: DataFrame, value: str, x: str, colour: str, *, config: Config = DEFAULT) -> DataFrame:
     """Box figures per (x, colour): first eight x-values, first six colours."""
     cells = _triples(df, value, x=x, colour=colour)
-    xs, cs = _first_labels(cells, "x", GROUPED_BOX_X), _first_labels(cells, "colour", GROUPED_BOX_COLOUR)
+    groups = _joint_counts(cells, "x", "colour")
+    xs, cs = _first_labels(groups, "x", GROUPED_BOX_X), _first_labels(groups, "colour", GROUPED_BOX_COLOUR)
     rows = cells.where(F.col("x").isin(xs) & F.col("colour").isin(cs) & F.col("y").isNotNull())
     return _boxes(rows, ["x", "colour"], config)
 
@@ -247,10 +253,9 @@ def group_mean(df: DataFrame, value: str, category: str) -> DataFrame:
 def contingency(df: DataFrame, a: str, b: str, *, include_null: bool = False) -> DataFrame:
     """``a, b, count`` for the first thirty values each; zero cells kept."""
     pairs = _pairs(_triples(df, None, a=a, b=b), include_null)
-    las, lbs = _first_labels(pairs, "a", CONTINGENCY_LABELS), _first_labels(pairs, "b", CONTINGENCY_LABELS)
-    counts = (
-        pairs.where(F.col("a").isin(las) & F.col("b").isin(lbs))
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("count")))
+    joint = _joint_counts(pairs, "a", "b")
+    las, lbs = _first_labels(joint, "a", CONTINGENCY_LABELS), _first_labels(joint, "b", CONTINGENCY_LABELS)
+    counts = joint.where(F.col("a").isin(las) & F.col("b").isin(lbs))
     labels = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     grid = df.sparkSession.range(1).select(F.explode(labels(las)).alias("a")).select("a", F.explode(labels(lbs)).alias("b"))
     return grid.join(F.broadcast(counts), ["a", "b"], "left").select(  # at most 900 cells
@@ -265,17 +270,15 @@ def _pairs(cells: DataFrame, include_null: bool) -> DataFrame:
 
 def facet_contingency(df: DataFrame, a: str, b: str, colour: str) -> DataFrame:
     """``colour, a, b, count``: one contingency for each of the first nine colours with two rows or more."""
-    cells = _triples(df, None, a=a, b=b, colour=colour)
-    cells = cells.where(F.col("colour").isin(_first_labels(cells, "colour", FACETS)))
-    large = [r["colour"] for r in cells.groupBy("colour").count().where("count >= 2").collect()]  # at most nine
-    counts = (
-        cells.where(F.col("colour").isin(large) & F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("colour", "a", "b").agg(F.count(F.lit(1)).alias("count")))
+    joint = _joint_counts(_triples(df, None, a=a, b=b, colour=colour), "colour", "a", "b")
+    shown = joint.where(F.col("colour").isin(_first_labels(joint, "colour", FACETS)))
+    large = shown.groupBy("colour").agg(F.sum("count").alias("rows")).where("rows >= 2").collect()  # at most nine
+    counts = shown.where(F.col("colour").isin([r["colour"] for r in large]) & F.col("a").isNotNull() & F.col("b").isNotNull())
 
     def labels(side):
         w = Window.partitionBy("colour").orderBy(side)
-        shown = counts.select("colour", side).distinct().withColumn("_r", F.row_number().over(w))
-        return shown.where(F.col("_r") <= CONTINGENCY_LABELS).groupBy("colour").agg(
+        numbered = counts.select("colour", side).distinct().withColumn("_r", F.row_number().over(w))
+        return numbered.where(F.col("_r") <= CONTINGENCY_LABELS).groupBy("colour").agg(
             F.collect_list(side).alias(f"{side}s"))  # at most thirty labels
 
     grid = (
@@ -288,10 +291,9 @@ def facet_contingency(df: DataFrame, a: str, b: str, colour: str) -> DataFrame:
 def stacked_bar(df: DataFrame, a: str, b: str, colour: str) -> DataFrame:
     """``a, colour, b, count, total, start, end``: stacked segments of b per (a, colour)."""
     cells = _triples(df, None, a=a, b=b, colour=colour)
-    las, lbs, lcs = (_first_labels(cells, c, k) for c, k in (("a", STACKED_A), ("b", STACKED_B), ("colour", STACKED_C)))
-    counts = (
-        cells.where(F.col("a").isin(las) & F.col("b").isin(lbs) & F.col("colour").isin(lcs))
-        .groupBy("a", "colour", "b").agg(F.count(F.lit(1)).alias("count")))
+    joint = _joint_counts(cells, "a", "colour", "b")
+    las, lbs, lcs = (_first_labels(joint, c, k) for c, k in (("a", STACKED_A), ("b", STACKED_B), ("colour", STACKED_C)))
+    counts = joint.where(F.col("a").isin(las) & F.col("b").isin(lbs) & F.col("colour").isin(lcs))
     bar = Window.partitionBy("a", "colour")
     end = F.sum("count").over(bar.orderBy("b"))
     return counts.select("a", "colour", "b", "count", F.sum("count").over(bar).alias("total"),
@@ -439,21 +441,30 @@ def time_coverage(df: DataFrame, time: str, *, unit: str = "month") -> DataFrame
 
 # ---- choosing --------------------------------------------------------------
 
+def chart_for(ta: str, tb: str, coloured: bool = False) -> str:
+    """The chart two effective types call for."""
+    kinds = {"category" if t in CATEGORY else t for t in (ta, tb)}
+    if kinds == {"numeric"}:
+        return "scatter"
+    if kinds == {"numeric", "category"}:
+        return "grouped_box" if coloured else "group_box"
+    if kinds == {"category"}:
+        return "stacked_bar" if coloured else "contingency"
+    return "time_series" if kinds == {"numeric", "datetime"} else "unsupported"
+
+
 def relationship(df: DataFrame, a: str, b: str, types: Mapping[str, str], *, colour: str | None = None,
                  sample: int | None = None, config: Config = DEFAULT) -> tuple[str, DataFrame | None]:
     """The chart two columns call for by their effective types, and its numbers."""
-    ta, tb = types[a], types[b]
     tint = colour if colour is not None and types.get(colour) in CATEGORY else None
-    if ta == tb == "numeric":
-        return "scatter", scatter(df, a, b, colour=tint, sample=sample, config=config)
-    if {ta, tb} & {"numeric"} and {ta, tb} & set(CATEGORY):
-        number, group = (a, b) if ta == "numeric" else (b, a)
-        if tint:
-            return "grouped_box", grouped_box(df, number, group, tint, config=config)
-        return "group_box", group_box(df, number, group, config=config)
-    if ta in CATEGORY and tb in CATEGORY:
-        return ("stacked_bar", stacked_bar(df, a, b, tint)) if tint else ("contingency", contingency(df, a, b))
-    if {ta, tb} == {"datetime", "numeric"}:
-        time, number = (a, b) if ta == "datetime" else (b, a)
-        return "time_series", time_series(df, time, number, sample=sample, config=config)
-    return "unsupported", None
+    kind = chart_for(types[a], types[b], tint is not None)
+    number, other = (a, b) if types[a] == "numeric" else (b, a)
+    makers = {
+        "scatter": lambda: scatter(df, a, b, colour=tint, sample=sample, config=config),
+        "group_box": lambda: group_box(df, number, other, config=config),
+        "grouped_box": lambda: grouped_box(df, number, other, tint, config=config),
+        "contingency": lambda: contingency(df, a, b),
+        "stacked_bar": lambda: stacked_bar(df, a, b, tint),
+        "time_series": lambda: time_series(df, other, number, sample=sample, config=config),
+    }
+    return kind, makers[kind]() if kind in makers else None

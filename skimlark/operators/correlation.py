@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skimlark.config import DEFAULT, Config
 from skimlark.functions.exprs import finite
 from skimlark.functions.order import materialize, running_total
-from skimlark.functions.values import chunks, melt
+from skimlark.functions.values import melt
 from skimlark.operators.types import coerce_override
 
 Pair = tuple[str, str]
@@ -29,11 +29,10 @@ def usable_numeric(df: DataFrame, types: Mapping[str, str], usable: Sequence[str
     names = [c for c, t in types.items() if t == "numeric"]
     if not names:
         return df.sparkSession.createDataFrame([], "position int, column string, finite_count long, usable boolean")
-    aggs = []
-    for i, c in enumerate(names):
-        v = finite(df, c)
-        aggs += [F.count(v).alias(f"{i}_finite_count"), (F.min(v) < F.max(v)).alias(f"{i}_spread")]
-    table = melt(df.agg(*aggs), names, ["finite_count", "spread"])
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), finite(df, c).alias("v")) for i, c in enumerate(names)])))
+    table = cells.groupBy("position", "column").agg(
+        F.count("v").alias("finite_count"), (F.min("v") < F.max("v")).alias("spread"))
     allowed = F.col("column").isin(list(usable)) if usable is not None else F.lit(True)
     fit = F.coalesce((F.col("finite_count") >= 3) & F.col("spread") & allowed, F.lit(False))
     return table.select("position", "column", "finite_count", fit.alias("usable"))
@@ -163,17 +162,15 @@ def _masks(base: DataFrame, features: Sequence[str], pairs: Sequence[Pair]) -> t
     at = {c: i for i, c in enumerate(features)}
     single = base.agg(F.count(F.lit(1)).alias("rows"), *[F.count(f"f{i}").alias(f"f{i}") for i in at.values()]).first()
     rows, n = single["rows"], {c: single[f"f{i}"] for c, i in at.items()}
-    partial = [(a, b) for a, b in pairs if n[a] < rows and n[b] < rows]
+    partial = sorted({c for p in pairs if n[p[0]] < rows and n[p[1]] < rows for c in p})
     both = {}
-    for part in chunks(partial, 500):
-        got = base.agg(*[
-            F.count_if(F.col(f"f{at[a]}").isNotNull() & F.col(f"f{at[b]}").isNotNull()).alias(f"p{k}")
-            for k, (a, b) in enumerate(part)]).first()
-        both.update({p: got[f"p{k}"] for k, p in enumerate(part)})
+    if partial:
+        sums = pair_products(base, [f"f{at[c]}" for c in partial]).where("i < j").select("i", "j", "n").collect()  # names only
+        for r in sums:
+            both[partial[r["i"]], partial[r["j"]]] = both[partial[r["j"]], partial[r["i"]]] = int(r["n"])
     stand_in: dict[str, str] = {}
     for c in features:
-        twin = next((o for o in stand_in.values() if n[o] == n[c] and
-                     both.get((o, c), both.get((c, o), -1)) == n[c]), c)
+        twin = next((o for o in stand_in.values() if n[o] == n[c] == both.get((o, c), -1)), c)
         stand_in[c] = twin
     masks, shared = {}, {}
     for a, b in pairs:

@@ -12,7 +12,7 @@ from skimlark.config import DEFAULT, Config
 from skimlark.functions.exprs import (
     FLOATING, INTEGRAL, NESTED, TEMPORAL, col, dtype_of, finite, is_missing, iso_from_micros, micros, parse_number, present)
 from skimlark.functions.order import exact_quantiles, previous_value, running_total
-from skimlark.functions.values import chunks, melt, one_row, top_values, value_counts
+from skimlark.functions.values import chunks, one_row, top_values, value_counts
 
 NUMERIC_FIELDS = [
     "count", "missing_count", "missing_rate", "finite_count", "positive_infinity_count", "negative_infinity_count",
@@ -121,23 +121,22 @@ def categorical_profile(df: DataFrame, columns: Sequence[str], *, top_k: int | N
     """
     columns = list(columns)
     k = top_k or config.top_k_categories
-    counted = df.agg(*[F.count(present(df, c)).alias(f"{i}_count") for i, c in enumerate(columns)],
-                     F.count(F.lit(1)).alias("rows"))
-    wide = counted.withColumns({f"{i}_rows": F.col("rows") for i in range(len(columns))})
-    base = melt(wide, columns, ["count", "rows"])
+    rows = F.lit(df.count())
+    names = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("position", "column"))
     counts = value_counts(df, columns)
-    unique = counts.groupBy("position").agg(F.count(F.lit(1)).alias("unique_count"))
+    # both readers need the counts, so that they can share one shuffle
+    unique = counts.groupBy("position").agg(F.count(F.lit(1)).alias("unique_count"), F.sum("count").alias("count"))
     tops = top_values(df, counts, columns, k).groupBy("position").agg(
         F.array_sort(F.collect_list(F.struct("rank", "value", F.col("count").alias("n")))).alias("_top"))  # <= k each
+    base = names.join(F.broadcast(unique), "position", "left").fillna(0, ["count", "unique_count"])
     n = F.col("count")
     share = lambda c: F.try_divide(c.cast("double"), n)
     first = F.get("_top", F.lit(0))
     return (
-        base.join(F.broadcast(unique), "position", "left").join(F.broadcast(tops), "position", "left")
+        base.join(F.broadcast(tops), "position", "left")
         .select(
-            "column", "count", (F.col("rows") - n).alias("missing_count"),
-            F.try_divide((F.col("rows") - n).cast("double"), F.col("rows")).alias("missing_rate"),
-            F.coalesce("unique_count", F.lit(0)).cast("long").alias("unique_count"),
+            "column", "count", (rows - n).alias("missing_count"),
+            F.try_divide((rows - n).cast("double"), rows).alias("missing_rate"), "unique_count",
             F.coalesce(share(F.col("unique_count")), F.lit(0.0)).alias("unique_ratio"),
             first["value"].alias("top_value"), F.coalesce(first["n"], F.lit(0)).cast("long").alias("top_count"),
             share(first["n"]).alias("top_share"),
@@ -155,11 +154,13 @@ def datetime_profile(df: DataFrame, columns: Sequence[str], *, order_by: Sequenc
     """
     tables = []
     for c in columns:
-        moments = df.select(micros(df, c).alias("t"))
-        span = moments.agg(F.count(F.lit(1)).alias("rows"), F.count("t").alias("count"),
-                           F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+        raw = df.select(col(c).alias("raw"))
+        span = raw.agg(F.count(F.lit(1)).alias("rows"), F.count("raw").alias("count"), F.min("raw").alias("lo"),
+                       F.max("raw").alias("hi"))
+        span = span.withColumns({e: micros(span, e) for e in ("lo", "hi")}).first()
         rows, n = span["rows"], span["count"]
-        distinct = moments.where("t IS NOT NULL").groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+        distinct = raw.where("raw IS NOT NULL").groupBy("raw").agg(F.count(F.lit(1)).alias("c"))
+        distinct = distinct.select(micros(distinct, "raw").alias("t"), "c")
         steps = previous_value(distinct.withColumn("_one", F.lit(0)), ["_one"], ["t"], "t", rows, config)
         # n sorted values have n - 1 gaps: repeats give zeros, distinct neighbours give steps
         gaps = (
@@ -196,7 +197,7 @@ def _in_order(df, column, order_by, rows, config):
         return df.sparkSession.range(1).select(F.lit(None).cast("boolean").alias("monotonic_increasing"))
     keys = [f"_o{i}" for i in range(len(order_by))]
     spans = (
-        df.select(micros(df, column).alias("_t"), *[col(o).alias(k) for o, k in zip(order_by, keys)])
+        df.select(col(column).alias("_t"), *[col(o).alias(k) for o, k in zip(order_by, keys)])
         .where("_t IS NOT NULL").groupBy(*keys).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
         .withColumn("_one", F.lit(0)))
     return previous_value(spans, ["_one"], keys, "_hi", rows, config).agg(

@@ -54,16 +54,20 @@ def _cell(df: DataFrame, position: int, name: str) -> str:
     """SQL text of what the signals need of one value, the same struct for all columns but strings."""
     kind, c, dtype = kind_of(df, name), present_sql(df, name), dtype_of(df, name)
     whole, real, flag = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "false"
+    moment = "CAST(NULL AS TIMESTAMP_NTZ)"
     if kind == "boolean":
         whole, flag = f"CAST({c} AS BIGINT)", f"{c} IS NOT NULL"
     elif kind == "moment":
-        whole = micros_sql(df, name)
+        if isinstance(dtype, T.TimestampType):
+            whole = micros_sql(df, name)
+        else:
+            moment = f"CAST({c} AS TIMESTAMP_NTZ)"
     elif isinstance(dtype, INTEGRAL):
         whole, flag = f"CAST({c} AS BIGINT)", f"{c} IN (0, 1)"
     elif kind == "number":
         real = f"CAST({c} AS DOUBLE)"
     return (f"named_struct('position', {position}, 'there', {c} IS NOT NULL, 'whole', {whole}, 'real', {real}, "
-            f"'flag', {flag})")
+            f"'moment', {moment}, 'flag', {flag})")
 
 
 def _text_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -87,7 +91,7 @@ def _measure(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
             F.count(F.lit(1)).alias("n"), F.count_if("there").alias("non_null"),
             F.coalesce(F.bool_and("flag"), F.lit(False)).alias("bool_like"),
             F.count_if(F.abs("real") == float("inf")).alias("infinities"),
-            F.coalesce(F.min("whole") < F.max("whole"), F.min("real") < F.max("real")).alias("spread"))
+            F.coalesce(*[F.min(x) < F.max(x) for x in ("whole", "real", "moment")]).alias("spread"))
         found.update({others[r["position"]]: r.asDict() for r in table.collect()})  # one row per column
     if strings:
         text, size = F.col("text"), F.length("text")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skimlark.config import DEFAULT, Config
+from skimlark.functions.order import materialize
 from skimlark.functions.values import one_row
 from skimlark.operators import charts, correlation, profile, quality, sampling, types as semantic
 from skimlark.sources.sink import write_results
@@ -22,6 +23,33 @@ LIMITATIONS = [
 ]
 
 
+# Small results that other tables build on: written once, so that nothing is scanned twice for them.
+SHARED = {"dataset", "numeric_profile", "categorical_profile", "datetime_profile", "pearson_matrix", "spearman_matrix"}
+
+
+class Tables(Mapping):
+    """Result tables by name, each planned when first asked for."""
+
+    def __init__(self) -> None:
+        self._plans: dict[str, Callable[[], DataFrame]] = {}
+        self._made: dict[str, DataFrame] = {}
+
+    def plan(self, name: str, make: Callable[[], DataFrame]) -> None:
+        self._plans[name] = make
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            made = self._plans[name]()
+            self._made[name] = materialize(made) if name in SHARED else made
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._plans)
+
+    def __len__(self) -> int:
+        return len(self._plans)
+
+
 @dataclass
 class Analysis:
     """Result tables by name, and the choices made on the way."""
@@ -31,7 +59,7 @@ class Analysis:
     features: list[str]
     default_pair: tuple[str, str] | None
     time_axis: str | None
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: Tables
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -91,8 +119,8 @@ def analyze(df: DataFrame, *, overrides: Mapping[str, str] | None = None, pairs:
             sample_key: Sequence[str] | None = None, config: Config = DEFAULT) -> Analysis:
     """Infer, profile, flag, select, chart, correlate; every table over all rows.
 
-    Types, usable columns and features are small and decided on the driver; the
-    result tables stay lazy until written or collected.
+    Types, usable columns and features are small and decided on the driver; each
+    result table is planned when it is first asked for.
     """
     if threshold is not None and not 0 <= threshold <= 1:
         raise ValueError("the correlation threshold lies between 0 and 1")
@@ -117,43 +145,39 @@ def analyze(df: DataFrame, *, overrides: Mapping[str, str] | None = None, pairs:
     features, truncated = correlation.bounded_features(usable_features, config)
     pair = default_pair(kept, types, pairs)
 
-    dataset = profile.dataset_profile(df)
-    summary = quality.quality_summary(small, config)
-    warnings = warnings_table(dataset, summary, truncated, config)
-    tables = {
-        "schema": small.select("ordinal", "column", "semantic_type", "confidence", "reason", "effective_type"),
-        "type_counts": semantic.effective_type_counts(small),
-        "dataset": dataset,
-        "quality_flags": quality.quality_flags(small, config),
-        "quality_summary": summary,
-        "usable_columns": usable_table,
-        "missingness": quality.missingness_table(small, config),
-        "warnings": warnings,
-        "findings": findings_table(dataset, summary, warnings),
-        "sample_facts": sampling.sample_facts(data, config=config),
-        "series": sampling.aligned_series(
-            data, types, [c for c in kept if c in types], sample=config.plot_sample_size, key=sample_key,
-            order_by=order_by, config=config),
-    }
+    t = Tables()
+    charted = [c for c in kept if c in types]
+    t.plan("schema", lambda: small.select("ordinal", "column", "semantic_type", "confidence", "reason", "effective_type"))
+    t.plan("type_counts", lambda: semantic.effective_type_counts(small))
+    t.plan("dataset", lambda: profile.dataset_profile(df))
+    t.plan("quality_flags", lambda: quality.quality_flags(small, config))
+    t.plan("quality_summary", lambda: quality.quality_summary(small, config))
+    t.plan("usable_columns", lambda: usable_table)
+    t.plan("missingness", lambda: quality.missingness_table(small, config))
+    t.plan("warnings", lambda: warnings_table(t["dataset"], t["quality_summary"], truncated, config))
+    t.plan("findings", lambda: findings_table(t["dataset"], t["quality_summary"], t["warnings"]))
+    t.plan("sample_facts", lambda: sampling.sample_facts(data, config=config))
+    t.plan("series", lambda: sampling.aligned_series(
+        data, types, charted, sample=config.plot_sample_size, key=sample_key, order_by=order_by, config=config))
     if numeric:
-        tables["numeric_profile"] = profile.numeric_profile(data, numeric, config=config)
+        t.plan("numeric_profile", lambda: profile.numeric_profile(data, numeric, config=config))
     if plain:
-        tables["categorical_profile"] = profile.categorical_profile(data, plain, config=config)
-        tables["category_counts"] = charts.category_counts(data, plain, config=config)
-        tables["full_counts"] = charts.full_counts(data, plain, config=config)
+        t.plan("categorical_profile", lambda: profile.categorical_profile(data, plain, config=config))
+        t.plan("category_counts", lambda: charts.category_counts(data, plain, config=config))
+        t.plan("full_counts", lambda: charts.full_counts(data, plain, config=config))
     if dated:
-        tables["datetime_profile"] = profile.datetime_profile(data, dated, order_by=order_by, config=config)
+        t.plan("datetime_profile", lambda: profile.datetime_profile(data, dated, order_by=order_by, config=config))
     if numeric or plain or dated:
-        tables["column_health"] = quality.column_health(
-            small, tables.get("numeric_profile"), tables.get("categorical_profile"), tables.get("datetime_profile"), config)
+        t.plan("column_health", lambda: quality.column_health(
+            small, *[t[n] if n in t else None for n in ("numeric_profile", "categorical_profile", "datetime_profile")], config))
     if features:
         for m in correlation.METHODS:
-            tables[f"{m}_matrix"] = correlation.correlation_matrix(data, features, m, config=config)
-        tables["random_subset"] = correlation.random_subset_corr(data, usable_features, method, config=config)
-        edges = correlation.network_edges(tables[f"{method}_matrix"], features, threshold, config=config)
-        tables["network_edges"], tables["network_nodes"] = edges, correlation.network_nodes(edges, features)
+            t.plan(f"{m}_matrix", lambda m=m: correlation.correlation_matrix(data, features, m, config=config))
+        t.plan("random_subset", lambda: correlation.random_subset_corr(data, usable_features, method, config=config))
+        t.plan("network_edges", lambda: correlation.network_edges(t[f"{method}_matrix"], features, threshold, config=config))
+        t.plan("network_nodes", lambda: correlation.network_nodes(t["network_edges"], features))
     if pair is not None:
-        kind, chart = charts.relationship(data, *pair, types, sample=config.plot_sample_size, config=config)
-        if chart is not None:
-            tables["default_chart"] = chart
-    return Analysis(types, kept, features, pair, sampling.time_axis(types), tables)
+        chart = lambda: charts.relationship(data, *pair, types, sample=config.plot_sample_size, config=config)[1]
+        if charts.chart_for(types[pair[0]], types[pair[1]]) != "unsupported":
+            t.plan("default_chart", chart)
+    return Analysis(types, kept, features, pair, sampling.time_axis(types), t)
