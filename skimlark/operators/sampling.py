@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skimlark.config import DEFAULT, Config
 from skimlark.functions.exprs import cell_text, col, finite, iso_from_micros, kind_is_moment, micros
+from skimlark.functions.order import materialize
 
 
 def sample_rows(df: DataFrame, n: int | None = None, *, seed: int | None = None, key: Sequence[str] | None = None,
@@ -35,9 +36,10 @@ def sample_rows(df: DataFrame, n: int | None = None, *, seed: int | None = None,
     drawn = df.withColumn("_draw", draw)
     ties = [col(c) for c in key or []]
     limit = (n + 10 * math.sqrt(n) + 10) / total
-    near = drawn.where(F.col("_draw") < limit)
-    if limit < 1 and near.count() >= n:
-        drawn = near
+    if limit < 1:
+        near = materialize(drawn.where(F.col("_draw") < limit))  # about n rows
+        if near.count() >= n:
+            drawn = near
     out = drawn.orderBy("_draw", *ties).limit(n).drop("_draw")
     return out.orderBy(*order_by) if order_by else out
 
