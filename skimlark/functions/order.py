@@ -124,11 +124,11 @@ def exact_quantiles(
     Returns ``by..., column, n, q`` with ``q`` an array in the order of ``probs``.
     Nulls are skipped; ``by`` columns must not be null.
 
-    Few rows: distinct values with counts, ordered by one window per column and
-    group. Many rows: mergeable sketches give a narrow value bracket around
-    every target rank, a second pass counts what lies below, and only the rows
-    inside the brackets are shuffled and ordered. A bracket that misses its
-    target is opened to the whole range, so the answer is exact in any case.
+    Few rows: ``percentile`` over distinct values with their counts. Many rows:
+    mergeable sketches give a narrow value bracket around every target rank, a
+    second pass counts what lies below, and only the rows inside the brackets
+    are shuffled and ordered. A bracket that misses its target is opened to the
+    whole range, so the answer is exact in any case.
     """
     by = list(by)
     names = list(values)
@@ -136,31 +136,20 @@ def exact_quantiles(
         rows = df.count()
     base = df.select(*by, *[values[c].cast("double").alias(f"_v{i}") for i, c in enumerate(names)])
     if rows <= config.single_task_rows:
-        picked = _ordered_quantiles(base, len(names), probs, by, rows, config)
+        picked = _counted_quantiles(base, len(names), probs, by)
     else:
         picked = _bracketed_quantiles(base, len(names), probs, by, config)
     labels = F.array(*[F.lit(c) for c in names])
     return picked.select(*by, F.get(labels, F.col("_k")).alias("column"), "n", "q")
 
 
-def _ordered_quantiles(base, width, probs, by, rows, config):
+def _counted_quantiles(base, width, probs, by):
     cells = base.select(*by, F.inline(F.array(*[
         F.struct(F.lit(i).alias("_k"), F.col(f"_v{i}").alias("_v")) for i in range(width)]))).where("_v IS NOT NULL")
     counts = cells.groupBy(*by, "_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    keys = [*by, "_k"]
-    upto = F.col("before") + F.col("_c")
-    ranked = running_total(counts, keys, ["_v"], "_c", rows, config)
-    ranked = ranked.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    n = F.col("_n")
-    low = [F.min(F.when(upto > F.floor(F.lit(float(p)) * (n - 1)), F.col("_v"))) for p in probs]
-    high = [F.min(F.when(upto > F.ceil(F.lit(float(p)) * (n - 1)), F.col("_v"))) for p in probs]
-    picks = ranked.groupBy(*keys).agg(
-        F.max("_n").alias("n"),
-        *[c.alias(f"_l{j}") for j, c in enumerate(low)],
-        *[c.alias(f"_h{j}") for j, c in enumerate(high)])
-    m = range(len(probs))
-    q = _interpolate(probs, [F.col(f"_l{j}") for j in m], [F.col(f"_h{j}") for j in m], F.col("n"))
-    return picks.select(*keys, "n", q.alias("q"))
+    # bounded: a key has no more than ``rows`` distinct values
+    return counts.groupBy(*by, "_k").agg(
+        F.sum("_c").alias("n"), F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_c")).alias("q"))
 
 
 def _attach(base: DataFrame, table: DataFrame, by: list[str], config: Config) -> DataFrame:
