@@ -110,14 +110,15 @@ def random_subset_corr(spark, sf):
 
 @query("corr_network", oracle=f"""
 WITH e AS (SELECT a, b, r FROM ({union_sql([pearson_sql(MIXED_SQL, a, b) for a, b in combinations(MIXED, 2)])}) WHERE abs(r) >= 0.7)
-SELECT a, b, r, CAST(NULL AS BIGINT) AS degree FROM e
-UNION ALL SELECT c, NULL, NULL, (SELECT count(*) FROM e WHERE a = c OR b = c) FROM (VALUES {', '.join(f"('{c}')" for c in MIXED)}) AS t(c)""")
+SELECT 'edge' AS part, a, b, r, CAST(0 AS BIGINT) AS degree FROM e
+UNION ALL SELECT 'node', c, NULL, NULL, (SELECT count(*) FROM e WHERE a = c OR b = c) FROM (VALUES {', '.join(f"('{c}')" for c in MIXED)}) AS t(c)""")
 def corr_network(spark, sf):
     features = list(MIXED)
     edges = sk.network_edges(sk.pearson_matrix(mixed(spark, sf), features), features)
-    nodes = sk.network_nodes(edges, features).select(F.col("feature").alias("a"), F.lit(None).cast("string").alias("b"),
+    nodes = sk.network_nodes(edges, features).select(F.lit("node").alias("part"), F.col("feature").alias("a"), F.lit(None).cast("string").alias("b"),
                                                      F.lit(None).cast("double").alias("r"), "degree")
-    return finish(edges.withColumn("degree", F.lit(None).cast("long")).unionByName(nodes), r6=["r"])
+    edges = edges.withColumns({"part": F.lit("edge"), "degree": F.lit(0).cast("long")})
+    return finish(edges.unionByName(nodes), r6=["r"])
 
 
 @query("matrix_completion", oracle=f"""

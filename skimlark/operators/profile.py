@@ -41,11 +41,14 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], *, config: Config = D
     The quartiles are found first. Then one aggregate over (column, value) cells,
     partial on every task, does the rest: power sums around the median, which is
     never more than one deviation from the mean, and values beyond the fences.
-    Grouping by column keeps the generated code small for any number of columns.
+    Grouping by column keeps the aggregate's generated code the same for any number
+    of columns; very wide tables are read some columns at a time.
     """
-    columns = list(columns)
-    cuts = quartiles(df, columns, config)
+    cuts = quartiles(df, list(columns), config)
+    return _stack([_power_sums(df, part, cuts) for part in chunks(list(columns), config.columns_per_pass)])
+
 
+def _power_sums(df: DataFrame, columns: Sequence[str], cuts: dict[str, tuple[float, float, float]]) -> DataFrame:
     def per_column(pick) -> Column:
         """A number per column, chosen by the cell's position."""
         numbers = [pick(cuts[c]) if c in cuts else None for c in columns]

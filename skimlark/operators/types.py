@@ -14,7 +14,7 @@ from skimlark.functions.exprs import (
     BOOLEAN_WORDS, FLOATING, INFINITY_WORDS, INTEGRAL, NESTED, NUMERIC, TEMPORAL, TIME_FORMATS, ZERO_PADDED_PATTERN,
     col, dtype_of, finite, is_missing, micros_sql, parse_any_time, parse_number,
     parse_time, present, present_sql, quoted, stripped)
-from skimlark.functions.values import distinct_counts, melt
+from skimlark.functions.values import chunks, distinct_counts, melt
 
 # Name patterns and the names of the semantic types.
 ID_NAME = re.compile(r"(^|[_\s-])(id|uuid|guid|serial|code|编号|序号|编码)($|[_\s-])")
@@ -75,12 +75,20 @@ def _text_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.selectExpr(f"inline(array({', '.join(cells)}))")
 
 
-def _measure(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
-    """Signals of all columns: an aggregate for strings, one for the rest, one for likely dates.
+def _measure(df: DataFrame, columns: Sequence[str], config: Config = DEFAULT) -> dict[str, dict]:
+    """Signals of all columns; very wide tables are read some columns at a time."""
+    found: dict[str, dict] = {}
+    for part in chunks(list(columns), config.columns_per_pass):
+        found.update(_measure_part(df, part))
+    return found
+
+
+def _measure_part(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """An aggregate for strings, one for the rest, one for likely dates.
 
-    Grouping cells by column keeps the plan the same for two columns or two
-    thousand, and each task hands on one row per column. The many time formats
-    are only tried on columns where some text begins like a moment.
+    Grouping cells by column keeps the generated code of an aggregate the same
+    for any columns, and each task hands on one row per column. The many time
+    formats are only tried on columns where some text begins like a moment.
     """
     strings = [c for c in columns if kind_of(df, c) == "string"]
     others = [c for c in columns if c not in strings]
@@ -137,7 +145,7 @@ def type_signals(df: DataFrame, columns: Sequence[str] | None = None, *, all_dis
     columns = list(columns or df.columns)
     plain = [c for c in columns if kind_of(df, c) != "nested"]
     counted = plain if all_distinct else [c for c in plain if _counted(df, c)]
-    measured = _measure(df, columns)
+    measured = _measure(df, columns, config)
     distinct = {r["column"]: r["u"] for r in distinct_counts(df, counted).collect()} if counted else {}
     rows = []
     for i, c in enumerate(columns):
