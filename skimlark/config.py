@@ -44,6 +44,8 @@ class Config:
     single_task_rows: int = 1_000_000
     """Most rows one window partition may order by itself; more are range-partitioned,
     and exact quantiles over more rows are bracketed by sketches first."""
+    range_parts: int = 20_000
+    """Most range parts of one ordering; a part is sorted with spilling, so it may grow beyond them."""
     broadcast_rows: int = 100_000
     """Most rows of a lookup table that is sent to every executor."""
     sketch_k: int = 4000

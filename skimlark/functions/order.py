@@ -40,7 +40,7 @@ def range_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows:
     The bounds come from a sample, so the numbers are only the same for every
     reader once they are written: hence the checkpoint.
     """
-    parts = max(2, math.ceil(rows / config.single_task_rows))
+    parts = min(config.range_parts, max(2, math.ceil(rows / config.single_task_rows)))
     ranged = df.repartitionByRange(parts, *keys, *order)
     return materialize(ranged.withColumn("_part", F.spark_partition_id()))
 

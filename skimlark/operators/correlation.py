@@ -275,7 +275,7 @@ def _rank_values(values: DataFrame, middles: Sequence[float], sizes: Sequence[in
     tasks = range(len(middles))
     counts = _cells_of(values, tasks).groupBy("task", "v").agg(F.count(F.lit(1)).alias("c"))
     ranks = materialize(
-        running_total(counts, ["task"], ["v"], "c", rows, config)
+        running_total(counts, ["task"], ["v"], "c", rows * len(middles), config)
         .select("task", "v", "c", (F.col("before") + (F.col("c") + 1) / 2 - _middle(middles)).alias("d")))
     distinct = {r["task"]: r["count"] for r in ranks.groupBy("task").count().collect()}  # one row per task
     small, budget = [], config.broadcast_rows
