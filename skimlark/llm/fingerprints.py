@@ -22,6 +22,7 @@ from skimlark.llm import frames
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353 % PRIME)
+_BACK = {b: pow(b, -1, PRIME) for b in BASES}
 SPAN = 16
 KEPT = 32
 U = np.uint64
@@ -30,10 +31,12 @@ _tables: dict[int, np.ndarray] = {}
 
 
 def _fold(x: np.ndarray) -> np.ndarray:
-    """Residue of numbers below 2**62; at most PRIME itself stands for zero."""
-    x = (x & _P) + (x >> U(31))
-    x = (x & _P) + (x >> U(31))
-    return np.where(x >= _P, x - _P, x)
+    """Residues of fresh numbers below 2**62, taken in place."""
+    for _ in range(2):
+        high = x >> U(31)
+        x &= _P
+        x += high
+    return np.subtract(x, _P, out=x, where=x >= _P)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -61,12 +64,15 @@ class Prefixes:
         """Hashes of the spans of one length, comparable between texts and places."""
         out = []
         for base, sums in zip(BASES[:bases], self.sums, strict=False):
-            back = _powers(pow(base, -1, PRIME), self.n + 1)
+            back = _powers(_BACK[base], self.n + 1)
             out.append(_fold(_fold(sums[starts + length] + _P - sums[starts]) * back[starts]))
         return out
 
     def span(self, start: int, length: int) -> tuple[int, ...]:
-        return tuple(int(x[0]) for x in self.spans(np.array([start]), length))
+        out = []
+        for base, sums in zip(BASES, self.sums, strict=True):
+            out.append((int(sums[start + length]) - int(sums[start])) * int(_powers(_BACK[base], self.n + 1)[start]) % PRIME)
+        return tuple(out)
 
     def equal(self, start: int, other: Prefixes, at: int, length: int) -> bool:
         return self.span(start, length) == other.span(at, length)
@@ -111,8 +117,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of common values among the smallest of both fingerprints."""
     if not len(a) and not len(b):
         return 1.0
-    joint = np.union1d(a, b)[:KEPT]
-    return float(np.isin(joint, a).__and__(np.isin(joint, b)).mean())
+    mine, other = set(a.tolist()), set(b.tolist())
+    joint = sorted(mine | other)[:KEPT]
+    return sum(x in mine and x in other for x in joint) / len(joint)
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

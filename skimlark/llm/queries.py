@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skimlark.llm import bpe, chat, fingerprints, jaccard, urls, wrappers
+from skimlark.llm import bpe, chat, decontaminate, fingerprints, jaccard, passages, urls, wrappers
 from skimlark.llm.frames import reader
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,24 @@ links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y ON x.g =
   JOIN sizes q ON q.doc_id = y.doc_id GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT s.doc_id, s.n AS n_shingles, min(r.b) AS component_id FROM sizes s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.n"""
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(reader(spark, sf_dir, "documents"), reader(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op1_decontamination"] = f"""
+WITH {SHINGLES_SQL},
+item_words AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+item_grams AS (SELECT DISTINCT item_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+4], ' ') END AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+sizes AS (SELECT item_id, count(*) AS n FROM item_grams GROUP BY item_id)
+SELECT d.doc_id, i.item_id, s.n AS n_item, count(*) AS n_shared, count(*) / s.n AS containment
+FROM grams d JOIN item_grams i ON d.g = i.g JOIN sizes s ON s.item_id = i.item_id GROUP BY d.doc_id, i.item_id, s.n HAVING 100 * count(*) >= 75 * s.n"""
+
+
+@query
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(reader(spark, sf_dir, "documents"))
