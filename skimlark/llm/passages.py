@@ -179,24 +179,38 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
 def shared_spans(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     """Passages ``(first, last)`` in shingles of y, then of x, that hold an anchor and are similar enough, of 50 words at least."""
     out: list[tuple[int, int, int, int]] = []
-    common = np.isin(y, x)
-    for cx, cy in anchors:
-        if any(a <= cy <= b for a, b, _, _ in out):
-            continue
-        at = np.flatnonzero(common)
+    at = np.flatnonzero(np.isin(y, x))
+    if not len(at):
+        return out
+    parted = {gap: np.flatnonzero(np.diff(at) > gap) for gap in (GAP, 6, 2, 1)}
+
+    def covered(place: int) -> bool:
+        return any(a <= place <= b for a, b, _, _ in out)
+
+    def tried(cx: int, cy: int) -> None:
         here = int(np.searchsorted(at, cy))
         if here >= len(at) or at[here] != cy:
-            continue
-        for gap in (GAP, 6, 2, 1):
-            breaks = np.flatnonzero(np.diff(at) > gap)
-            low = at[breaks[breaks < here][-1] + 1] if (breaks < here).any() else at[0]
-            high = at[breaks[breaks >= here][0]] if (breaks >= here).any() else at[-1]
+            return
+        for breaks in parted.values():
+            k = int(np.searchsorted(breaks, here))
+            low, high = at[breaks[k - 1] + 1] if k else at[0], at[breaks[k]] if k < len(breaks) else at[-1]
             if high - low + 1 < WIDTH:
-                break
+                return
             span = _partner(x, y, cx, cy, int(low), int(high))
             if span is not None:
                 out.append((int(low), int(high), *span))
-                break
+                return
+
+    for cx, cy in anchors:
+        if not covered(cy):
+            tried(cx, cy)
+    for breaks in (parted[GAP], parted[1]):  # the same passage may stand in y again, where no anchor is left
+        for begin, end in zip(np.append(0, breaks + 1), np.append(breaks, len(at) - 1), strict=True):
+            middle = int(at[(begin + end) // 2])
+            if at[end] - at[begin] + 1 >= WIDTH and not covered(middle):
+                for cx in np.flatnonzero(x == y[middle])[:4]:
+                    if not covered(middle):
+                        tried(int(cx), middle)
     return out
 
 
