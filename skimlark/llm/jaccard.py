@@ -209,7 +209,7 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame
             keep = []
             for x, y in zip(pdf["x"], pdf["y"], strict=True):
                 x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pdf.loc[keep, ["a", "b"]]
 

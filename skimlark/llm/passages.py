@@ -8,8 +8,8 @@ both minima. Passages that agree in three of four functions agree in one signatu
 candidates; their shared passages are verified by exact Jaccard similarity (0.75) of the shingles of both passages.
 
 Copies of a whole document (equal word sequences) are found first; only the one of smallest doc_id is searched. Signatures
-shared by up to ``LIST`` documents give all pairs; for more, each document meets the first one and its neighbour, and those that
-do not agree with the first meet all others.
+shared by up to ``LIST`` documents give all pairs; for more, each document meets the first one, and those whose anchor then lies in
+no passage found meet all others before them.
 
 ``repeated`` returns one row per passage that a document with a smaller doc_id has, overlapping ones merged. Null, empty and
 short texts have no passage. Rows with null doc_id are not searched. Rows that share a doc_id are one document with several
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skimlark.llm import frames, text
@@ -38,7 +39,6 @@ GATHERED = 1_000_000
 PIECE = 8_000_000  # longer documents are taken in overlapping pieces: places have 24 bits
 SEEDS = np.random.default_rng(3).integers(1, 2**63, FUNCTIONS, dtype=np.uint64)
 _PLACE = U((1 << 24) - 1)
-SPANS = "doc_id long, source_id long, start_word long, end_word long"
 
 
 def sequence_key(words: np.ndarray) -> int:
@@ -176,10 +176,21 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(pairs, "kind int, key long, a long, b long, x int, y int")
 
 
+def _found(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values stand in the ordered ones."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
+
+
 def shared_spans(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     """Passages ``(first, last)`` in shingles of y, then of x, that hold an anchor and are similar enough, of 50 words at least."""
     out: list[tuple[int, int, int, int]] = []
-    at = np.flatnonzero(np.isin(y, x))
+    at = np.flatnonzero(_found(y, np.sort(x)))
     if not len(at):
         return out
     parted = {gap: np.flatnonzero(np.diff(at) > gap) for gap in (GAP, 6, 2, 1)}
@@ -205,9 +216,10 @@ def shared_spans(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]]) -
         if not covered(cy):
             tried(cx, cy)
     for breaks in (parted[GAP], parted[1]):  # the same passage may stand in y again, where no anchor is left
-        for begin, end in zip(np.append(0, breaks + 1), np.append(breaks, len(at) - 1), strict=True):
-            middle = int(at[(begin + end) // 2])
-            if at[end] - at[begin] + 1 >= WIDTH and not covered(middle):
+        begins, ends = np.append(0, breaks + 1), np.append(breaks, len(at) - 1)
+        for k in np.flatnonzero(at[ends] - at[begins] >= WIDTH - 1):
+            middle = int(at[(begins[k] + ends[k]) // 2])
+            if not covered(middle):
                 for cx in np.flatnonzero(x == y[middle])[:4]:
                     if not covered(middle):
                         tried(int(cx), middle)
@@ -218,16 +230,16 @@ def _partner(x: np.ndarray, y: np.ndarray, cx: int, cy: int, low: int, high: int
     """The passage of x around the anchor that fits y's passage, if their sets are similar enough."""
     slack = (high - low + 1) // 3 + 8
     begin, end = max(0, cx - (cy - low) - slack), min(len(x), cx + (high - cy) + slack + 1)
-    part = y[low : high + 1]
-    hits = np.flatnonzero(np.isin(x[begin:end], part))
+    a = _distinct(np.sort(y[low : high + 1]))
+    hits = np.flatnonzero(_found(x[begin:end], a))
     if not len(hits):
         return None
     here = int(np.searchsorted(hits, cx - begin))
     breaks = np.flatnonzero(np.diff(hits) > GAP)
     first = hits[breaks[breaks < here][-1] + 1] if (breaks < here).any() else hits[0]
     last = hits[breaks[breaks >= here][0]] if (breaks >= here).any() else hits[-1]
-    a, b = np.unique(part), np.unique(x[begin + first : begin + last + 1])
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    b = _distinct(np.sort(x[begin + first : begin + last + 1]))
+    both = int(_found(b, a).sum())
     if last - first + 1 >= WIDTH and 100 * both >= 75 * (len(a) + len(b) - both):
         return begin + int(first), begin + int(last)
     return None
@@ -258,7 +270,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source_id, start_word, end_word)``: passages that a document of smaller doc_id has; end is exclusive."""
+    """``(doc_id, source_id, start_word, end_word)``: passages that a document of smaller doc_id has, overlapping and touching ones as one; end is exclusive."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     known = copies(d)
     total = known.agg(F.sum("n_words")).first()[0] or 0
@@ -274,29 +286,20 @@ def repeated(docs: DataFrame) -> DataFrame:
     first = frames.kept(grouped(rows.where("kind = 0").select("a", "b", "x", "y").union(star)))
     spans = frames.kept(verified(singles, first))
 
-    agreed = spans.select("a", "b").distinct()
-    alone = starred.select("key", F.col("hub.doc").alias("a"), F.col("doc").alias("b"), "y").join(agreed, ["a", "b"], "left_anti").select("key", F.col("b").alias("own"), F.col("y").alias("own_y"))
-    meet = alone.join(lists, "key").where(F.col("own") != F.col("doc"))
-    second = meet.select(F.least("own", "doc").alias("a"), F.greatest("own", "doc").alias("b"), F.when(F.col("own") < F.col("doc"), F.col("own_y")).otherwise(F.col("y")).alias("x"),
-                         F.when(F.col("own") < F.col("doc"), F.col("y")).otherwise(F.col("own_y")).alias("y"))
+    seen = spans.select(F.col("b").alias("doc"), "b_first", "b_last").distinct()
+    alone = starred.join(seen, (starred["doc"] == seen["doc"]) & starred["y"].between(seen["b_first"], seen["b_last"]), "left_anti").select(
+        "key", F.col("doc").alias("b"), F.col("y").alias("y"))
+    second = alone.join(lists.select("key", F.col("doc").alias("a"), F.col("y").alias("x")), "key").where("a < b").select("a", "b", "x", "y")
     second = frames.kept(grouped(second.distinct()).join(first.select("a", "b"), ["a", "b"], "left_anti"))
     if not second.isEmpty():
         spans = spans.union(verified(singles, second))
 
     found = spans.select(F.col("b").alias("doc_id"), F.col("a").alias("source_id"), F.col("b_first").alias("start_word"), (F.col("b_last") + text.WORDS).alias("end_word"))
-    merged = found.groupBy("doc_id").applyInPandas(_merged, SPANS)
+    before = W.partitionBy("doc_id").orderBy("start_word", "end_word")
+    reached = F.max("end_word").over(before.rowsBetween(W.unboundedPreceding, -1))
+    opened = found.distinct().withColumn("opens", F.coalesce((F.col("start_word") > reached).cast("int"), F.lit(1)))
+    merged = opened.withColumn("island", F.sum("opens").over(before)).groupBy("doc_id", "island").agg(
+        F.min("source_id").alias("source_id"), F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("island")
     whole = known.where(f"doc_id <> rep and n_words >= {LEAST_WORDS}").select("doc_id", F.col("rep").alias("source_id"), F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"))
     return merged.union(whole)
 
-
-def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Overlapping and touching passages of one document as one, with its smallest source."""
-    out: list[list[int]] = []
-    for start, end, source in sorted(zip(pdf["start_word"], pdf["end_word"], pdf["source_id"], strict=True)):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-            out[-1][2] = min(out[-1][2], source)
-        else:
-            out.append([start, end, source])
-    doc = pdf["doc_id"].iloc[0]
-    return pd.DataFrame([(doc, s, a, b) for a, b, s in out], columns=["doc_id", "source_id", "start_word", "end_word"])
