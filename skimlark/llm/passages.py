@@ -8,8 +8,9 @@ both minima. Passages that agree in three of four functions agree in one signatu
 candidates; their shared passages are verified by exact Jaccard similarity (0.75) of the shingles of both passages.
 
 Copies of a whole document (equal word sequences) are found first; only the one of smallest doc_id is searched. Signatures
-shared by up to ``LIST`` documents give all pairs; for more, each document meets the first one, and those whose anchor then lies in
-no passage found meet all others before them.
+shared by up to ``LIST`` documents give all pairs; for more, each document meets the first one. Documents of such lists whose anchor then
+lies in no passage found meet all earlier ones that share ``RUNS`` runs of ``RUN`` shingles with places of theirs outside passages: a
+passage of similarity 0.75 has at most a sixth as many foreign shingles as common ones, five for each edit, so 40 common ones of 46 stand in two runs at most, hence such runs.
 
 ``repeated`` returns one row per passage that a document with a smaller doc_id has, overlapping ones merged. Null, empty and
 short texts have no passage. Rows with null doc_id are not searched. Rows that share a doc_id are one document with several
@@ -34,6 +35,8 @@ LEAST_WORDS = 50
 WIDTH = LEAST_WORDS - text.WORDS + 1
 FUNCTIONS = 4
 LIST = 24
+RUN = 17
+RUNS = 8
 GAP = 12
 GATHERED = 1_000_000
 PIECE = 8_000_000  # longer documents are taken in overlapping pieces: places have 24 bits
@@ -176,6 +179,22 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(pairs, "kind int, key long, a long, b long, x int, y int")
 
 
+def run_keys(docs: DataFrame) -> DataFrame:
+    """``(key, doc, place)`` of every run of RUN shingles, the first place of each."""
+    back = U(pow(int(SEEDS[0] | U(1)), -1, 1 << 64))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                s = text.shingles(t)
+                if len(s) >= RUN:
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * text.powers(SEEDS[0] | U(1), len(s)))])
+                    keys, place = np.unique((sums[RUN:] - sums[:-RUN]) * text.powers(back, len(s))[: len(s) - RUN + 1], return_index=True)
+                    yield pd.DataFrame({"key": text.signed(text.mix(keys)), "doc": i, "place": place})
+
+    return docs.mapInPandas(run, "key long, doc long, place long")
+
+
 def _found(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which values stand in the ordered ones."""
     if not len(ordered):
@@ -286,11 +305,16 @@ def repeated(docs: DataFrame) -> DataFrame:
     first = frames.kept(grouped(rows.where("kind = 0").select("a", "b", "x", "y").union(star)))
     spans = frames.kept(verified(singles, first))
 
-    seen = spans.select(F.col("b").alias("doc"), "b_first", "b_last").distinct()
-    alone = starred.join(seen, (starred["doc"] == seen["doc"]) & starred["y"].between(seen["b_first"], seen["b_last"]), "left_anti").select(
-        "key", F.col("doc").alias("b"), F.col("y").alias("y"))
-    second = alone.join(lists.select("key", F.col("doc").alias("a"), F.col("y").alias("x")), "key").where("a < b").select("a", "b", "x", "y")
-    second = frames.kept(grouped(second.distinct()).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    seen = frames.kept(spans.select(F.col("b").alias("doc"), "b_first", "b_last").distinct())
+    alone = starred.join(seen, (starred["doc"] == seen["doc"]) & starred["y"].between(seen["b_first"], seen["b_last"]), "left_anti").select("doc").distinct()
+    listed = _among(singles, frames.kept(lists.select(F.col("doc").alias("doc_id")).distinct()), "left_semi")
+    keys = frames.kept(run_keys(listed))
+    own = keys.join(frames.kept(alone), "doc", "left_semi")
+    own = own.join(seen, (own["doc"] == seen["doc"]) & own["place"].between(seen["b_first"], seen["b_last"]), "left_anti")
+    second = own.select("key", F.col("doc").alias("b"), F.col("place").alias("y")).join(
+        keys.select("key", F.col("doc").alias("a"), F.col("place").alias("x")), "key").where("a < b")
+    second = second.groupBy("a", "b").agg(F.array(F.min(F.struct("x", "y"))).alias("places"), F.count("*").alias("n")).where(f"n >= {RUNS}").drop("n")
+    second = frames.kept(second.join(first.select("a", "b"), ["a", "b"], "left_anti"))
     if not second.isEmpty():
         spans = spans.union(verified(singles, second))
 
