@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skimlark.llm import bpe, chat, decontaminate, fingerprints, jaccard, passages, urls, wrappers
+from skimlark.llm import bpe, chat, decontaminate, fingerprints, jaccard, language_model, passages, urls, wrappers
 from skimlark.llm.frames import reader
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,13 @@ FROM grams d JOIN item_grams i ON d.g = i.g JOIN sizes s ON s.item_id = i.item_i
 @query
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(reader(spark, sf_dir, "documents"))
+
+
+def remainder(divisor: int):
+    """crc32 of doc_id as text, modulo the divisor."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+@query
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(reader(spark, sf_dir, "documents"), remainder(7) != 2)
