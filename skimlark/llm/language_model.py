@@ -253,7 +253,7 @@ def scored(p: dict, vocabulary: Vocabulary, docs: list[np.ndarray]) -> tuple[np.
     return out, tails, counts
 
 
-def scores(docs: DataFrame, training: Column, share: int = 16) -> DataFrame:
+def scores(docs: DataFrame, training: Column, share: int = 24) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row; ``training`` says which rows are learnt from."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(True)).alias("learn"))

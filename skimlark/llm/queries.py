@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skimlark.llm import bpe, chat, decontaminate, fingerprints, jaccard, language_model, passages, urls, wrappers
+from skimlark.llm import bpe, chat, decontaminate, fingerprints, jaccard, language_model, passages, toxicity, urls, wrappers
 from skimlark.llm.frames import reader
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ def remainder(divisor: int):
 @query
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(reader(spark, sf_dir, "documents"), remainder(7) != 2)
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(reader(spark, sf_dir, "documents"), reader(spark, sf_dir, "labels"), remainder(4) != 2)
