@@ -123,7 +123,7 @@ def copies(docs: DataFrame) -> DataFrame:
     return frames.kept(rows.join(least, ["cls", "n_words"]).select("doc_id", "n_words", "rep"))
 
 
-def _among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Documents with, or without, these ids; the ids are broadcast if they are few."""
     return docs.join(F.broadcast(ids) if ids.count() <= NEEDED else ids, "doc_id", how)
 
@@ -272,7 +272,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "own": [text.shingles(t).tobytes() for t in pdf["text"]]})
 
-    blobs = frames.kept(_among(docs, frames.kept(used), "left_semi").mapInPandas(arrays, "doc_id long, own binary"))
+    blobs = frames.kept(among(docs, frames.kept(used), "left_semi").mapInPandas(arrays, "doc_id long, own binary"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -294,7 +294,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     known = copies(d)
     total = known.agg(F.sum("n_words")).first()[0] or 0
     extra = known.where("doc_id <> rep").select("doc_id").distinct()
-    singles = _among(d, frames.kept(extra), "left_anti")
+    singles = among(d, frames.kept(extra), "left_anti")
     rows = frames.kept(candidates(singles, total))
     grouped = lambda r: r.groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("places"))
 
@@ -307,7 +307,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     seen = frames.kept(spans.select(F.col("b").alias("doc"), "b_first", "b_last").distinct())
     alone = starred.join(seen, (starred["doc"] == seen["doc"]) & starred["y"].between(seen["b_first"], seen["b_last"]), "left_anti").select("doc").distinct()
-    listed = _among(singles, frames.kept(lists.select(F.col("doc").alias("doc_id")).distinct()), "left_semi")
+    listed = among(singles, frames.kept(lists.select(F.col("doc").alias("doc_id")).distinct()), "left_semi")
     keys = frames.kept(run_keys(listed))
     own = keys.join(frames.kept(alone), "doc", "left_semi")
     own = own.join(seen, (own["doc"] == seen["doc"]) & own["place"].between(seen["b_first"], seen["b_last"]), "left_anti")

@@ -15,9 +15,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skimlark.llm import text
 
@@ -27,9 +28,10 @@ HIDDEN, ATTENTION = 8, 8
 WORD_ROWS, WORD_DIM = 1 << 14, 8
 CHAR_ROWS, CHAR_DIM = 1 << 12, 4
 INPUTS = WORD_DIM + 1 + CHAR_DIM
-EPOCHS, BATCH, RATE = 6, 64, 0.01
+EPOCHS, STEPS, BATCH, RATE = 6, 200, 64, 0.01
 WINDOWS_AT_ONCE = 2048
 THRESHOLD = 0.3
+RESULT = ["score", "predicted", "n_windows", "worst_word"]
 
 
 class Words:
@@ -240,7 +242,7 @@ def trained(values: list[str | None], labels: np.ndarray, weights: np.ndarray, s
     p = fresh()
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     time = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS * BATCH // (2 * len(learn)))):  # few texts: more epochs, STEPS steps in all
         z, owner = logits(p, odds, [texts[k] for k in learn])
         chosen = []
         for j, k in enumerate(learn):
@@ -264,10 +266,11 @@ def trained(values: list[str | None], labels: np.ndarray, weights: np.ndarray, s
     return p, odds, calibration(worst.astype(float), labels[aside], weights[aside])
 
 
-def scores(docs: DataFrame, labels: DataFrame, training: Column, most_bad: int = 800, most_good: int = 1600) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, training: Column, most_bad: int = 800, most_good: int = 1600, carried: bool = False) -> DataFrame:
     """``(doc_id, held_out, score, predicted, n_windows, worst_word)`` of every row.
 
-    ``labels`` has (doc_id, toxic); ``training`` is a condition on doc_id: which labels may be learnt from.
+    ``labels`` has (doc_id, toxic); ``training`` is a condition on doc_id: which labels may be learnt from. With ``carried`` the rows have
+    all columns of ``docs`` before these; names that clash are the documents'.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -286,22 +289,27 @@ def scores(docs: DataFrame, labels: DataFrame, training: Column, most_bad: int =
         model = trained(sample["text"].tolist(), y, np.where(y > 0, each[1], each[0]))
     shipped = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                score, n, worst = np.zeros(len(part)), np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                values = part.column(part.schema.get_field_index("text")).to_pylist()
+                score, n, worst = np.zeros(len(values)), np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
                 if shipped.value is not None:
                     p, odds, (slope, offset) = shipped.value
-                    texts = [Words(t) for t in part["text"]]
+                    texts = [Words(t) for t in values]
                     z, owner = logits(p, odds, texts)
-                    first = np.searchsorted(owner, np.arange(len(part)))
+                    first = np.searchsorted(owner, np.arange(len(values)))
                     n = np.diff(np.append(first, len(z)))
                     top = np.maximum.reduceat(z, first)
                     score = 1 / (1 + np.exp(-np.clip(slope * top.astype(float) + offset, -30, 30)))
-                    worst = np.array([window_starts(len(w))[z[f : f + k].argmax()] for w, f, k in zip(texts, first, n, strict=True)])
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "held_out": part["held_out"].array, "score": score,
-                                    "predicted": (score >= THRESHOLD).astype(np.int32), "n_windows": n, "worst_word": worst})
-
-    return d.withColumn("held_out", ~F.coalesce(training, F.lit(True))).mapInPandas(
-        run, "doc_id long, held_out boolean, score double, predicted int, n_windows long, worst_word long")
+                    worst = np.array([window_starts(len(w))[z[f : f + k].argmax()] for w, f, k in zip(texts, first, n, strict=True)], np.int64)
+                new = [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(worst)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *RESULT])
+
+    result = T.StructType([T.StructField(c, t) for c, t in zip(RESULT, (T.DoubleType(), T.IntegerType(), T.LongType(), T.LongType()), strict=True)])
+    if carried:
+        taken = docs.drop(*RESULT)
+        return taken.mapInArrow(run, T.StructType(taken.schema.fields + result.fields))
+    d = d.withColumn("held_out", ~F.coalesce(training, F.lit(True)))
+    return d.mapInArrow(run, T.StructType(d.schema.fields + result.fields)).drop("text")
