@@ -242,7 +242,7 @@ def trained(values: list[str | None], labels: np.ndarray, weights: np.ndarray, s
     p = fresh()
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     time = 0
-    for _ in range(max(EPOCHS, STEPS * BATCH // (2 * len(learn)))):  # few texts: more epochs, STEPS steps in all
+    for _ in range(max(EPOCHS, min(4 * EPOCHS, STEPS * BATCH // (2 * len(learn))))):  # few texts: more epochs
         z, owner = logits(p, odds, [texts[k] for k in learn])
         chosen = []
         for j, k in enumerate(learn):
