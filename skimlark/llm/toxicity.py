@@ -251,7 +251,7 @@ def trained(values: list[str | None], labels: np.ndarray, weights: np.ndarray, s
             chosen.append((k, int(starts[own.argmax()])))
             if not labels[k]:
                 chosen.append((k, int(rng.choice(starts))))
-        for part in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // BATCH)):
+        for part in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // min(BATCH, max(8, len(chosen) // 40)))):
             some = [chosen[i] for i in part]
             g = gradients(p, odds, [(texts[k], s) for k, s in some], labels[[k for k, _ in some]], np.ones(len(some)))
             time += 1

@@ -42,10 +42,13 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         named("query:", F.transform(F.split(query, "&"), lambda p: F.substring_index(p, "=", 1)))))
 
 
-def mined(urls: DataFrame, labels: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+def mined(urls: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, min_count: int) -> DataFrame:
     """``(rule, antecedent, confidence, support, key)``: token combinations that go with block; key is their rarest token."""
     labelled = urls.join(labels, "page_id").select(F.array_union("tokens", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(labelled)
+    n = labelled.count()
+    if not n:
+        return labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double, key string, rule string")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(labelled)
     rules = model.associationRules.where((F.element_at("consequent", 1) == BAD)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     keyed = rules.select("*", F.explode("antecedent").alias("token")).join(single, "token")
@@ -53,7 +56,7 @@ def mined(urls: DataFrame, labels: DataFrame, min_support: float, min_confidence
         "rule", F.array_join("antecedent", "+"))
 
 
-def judged(pages: DataFrame, labels: DataFrame, host_rules: Sequence[HostRule], min_support: float = 0.002, min_confidence: float = 0.5) -> DataFrame:
+def judged(pages: DataFrame, labels: DataFrame, host_rules: Sequence[HostRule], min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 5) -> DataFrame:
     """``(page_id, host, path, rule, verdict, mined_rule, confidence)`` of every page.
 
     ``labels`` has (page_id, bad boolean). ``host_rules`` are (host, path, verdict). Mined rules are found by an inverted index from
@@ -65,7 +68,7 @@ def judged(pages: DataFrame, labels: DataFrame, host_rules: Sequence[HostRule],
     urls = p.select("url", "host", "path").where("url is not null").distinct().withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
 
     with_tokens = p.where("url is not null").withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"))).select("page_id", "tokens")
-    rules = mined(with_tokens, labels.groupBy("page_id").agg(F.max("bad").alias("bad")), min_support, min_confidence)
+    rules = mined(with_tokens, labels.groupBy("page_id").agg(F.max("bad").alias("bad")), min_support, min_confidence, min_count)
     hits = urls.select("url", "tokens", F.explode("tokens").alias("key")).join(rules, "key").where(F.size(F.array_except("antecedent", "tokens")) == 0)
     mined_hit = hits.groupBy("url").agg(F.max(F.struct("confidence", "support", "rule")).alias("hit"))
 
