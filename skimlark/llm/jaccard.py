@@ -31,6 +31,7 @@ U = np.uint64
 LIST = 48
 MATCHES = 6
 HEAVY = 1 << 18
+BITMAP = 1 << 26
 BUCKET = 2_000_000
 NEEDED = 1_000_000
 
@@ -88,8 +89,33 @@ def _dealt(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def heavy_shingles(docs: DataFrame, bits: int, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and document frequencies of the most frequent shingles, at most ``most`` of them, counted over all documents."""
+class Frequencies:
+    """What one pass over all documents tells about shingles, in a fixed size: the most frequent with their document frequencies, and a
+    bitmap that marks every shingle of two or more documents (and some others, the more the fuller it is)."""
+
+    def __init__(self, bits: int, keys: np.ndarray, counts: np.ndarray, bitmap: np.ndarray):
+        order = np.argsort(keys)
+        self.bits, self.keys, self.counts, self.bitmap = bits, keys[order], counts[order], bitmap
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Document frequency, 1 if not among the most frequent."""
+        out = np.ones(len(h), np.int64)
+        if len(self.keys):
+            short = _short(h, self.bits)
+            at = np.minimum(np.searchsorted(self.keys, short), len(self.keys) - 1)
+            same = self.keys[at] == short
+            out[same] = self.counts[at[same]]
+        return out
+
+    def shared(self, h: np.ndarray) -> np.ndarray:
+        """False only for shingles that stand in one document."""
+        width = U(BITMAP >> self.bits)
+        at = (h >> U(64 - self.bits)) * width + (h & U(0xFFFFFFFF)) % width
+        return (self.bitmap[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
+
+
+def frequencies(docs: DataFrame, bits: int) -> Frequencies:
+    """Document frequencies over all documents, counted in buckets of about BUCKET shingles."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for sets, _ in _sets(batches, BUCKET):
@@ -98,15 +124,22 @@ def heavy_shingles(docs: DataFrame, bits: int, most: int = HEAVY) -> tuple[np.nd
 
     def top(pdf: pd.DataFrame) -> pd.DataFrame:
         low, n = np.unique(np.frombuffer(b"".join(pdf["low"]), np.uint32), return_counts=True)
+        marks = np.zeros(BITMAP >> bits, bool)
+        marks[low[n > 1] % len(marks)] = True
         often = np.flatnonzero(n >= 3)
-        often = often[np.argsort(-n[often], kind="stable")][: max(1, most >> bits)]
+        often = often[np.argsort(-n[often], kind="stable")][: max(1, HEAVY >> bits)]
         key = (U(pdf["bucket"].iloc[0]) << U(32)) | low[often].astype(np.uint64)
-        return pd.DataFrame({"key": key.astype(np.int64), "n": n[often].astype(np.int64)})
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1].array, "keys": [key.tobytes()], "counts": [n[often].astype(np.int64).tobytes()],
+                             "marks": [np.packbits(marks, bitorder="little").tobytes()]})
 
-    rows = docs.select("text").mapInPandas(count, "bucket long, low binary").groupBy("bucket").applyInPandas(top, "key long, n long").toPandas()
-    key, n = rows["key"].to_numpy(np.uint64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(key)
-    return key[order], n[order]
+    rows = docs.select("text").mapInPandas(count, "bucket long, low binary").groupBy("bucket").applyInPandas(
+        top, "bucket long, keys binary, counts binary, marks binary").collect()
+    bitmap = np.zeros(BITMAP // 8, np.uint8)
+    each = BITMAP // 8 >> bits
+    for r in rows:
+        bitmap[r["bucket"] * each : (r["bucket"] + 1) * each] = np.frombuffer(r["marks"], np.uint8)
+    joined = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows] or [np.zeros(0, kind)])
+    return Frequencies(bits, joined("keys", np.uint64), joined("counts", np.int64), bitmap)
 
 
 def prefix(s: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
@@ -131,26 +164,23 @@ def prefix(s: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
 def candidates(docs: DataFrame, total: int) -> DataFrame:
     """Rows ``(kind, a, b, c, need)``: kind 0 pairs of classes with c shared prefix shingles; kind 1 members b of a long list a, c its size."""
     bits = min(20, max(4, int(total // BUCKET).bit_length()))
-    keys, counts = heavy_shingles(docs, bits)
-    shipped = docs.sparkSession.sparkContext.broadcast((keys, counts))
+    shipped = docs.sparkSession.sparkContext.broadcast(frequencies(docs, bits))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, often = shipped.value
+        known = shipped.value
         for sets, cls in _sets(batches, BUCKET):
             tokens, owner, sizes, needs = [], [], [], []
             for s, k in zip(sets, cls, strict=True):
-                frequency = np.ones(len(s), np.int64)
-                if len(known):
-                    short = _short(s, bits)
-                    at = np.minimum(np.searchsorted(known, short), len(known) - 1)
-                    same = known[at] == short
-                    frequency[same] = often[at[same]]
+                frequency = known.of(s)
                 where, need = prefix(s, frequency)
+                where = where[known.shared(s[where])]  # a shingle of one document meets nothing
                 token = s[where]
                 tokens.append(token)
                 owner.append(np.full(len(token), k, np.int64))
                 sizes.append(np.full(len(token), len(s) if len(s) < 1 << 24 else (1 << 24) - 1, np.uint32) << np.uint32(8) | np.uint32(need))
                 needs.append(frequency[where] > LIST)
+            if not sum(map(len, tokens)):
+                continue
             token, k, hot = np.concatenate(tokens), np.concatenate(owner), np.concatenate(needs)
             bucket = np.where(hot, text.mix(k.view(np.uint64)), token * U(0x9E3779B97F4A7C15)) >> U(64 - bits)
             yield _dealt(bucket, {"token": token, "owner": k, "size": np.concatenate(sizes), "hot": hot})
@@ -188,6 +218,17 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
     return rows.groupBy("bucket").applyInPandas(pairs, "kind int, a long, b long, c long, need long")
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper 40 bits of ascending shingles; two different ones of a pair of 1000 shingles agree in them with probability 10**-6."""
+    return np.ascontiguousarray((s >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
 def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs ``(a, b)`` of classes whose sets are similar enough; ``members`` has the classes' documents."""
     used = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -200,7 +241,7 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             own = [text.shingle_set(t) for t in pdf["text"]]
-            yield pd.DataFrame({"cls": [class_key(s) for s in own], "own": [s.tobytes() for s in own]})
+            yield pd.DataFrame({"cls": [class_key(s) for s in own], "own": [packed(s) for s in own]})
 
     blobs = frames.kept(some.mapInPandas(sets, "cls long, own binary").join(used, "cls", "left_semi").dropDuplicates(["cls"]))
 
@@ -208,7 +249,7 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                x, y = unpacked(x), unpacked(y)
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pdf.loc[keep, ["a", "b"]]

@@ -242,12 +242,15 @@ def trained(values: list[str | None], labels: np.ndarray, weights: np.ndarray, s
     p = fresh()
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     time = 0
-    for _ in range(max(EPOCHS, min(4 * EPOCHS, STEPS * BATCH // (2 * len(learn))))):  # few texts: more epochs
+    for epoch in range(max(EPOCHS, min(4 * EPOCHS, STEPS * BATCH // (2 * len(learn))))):  # few texts: more epochs
         z, owner = logits(p, odds, [texts[k] for k in learn])
         chosen = []
         for j, k in enumerate(learn):
             own = z[np.searchsorted(owner, j) : np.searchsorted(owner, j, side="right")]
             starts = window_starts(len(texts[k]))
+            if epoch < 2:  # the network can't tell windows yet: take the one whose words have the highest odds
+                sums = np.concatenate([[0.0], np.cumsum(np.maximum(texts[k].odds, 0) ** 2)])
+                own = sums[np.minimum(starts + WINDOW, len(texts[k]))] - sums[starts]
             chosen.append((k, int(starts[own.argmax()])))
             if not labels[k]:
                 chosen.append((k, int(rng.choice(starts))))
