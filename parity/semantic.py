@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import skimlark as sk
 from parity.tools import TABLES, finish, query, sql_exact, sql_r6, table, union_sql
 
+#: Spellings and patterns that the results depend on.
 WS = r"' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INFINITE = "('inf','+inf','-inf','infinity','+infinity','-infinity')"

@@ -28,7 +28,7 @@ class Config:
     high_missing_rate: float = 0.4
     high_missing_critical_rate: float = 0.8
     near_constant_ratio: float = 0.995
-    correlation_max_features: int = 100
+    correlation_max_features: int | None = None
     correlation_default_features: int = 10
     correlation_max_selectable: int = 20
     correlation_threshold: float = 0.7

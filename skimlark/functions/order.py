@@ -20,10 +20,12 @@ from skimlark.config import DEFAULT, Config
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, ``spark.checkpoint.dir``; a local one only where none is set."""
+    """The session's checkpoint folder, ``spark.checkpoint.dir``; a local one only for a local master."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skimlark-"))
     return context.getCheckpointDir()
 
@@ -102,15 +104,6 @@ def previous_value(
     )
 
 
-def _interpolate(probs: Sequence[float], low: Sequence[Column], high: Sequence[Column], n: Column) -> Column:
-    """Linear interpolation between the two order statistics around p(n-1)."""
-    picks = []
-    for p, lo, hi in zip(probs, low, high):
-        place = F.lit(float(p)) * (n - 1)
-        picks.append(lo + (hi - lo) * (place - F.floor(place)))
-    return F.array(*picks)
-
-
 def exact_quantiles(
     df: DataFrame,
     values: Mapping[str, Column],

@@ -19,6 +19,7 @@ from skimlark.operators.types import coerce_override
 
 Pair = tuple[str, str]
 METHODS = ("pearson", "spearman")
+CANCELLED = 1e-6  # share of a sum of squares below which its spread is measured by deviations
 
 
 def usable_numeric(df: DataFrame, types: Mapping[str, str], usable: Sequence[str] | None = None) -> DataFrame:
@@ -57,8 +58,9 @@ def feature_selection(usable: Sequence[str], wanted: Sequence[str] | None = None
 
 
 def bounded_features(usable: Sequence[str], config: Config = DEFAULT) -> tuple[list[str], bool]:
-    """The first hundred features, and whether any were left out."""
-    return list(usable)[:config.correlation_max_features], len(usable) > config.correlation_max_features
+    """All features, or the first ``correlation_max_features`` if that is set; and whether any were left out."""
+    most = config.correlation_max_features
+    return list(usable)[:most], most is not None and len(usable) > most
 
 
 # ---- sums over pairs -------------------------------------------------------
@@ -108,7 +110,12 @@ def pearson_pairs(df: DataFrame, pairs: Sequence[Pair], *, config: Config = DEFA
     at = {c: i for i, c in enumerate(features)}
     base = _finite_table(df, features)
     if len(pairs) > config.pairs_per_pass:
-        return _pearson_products(base, features, pairs)
+        return _pearson_products(base, features, pairs, config)
+    return _pearson_deviations(base, at, pairs)
+
+
+def _pearson_deviations(base: DataFrame, at: Mapping[str, int], pairs: Sequence[Pair]) -> DataFrame:
+    """Each pair from deviations over its own rows."""
     aggs = []
     for k, (a, b) in enumerate(pairs):
         x, y = F.col(f"f{at[a]}"), F.col(f"f{at[b]}")
@@ -119,18 +126,26 @@ def pearson_pairs(df: DataFrame, pairs: Sequence[Pair], *, config: Config = DEFA
     return _labelled(pairs, base.agg(*aggs), "pearson")
 
 
-def _pearson_products(base: DataFrame, features: Sequence[str], pairs: Sequence[Pair]) -> DataFrame:
+def _pearson_products(base: DataFrame, features: Sequence[str], pairs: Sequence[Pair], config: Config) -> DataFrame:
+    """Sums of products in one pass; pairs that lose digits by cancellation are measured again by deviations."""
     columns = [f"f{i}" for i in range(len(features))]
     means = base.agg(*[F.avg(c).alias(c) for c in columns]).first()  # one number per feature
     centred = base.select(*[(F.col(c) - F.lit(means[c] or 0.0)).alias(c) for c in columns])
     n = F.col("n")
     vx, vy = F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n
-    # what is left of a constant column after cancellation counts as no spread
-    flat = (vx <= F.col("sxx") * 1e-12) | (vy <= F.col("syy") * 1e-12)
-    r = F.when(~flat, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy))
+    doubtful = ~((vx > F.col("sxx") * CANCELLED) & (vy > F.col("syy") * CANCELLED))
+    r = F.when(~doubtful, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy))
     names = F.array(*[F.lit(c) for c in features])
-    table = pair_products(centred, columns).where("n > 0").select(
-        F.get(names, F.col("i")).alias("_a"), F.get(names, F.col("j")).alias("_b"), n.cast("long").alias("n"), r.alias("r"))
+    table = materialize(pair_products(centred, columns).where("n > 0").select(
+        F.get(names, F.col("i")).alias("_a"), F.get(names, F.col("j")).alias("_b"), n.cast("long").alias("n"), r.alias("r"), doubtful.alias("doubtful")))
+    wanted = {(min(p), max(p)) for p in pairs}
+    again = [p for row in table.where("doubtful").select("_a", "_b").toLocalIterator() if (p := (row["_a"], row["_b"])) in wanted and p[0] != p[1]]
+    at = {c: i for i, c in enumerate(features)}
+    table = table.drop("doubtful")
+    for start in range(0, len(again), config.columns_per_pass):
+        part = again[start:start + config.columns_per_pass]
+        exact = _pearson_deviations(base, at, part).select(F.col("feature_a").alias("_a"), F.col("feature_b").alias("_b"), F.col("r").alias("_r"))
+        table = table.join(F.broadcast(exact), ["_a", "_b"], "left").select("_a", "_b", "n", F.coalesce("_r", "r").alias("r"))
     return _in_pair_order(table, pairs, "pearson")
 
 

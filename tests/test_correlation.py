@@ -120,3 +120,16 @@ def test_usable_numeric(spark):
     types = {c: "numeric" for c in df.columns}
     got = {r["column"]: r["usable"] for r in sk.usable_numeric(df, types).collect()}
     assert got == {"ok": True, "flat": False, "short": False, "wild": False}
+
+
+def test_pearson_is_the_same_beside_other_features(spark):
+    """An outlier outside the pair's shared rows must not spoil it, however many features there are."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, 200)
+    frame = pd.DataFrame({"x": x, "y": x + rng.normal(0, 0.1, 200)} | {f"o{k}": rng.normal(0, 1, 200) for k in range(6)})
+    frame.loc[0, ["x", "y"]] = [1e12, np.nan]
+    want = frame["x"].corr(frame["y"])
+    df = spark.createDataFrame(frame)
+    for features in (["x", "y"], ["x", "y", "o0"], list(frame.columns)):
+        got = sk.pearson_matrix(df, features).where("feature_a = 'x' AND feature_b = 'y'").first()["r"]
+        assert got == pytest.approx(want, abs=1e-9)
