@@ -9,8 +9,10 @@ candidates; their shared passages are verified by exact Jaccard similarity (0.75
 
 Copies of a whole document (equal word sequences) are found first; only the one of smallest doc_id is searched. Signatures
 shared by up to ``LIST`` documents give all pairs; for more, each document meets the first one. Documents of such lists whose anchor then
-lies in no passage found meet all earlier ones that share ``RUNS`` runs of ``RUN`` shingles with places of theirs outside passages: a
-passage of similarity 0.75 has at most a sixth as many foreign shingles as common ones, five for each edit, so 40 common ones of 46 stand in two runs at most, hence such runs.
+lies in no passage found are searched once more by exact runs: 40 common shingles of 46 stand in two runs at most, so a passage of
+similarity 0.75 has a common run of ``COMMON`` shingles, and of its windows of ``RUN`` shingles both documents pick the same least one.
+Picked windows of up to ``LIST`` documents give all pairs again, others link each document with the first: a passage is left out only
+where every picked window of it is shared by more than ``LIST`` documents and it is similar to none of their first ones.
 
 ``repeated`` returns one row per passage that a document with a smaller doc_id has, overlapping ones merged. Null, empty and
 short texts have no passage. Rows with null doc_id are not searched. Rows that share a doc_id are one document with several
@@ -35,8 +37,8 @@ LEAST_WORDS = 50
 WIDTH = LEAST_WORDS - text.WORDS + 1
 FUNCTIONS = 4
 LIST = 24
-RUN = 17
-RUNS = 8
+RUN = 16
+COMMON = 20
 GAP = 12
 GATHERED = 1_000_000
 PIECE = 8_000_000  # longer documents are taken in overlapping pieces: places have 24 bits
@@ -180,17 +182,20 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
 
 
 def run_keys(docs: DataFrame) -> DataFrame:
-    """``(key, doc, place)`` of every run of RUN shingles, the first place of each."""
+    """``(key, doc, place)`` of the picked windows of RUN shingles: any COMMON shingles in a row hold one, and equal ones the same."""
     back = U(pow(int(SEEDS[0] | U(1)), -1, 1 << 64))
+    near = COMMON - RUN + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
                 s = text.shingles(t)
-                if len(s) >= RUN:
+                if len(s) >= COMMON:
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * text.powers(SEEDS[0] | U(1), len(s)))])
-                    keys, place = np.unique((sums[RUN:] - sums[:-RUN]) * text.powers(back, len(s))[: len(s) - RUN + 1], return_index=True)
-                    yield pd.DataFrame({"key": text.signed(text.mix(keys)), "doc": i, "place": place})
+                    keys = text.mix((sums[RUN:] - sums[:-RUN]) * text.powers(back, len(s))[: len(s) - RUN + 1])
+                    picked = np.lib.stride_tricks.sliding_window_view(keys, near).argmin(axis=1) + np.arange(len(keys) - near + 1)
+                    keys, first = np.unique(keys[_distinct(picked)], return_index=True)
+                    yield pd.DataFrame({"key": text.signed(keys), "doc": i, "place": _distinct(picked)[first]})
 
     return docs.mapInPandas(run, "key long, doc long, place long")
 
@@ -311,9 +316,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     keys = frames.kept(run_keys(listed))
     own = keys.join(frames.kept(alone), "doc", "left_semi")
     own = own.join(seen, (own["doc"] == seen["doc"]) & own["place"].between(seen["b_first"], seen["b_last"]), "left_anti")
-    second = own.select("key", F.col("doc").alias("b"), F.col("place").alias("y")).join(
-        keys.select("key", F.col("doc").alias("a"), F.col("place").alias("x")), "key").where("a < b")
-    second = second.groupBy("a", "b").agg(F.array(F.min(F.struct("x", "y"))).alias("places"), F.count("*").alias("n")).where(f"n >= {RUNS}").drop("n")
+    own = own.select("key", F.col("doc").alias("b"), F.col("place").alias("y"))
+    lists = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("hub")).where("n > 1")
+    met = own.join(lists.where(f"n > {LIST}"), "key").select(F.col("hub.doc").alias("a"), "b", F.col("hub.place").alias("x"), "y")
+    short = keys.join(lists.where(f"n <= {LIST}").select("key"), "key", "left_semi").select("key", F.col("doc").alias("a"), F.col("place").alias("x"))
+    second = met.union(own.join(short, "key").select("a", "b", "x", "y")).where("a < b")
+    second = second.groupBy("a", "b").agg(F.array(F.min(F.struct("x", "y"))).alias("places"))
     second = frames.kept(second.join(first.select("a", "b"), ["a", "b"], "left_anti"))
     if not second.isEmpty():
         spans = spans.union(verified(singles, second))
