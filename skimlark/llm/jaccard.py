@@ -219,7 +219,7 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
 
 
 def packed(s: np.ndarray) -> bytes:
-    """The upper 40 bits of ascending shingles; two different ones of a pair of 1000 shingles agree in them with probability 10**-6."""
+    """The upper 40 bits of shingles; two different ones of a pair of 1000 shingles agree in them with probability 10**-6."""
     return np.ascontiguousarray((s >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skimlark.llm import frames, text
-from skimlark.llm.jaccard import BUCKET, NEEDED, _dealt
+from skimlark.llm.jaccard import BUCKET, NEEDED, _dealt, packed, unpacked
 
 U = np.uint64
 LEAST_WORDS = 50
@@ -275,7 +275,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "own": [text.shingles(t).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "own": [packed(text.shingles(t)) for t in pdf["text"]]})
 
     blobs = frames.kept(among(docs, frames.kept(used), "left_semi").mapInPandas(arrays, "doc_id long, own binary"))
 
@@ -283,7 +283,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for a, b, places, p, q in zip(pdf["a"], pdf["b"], pdf["places"], pdf["p"], pdf["q"], strict=True):
-                x, y = np.frombuffer(p, U), np.frombuffer(q, U)
+                x, y = unpacked(p), unpacked(q)
                 for low, high, first, last in shared_spans(x, y, sorted((r["x"], r["y"]) for r in places)):
                     rows.append((a, b, first, last, low, high))
             yield pd.DataFrame(rows, columns=["a", "b", "a_first", "a_last", "b_first", "b_last"])
