@@ -7,8 +7,9 @@ longer prefix meets more lists but fewer candidates share m of them. Pairs that
 Pairs that are left are verified with whole sets.
 
 Lists of up to ``LIST`` members give all their pairs. Longer lists first link each member with the list's member of smallest
-key in its size class; afterwards only members outside the list's largest component meet the others, so a group of near
-copies costs as many pairs as members and no link between components is lost.
+key in its size class. While meeting the rest would cost far more pairs than members, those outside the list's largest component
+are linked with another of its members, up to ``TURNS`` times; at last members still outside meet the others, so a group of near
+copies costs a few pairs for each member and no link between components is lost.
 
 Null and empty texts have no shingle, link with nothing and are their own component; fewer than five words are one shingle.
 Rows that share a doc_id count as one document with several texts. A row without doc_id lends its links but gets component
@@ -30,6 +31,7 @@ from skimlark.llm import frames, text
 U = np.uint64
 LIST = 48
 MATCHES = 6
+TURNS = 6
 HEAVY = 1 << 18
 BITMAP = 1 << 26
 BUCKET = 2_000_000
@@ -277,9 +279,26 @@ def linked(docs: DataFrame) -> DataFrame:
     links = frames.kept(verified(docs, members, first))
     comps = frames.kept(frames.components(links))
 
-    placed = frames.kept(lists.join(comps, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "need", F.coalesce("component", "cls").alias("component")))
-    sizes = placed.groupBy("token", "component").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "top.component")
+    left_before = None
+    for turn in range(TURNS + 1):
+        placed = frames.kept(leveled.join(comps, F.col("cls") == F.col("node"), "left").select(
+            "token", "cls", "n", "need", "level", F.coalesce("component", "cls").alias("component")))
+        sizes = placed.groupBy("token", "component").agg(F.count("*").alias("k"))
+        mixed = frames.kept(sizes.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("k").alias("all")).where(
+            "kinds > 1").select("token", "top.component", (F.col("all") - F.col("top.k")).alias("left"), "all"))
+        cost = mixed.agg(F.sum("all"), F.sum("left"), F.sum(F.col("left") * F.col("all"))).first()
+        if turn == TURNS or not cost[0] or cost[2] <= LIST * cost[0] or (left_before is not None and 10 * cost[1] > 9 * left_before):
+            break
+        left_before = cost[1]
+        met = placed.join(mixed.select("token", F.col("component").alias("top")), "token")
+        hubs = met.where("component = top").groupBy("token", "level").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cls"), "cls", "n")).alias("hub"))
+        star = met.where("component <> top").join(hubs, ["token", "level"]).where(near(F.col("n"), F.col("hub.n"))).select(
+            F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
+        star = frames.kept(star.join(first, ["a", "b"], "left_anti"))
+        links = frames.kept(links.union(verified(docs, members, star)))
+        first = frames.kept(first.union(star))
+        comps = frames.kept(frames.components(links))
+    mixed = mixed.select("token", "component")
     some = placed.join(mixed.withColumnRenamed("component", "top"), "token")
     left = some.where("component <> top").select("token", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "need", "component")])
     meet = left.join(some, "token").where((F.col("x_component") != F.col("component")) & near(F.col("x_n"), F.col("n")) & (

@@ -164,3 +164,22 @@ def test_pipeline_cuts_passages_by_word(odd):
     left = {r["doc_id"]: r for r in corpus_pipeline.cut(odd, spans).where("doc_id in (1, 2, 8)").collect()}
     assert 2 not in left and left[8]["text"] == words(3, 80) and left[8]["n_chars"] == len(left[8]["text"])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "passages", "benchmark", "tokens"]
+
+
+def test_jaccard_loose_group_takes_more_hubs_and_loses_no_link(spark):
+    rng = np.random.default_rng(12)
+    base = words(31, 200).split()
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for at in rng.choice(200, int(rng.integers(2, 10)), replace=False):
+            own[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(own)))
+    sets = [set(text.shingles(t).tolist()) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 100 * len(x & sets[j]) >= 75 * len(x | sets[j]):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(group))
