@@ -6,10 +6,14 @@ share at least m shingles of their m-prefixes (the first n - ceil(0.75 n) + m).
 longer prefix meets more lists but fewer candidates share m of them. Pairs that share fewer than the smaller m are not verified.
 Pairs that are left are verified with whole sets.
 
-Lists of up to ``LIST`` members give all their pairs. Longer lists first link each member with the list's member of smallest
-key in its size class. While meeting the rest would cost far more pairs than members, those outside the list's largest component
-are linked with another of its members, up to ``TURNS`` times; at last members still outside meet the others, so a group of near
-copies costs a few pairs for each member and no link between components is lost.
+Two bounds, both without loss, drop pairs before they are counted. By place: what two sets share is at most what lies behind a common
+shingle in the shorter rest, plus the matches before it. By parity: each set has 256 bits, each the parity of the shingles that
+fall on it; two sets differ in as many shingles at least as in bits.
+
+Lists of up to ``LIST`` members give all their pairs. Longer lists first link each member with one hub of its size class: the member
+with the fewest rare shingles before the list's own, which in a group of near copies is the one least edited. While meeting the
+rest would cost more than ``COMPARED`` comparisons, those outside the list's largest component are linked with another of its members,
+up to ``TURNS`` times; at last members still outside meet the others under both bounds, so no link between components is lost.
 
 Null and empty texts have no shingle, link with nothing and are their own component; fewer than five words are one shingle.
 Rows that share a doc_id count as one document with several texts. A row without doc_id lends its links but gets component
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skimlark.llm import frames, text
@@ -32,6 +36,8 @@ U = np.uint64
 LIST = 48
 MATCHES = 6
 TURNS = 6
+COMPARED = 1_000_000_000
+PARITY = [f"bits{i}" for i in range(4)]
 HEAVY = 1 << 18
 BITMAP = 1 << 26
 BUCKET = 2_000_000
@@ -43,15 +49,22 @@ def class_key(s: np.ndarray) -> int:
     return int(text.signed(text.mix(np.array([text.mix(s).sum(dtype=np.uint64) + U(len(s))], np.uint64)))[0])
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """256 bits of a set as four longs: the parity of its members on each bit."""
+    return np.packbits(np.bincount((s >> U(20) & U(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n, cls)`` of every row."""
+    """``(doc_id, n, cls)`` of every row, and its set's parity bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [text.shingle_set(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "n": [len(s) for s in sets], "cls": [class_key(s) for s in sets]})
+            bits = np.array([parity(s) for s in sets], np.int64).reshape(-1, len(PARITY))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "n": [len(s) for s in sets], "cls": [class_key(s) for s in sets]} | dict(zip(PARITY, bits.T, strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, cls long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+        run, "doc_id long, n long, cls long, " + ", ".join(f"{b} long" for b in PARITY))
 
 
 def _sets(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
@@ -164,19 +177,22 @@ def prefix(s: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def candidates(docs: DataFrame, total: int) -> DataFrame:
-    """Rows ``(kind, a, b, c, need)``: kind 0 pairs of classes with c shared prefix shingles; kind 1 members b of a long list a, c its size."""
+    """Rows ``(kind, a, b, c, need)``: kind 0 pairs of classes with c shared prefix shingles; kind 1 members b of a long list a, c the
+    shingles of b from the list's own on."""
     bits = min(20, max(4, int(total // BUCKET).bit_length()))
     shipped = docs.sparkSession.sparkContext.broadcast(frequencies(docs, bits))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shipped.value
         for sets, cls in _sets(batches, BUCKET):
-            tokens, owner, sizes, needs = [], [], [], []
+            tokens, owner, sizes, rests, needs = [], [], [], [], []
             for s, k in zip(sets, cls, strict=True):
                 frequency = known.of(s)
                 where, need = prefix(s, frequency)
-                where = where[known.shared(s[where])]  # a shingle of one document meets nothing
+                met = np.flatnonzero(known.shared(s[where]))  # a shingle of one document meets nothing
+                where = where[met]
                 token = s[where]
+                rests.append((len(s) - met).astype(np.uint32))
                 tokens.append(token)
                 owner.append(np.full(len(token), k, np.int64))
                 sizes.append(np.full(len(token), len(s) if len(s) < 1 << 24 else (1 << 24) - 1, np.uint32) << np.uint32(8) | np.uint32(need))
@@ -185,22 +201,23 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
                 continue
             token, k, hot = np.concatenate(tokens), np.concatenate(owner), np.concatenate(needs)
             bucket = np.where(hot, text.mix(k.view(np.uint64)), token * U(0x9E3779B97F4A7C15)) >> U(64 - bits)
-            yield _dealt(bucket, {"token": token, "owner": k, "size": np.concatenate(sizes), "hot": hot})
+            yield _dealt(bucket, {"token": token, "owner": k, "size": np.concatenate(sizes), "rest": np.concatenate(rests), "hot": hot})
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        token, owner, size, hot = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("token", U), ("owner", np.int64), ("size", np.uint32), ("hot", bool)))
+        kinds = (("token", U), ("owner", np.int64), ("size", np.uint32), ("rest", np.uint32), ("hot", bool))
+        token, owner, size, rest, hot = (np.frombuffer(b"".join(pdf[c]), t) for c, t in kinds)
         order = np.lexsort((owner, token))
-        token, owner, size, hot = token[order], owner[order], size[order], hot[order]
+        token, owner, size, rest, hot = token[order], owner[order], size[order], rest[order].astype(np.int64), hot[order]
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        token, owner, size, hot = token[fresh], owner[fresh], size[fresh], hot[fresh]
+        token, owner, size, rest, hot = token[fresh], owner[fresh], size[fresh], rest[fresh], hot[fresh]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.append(first, len(token)))
         run = np.repeat(length, length)
         long = hot | (run > LIST)
-        out = [pd.DataFrame({"kind": 1, "a": text.signed(token[long]), "b": owner[long], "c": (size[long] >> 8).astype(np.int64), "need": (size[long] & 255).astype(np.int64)})]
+        out = [pd.DataFrame({"kind": 1, "a": text.signed(token[long]), "b": owner[long], "c": rest[long], "need": (size[long] & 255).astype(np.int64)})]
         cold = (run > 1) & ~long
-        token, owner, size = token[cold], owner[cold], size[cold].astype(np.int64)
+        token, owner, size, rest = token[cold], owner[cold], size[cold].astype(np.int64), rest[cold]
         found = []
         for gap in range(1, LIST):
             same = np.flatnonzero(token[gap:] == token[:-gap]) if len(token) > gap else []
@@ -208,15 +225,17 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
                 break
             x, y = size[same] >> 8, size[same + gap] >> 8
             near = 4 * np.minimum(x, y) >= 3 * np.maximum(x, y)
+            least = np.minimum(size[same] & 255, size[same + gap] & 255)
+            near &= 7 * (np.minimum(rest[same], rest[same + gap]) + least - 1) >= 3 * (x + y)
             same = same[near]
-            found.append(np.stack([owner[same], owner[same + gap], np.minimum(size[same] & 255, size[same + gap] & 255)]))
+            found.append(np.stack([owner[same], owner[same + gap], least[near]]))
         if found:
             a, b, need = np.concatenate(found, axis=1)
             one = pd.DataFrame({"a": a, "b": b, "need": need}).groupby(["a", "b", "need"]).size().reset_index(name="c")
             out.append(one.assign(kind=0)[["kind", "a", "b", "c", "need"]])
         return pd.concat(out)
 
-    rows = docs.select("text").mapInPandas(index, "bucket long, token binary, owner binary, size binary, hot binary")
+    rows = docs.select("text").mapInPandas(index, "bucket long, token binary, owner binary, size binary, rest binary, hot binary")
     return rows.groupBy("bucket").applyInPandas(pairs, "kind int, a long, b long, c long, need long")
 
 
@@ -267,13 +286,21 @@ def linked(docs: DataFrame) -> DataFrame:
     total = members.agg(F.sum("n")).first()[0] or 0
     rows = frames.kept(candidates(docs, total))
     cold = frames.kept(rows.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")))
-    lists = rows.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), F.col("c").alias("n"), "need").distinct()
-    near = lambda x, y: 4 * F.least(x, y) >= 3 * F.greatest(x, y)
-
+    known = members.where("n > 0").groupBy("cls").agg(*[F.min(c).alias(c) for c in ("n", *PARITY)])
+    lists = rows.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), F.col("c").alias("rest"), "need").distinct()
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
-    leveled = lists.withColumn("level", level)
-    hubs = leveled.groupBy("token", "level").agg(F.min(F.struct("cls", "n")).alias("hub"))
-    star = leveled.join(hubs, ["token", "level"]).where((F.col("cls") != F.col("hub.cls")) & near(F.col("n"), F.col("hub.n"))).select(
+    leveled = frames.kept(lists.join(known, "cls").withColumn("level", level))
+    told = ("cls", "n", "need", "rest", *PARITY)
+
+    def possible(other: str) -> Column:
+        """Whether the row's class and the struct's may be linked, by size, place and parity."""
+        both = F.col("n") + F.col(f"{other}.n")
+        behind = F.least("rest", f"{other}.rest") + F.least("need", f"{other}.need") - 1
+        bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}.{c}"))) for c in PARITY), F.lit(0))
+        return (4 * F.least("n", f"{other}.n") >= 3 * F.greatest("n", f"{other}.n")) & (7 * behind >= 3 * both) & (7 * bits <= both)
+
+    hubs = leveled.groupBy("token", "level").agg(F.min(F.struct(-F.col("rest"), *told)).alias("hub"))
+    star = leveled.join(hubs, ["token", "level"]).where((F.col("cls") != F.col("hub.cls")) & possible("hub")).select(
         F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
     first = frames.kept(cold.where("c >= need").select("a", "b").union(star).distinct())
     links = frames.kept(verified(docs, members, first))
@@ -282,17 +309,17 @@ def linked(docs: DataFrame) -> DataFrame:
     left_before = None
     for turn in range(TURNS + 1):
         placed = frames.kept(leveled.join(comps, F.col("cls") == F.col("node"), "left").select(
-            "token", "cls", "n", "need", "level", F.coalesce("component", "cls").alias("component")))
+            "token", *told, "level", F.coalesce("component", "cls").alias("component")))
         sizes = placed.groupBy("token", "component").agg(F.count("*").alias("k"))
         mixed = frames.kept(sizes.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("k").alias("all")).where(
             "kinds > 1").select("token", "top.component", (F.col("all") - F.col("top.k")).alias("left"), "all"))
         cost = mixed.agg(F.sum("all"), F.sum("left"), F.sum(F.col("left") * F.col("all"))).first()
-        if turn == TURNS or not cost[0] or cost[2] <= LIST * cost[0] or (left_before is not None and 10 * cost[1] > 9 * left_before):
+        if turn == TURNS or not cost[0] or cost[2] <= COMPARED or (left_before is not None and 10 * cost[1] > 9 * left_before):
             break
         left_before = cost[1]
         met = placed.join(mixed.select("token", F.col("component").alias("top")), "token")
-        hubs = met.where("component = top").groupBy("token", "level").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cls"), "cls", "n")).alias("hub"))
-        star = met.where("component <> top").join(hubs, ["token", "level"]).where(near(F.col("n"), F.col("hub.n"))).select(
+        hubs = met.where("component = top").groupBy("token", "level").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cls"), *told)).alias("hub"))
+        star = met.where("component <> top").join(hubs, ["token", "level"]).where(possible("hub")).select(
             F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
         star = frames.kept(star.join(first, ["a", "b"], "left_anti"))
         links = frames.kept(links.union(verified(docs, members, star)))
@@ -300,16 +327,17 @@ def linked(docs: DataFrame) -> DataFrame:
         comps = frames.kept(frames.components(links))
     mixed = mixed.select("token", "component")
     some = placed.join(mixed.withColumnRenamed("component", "top"), "token")
-    left = some.where("component <> top").select("token", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "need", "component")])
-    meet = left.join(some, "token").where((F.col("x_component") != F.col("component")) & near(F.col("x_n"), F.col("n")) & (
-        (F.col("component") == F.col("top")) | (F.col("x_cls") < F.col("cls"))))
-    met = meet.select(F.least("x_cls", "cls").alias("a"), F.greatest("x_cls", "cls").alias("b"), F.lit(1).cast("long").alias("c"), F.least("x_need", "need").alias("need"))
+    left = some.where("component <> top").select("token", F.struct(*told, "component").alias("other"))
+    meet = some.join(left, "token").where((F.col("other.component") != F.col("component")) & possible("other") & (
+        (F.col("component") == F.col("top")) | (F.col("other.cls") < F.col("cls"))))
+    met = meet.select(F.least("other.cls", "cls").alias("a"), F.greatest("other.cls", "cls").alias("b"), F.lit(1).cast("long").alias("c"), F.least("other.need", "need").alias("need"))
     short = cold.where("c < need")
     second = met.union(short).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
     second = frames.kept(second.join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        more = verified(docs, members, second)
-        comps = frames.kept(frames.components(links.union(more)))
+        more = frames.kept(verified(docs, members, second))
+        if not more.isEmpty():
+            comps = frames.kept(frames.components(links.union(more)))
 
     whole = members.join(comps, F.col("cls") == F.col("node"), "left").select("doc_id", "n", "cls", F.coalesce("component", "cls").alias("component"))
     least = whole.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
