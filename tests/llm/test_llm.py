@@ -166,7 +166,9 @@ def test_pipeline_cuts_passages_by_word(odd):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "passages", "benchmark", "tokens"]
 
 
-def test_jaccard_loose_group_takes_more_hubs_and_loses_no_link(spark):
+@pytest.mark.parametrize("compared", [0, jaccard.COMPARED])
+def test_jaccard_loose_group_takes_more_hubs_and_loses_no_link(spark, monkeypatch, compared):
+    monkeypatch.setattr(jaccard, "COMPARED", compared)
     rng = np.random.default_rng(12)
     base = words(31, 200).split()
     rows = []
@@ -183,3 +185,11 @@ def test_jaccard_loose_group_takes_more_hubs_and_loses_no_link(spark):
                 group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
     got = {r["doc_id"]: r["component_id"] for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(enumerate(group))
+
+
+def test_jaccard_bounds_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        both, x, y = (rng.integers(1, 2**63, int(rng.integers(0, 300)), dtype=np.uint64) for _ in range(3))
+        bits = jaccard.parity(np.concatenate([both, x])) ^ jaccard.parity(np.concatenate([both, y]))
+        assert sum(int(b).bit_count() for b in bits.view(np.uint64)) <= len(x) + len(y)
