@@ -165,13 +165,35 @@ def normal_quantile(p: Column) -> Column:
     )
 
 
+def has_floating(kind: T.DataType) -> bool:
+    """Whether floating values stand anywhere in a type, map keys left out."""
+    if isinstance(kind, T.StructType):
+        return any(has_floating(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return has_floating(kind.elementType)
+    return has_floating(kind.valueType) if isinstance(kind, T.MapType) else isinstance(kind, FLOATING)
+
+
+def finite(c: Column, kind: T.DataType) -> Column:
+    """The value with null for each NaN or infinity in it; map keys stay."""
+    if not has_floating(kind):
+        return c
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[finite(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: finite(x, kind.valueType))
+    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+
+
 def json_safe(df: DataFrame) -> DataFrame:
-    """NaN and infinities become null, moments ISO text, intervals text."""
+    """NaN and infinities become null, also inside nested values; top-level moments ISO text, intervals text."""
     out = []
     for field in df.schema.fields:
         c = col(field.name)
-        if isinstance(field.dataType, FLOATING):
-            c = F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+        if has_floating(field.dataType):
+            c = finite(c, field.dataType)
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = iso_from_micros(micros(df, field.name))
         elif isinstance(field.dataType, (T.DateType, T.DayTimeIntervalType, T.YearMonthIntervalType)):

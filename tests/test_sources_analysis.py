@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import skimlark as sk
+from skimlark.functions.exprs import json_safe
 from skimlark.sources.delimited import header_scores, normalize_names, read_lines
 from skimlark.sources.errors import HeaderNotConfirmed, InputEmpty, InputMissing, UnsupportedSuffix
 
@@ -120,6 +121,14 @@ def test_encoding_check(spark, tmp_path):
     assert sk.encoding_check(raw).first()["bom"] is True
 
 
+def test_nested_values_are_json_safe(spark):
+    odd = spark.sql("select array(double('nan'), 1.0d, null) as a, named_struct('x', double('inf'), 'y', array(named_struct('z', float('nan')))) as s, "
+                    "map('k', double('-inf')) as m, cast(null as struct<x: double>) as n, array('t') as t")
+    row = json_safe(odd).first()
+    assert row["a"] == [None, 1.0, None] and row["s"]["x"] is None and row["s"]["y"][0]["z"] is None
+    assert row["m"] == {"k": None} and row["n"] is None and row["t"] == ["t"]
+
+
 def test_results_are_json_safe(spark, tmp_path):
     df = spark.sql("SELECT double('NaN') AS a, double('Infinity') AS b, 1.5D AS c, timestamp_ntz'2026-01-02 03:04:05' AS t")
     folder = sk.write_results({"r": df}, str(tmp_path / "out"))["r"]
