@@ -208,14 +208,24 @@ def _in_order(df, column, order_by, rows, config):
         .alias("monotonic_increasing"))
 
 
+def marked(c: Column, kind: T.DataType) -> Column:
+    """A value with null marks and lengths at every level, so that different nested values are hashed differently; maps by ascending key."""
+    if isinstance(kind, T.StructType):
+        return F.struct(c.isNull(), *[marked(c.getField(f.name), f.dataType) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return F.struct(c.isNull(), F.size(c), F.transform(c, lambda x: marked(x, kind.elementType)))
+    if isinstance(kind, T.MapType):
+        pairs = F.transform(F.array_sort(F.map_keys(c)), lambda k: F.struct(marked(k, kind.keyType), marked(F.element_at(c, k), kind.valueType)))
+        return F.struct(c.isNull(), F.size(c), pairs)
+    return F.struct(c.isNull(), c)
+
+
 def row_fingerprint(df: DataFrame) -> list[Column]:
     """128 bits that stand for a whole row: two seeded hashes over values and null marks."""
     parts = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, T.MapType):
-            continue
         c = present(df, f.name)
-        parts += [c.isNull(), c]
+        parts += [marked(c, f.dataType)] if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else [c.isNull(), c]
     return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "_h1"), (2, "_h2"))]
 
 

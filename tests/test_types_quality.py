@@ -107,6 +107,15 @@ def test_constant_column_profile(spark):
     assert (p["std"], p["variance"], p["outlier_count"], p["skewness"]) == (0.0, 0.0, 0, None)
 
 
+@pytest.mark.parametrize("values", [
+    "array(1, null), array(null, 1), array(1), cast(null as array<int>), array(), array(1)",
+    "array(array(1), array(2)), array(array(1, 2)), array(array(1), array(2)), array(array(1, 2), array()), array(), null",
+    "struct(null, 1), struct(1, null), struct(1, 1), struct(null, null), null, struct(1, 1)",
+    "map('a', 1), map('a', 2), map('b', 1, 'a', 2), map('a', 2, 'b', 1), map(), map('a', null)"])
+def test_nested_values_that_differ_are_no_duplicates(spark, values):
+    assert sk.duplicate_rows(spark.sql(f"select explode(array({values})) as v")).first()["duplicate_rows"] == 1
+
+
 def test_duplicates_are_null_safe(spark):
     rows = [(1, None, 0.0), (1, None, -0.0), (None, 1, 0.0), (1, None, float("nan")), (1, None, float("nan"))]
     got = sk.duplicate_rows(spark.createDataFrame(rows, "a int, b int, c double")).first()
