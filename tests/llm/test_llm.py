@@ -135,6 +135,21 @@ def test_wrappers_keep_the_article_only(spark):
     assert got[5] == "p first long text\nsame line"
 
 
+def test_wrappers_drop_blocks_constant_over_the_host_inside_the_article():
+    body = lambda k, edit="": "".join(f"<p>{words(10 * k + j, 30)}{edit}</p>" for j in range(1 + k))
+    page = lambda k, edit="": f"<body><article><h4>Reader service</h4>{body(k, edit)}<p>By <b>{words(k, 2)}</b></p><p>All rights reserved</p></article></body>"
+    lines = lambda k, edit="": [words(10 * k + j, 30) + edit for j in range(1 + k)] + [f"By {words(k, 2)}"]
+    assert [t.split("\n") for t in wrappers.main_texts([page(k) for k in range(4)])] == [lines(k) for k in range(4)]
+    # copies and near copies of one page do not agree on its text, three pages that differ do
+    near = wrappers.main_texts([page(2, e) for e in ("", "", " x", " y", " z")])
+    assert [t.split("\n") for t in near] == [["Reader service", *lines(2, e), "All rights reserved"] for e in ("", "", " x", " y", " z")]
+    mixed = wrappers.main_texts([page(2), page(2, " x"), page(2), page(1), page(3), None])
+    assert [t.split("\n") for t in mixed] == [lines(2), lines(2, " x"), lines(2), lines(1), lines(3), [""]]
+    # an article that is template is not the region
+    note = lambda k: f"<body><article><p>Read our terms</p></article><div><p>{words(k, 40)}</p><p>{words(k + 50, 40)}</p></div></body>"
+    assert wrappers.main_texts([note(k) for k in range(3)]) == [f"{words(k, 40)}\n{words(k + 50, 40)}" for k in range(3)]
+
+
 def test_language_model_learns_and_counts(spark):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(("a b c d" if i % 2 else "e f g h").split()[k % 4] for k in range(int(rng.integers(20, 60))))) for i in range(400)] + [(900, None), (901, ""), (900, "zzz")]
