@@ -5,8 +5,9 @@ words are taken over the whole corpus. The ``HEADS`` most frequent words form cl
 each class; all other words form tail classes by hash, within which a word has its smoothed share of the class's counts,
 unknown words together one count. The network gives P(class | history) * P(word | class, history).
 
-Training is truncated backpropagation through time in numpy, on ``share`` of the training documents: each task trains on its own documents
-from common weights, and the weights are averaged, ``ROUNDS`` times. The state is carried from window to window, in training and in
+Training is truncated backpropagation through time in numpy, on all training documents, or one in ``share`` of them if that is asked for:
+each task trains on its own documents, ``GATHERED`` tokens at a time, from common weights, and the weights are averaged by tokens, ``ROUNDS``
+times. Steps take more documents side by side where a task has many, so that the cost of a step is spread over them. The state is carried from window to window, in training and in
 scoring, so a document's score is its complete log-likelihood.
 
 Null and empty texts are the end token alone. Rows are scored one for one, repeated rows alike. An empty training set gives the
@@ -31,6 +32,8 @@ TAILS = 16
 HIDDEN = 24
 WINDOW = 16
 BATCH = 64
+WIDE = 512
+GATHERED = 1 << 18
 ROUNDS = 2
 KNOWN = 1 << 17
 END = np.array([1], np.uint64)
@@ -154,15 +157,21 @@ def prior(p: dict, vocabulary: Vocabulary) -> None:
     p["o"][: len(head_counts)] = np.log(head_counts + 1)
 
 
-def trained(p: dict, vocabulary: Vocabulary, streams: list[np.ndarray], rate: float = 0.01) -> tuple[dict, int]:
-    """Truncated backpropagation over windows of parallel documents, with Adam steps; returns weights and tokens seen."""
+def trained(p: dict, vocabulary: Vocabulary, streams: list[np.ndarray], rate: float = 0.01, state: dict | None = None) -> tuple[dict, int]:
+    """Truncated backpropagation over windows of parallel documents, with Adam steps; returns weights and tokens seen.
+
+    ``state`` keeps the moments of the steps from call to call.
+    """
     p = {k: v.copy() for k, v in p.items()}
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+    state = {} if state is None else state
+    moment = state.setdefault("moment", {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()})
     flat = np.concatenate(streams)
-    lanes = max(1, min(BATCH, len(flat) // (4 * WINDOW)))
-    steps = len(flat) // lanes
-    flat = flat[: lanes * steps].reshape(lanes, steps)
-    h, time, n = np.zeros((lanes, HIDDEN), np.float32), 0, HIDDEN
+    size = len(flat)
+    lanes = max(1, min(BATCH, size // (4 * WINDOW)), min(WIDE, size // (32 * WINDOW)))
+    steps = -(-size // lanes)
+    flat = np.concatenate([flat, np.repeat(END, lanes * steps - size)]).reshape(lanes, steps)
+    real = (np.arange(lanes * steps) < size).reshape(lanes, steps)
+    h, n = np.zeros((lanes, HIDDEN), np.float32), HIDDEN
     for start in range(0, steps - 1, WINDOW):
         window = flat[:, start : start + WINDOW + 1]
         if window.shape[1] < 2:
@@ -179,17 +188,22 @@ def trained(p: dict, vocabulary: Vocabulary, streams: list[np.ndarray], rate: fl
         probability = np.exp(class_logs(p, flat_states))
         _, parts = word_logs(p, vocabulary, flat_states, want, at)
         probability[np.arange(len(want)), want] -= 1
+        filled = None if real[-1, min(start + WINDOW, steps - 1)] else real[:, start + 1 : start + window.shape[1]].T.ravel()
+        if filled is not None:  # nothing is learnt from what fills the last lane
+            probability[~filled] = 0
         scale = np.float32(1 / lanes)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         g["c"], g["d"] = flat_states.T @ probability * scale, probability.sum(axis=0) * scale
         back = probability @ p["c"].T
         for group, span, e in parts:
             e[np.arange(len(group)), at[group]] -= 1
+            if filled is not None:
+                e[~filled[group]] = 0
             g["w"][span] += e.T @ flat_states[group] * scale
             g["o"][span] += e.sum(axis=0) * scale
             back[group] += e @ p["w"][span]
         back = (back * scale).reshape(len(states), lanes, n)
-        carry = np.zeros((lanes, n), np.float32)
+        carry, inputs = np.zeros((lanes, n), np.float32), []
         for t in range(len(states) - 1, -1, -1):
             before, z, r, new, row = kept[t]
             dh = back[t] + carry
@@ -199,19 +213,23 @@ def trained(p: dict, vocabulary: Vocabulary, streams: list[np.ndarray], rate: fl
             gates = np.concatenate([dz, dr, dnew], axis=1)
             g["u"] += before.T @ gates[:, : 2 * n]
             g["v"] += (r * before).T @ dnew
-            g["b"] += gates.sum(axis=0)
-            np.add.at(g["x"], row, gates)
+            inputs.append(gates)
             carry = dh * (1 - z) + drh * r + gates[:, : 2 * n] @ p["u"].T
             carry = np.where((window[:, t] == END)[:, None], np.float32(0), carry)
+        gates, row = np.concatenate(inputs), np.concatenate([step[4] for step in reversed(kept)])
+        order = np.argsort(row, kind="stable")
+        begins = np.flatnonzero(np.diff(row[order], prepend=-1))
+        g["x"][row[order][begins]] = np.add.reduceat(gates[order], begins, axis=0)
+        g["b"] = gates.sum(axis=0)
         size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-        time += 1
+        time = state["time"] = state.get("time", 0) + 1
         for k, v in g.items():
             v *= min(1.0, 5.0 / (size + 1e-9))
             m, s = moment[k]
             m += 0.1 * (v - m)
             s += 0.01 * (v * v - s)
             p[k] -= (rate * (m / (1 - 0.9**time)) / (np.sqrt(s / (1 - 0.99**time)) + 1e-6)).astype(np.float32)
-    return p, int(flat.size)
+    return p, int(real.sum())
 
 
 def scored(p: dict, vocabulary: Vocabulary, docs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -253,7 +271,7 @@ def scored(p: dict, vocabulary: Vocabulary, docs: list[np.ndarray]) -> tuple[np.
     return out, tails, counts
 
 
-def scores(docs: DataFrame, training: Column, share: int = 24) -> DataFrame:
+def scores(docs: DataFrame, training: Column, share: int = 1) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row; ``training`` says which rows are learnt from."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(True)).alias("learn"))
@@ -276,13 +294,31 @@ def scores(docs: DataFrame, training: Column, share: int = 24) -> DataFrame:
     vocabulary = Vocabulary(known_words, known_counts, total, distinct, mass)
     p = fresh()
     prior(p, vocabulary)
-    sample = d.where("learn").where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
+    sample = d.where("learn").select("text")
+    if share > 1:
+        sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
     for _ in range(ROUNDS):
         p = _averaged(sample, p, vocabulary)
     rows = _scored(d, spark.sparkContext.broadcast((p, vocabulary)))
     return _with_rare(rows, words, total, distinct, vocabulary)
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
+    """Token streams of all texts, GATHERED tokens or a little more at a time, and what is left; longer texts are cut there."""
+    streams, size = [], 0
+    for pdf in batches:
+        for t in pdf["text"]:
+            own = tokens(t)
+            for start in range(0, len(own), GATHERED):
+                streams.append(own[start : start + GATHERED])
+                size += len(streams[-1])
+                if size >= GATHERED:
+                    yield streams
+                    streams, size = [], 0
+    if size > 1:
+        yield streams
+
+
 def _averaged(sample: DataFrame, p: dict, vocabulary: Vocabulary) -> dict:
     """One round: every task trains on its documents from the same weights; weighted mean of the results, summed slice by slice."""
     names = sorted(p)
@@ -290,13 +326,10 @@ def _averaged(sample: DataFrame, p: dict, vocabulary: Vocabulary) -> dict:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         start, words = shipped.value
-        seen = 0
-        now = start
-        for pdf in batches:
-            streams = [tokens(t) for t in pdf["text"]]
-            if sum(map(len, streams)) >= 8 * WINDOW:
-                now, n = trained(now, words, streams)
-                seen += n
+        seen, now, state = 0, start, {}
+        for streams in _gathered(batches):
+            now, n = trained(now, words, streams, state=state)
+            seen += n
         if seen:
             flat = np.concatenate([now[k].ravel() for k in names]).astype(np.float64) * seen
             cuts = np.array_split(flat, 64)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,20 @@ def test_language_model_learns_and_counts(spark):
     assert language_model.scores(d.where("false"), F.lit(True)).count() == 0
 
 
+def test_language_model_trains_on_every_training_document(spark):
+    rows = [(i, words(i, 5 + i % 40)) for i in range(300)]
+    found = [language_model.tokens(t) for _, t in rows]
+    every, counts = np.unique(np.concatenate(found), return_counts=True)
+    vocabulary = language_model.Vocabulary(every, counts, int(counts.sum()), len(every), np.ones(language_model.TAILS))
+    batches = [pd.DataFrame({"text": [t]}) for _, t in rows]
+    gathered = list(language_model._gathered(iter(batches)))
+    assert sum(len(x) for streams in gathered for x in streams) == counts.sum()
+    assert sum(language_model.trained(language_model.fresh(), vocabulary, streams)[1] for streams in gathered) == counts.sum()
+    few = spark.createDataFrame([(t,) for _, t in rows], "text string").repartition(60)  # about 125 tokens in a task
+    assert any((language_model._averaged(few, language_model.fresh(), vocabulary)[k] != v).any() for k, v in language_model.fresh().items())
+    assert inspect.signature(language_model.scores).parameters["share"].default == 1
+
+
 def test_toxicity_ranks_planted_words(spark):
     rows = [(i, words(i, 60) + (" vile scum" if i % 3 == 0 else "") + " " + words(1000 + i, 40)) for i in range(300)] + [(900, None), (901, ""), (902, "scum")]
     d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")
