@@ -35,6 +35,7 @@ from skimlark.llm.jaccard import BUCKET, NEEDED, _dealt, packed, unpacked
 U = np.uint64
 LEAST_WORDS = 50
 WIDTH = LEAST_WORDS - text.WORDS + 1
+LEAST_COMMON = -(-2 * 75 * WIDTH // 175)  # shingles that two sets of WIDTH of similarity 0.75 have in common
 FUNCTIONS = 4
 LIST = 24
 RUN = 16
@@ -211,6 +212,13 @@ def _distinct(ordered: np.ndarray) -> np.ndarray:
     return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
 
 
+def _widened(low: int, high: int, n: int) -> tuple[int, int]:
+    """A place range around this one of WIDTH shingles at least, as far as a document of n shingles has them."""
+    missing = max(0, WIDTH - (high - low + 1))
+    low = max(0, min(low - missing // 2, n - WIDTH))
+    return low, min(n - 1, max(high, low + WIDTH - 1))
+
+
 def shared_spans(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     """Passages ``(first, last)`` in shingles of y, then of x, that hold an anchor and are similar enough, of 50 words at least."""
     out: list[tuple[int, int, int, int]] = []
@@ -229,11 +237,12 @@ def shared_spans(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]]) -
         for breaks in parted.values():
             k = int(np.searchsorted(breaks, here))
             low, high = at[breaks[k - 1] + 1] if k else at[0], at[breaks[k]] if k < len(breaks) else at[-1]
-            if high - low + 1 < WIDTH:
+            if high - low + 1 < LEAST_COMMON or len(y) < WIDTH:
                 return
-            span = _partner(x, y, cx, cy, int(low), int(high))
+            low, high = _widened(int(low), int(high), len(y))
+            span = _partner(x, y, cx, cy, low, high)
             if span is not None:
-                out.append((int(low), int(high), *span))
+                out.append((low, high, *span))
                 return
 
     for cx, cy in anchors:
@@ -241,12 +250,13 @@ def shared_spans(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]]) -
             tried(cx, cy)
     for breaks in (parted[GAP], parted[1]):  # the same passage may stand in y again, where no anchor is left
         begins, ends = np.append(0, breaks + 1), np.append(breaks, len(at) - 1)
-        for k in np.flatnonzero(at[ends] - at[begins] >= WIDTH - 1):
+        for k in np.flatnonzero(at[ends] - at[begins] >= LEAST_COMMON - 1):
             middle = int(at[(begins[k] + ends[k]) // 2])
             if not covered(middle):
-                for cx in np.flatnonzero(x == y[middle])[:4]:
-                    if not covered(middle):
-                        tried(int(cx), middle)
+                for cx in np.flatnonzero(x == y[middle]):
+                    if covered(middle):
+                        break
+                    tried(int(cx), middle)
     return out
 
 
@@ -262,10 +272,11 @@ def _partner(x: np.ndarray, y: np.ndarray, cx: int, cy: int, low: int, high: int
     breaks = np.flatnonzero(np.diff(hits) > GAP)
     first = hits[breaks[breaks < here][-1] + 1] if (breaks < here).any() else hits[0]
     last = hits[breaks[breaks >= here][0]] if (breaks >= here).any() else hits[-1]
-    b = _distinct(np.sort(x[begin + first : begin + last + 1]))
+    first, last = _widened(begin + int(first), begin + int(last), len(x))
+    b = _distinct(np.sort(x[first : last + 1]))
     both = int(_found(b, a).sum())
     if last - first + 1 >= WIDTH and 100 * both >= 75 * (len(a) + len(b) - both):
-        return begin + int(first), begin + int(last)
+        return first, last
     return None
 
 

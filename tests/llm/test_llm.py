@@ -68,6 +68,25 @@ def test_passages_find_copies_and_shared_passages(odd):
     assert passages.repeated(odd.where("false")).count() == 0
 
 
+def test_passages_behind_a_repeated_line_and_with_an_edit_near_their_end():
+    line, passage = words(70, 12), words(71, 60)
+    x = " ".join([*(f"{line} {words(80 + k, 40)}" for k in range(7)), words(90, 30), passage.replace(passage.split()[30], line, 1), words(91, 30)])
+    changed = passage.replace(passage.split()[30], line, 1)
+    y = " ".join([words(92, 100), changed, words(93, 90), changed, words(94, 30)])
+    own, other = text.shingles(x), text.shingles(y)
+    first = 100
+    anchor = (int(np.flatnonzero(own == other[first + 5])[0]), first + 5)
+    spans = passages.shared_spans(own, other, [anchor])
+    second = 100 + len(changed.split()) + 90
+    assert any(low <= second + 5 and high >= second + 45 for low, high, _, _ in spans)
+    whole = words(95, 50).split()
+    for k in range(50):
+        edited = [*whole[:k], "edited", *whole[k + 1 :]]
+        x, y = text.shingles(" ".join([words(96, 80), *whole, words(97, 80)])), text.shingles(" ".join([words(98, 70), *edited, words(99, 70)]))
+        at = [(80 + (35 if k < 25 else 5), 70 + (35 if k < 25 else 5))]
+        assert passages.shared_spans(x, y, at), k
+
+
 def test_decontamination_finds_items_in_long_documents(spark, odd):
     item = " ".join(words(5, 3000).split()[1000:1030])
     items = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "a b", "x"), (4, words(77, 30), "x"), (1, item, "x")], "item_id long, text string, doc_id string")
