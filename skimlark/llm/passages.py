@@ -11,8 +11,9 @@ Copies of a whole document (equal word sequences) are found first; only the one
 shared by up to ``LIST`` documents give all pairs; for more, each document meets the first one. Documents of such lists whose anchor then
 lies in no passage found are searched once more by exact runs: 40 common shingles of 46 stand in two runs at most, so a passage of
 similarity 0.75 has a common run of ``COMMON`` shingles, and of its windows of ``RUN`` shingles both documents pick the same least one.
-Picked windows of up to ``LIST`` documents give all pairs again, others link each document with the first: a passage is left out only
-where every picked window of it is shared by more than ``LIST`` documents and it is similar to none of their first ones.
+Picked windows of up to ``LIST`` documents give all pairs again, others link each document with the first. Places of long lists that lie
+in no passage found meet further hubs, the smallest document left of each list, ``TURNS`` times; what is then left is compared with all
+smaller documents of its lists that have one of the rarest shingles of its surroundings in common, as any two similar passages do.
 
 ``repeated`` returns one row per passage that a document with a smaller doc_id has, overlapping ones merged. Null, empty and
 short texts have no passage. Rows with null doc_id are not searched. Rows that share a doc_id are one document with several
@@ -38,6 +39,7 @@ WIDTH = LEAST_WORDS - text.WORDS + 1
 LEAST_COMMON = -(-2 * 75 * WIDTH // 175)  # shingles that two sets of WIDTH of similarity 0.75 have in common
 FUNCTIONS = 4
 LIST = 24
+TURNS = 3
 RUN = 16
 COMMON = 20
 GAP = 12
@@ -201,6 +203,59 @@ def run_keys(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "key long, doc long, place long")
 
 
+def contexts(docs: DataFrame, places: DataFrame, before: int, after: int) -> DataFrame:
+    """``(key, doc, place, least, own)`` for ``places`` (key, doc, place): distinct shingles from ``before`` ahead of a place to ``after`` behind it.
+
+    Similar passages around two such places share ``least`` of these shingles at least.
+    """
+    wanted = frames.kept(places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "place")).alias("at")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, t, at in zip(pdf["doc_id"], pdf["text"], pdf["at"], strict=True):
+                s = text.shingles(t)
+                for r in at:
+                    k = r["place"]
+                    fewest = WIDTH
+                    for low in range(max(0, k + RUN - WIDTH), min(k, len(s) - WIDTH) + 1):
+                        fewest = min(fewest, len(np.unique(s[low : low + WIDTH])))
+                    rows.append((r["key"], i, k, -(-3 * fewest // 4), np.unique(s[max(0, k - before) : k + after]).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["key", "doc", "place", "least", "own"])
+
+    return docs.join(wanted, "doc_id").mapInPandas(run, "key long, doc long, place long, least int, own array<long>")
+
+
+def remaining_pairs(docs: DataFrame, left: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(a, b, x, y)``: places of long lists left over, with every place of a smaller document of the list that may be similar.
+
+    Of two sets with ``least`` common shingles, each has one of them among all but its last ``least - 1``, in any order. Frequent
+    shingles come last, so a line that all have in common links nobody.
+    """
+    mine = frames.kept(contexts(docs, left, WIDTH - RUN, WIDTH))
+    lists = frames.kept(left.select("key").distinct())
+    theirs = contexts(docs, keys.join(lists, "key", "left_semi").select("key", "doc", "place"), WIDTH - 1, RUN + WIDTH)
+    counts = mine.select("doc", F.explode("own").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(f"n > {LIST}")
+    often = counts.orderBy(F.desc("n"), "g").limit(GATHERED // 10).toPandas()
+    shipped = docs.sparkSession.sparkContext.broadcast(np.sort(often["g"].to_numpy(np.int64)))
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n, picked = [], []
+            for own, least in zip(pdf["own"], pdf["least"], strict=True):
+                own = np.sort(np.asarray(own, np.int64))
+                order = own[np.argsort(_found(own, shipped.value), kind="stable")]
+                picked.append(order[: max(0, len(order) - least + 1)])
+                n.append(len(picked[-1]))
+            out = pdf[["key", "doc", "place"]]
+            yield out.loc[out.index.repeat(n)].assign(g=np.concatenate(picked) if picked else np.zeros(0, np.int64))
+
+    schema = "key long, doc long, place long, g long"
+    b = mine.mapInPandas(rarest, schema).select("key", "g", F.col("doc").alias("b"), F.col("place").alias("y"))
+    a = theirs.mapInPandas(rarest, schema).select("key", "g", F.col("doc").alias("a"), F.col("place").alias("x"))
+    return b.join(a, ["key", "g"]).where("a < b").select("a", "b", "x", "y")
+
+
 def _found(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which values stand in the ordered ones."""
     if not len(ordered):
@@ -335,7 +390,34 @@ def repeated(docs: DataFrame) -> DataFrame:
     second = second.groupBy("a", "b").agg(F.array(F.min(F.struct("x", "y"))).alias("places"))
     second = frames.kept(second.join(first.select("a", "b"), ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        spans = spans.union(verified(singles, second))
+        spans = frames.kept(spans.union(verified(singles, second)))
+
+    def uncovered(rows: DataFrame, by: DataFrame) -> DataFrame:
+        s = by.select(F.col("b").alias("doc"), "b_first", "b_last").distinct()
+        return frames.kept(rows.join(s, (rows["b"] == s["doc"]) & rows["y"].between(s["b_first"], s["b_last"]), "left_anti"))
+
+    def new(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+        once = pairs.groupBy("a", "b").agg(F.array(F.min(F.struct("x", "y"))).alias("places"))
+        return frames.kept(once.join(tried, ["a", "b"], "left_anti"))
+
+    tried = first.select("a", "b").union(second.select("a", "b"))
+    left = uncovered(own.join(lists.where(f"n > {LIST}").select("key", F.col("hub.doc").alias("least")), "key").where("b > least").drop("least"), spans)
+    waiting = left
+    for _ in range(TURNS):
+        if waiting.isEmpty():
+            break
+        hubs = frames.kept(waiting.groupBy("key").agg(F.min(F.struct("b", "y")).alias("hub")))
+        waiting = frames.kept(waiting.join(hubs, "key").where("b > hub.b"))
+        pairs = new(waiting.select(F.col("hub.b").alias("a"), "b", F.col("hub.y").alias("x"), "y"), tried)
+        waiting = waiting.drop("hub")
+        if not pairs.isEmpty():
+            got = frames.kept(verified(singles, pairs))
+            tried, spans = tried.union(pairs.select("a", "b")), spans.union(got)
+            left, waiting = uncovered(left, got), uncovered(waiting, got)
+    if not left.isEmpty():
+        pairs = new(remaining_pairs(singles, left.select("key", F.col("b").alias("doc"), F.col("y").alias("place")), keys), tried)
+        if not pairs.isEmpty():
+            spans = spans.union(verified(singles, pairs))
 
     found = spans.select(F.col("b").alias("doc_id"), F.col("a").alias("source_id"), F.col("b_first").alias("start_word"), (F.col("b_last") + text.WORDS).alias("end_word"))
     before = W.partitionBy("doc_id").orderBy("start_word", "end_word")

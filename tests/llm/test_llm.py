@@ -68,6 +68,20 @@ def test_passages_find_copies_and_shared_passages(odd):
     assert passages.repeated(odd.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("turns", [0, 3])
+def test_passages_of_long_lists_whose_first_documents_hold_parts_only(spark, monkeypatch, turns):
+    monkeypatch.setattr(passages, "TURNS", turns)
+    whole, other = words(60, 60).split(), words(61, 60).split()
+    rows = [(0, " ".join([words(100, 50), *whole[:40], words(101, 50)])), (1, " ".join([words(102, 50), *whole[20:], words(103, 50)]))]
+    rows += [(2, " ".join([words(104, 50), *other[:38], words(105, 50)]))]
+    rows += [(10 + k, " ".join([words(200 + 2 * k, 60), *whole, words(201 + 2 * k, 60)])) for k in range(30)]
+    rows += [(50 + k, " ".join([words(300 + 2 * k, 60), *other[:38], words(301 + 2 * k, 60)])) for k in range(30)]  # a line in common, no passage
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert set(range(11, 40)) <= set(got.doc_id) and not set(got.doc_id) & set(range(50, 90))
+    here = got[got.doc_id.between(11, 39)]
+    assert (here.start_word <= 62).all() and (here.end_word >= 118).all()
+
+
 def test_passages_behind_a_repeated_line_and_with_an_edit_near_their_end():
     line, passage = words(70, 12), words(71, 60)
     x = " ".join([*(f"{line} {words(80 + k, 40)}" for k in range(7)), words(90, 30), passage.replace(passage.split()[30], line, 1), words(91, 30)])
