@@ -3,7 +3,8 @@
 Items are partitioned by the size of their shingle set: (u/2, u] for powers of two u. For each partition a document is cut
 into blocks of 2u shingles that overlap by u, so every passage of up to u shingles lies whole in one block, and containment of
 an item bounds its Jaccard similarity with that block from below. From this bound follows the number of min-hashes that
-miss a block with probability ``MISS`` at most; one equal min-hash makes a candidate. Candidates are verified by exact shingle
+miss a block with probability ``MISS`` at most; one equal min-hash makes a candidate. Items of up to ``SMALL`` shingles are looked up by
+shingles instead: a document that holds an item has one of any ``n - needed + 1`` of its n shingles, so none is missed. Candidates are verified by exact shingle
 containment in the whole document: 100 * shared >= 75 * item's shingles.
 
 Items go out in slabs of ``ITEMS`` rows, each broadcast with that bound; documents are only mapped, never shuffled. Null and
@@ -40,8 +41,8 @@ def partition(n: int) -> int:
 def hashes_needed(u: int) -> int:
     """Min-hashes after which a block that holds the item is missed with probability MISS at most."""
     t = CONTAINED / 100
-    jaccard = min(t * q / (2 * u + q - t * q) for q in (max(1, u // 2), u)) if u > SMALL else t / (2 * u + 1 - t)
-    return math.ceil(math.log(MISS) / math.log(1 - jaccard)) if u > SMALL else 48
+    jaccard = min(t * q / (2 * u + q - t * q) for q in (max(1, u // 2), u))
+    return math.ceil(math.log(MISS) / math.log(1 - jaccard))
 
 
 class Index:
@@ -49,7 +50,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = [(i, s) for i, s in items if len(s)]
-        self.classes = sorted({partition(len(s)) for _, s in self.items})
+        self.classes = sorted({partition(len(s)) for _, s in self.items} - {SMALL})
+        self.holders: dict[int, list[int]] = {}
         self.k = {u: hashes_needed(u) for u in self.classes}
         most = max(self.k.values(), default=0)
         self.turns = np.random.default_rng(5).integers(1, 2**63, most, dtype=np.uint64) | U(1)
@@ -57,19 +59,31 @@ class Index:
         self.marks = {u: np.zeros((self.k[u], 1 << 16), bool) for u in self.classes}
         for at, (_, s) in enumerate(self.items):
             u = partition(len(s))
+            if u == SMALL:
+                for g in s[: len(s) - -(-CONTAINED * len(s) // 100) + 1].tolist():
+                    self.holders.setdefault(g, []).append(at)
+                continue
             for f in range(self.k[u]):
                 low = int((s * self.turns[f]).min())
                 self.owners.setdefault((u, f, low), []).append(at)
                 self.marks[u][f, self.slot(np.uint64(low))] = True
 
+        self.held = np.array(sorted(self.holders), np.uint64)
+
     @staticmethod
     def slot(low: np.ndarray) -> np.ndarray:
         return (low ^ (low >> U(20)) ^ (low >> U(40))) & U(0xFFFF)
 
     def candidates(self, sets: list[np.ndarray]) -> list[set[int]]:
-        """For each ordered shingle array the items that share a min-hash with one of its blocks."""
+        """For each ordered shingle array the items that share a min-hash with one of its blocks, or a looked-up shingle."""
         found: list[set[int]] = [set() for _ in sets]
         filled = [(d, s) for d, s in enumerate(sets) if len(s)]
+        if filled and len(self.held):
+            every = np.concatenate([s for _, s in filled])
+            place = np.minimum(np.searchsorted(self.held, every), len(self.held) - 1)
+            ends = np.cumsum([len(s) for _, s in filled])
+            for at in np.flatnonzero(self.held[place] == every):
+                found[filled[int(np.searchsorted(ends, at, side="right"))][0]].update(self.holders[int(every[at])])
         if not filled or not self.classes:
             return found
         padded = [np.concatenate([s, np.repeat(s[-1:], -len(s) % SMALL)]) for _, s in filled]

@@ -109,6 +109,17 @@ def test_decontamination_finds_items_in_long_documents(spark, odd):
     assert decontaminate.contaminated(odd, items.where("false")).count() == 0
 
 
+def test_decontamination_misses_no_short_item_in_long_documents():
+    docs = [text.shingles(words(k, 2000)) for k in range(20)]
+    items = [(100 * k + 10 * n + j, words(k, 2000).split()[97 * j + 3 :][: n + 4]) for k in range(20) for n in (1, 2, 8) for j in range(20)]
+    index = decontaminate.Index([(i, text.shingle_set(" ".join(w))) for i, w in items])
+    found = index.candidates(docs)
+    for at, (i, wanted) in enumerate(index.items):
+        for d, s in zip(docs, found, strict=True):
+            if 100 * int(np.isin(wanted, d).sum()) >= decontaminate.CONTAINED * len(wanted):
+                assert at in s, i
+
+
 def test_bpe_equals_the_library_and_decodes(spark, odd):
     from tokenizers import Tokenizer
 
