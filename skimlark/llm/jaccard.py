@@ -257,7 +257,10 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame
     found = wanted.select("doc_id").distinct()
     if found.count() <= NEEDED:
         found = F.broadcast(found)
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id", "left_semi")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    some = d.join(found, "doc_id", "left_semi")
+    if not wanted.where("doc_id is null").isEmpty():  # classes of rows without id alone: they are found by their sets below
+        some = some.union(d.where("doc_id is null"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -61,6 +61,14 @@ def test_jaccard_long_lists_link_near_copies(spark):
     assert [r[0] for r in got] == [0]
 
 
+def test_jaccard_row_without_id_links_two_documents(spark):
+    w = words(150, 200).split()
+    rows = [(1, " ".join(w)), (None, " ".join([*w[:180], *words(151, 12).split()])), (2, " ".join([*w[:150], *words(151, 12).split()])), (3, words(152, 100))]
+    assert similar(rows[0][1], rows[1][1]) and similar(rows[1][1], rows[2][1]) and not similar(rows[0][1], rows[2][1])
+    got = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (None, 1), (2, 1), (3, 3)}
+
+
 def test_passages_find_copies_and_shared_passages(odd):
     got = [(r["doc_id"], r["source_id"], r["start_word"], r["end_word"]) for r in passages.repeated(odd).collect()]
     assert (2, 0, 0, 300) in got and (8, 0, 80, 150) in got
