@@ -189,3 +189,16 @@ def test_entry_points(spark):
     import __spark_entry__ as entry
     assert entry.entry(spark).count() == 8
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_csv_scan_keeps_late_cells_other_column_orders_and_long_integers(spark, tmp_path):
+    from skimlark.sources.delimited import csv_scan
+
+    (tmp_path / "a.csv").write_text("name,amount\n" + "".join(f"n{i},{i}\n" for i in range(40)) + "late,7,extra\n")
+    (tmp_path / "b b.csv").write_text("amount,name,id\n" + "".join(f"{i},m{i},{1234567890123456789 + i}\n" for i in range(40)))
+    got = csv_scan(spark, str(tmp_path), header=0)
+    rows = {r["name"]: r for r in got.collect()}
+    assert rows["m5"]["amount"] == 5 and rows["m5"]["id"] == 1234567890123456794 and dict(got.dtypes)["id"] == "bigint"
+    assert "extra" in rows["late"].asDict().values() and len(rows) == 81
+    (tmp_path / "c.csv").write_text("id\n" + "12345678901234567890\n12345678901234567891\n")
+    assert csv_scan(spark, str(tmp_path / "c.csv"), header=0).distinct().count() == 2
