@@ -174,16 +174,16 @@ def has_floating(kind: T.DataType) -> bool:
     return has_floating(kind.valueType) if isinstance(kind, T.MapType) else isinstance(kind, FLOATING)
 
 
-def finite(c: Column, kind: T.DataType) -> Column:
+def finite_value(c: Column, kind: T.DataType) -> Column:
     """The value with null for each NaN or infinity in it; map keys stay."""
     if not has_floating(kind):
         return c
     if isinstance(kind, T.StructType):
-        return F.when(c.isNotNull(), F.struct(*[finite(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+        return F.when(c.isNotNull(), F.struct(*[finite_value(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
     if isinstance(kind, T.ArrayType):
-        return F.transform(c, lambda x: finite(x, kind.elementType))
+        return F.transform(c, lambda x: finite_value(x, kind.elementType))
     if isinstance(kind, T.MapType):
-        return F.transform_values(c, lambda _, x: finite(x, kind.valueType))
+        return F.transform_values(c, lambda _, x: finite_value(x, kind.valueType))
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
@@ -193,7 +193,7 @@ def json_safe(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         c = col(field.name)
         if has_floating(field.dataType):
-            c = finite(c, field.dataType)
+            c = finite_value(c, field.dataType)
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = iso_from_micros(micros(df, field.name))
         elif isinstance(field.dataType, (T.DateType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
