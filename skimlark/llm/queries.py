@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skimlark.llm import bpe, chat, decontaminate, fingerprints, jaccard, language_model, passages, toxicity, urls, wrappers
+from skimlark.llm import (
+    alignment, bpe, chat, decontaminate, divergence, fingerprints, jaccard, language_model, passages, repetition, toxicity, urls, wrappers)
 from skimlark.llm.frames import reader
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,10 +21,10 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -126,3 +127,71 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(reader(spark, sf_dir, "documents"), reader(spark, sf_dir, "labels"), remainder(4) != 2)
+
+
+@query
+def op11_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judged(reader(spark, sf_dir, "documents"))
+
+
+def _repetition_sql() -> str:
+    """Word windows as text, counted and numbered within their document; later ones cover their words."""
+    lengths = sorted(repetition.LIMITS)
+    windows = "\nUNION ALL ".join(
+        f"SELECT doc_id, {n} AS n, i, list_aggregate(w[i:i+{n - 1}], 'string_agg', ' ') AS g FROM words, unnest(range(1, len(w) - {n - 2})) t(i) WHERE len(w) >= {n}"
+        for n in (repetition.WINDOW, *lengths))
+    covers = ", ".join(f"coalesce(sum(chars) FILTER (n = {n}), 0)::BIGINT AS chars_{n}" for n in lengths)
+    over = " OR ".join(f"100 * coalesce(chars_{n}, 0) > {limit} * word_chars" for n, limit in sorted(repetition.LIMITS.items()))
+    shown = ", ".join(f"coalesce(chars_{n}, 0)::BIGINT AS chars_{n}" for n in lengths)
+    return rf"""
+WITH words AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS ({windows}),
+marked AS (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, g) AS c, row_number() OVER (PARTITION BY doc_id, n, g ORDER BY i) AS r FROM windows),
+places AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS j FROM marked WHERE CASE WHEN n = {repetition.WINDOW} THEN c > 1 ELSE r > 1 END),
+cover AS (SELECT p.doc_id, n, length(w[j]) AS chars FROM places p JOIN words USING (doc_id)),
+covered AS (SELECT doc_id, count(*) FILTER (n = {repetition.WINDOW}) AS repeat_words, {covers} FROM cover GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+line_cover AS (SELECT doc_id, sum((c - 1) * length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')))::BIGINT AS line_chars
+  FROM (SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words) GROUP BY doc_id, line) GROUP BY doc_id),
+facts AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+  coalesce(repeat_words, 0)::BIGINT AS n_repeat_words, {shown}, coalesce(line_chars, 0)::BIGINT AS line_chars
+  FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN line_cover USING (doc_id)),
+judged AS (SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.REPEAT_WORDS} * n_words AS base_failed,
+  {over} OR 100 * line_chars > {repetition.LINE_LIMIT} * word_chars AS over FROM facts)
+SELECT * EXCLUDE (over), NOT base_failed AND NOT over AS kept FROM judged"""
+
+
+ORACLES["op11_repetition_rules"] = _repetition_sql()
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(reader(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(reader(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+occurrences AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^ -@[-`{-]+')) AS term FROM d),
+vocabulary AS (SELECT lang, term, count(*) AS n FROM occurrences GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.LEAST_DOCS}),
+groups AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT lang, source, term, count(*) AS n FROM occurrences SEMI JOIN vocabulary USING (lang, term) GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, v.term, v.n AS lang_n, coalesce(o.n, 0) AS n, sum(coalesce(o.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total,
+  count(*) OVER (PARTITION BY g.lang, g.source) AS v, sum(v.n) OVER (PARTITION BY g.lang, g.source) AS lang_total
+  FROM groups g JOIN vocabulary v USING (lang) LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = v.term),
+shares AS (SELECT lang, source, term, n, 1 + ({divergence.SCALE}::HUGEINT * (n + 1)) // (total + v) AS p,
+  1 + ({divergence.SCALE}::HUGEINT * (lang_n + 1)) // (lang_total + v) AS q FROM grid),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM shares WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM found
+QUALIFY part = 'pair' OR rank <= {divergence.RANKS}"""
