@@ -179,7 +179,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op13_source_divergence"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-occurrences AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^ -@[-`{-]+')) AS term FROM d),
+occurrences AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
 vocabulary AS (SELECT lang, term, count(*) AS n FROM occurrences GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.LEAST_DOCS}),
 groups AS (SELECT DISTINCT lang, source FROM d),
 own AS (SELECT lang, source, term, count(*) AS n FROM occurrences SEMI JOIN vocabulary USING (lang, term) GROUP BY ALL),
