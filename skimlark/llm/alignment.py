@@ -7,7 +7,7 @@ above ``CHUNK`` bytes is dealt to the cluster by byte ranges, whose fragments a
 
 Neither tokenizer joins a space between two other characters to what precedes it, so texts are encoded by units that begin with
 such a space; a byte range encodes the units it touches and keeps the tokens that end in it. A unit longer than ``CHUNK`` lies in
-one range. Units seen lately are kept, bounded in bytes, for the time of a task.
+one range. Tokens of units met before are kept, bounded in bytes, for the time of a task; short texts are walked as one stream.
 
 Links are the pairs of overlapping tokens. Their corpus-wide counts are summed by pair; pairs above one in ``HEAVY`` of all links
 (or all pairs, while no more than ``HEAVY`` differ) go to every task as one sorted table, the others are joined by shuffle.
@@ -22,7 +22,8 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import cache
+from itertools import accumulate, chain
 from typing import NamedTuple
 
 import numpy as np
@@ -37,9 +38,9 @@ from skimlark.llm.frames import kept, written
 CHUNK = 65_536  # bytes of a range
 FAN_IN = 8  # fragments that one reduction composes
 HEAVY = 1_000_000  # pairs sent to every task at most
-SLICE = 1_000_000  # characters encoded together
-CACHED = 24_000_000  # bytes of units kept by a task, about
-LONG_UNIT = 64  # longer units are not kept
+SLICE = 1_000_000  # bytes encoded together
+CACHED = 64_000_000  # bytes of units kept by a task, about
+WIDEST = 65_536  # tokens of a vocabulary
 HELD = 1_000_000  # distinct pairs that a task holds while counting
 _ODD = re.compile(r"\s |^ | $| \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -48,13 +49,13 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 class Open(NamedTuple):
     """Tokens of both kinds in order, with the byte offset where each ends."""
 
-    a: list[int]
-    a_ends: list[int]
-    b: list[int]
-    b_ends: list[int]
+    a: np.ndarray
+    a_ends: np.ndarray
+    b: np.ndarray
+    b_ends: np.ndarray
 
-    def __add__(self, other: Open) -> Open:
-        return Open(*[x + y for x, y in zip(self, other, strict=True)])
+    def part(self, a: slice, b: slice) -> Open:
+        return Open(self.a[a], self.a_ends[a], self.b[b], self.b_ends[b])
 
 
 class Closed(NamedTuple):
@@ -77,12 +78,50 @@ class Fragment(NamedTuple):
     tail: Open
 
 
-NO_TOKENS = Open([], [], [], [])
+NO_TOKENS = Open(*[np.zeros(0, np.int64)] * 4)
 NOTHING = Closed(b"", b"", 0, 0, 0)
 IDENTITY = Fragment(True, False, NO_TOKENS, NOTHING, NO_TOKENS)
 
 
+@cache
+def spelled() -> list[bytes]:
+    """Token numbers with the mark that follows: comma, bar after the last A, semicolon after the last B of a group."""
+    return [b"%d%b" % (i, mark) for mark in (b",", b"|", b";") for i in range(WIDEST)]
+
+
+def walked(tokens: Open) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of ``spelled`` in writing order, links and the offset where each ends, and the offsets where groups end."""
+    a, a_ends, b, b_ends = tokens
+    at = np.searchsorted(b_ends, a_ends)
+    both = b_ends[np.minimum(at, len(b_ends) - 1)] == a_ends
+    last_a, last_b = np.flatnonzero(both), at[both]
+    more = b_ends[a_ends[np.minimum(np.searchsorted(a_ends, b_ends), len(a_ends) - 1)] != b_ends]
+    links_end = np.insert(a_ends, np.searchsorted(a_ends, more), more)
+    links = a[np.searchsorted(a_ends, links_end)] << 16 | b[np.searchsorted(b_ends, links_end)]
+    codes = np.empty(len(a) + len(b), np.int64)
+    marked_a, marked_b = a.copy(), b.copy()
+    marked_a[last_a] += WIDEST
+    marked_b[last_b] += 2 * WIDEST
+    before = np.r_[0, last_b[:-1] + 1]  # B tokens of earlier groups
+    codes[np.arange(len(a)) + np.repeat(before, np.diff(last_a, prepend=-1))] = marked_a
+    codes[np.arange(len(b)) + np.repeat(last_a + 1, np.diff(last_b, prepend=-1))] = marked_b
+    return codes, links.astype("<u4"), links_end, a_ends[both]
+
+
+def joined(tokens: Open) -> Closed:
+    """The groups of tokens whose last ones end together."""
+    if not len(tokens.a):
+        return NOTHING
+    codes, links, _, groups = walked(tokens)
+    return Closed(b"".join(map(spelled().__getitem__, codes.tolist()))[:-1], links.tobytes(), len(tokens.a), len(tokens.b), len(groups))
+
+
+def beside(x: Open, y: Open) -> Open:
+    return Open(*[np.concatenate(v) for v in zip(x, y, strict=True)])
+
+
 def merged(parts: list[Closed]) -> Closed:
+    """Neighbouring groups as one run of groups."""
     parts = [p for p in parts if p.n_groups]
     if len(parts) < 2:
         return parts[0] if parts else NOTHING
@@ -90,48 +129,28 @@ def merged(parts: list[Closed]) -> Closed:
                   sum([p.n_b for p in parts]), sum([p.n_groups for p in parts]))
 
 
-def group(tokens: Open) -> Closed:
-    """One group of all these tokens."""
-    a, a_ends, b, b_ends = tokens
-    if not a and not b:
-        return NOTHING
-    links, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        links.append(a[i] << 16 | b[j])
-        x, y = a_ends[i], b_ends[j]
-        i += x <= y
-        j += y <= x
-    text = f"{','.join(map(str, a))}|{','.join(map(str, b))}".encode()
-    return Closed(text, np.array(links, "<u4").tobytes(), len(a), len(b), 1)
-
-
 def fragment(tokens: Open, ok: bool = True) -> Fragment:
     """The fragment of the tokens that end in a byte range."""
-    a, a_ends, b, b_ends = tokens
-    cuts = sorted(set(a_ends) & set(b_ends))
-    if not cuts:
+    cuts = np.intersect1d(tokens.a_ends, tokens.b_ends)
+    if not len(cuts):
         return Fragment(ok, False, tokens, NOTHING, NO_TOKENS)
-    parts, i, j = [], 0, 0
-    for cut in cuts:
-        x, y = a_ends.index(cut, i) + 1, b_ends.index(cut, j) + 1
-        parts.append(Open(a[i:x], a_ends[i:x], b[j:y], b_ends[j:y]))
-        i, j = x, y
-    return Fragment(ok, True, parts[0], merged([group(p) for p in parts[1:]]), Open(a[i:], a_ends[i:], b[j:], b_ends[j:]))
+    (a, x), (b, y) = (np.searchsorted(e, cuts[[0, -1]], "right") for e in (tokens.a_ends, tokens.b_ends))
+    return Fragment(ok, True, tokens.part(slice(a), slice(b)), joined(tokens.part(slice(a, x), slice(b, y))), tokens.part(slice(x, None), slice(y, None)))
 
 
 def compose(x: Fragment, y: Fragment) -> Fragment:
     """The fragment of two neighbouring ranges; associative, with ``IDENTITY``."""
     ok = x.ok and y.ok
     if not y.cut:
-        return Fragment(ok, True, x.head, x.closed, x.tail + y.head) if x.cut else Fragment(ok, False, x.head + y.head, NOTHING, NO_TOKENS)
+        return Fragment(ok, True, x.head, x.closed, beside(x.tail, y.head)) if x.cut else Fragment(ok, False, beside(x.head, y.head), NOTHING, NO_TOKENS)
     if not x.cut:
-        return Fragment(ok, True, x.head + y.head, y.closed, y.tail)
-    return Fragment(ok, True, x.head, merged([x.closed, group(x.tail + y.head), y.closed]), y.tail)
+        return Fragment(ok, True, beside(x.head, y.head), y.closed, y.tail)
+    return Fragment(ok, True, x.head, merged([x.closed, joined(beside(x.tail, y.head)), y.closed]), y.tail)
 
 
 def whole(x: Fragment) -> Closed:
     """All groups of a text whose ranges are all composed."""
-    return merged([group(x.head), x.closed, group(x.tail)]) if x.ok else NOTHING
+    return merged([joined(x.head), x.closed, joined(x.tail)]) if x.ok else NOTHING
 
 
 def units_of(text: str) -> list[str]:
@@ -139,13 +158,6 @@ def units_of(text: str) -> list[str]:
     return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
 
-class Unit(NamedTuple):
-    ok: bool
-    size: int
-    closed: Closed
-    tokens: Open
-
-
 class Encoders:
     """Both tokenizers, with the bytes of each of their tokens."""
 
@@ -160,84 +172,122 @@ class Encoders:
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         of_letter = {letter: byte for byte, letter in byte_letters().items()}
-        self.a_bytes = {i: bytes(of_letter[c] for c in t) if all(c in of_letter for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        letters = {t: i for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        if max(letters.values(), default=0) >= WIDEST or len(pieces) > WIDEST:
+            raise ValueError(f"links are packed for vocabularies of at most {WIDEST} tokens")
+        self.a_bytes = [b""] * (1 + max(letters.values(), default=0))
+        for t, i in letters.items():
+            self.a_bytes[i] = bytes(of_letter[c] for c in t) if all(c in of_letter for c in t) else t.encode()
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        if max(self.a_bytes, default=0) >> 16 or len(pieces) >> 16:
-            raise ValueError("links are packed for vocabularies of at most 65536 tokens")
-
-    def units(self, texts: list[str]) -> list[Unit]:
-        """Each text with a space before, encoded by both and cut into groups."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b_ids = self.b.encode(texts, num_threads=1)
-        return [self.unit(t, a, b) for t, a, b in zip(texts, a_ids, b_ids, strict=True)]
-
-    def unit(self, text: str, a: list[int], b: list[int]) -> Unit:
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        raw = (" " + text).encode()
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-            return Unit(False, len(raw), NOTHING, NO_TOKENS)
-        tokens = Open(a, list(accumulate(map(len, a_parts))), b, list(accumulate(map(len, b_parts))))
-        f = fragment(tokens)
-        return Unit(True, len(raw), whole(f), tokens)
+        self.a_size, self.b_size = (np.array([len(v) for v in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+
+    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """The tokens of each text with a space before, each kind as one array with the number of each text, and whether both spell it."""
+        spaced = [" " + t for t in texts]
+        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        raw = "".join(spaced).encode()
+        ends = np.cumsum(np.fromiter((len(t.encode()) for t in spaced), np.int64, len(texts)))
+        ok, out = np.ones(len(texts), bool), []
+        for ids, table, size in ((a, self.a_bytes, self.a_size), (b, self.b_bytes, self.b_size)):
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = list(chain.from_iterable(ids))
+            values = np.array(flat, np.int64)
+            out.append((values, counts))
+            if not np.array_equal(np.r_[0, np.cumsum(size[values])][np.cumsum(counts)], ends) or b"".join(map(table.__getitem__, flat)) != raw:
+                ok &= [b"".join([table[i] for i in x]) == t.encode() for x, t in zip(ids, spaced, strict=True)]
+        return *out, ok
+
+
+class Lists:
+    """Lists of numbers under one another, added to and gathered as arrays."""
+
+    def __init__(self):
+        self.values, self.starts = np.zeros(1 << 16, np.uint16), np.zeros(1, np.int64)
+
+    def add(self, values: np.ndarray, counts: np.ndarray) -> None:
+        ends = self.starts[-1] + np.cumsum(counts)
+        if ends[-1] > len(self.values):
+            self.values = np.r_[self.values[: self.starts[-1]], np.zeros(2 * int(ends[-1]), np.uint16)]
+        self.values[self.starts[-1] : ends[-1]] = values
+        self.starts = np.r_[self.starts, ends]
+
+    def sizes(self, at: np.ndarray) -> np.ndarray:
+        return self.starts[at + 1] - self.starts[at]
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        size = self.sizes(at)
+        shift = self.starts[at] - np.cumsum(size) + size
+        return self.values[np.repeat(shift, size) + np.arange(size.sum())].astype(np.int64)
 
 
 _ready: dict[tuple[str, str], Encoders] = {}
 
 
-class Known(dict):
-    """Encoded units of one task, forgotten when they pass ``CACHED`` bytes."""
+class Known:
+    """The tokens of units encoded by one task; all are forgotten when they pass ``CACHED`` bytes, about."""
 
     def __init__(self, a_path: str, b_path: str):
-        super().__init__()
         self.encoders = _ready.get((a_path, b_path)) or _ready.setdefault((a_path, b_path), Encoders(a_path, b_path))
-        self.size = 0
-
-    def of(self, units: list[list[str]]) -> dict[str, Unit]:
-        """The units of all these texts."""
-        missing = [u for u in {u for x in units for u in x} if u not in self]
-        new = dict(zip(missing, self.encoders.units(missing), strict=True)) if missing else {}
-        if self.size > CACHED:
-            out = {u: self[u] for x in units for u in x if u in self} | new
-            self.clear()
-            self.size = 0
-            return out
-        self.update(new)
-        out = dict(self) if any(len(u) > LONG_UNIT for u in new) else self
-        for u, x in new.items():
-            if len(u) > LONG_UNIT:
-                del self[u]
-            else:
-                self.size += 900 + 40 * len(u)
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.a, self.b, self.ok, self.bytes = Lists(), Lists(), np.zeros(0, bool), 0
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """The number of each unit; units not met before are encoded."""
+        if self.bytes > CACHED:
+            self.forget()
+        missing = [u for u in dict.fromkeys(units) if u not in self.place]
+        if missing:
+            a, b, ok = self.encoders.encode(missing)
+            n = len(self.place)
+            self.place.update(zip(missing, range(n, n + len(missing)), strict=True))
+            self.a.add(*a)
+            self.b.add(*b)
+            self.ok = np.r_[self.ok, ok]
+            self.bytes += sum([200 + 3 * len(u) for u in missing])
+        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+
+    def tokens(self, at: np.ndarray, start: int = 0) -> Open:
+        """The tokens of these units beside one another, the first of which begins at a byte offset."""
+        a, b = self.a.gather(at), self.b.gather(at)
+        return Open(a, start + np.cumsum(self.encoders.a_size[a]), b, start + np.cumsum(self.encoders.b_size[b]))
+
+    def texts(self, lists: list[list[str]]) -> list[Closed]:
+        """The groups of whole texts, each given by its units: all are walked as one stream in which each text ends a group."""
+        at = self.places([u for x in lists for u in x])
+        size = np.array([len(x) for x in lists], np.int64)
+        text = np.repeat(np.arange(len(lists)), size)
+        bad = np.zeros(len(lists), bool)
+        bad[text[~self.ok[at]]] = True
+        at, text = at[~bad[text]], text[~bad[text]]
+        if not len(at):
+            return [NOTHING] * len(lists)
+        tokens = self.tokens(at)
+        codes, links, links_end, groups = walked(tokens)
+        n_a, n_b = (np.bincount(text, x.sizes(at), len(lists)).astype(np.int64) for x in (self.a, self.b))
+        done = np.r_[0, tokens.a_ends][np.cumsum(n_a)]  # the offset where each text ends
+        last_link, last_group, last_code = np.searchsorted(links_end, done, "right"), np.searchsorted(groups, done, "right"), np.cumsum(n_a + n_b)
+        written_out, out = list(map(spelled().__getitem__, codes.tolist())), []
+        link = group = code = 0
+        for i in range(len(lists)):
+            out.append(Closed(b"".join(written_out[code : last_code[i]])[:-1], links[link : last_link[i]].tobytes(), int(n_a[i]), int(n_b[i]), int(last_group[i] - group))
+                       if n_a[i] else NOTHING)
+            link, group, code = last_link[i], last_group[i], last_code[i]
         return out
 
 
-def fold(units: list[Unit]) -> Closed:
-    """A whole text from its units, each of which begins and ends with a group."""
-    if not all([u.ok for u in units]):
-        return NOTHING
-    parts = [u.closed for u in units]
-    return merged(parts)
-
-
-def ranged(units: list[Unit], at: int, low: int, high: int) -> Fragment:
+def ranged(known: Known, units: list[str], at: int, low: int, high: int) -> Fragment:
     """The fragment of the byte range (low, high] from the units that touch it, the first of which begins at ``at``."""
-    out, inner, ok = IDENTITY, [], True
-    for u in units:
-        end = at + u.size
-        ok &= u.ok
-        if low <= at and end <= high:
-            inner.append(u.closed)
-        elif u.ok:
-            if inner:
-                out, inner = compose(out, Fragment(True, True, NO_TOKENS, merged(inner), NO_TOKENS)), []
-            a = [(i, at + e) for i, e in zip(u.tokens.a, u.tokens.a_ends, strict=True) if low < at + e <= high]
-            b = [(i, at + e) for i, e in zip(u.tokens.b, u.tokens.b_ends, strict=True) if low < at + e <= high]
-            out = compose(out, fragment(Open([i for i, _ in a], [e for _, e in a], [i for i, _ in b], [e for _, e in b])))
-        at = end
-    if inner:
-        out = compose(out, Fragment(True, True, NO_TOKENS, merged(inner), NO_TOKENS))
-    return out._replace(ok=out.ok and ok)
+    places = known.places(units)
+    if not known.ok[places].all():
+        return IDENTITY._replace(ok=False)
+    tokens = known.tokens(places, at)
+    a, b = (slice(*np.searchsorted(e, [low, high], "right")) for e in (tokens.a_ends, tokens.b_ends))
+    return fragment(tokens.part(a, b))
 
 
 def ranges(units: list[str], chunk: int) -> Iterator[tuple[int, int, int, list[str]]]:
@@ -291,12 +341,11 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, chunk: int) -> DataFrame:
                 # a replaced byte is not the row's text: bytes differ, no tokens
                 lists = [units_of(v) if v and v.encode() == t else [] for v, t in zip(values, texts[start:stop], strict=True)]
                 short = [u if t is None or len(t) <= chunk else [] for u, t in zip(lists, texts[start:stop], strict=True)]
-                have = known.of(short)
-                for i, units in enumerate(lists):
+                for i, (units, groups) in enumerate(zip(lists, known.texts(short), strict=True)):
                     if units and not short[i]:
                         rows += [(i, k, low, high, at, " ".join(part), *[None] * 6) for k, (low, high, at, part) in enumerate(ranges(units, chunk))]
                     else:
-                        rows.append((i, None, None, None, None, None, *result(fold([have[u] for u in units]))))
+                        rows.append((i, None, None, None, None, None, *result(groups)))
                 take = pa.array([start + r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take),
@@ -319,7 +368,7 @@ def _row(row: int, part: int, x: Fragment) -> tuple:
 
 
 def _fragment(r) -> Fragment:
-    head, tail = (Open(*[[int(v) for v in getattr(r, f"{side}_{f}")] for f in _OPEN]) for side in ("head", "tail"))
+    head, tail = (Open(*[np.asarray(getattr(r, f"{side}_{f}"), np.int64) for f in _OPEN]) for side in ("head", "tail"))
     return Fragment(bool(r.ok), bool(r.cut), head, Closed(bytes(r.text), bytes(r.links), int(r.n_a), int(r.n_b), int(r.n_groups)), tail)
 
 
@@ -331,9 +380,7 @@ def fragments(pieces: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                units = units_of(r.piece)
-                have = known.of([units])
-                rows.append(_row(r.row, r.part, ranged([have[u] for u in units], r.at, r.low, r.high)))
+                rows.append(_row(r.row, r.part, ranged(known, units_of(r.piece), r.at, r.low, r.high)))
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
     dealt = pieces.select("row", "part", "low", "high", "at", "piece").repartition("row", "part")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,17 +110,26 @@ def test_composition_is_associative():
     for _ in range(300):
         a = sorted(draw.sample(range(1, 40), draw.randint(1, 14))) + [40]
         b = sorted(draw.sample(range(1, 40), draw.randint(1, 14))) + [40]
-        tokens = A.Open(list(range(len(a))), a, list(range(100, 100 + len(b))), b)
+        tokens = A.Open(np.arange(len(a)), np.array(a), np.arange(100, 100 + len(b)), np.array(b))
         bounds = [0, *sorted(draw.sample(range(1, 40), draw.randint(1, 6))), 40]
-        parts = [A.fragment(A.Open([i for i, e in zip(tokens.a, a) if low < e <= high], [e for e in a if low < e <= high],
-                                   [i for i, e in zip(tokens.b, b) if low < e <= high], [e for e in b if low < e <= high]))
-                 for low, high in zip(bounds, bounds[1:])]
+        cut = [(np.searchsorted(a, bounds, "right"), np.searchsorted(b, bounds, "right"))][0]
+        parts = [A.fragment(tokens.part(slice(cut[0][i], cut[0][i + 1]), slice(cut[1][i], cut[1][i + 1]))) for i in range(len(bounds) - 1)]
         once = A.whole(A.fragment(tokens))
         while len(parts) > 1:
             k = draw.randrange(len(parts) - 1)
             parts[k:k + 2] = [A.compose(parts[k], parts[k + 1])]
         assert A.whole(parts[0]) == once
-        assert A.compose(A.IDENTITY, parts[0]) == parts[0] == A.compose(parts[0], A.IDENTITY)
+        assert A.whole(A.compose(A.IDENTITY, parts[0])) == once == A.whole(A.compose(parts[0], A.IDENTITY))
+
+
+def test_forgotten_units_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(A, "CACHED", 300)
+    texts = [t for t in ODD if t and len(t) < 1000]
+    known = A.Known(*PATHS)
+    for text, (n_a, n_b, groups, links) in zip(texts, walk(texts), strict=True):
+        closed = known.texts([A.units_of(text)])[0]
+        assert (closed.n_a, closed.n_b, closed.text.decode()) == (n_a, n_b, groups)
+        assert np.frombuffer(closed.links, "<u4").tolist() == [x << 16 | y for x, y in links]
 
 
 def test_ranges_cover_the_text_once():
