@@ -81,6 +81,18 @@ def spearman_matrix(spark, sf):
     return finish(out, r6=["r"])
 
 
+# sixteen columns, each with gaps of its own: 240 (column, mask) rankings
+GAPPY = {f"g{i}": f"CASE WHEN (l_orderkey * 7 + l_linenumber * {i + 1}) % {i + 3} = 0 THEN NULL ELSE {FEATURES[i % 6]} * {1 + i // 6} + {i // 6} * l_discount END"
+         for i in range(16)}
+GAPPY_SQL = "(SELECT " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in GAPPY.items()) + " FROM lineitem)"
+
+
+@query("spearman_masks", oracle=f"SELECT * FROM {matrix_sql(GAPPY_SQL, list(GAPPY), 'spearman', spearman_sql)}")
+def spearman_masks(spark, sf):
+    df = table(spark, sf, "lineitem").selectExpr(*[f"CAST({e} AS DOUBLE) AS {c}" for c, e in GAPPY.items()])
+    return finish(sk.spearman_matrix(df, list(GAPPY)), r6=["r"])
+
+
 @query("avg_rank", oracle=union_sql([
     f"SELECT '{c}' AS col, v AS value, count(*) AS count, any_value(k) AS avg_rank FROM (SELECT CAST({c} AS DOUBLE) AS v, "
     f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS k FROM lineitem) GROUP BY v"

@@ -8,12 +8,15 @@ import pytest
 
 import skimlark as sk
 from skimlark.config import Config
+from skimlark.functions import cube
 
 PATHS = {
     "rows_expressions": Config(pairs_per_pass=300),
     "rows_products": Config(pairs_per_pass=1),
     "values_broadcast": Config(single_task_rows=100, pairs_per_pass=1),
     "values_hot_and_cold": Config(single_task_rows=100, broadcast_rows=40, pairs_per_pass=300),
+    "cube": Config(columns_per_pass=2, pairs_per_pass=1),
+    "cube_in_parts": Config(columns_per_pass=2, single_task_rows=300),
 }
 
 
@@ -58,6 +61,19 @@ def test_no_spread_and_infinities(spark, path):
         assert got["x", "y"][1] == pytest.approx(clean.corr(method=method).loc["x", "y"], abs=1e-12)
 
 
+@pytest.mark.parametrize("held", [2_000_000, 400])
+def test_forty_columns_of_random_gaps(spark, monkeypatch, held):
+    """1560 (column, mask) rankings in a fixed number of jobs; ``held`` decides which values count as frequent."""
+    monkeypatch.setattr(cube, "HELD", held)
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({f"c{i}": np.round(rng.normal(0, 1, 800) + i * (i % 3) * rng.random(800), 1 + i % 2) for i in range(40)})
+    pdf = pdf.where(rng.random(pdf.shape) > 0.3 * rng.random(40))
+    got = sk.spearman_matrix(spark.createDataFrame(pdf), list(pdf)).toPandas()
+    want = pdf.corr(method="spearman")
+    assert len(got) == 1600
+    assert max(abs(r.r - want.loc[r.feature_a, r.feature_b]) for r in got.itertuples()) < 1e-9
+
+
 def test_avg_rank(spark):
     df = spark.createDataFrame([(v,) for v in [3.0, 1.0, 3.0, None, 2.0, 3.0]], "v double")
     got = {r["value"]: (r["count"], r["avg_rank"]) for r in sk.avg_rank(df, "v").collect()}
@@ -100,7 +116,8 @@ def test_feature_lists():
         sk.feature_selection(names, names[:21])
     with pytest.raises(ValueError):
         sk.feature_selection(names, ["zz"])
-    assert sk.bounded_features(names) == (names[:100], True)
+    assert sk.bounded_features(names) == (names, False)
+    assert sk.bounded_features(names, Config(correlation_max_features=100)) == (names[:100], True)
     drawn = sk.random_features(names)
     assert len(drawn) == 10 and drawn == sk.random_features(names) != sk.random_features(names, seed=7)
 
