@@ -22,6 +22,30 @@ def sample_rows(spark, sf):
     return rows.select("event_id", "user_id", "event_type", "value")
 
 
+# a sample of a third of the rows: more than a chart's size
+@query("sample_rows_large", oracle="""
+WITH n AS (SELECT count(*) // 3 AS n FROM lineitem), ranked AS (SELECT *, row_number() OVER (ORDER BY
+  md5(concat('7:', CAST(l_orderkey AS VARCHAR), ':', CAST(l_linenumber AS VARCHAR), ':', CAST(l_partkey AS VARCHAR), ':', CAST(l_suppkey AS VARCHAR)))) AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM ranked, n WHERE k <= n""")
+def sample_rows_large(spark, sf):
+    df = table(spark, sf, "lineitem")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return sk.sample_rows(df, df.count() // 3, seed=7, key=keys).select(keys)
+
+
+LINE_WIDTH = 400
+
+
+@query("series_points", oracle=f"""
+WITH p AS (SELECT epoch_us(ts) AS t, value FROM events WHERE isfinite(value)), s AS (SELECT min(t) AS lo, max(t) AS hi FROM p),
+c AS (SELECT t, value, least(floor((t - lo)::DOUBLE * {LINE_WIDTH} / (hi - lo)::DOUBLE)::BIGINT, {LINE_WIDTH - 1}) AS px FROM p, s),
+e AS (SELECT t, value, row_number() OVER (PARTITION BY px ORDER BY t, value) AS a, row_number() OVER (PARTITION BY px ORDER BY t DESC, value DESC) AS b,
+  row_number() OVER (PARTITION BY px ORDER BY value, t) AS d, row_number() OVER (PARTITION BY px ORDER BY value DESC, t DESC) AS u FROM c)
+SELECT DISTINCT strftime(make_timestamp(t), {ISO6}) AS t, value FROM e WHERE a = 1 OR b = 1 OR d = 1 OR u = 1""")
+def series_points(spark, sf):
+    return sk.time_series(table(spark, sf, "events"), "ts", "value", points=LINE_WIDTH)
+
+
 @query("aligned_series", oracle=f"""
 SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, {ISO6}) AS ts, CAST(user_id AS DOUBLE) AS user_id, event_type, value, props,
   strftime(ts, {ISO6}) AS x_axis FROM events""")

@@ -178,6 +178,34 @@ def datetime_parse(spark, sf):
     return finish(sk.time_ratios(mixed, "t"), exact=["ratio"])
 
 
+# one column a format: text in Spark, text's moment in SQL
+WRITTEN = [
+    ("iso_zone", "concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), '.', lpad(string(event_id % 1000), 3, '0'), '+02:00')",
+     "date_trunc('second', ts) - INTERVAL 2 HOUR + to_milliseconds(event_id % 1000)", "yyyy-M-d'T'H:m:s[.SSSSSSSSS]XXX"),
+    ("half_days", "date_format(ts, 'MM/dd/yyyy hh:mm a')", "date_trunc('minute', ts)", "M/d/yyyy h:m a"),
+    ("month_names", "date_format(ts, 'd MMM yyyy HH:mm:ss')", "date_trunc('second', ts)", "d MMM yyyy H:m:s"),
+    ("day_first", "date_format(ts, 'dd/MM/yyyy HH:mm')", "date_trunc('minute', ts)", "d/M/yyyy H:m"),
+    ("fractions", "if(event_id % 3 = 0, date_format(ts, 'yyyy-MM-dd HH:mm:ss'), date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS'))",
+     "CASE WHEN event_id % 3 = 0 THEN date_trunc('second', ts) ELSE ts END", "yyyy-M-d H:m:s[.SSSSSSSSS]")]
+
+
+@query("datetime_formats", oracle=union_sql([
+    f"""SELECT '{c}' AS col, 'datetime' AS semantic_type, '{f.replace("'", "''")}' AS dt_format, count(x) AS n, sum(epoch_us(x))::DOUBLE AS total,
+  strftime(min(x), '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(max(x), '%Y-%m-%d %H:%M:%S.%f') AS last FROM (SELECT {e} AS x FROM events)"""
+    for c, _, e, f in WRITTEN]))
+def datetime_formats(spark, sf):
+    df = table(spark, sf, "events").selectExpr(*[f"{e} AS {c}" for c, e, _, _ in WRITTEN])
+    verdicts = {r["column"]: r for r in sk.infer_types(df).collect()}
+    read = sk.convert_types(df, {c: r["semantic_type"] for c, r in verdicts.items()}, {c: r["dt_format"] for c, r in verdicts.items()})
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    since = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c))
+    parts = [read.agg(
+        F.lit(c).alias("col"), F.lit(r["semantic_type"]).alias("semantic_type"), F.lit(r["dt_format"]).alias("dt_format"), F.count(c).alias("n"),
+        F.sum(since(c).cast("decimal(38,0)")).cast("double").alias("total"), shown(F.min(c)).alias("first"), shown(F.max(c)).alias("last"))
+        for c, r in verdicts.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("convert_types", oracle=f"""
 SELECT o_orderkey, CAST(replace(price_text, ',', '') AS DOUBLE) AS price_text,
        strftime(strptime(date_text, '%Y-%m-%d'), '%Y-%m-%dT%H:%M:%S') AS date_text, o_orderpriority FROM {TEXT_ORDERS_SQL}""")

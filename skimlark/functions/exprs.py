@@ -21,28 +21,6 @@ NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INFINITY_WORDS = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
 ZERO_PADDED_PATTERN = r"^0\d+$"
 DATE_MARKS_PATTERN = r"[-/:年月日]"
-TIME_FORMATS = [
-    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
-    ("yyyy-M-d H:m", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$"),
-    ("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$"),
-    ("yyyy-M-d H:m:s[.SSSSSS][.SSS]", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}\.(\d{3}|\d{6})$"),
-    ("yyyy-M-d'T'H:m:s", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$"),
-    ("yyyy-M-d'T'H:m:s[.SSSSSS][.SSS]", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}\.(\d{3}|\d{6})$"),
-    ("yyyy-M-d H:m:sXXX", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}([+-]\d{2}:\d{2}|Z)$"),
-    ("yyyy-M-d'T'H:m:sXXX", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}([+-]\d{2}:\d{2}|Z)$"),
-    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
-    ("yyyy/M/d H:m", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}$"),
-    ("yyyy/M/d H:m:s", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$"),
-    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("M/d/yyyy H:m", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$"),
-    ("M/d/yyyy H:m:s", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$"),
-    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
-    ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
-    ("yyyy年M月d日", r"^\d{4}年\d{1,2}月\d{1,2}日$"),
-    ("H:m", r"^\d{1,2}:\d{2}$"),
-    ("H:m:s", r"^\d{1,2}:\d{2}:\d{2}$"),
-]
 # Coefficients of the rational approximation of the inverse normal
 # distribution function (published by P. J. Acklam), highest power first.
 NORMAL_CENTRE_TOP = [-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2,
@@ -118,20 +96,6 @@ def parse_number(c: Column) -> Column:
     return F.when(readable, text).try_cast("double")
 
 
-def parse_time(c: Column, time_format: str) -> Column:
-    """String to timestamp by one of ``TIME_FORMATS``; null when it does not fit.
-
-    The pattern is tested first, so that text costs no failed parse.
-    """
-    pattern = dict(TIME_FORMATS)[time_format]
-    text = stripped(c)
-    return F.when(text.rlike(pattern), F.try_to_timestamp(text, F.lit(time_format)))
-
-
-def parse_any_time(c: Column) -> Column:
-    return F.coalesce(*[parse_time(c, fmt) for fmt, _ in TIME_FORMATS])
-
-
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970 of a date or timestamp column."""
     return F.expr(micros_sql(df, name))

@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 
 from skimlark.config import DEFAULT, Config
 from skimlark.functions.exprs import (
-    BOOLEAN_WORDS, FLOATING, INFINITY_WORDS, INTEGRAL, NESTED, NUMERIC, TEMPORAL, TIME_FORMATS, ZERO_PADDED_PATTERN,
-    col, dtype_of, finite, is_missing, micros_sql, parse_any_time, parse_number,
-    parse_time, present, present_sql, quoted, stripped)
+    BOOLEAN_WORDS, FLOATING, INFINITY_WORDS, INTEGRAL, NESTED, NUMERIC, TEMPORAL, ZERO_PADDED_PATTERN,
+    col, dtype_of, finite, is_missing, micros_sql, parse_number, present, present_sql, quoted, stripped)
+from skimlark.functions.moments import START, induced, parse_any_time, parse_time
 from skimlark.functions.values import chunks, distinct_counts, melt
 
 # Name patterns and the names of the semantic types.
@@ -24,10 +24,9 @@ OVERRIDE_TYPES = ["numeric", "categorical", "datetime", "text", "ignore"]
 WHITESPACE_SQL = r" \t\n\r\u000b\u000c"
 LONG_CELL = 20  # characters from which a cell counts as long text
 
-MOMENT_START = r"^\d{1,4}[-/:.年]"  # what every known time format begins with
 NUMBER_START = r"^[-+.,\diI]"  # what a number or an infinity begins with, commas included
 NO_SIGNALS = {"n": 0, "non_null": 0, "bool_like": False, "zero_padded_ratio": 0.0, "numeric_ratio": 0.0, "avg_len": 0.0,
-              "long_text_ratio": 0.0, "infinities": 0, "spread": None, "hits": [0]}
+              "long_text_ratio": 0.0, "infinities": 0, "spread": None, "formats": []}
 SIGNAL_SCHEMA = """ordinal int, column string, kind string, n long, non_null long, u long, ur double, id_hint boolean,
     date_hint boolean, bool_like boolean, zero_padded_ratio double, numeric_ratio double, dt_ratio double,
     dt_format string, avg_len double, long_text_ratio double, infinities long"""
@@ -114,16 +113,13 @@ def _measure_part(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
             share(text.rlike(ZERO_PADDED_PATTERN)).alias("zero_padded_ratio"),
             share(number.isNotNull()).alias("numeric_ratio"),
             F.count_if(F.abs(number) == float("inf")).alias("infinities"),
-            F.count_if(text.rlike(MOMENT_START)).alias("moments"),
+            F.count_if(text.rlike(START)).alias("moments"),
             F.coalesce(F.avg(size), F.lit(0.0)).alias("avg_len"), share(size > LONG_CELL).alias("long_text_ratio"))
         found.update({strings[r["position"]]: r.asDict() for r in table.collect()})
     maybe = [c for c in strings if found.get(c, {}).get("moments")]
     if maybe:
-        text = F.col("text")
-        dated = _text_cells(df, maybe).where(text.rlike(MOMENT_START)).groupBy("position").agg(
-            F.array(*[F.count(parse_time(text, fmt)) for fmt, _ in TIME_FORMATS]).alias("hits"))
-        for r in dated.collect():
-            found[maybe[r["position"]]]["hits"] = r["hits"]
+        for position, formats in induced(_text_cells(df, maybe)).items():
+            found[maybe[position]]["formats"] = formats
     return found
 
 
@@ -153,12 +149,11 @@ def type_signals(df: DataFrame, columns: Sequence[str] | None = None, *, all_dis
         m = NO_SIGNALS | measured.get(c, {})
         there = m["non_null"]
         u = distinct.get(c, 0) if c in counted else (0 if kind == "nested" or not there else 2 if m["spread"] else 1)
-        hits = [there] if kind == "moment" else m["hits"]
-        best = max(hits)
+        best_format, best = m["formats"][0] if m["formats"] else (None, there if kind == "moment" else 0)
         rows.append((
             i, c, kind, m["n"], there, u, u / there if there else 0.0, id_hint(c), date_hint(c), m["bool_like"],
             m["zero_padded_ratio"], float(there > 0) if kind == "number" else m["numeric_ratio"],
-            best / there if there else 0.0, TIME_FORMATS[hits.index(best)][0] if kind == "string" and best else None,
+            best / there if there else 0.0, best_format,
             m["avg_len"], m["long_text_ratio"], m["infinities"]))
     return df.sparkSession.createDataFrame(rows, SIGNAL_SCHEMA)
 
@@ -235,32 +230,41 @@ def bool_like(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return melt(row, columns, ["bool_like"]).select("column", "bool_like")
 
 
+def time_formats(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
+    """Time formats of string columns with the number of values each reads, most first; derived from all values."""
+    found = induced(_text_cells(df, columns)) if columns else {}
+    return {c: found.get(i, []) for i, c in enumerate(columns)}
+
+
 def time_ratios(df: DataFrame, column: str) -> DataFrame:
-    """Share of non-null values each known time format reads; formats without a hit are left out."""
-    c = present(df, column)
-    row = df.agg(*[F.count(parse_time(c, f)).alias(f"{i}_hits") for i, (f, _) in enumerate(TIME_FORMATS)],
-                 F.count(c).alias("non_null"))
-    names = [f for f, _ in TIME_FORMATS]
-    wide = row.withColumns({f"{i}_non_null": F.col("non_null") for i in range(len(names))})
-    return melt(wide, names, ["hits", "non_null"]).where("hits > 0").select(
-        F.col("column").alias("time_format"), "hits", (F.col("hits") / F.col("non_null")).alias("ratio"))
+    """``time_format, hits, ratio``: share of non-null values that each derived time format reads."""
+    text = df.select(present(df, column).cast("string").alias("text"))
+    there = text.agg(F.count("text")).first()[0]
+    found = time_formats(text, ["text"])["text"]
+    return df.sparkSession.createDataFrame([(f, h, h / there) for f, h in found], "time_format string, hits long, ratio double")
+
+
+def _read_time(df: DataFrame, name: str, known: Sequence[str]) -> Column:
+    """The moment of a text by the first of these formats that reads it, else by any common one."""
+    return F.coalesce(*[parse_time(col(name), f) for f in known], *([] if known else [parse_any_time(col(name))]))
 
 
 def convert_types(df: DataFrame, types: Mapping[str, str], formats: Mapping[str, str] | None = None) -> DataFrame:
     """Numbers without thousands commas, parsed moments; other columns unchanged.
 
     ``formats`` names the time format of a string column (see ``infer_types``);
-    without it any known format is accepted value by value.
+    the formats of other ones are derived from all values, and a value is read
+    by the first that fits it.
     """
     out = {}
+    moments = [c for c, t in types.items() if t == "datetime" and kind_of(df, c) == "string"]
+    found = time_formats(df, [c for c in moments if not (formats or {}).get(c)])
     for name, t in types.items():
-        kind = kind_of(df, name)
-        if t == "numeric" and kind == "string":
+        if t == "numeric" and kind_of(df, name) == "string":
             out[name] = parse_number(col(name))
-        elif t == "datetime" and kind == "string":
+        elif name in moments:
             known = (formats or {}).get(name)
-            parsed = parse_time(col(name), known) if known else parse_any_time(col(name))
-            out[name] = parsed.cast("timestamp_ntz")
+            out[name] = _read_time(df, name, [known] if known else [f for f, _ in found[name]])
     return df.withColumns(out) if out else df
 
 
@@ -270,6 +274,7 @@ def coerce_override(df: DataFrame, overrides: Mapping[str, str]) -> DataFrame:
     As numbers only the first comma is removed and non-finite values vanish.
     """
     out, dropped = {}, []
+    found = time_formats(df, [c for c, t in check_overrides(overrides).items() if t == "datetime" and kind_of(df, c) == "string"])
     for name, wanted in check_overrides(overrides).items():
         kind, c = kind_of(df, name), present(df, name)
         if wanted == "ignore":
@@ -285,9 +290,9 @@ def coerce_override(df: DataFrame, overrides: Mapping[str, str]) -> DataFrame:
             out[name] = c.cast("string")
         elif wanted == "datetime":
             if kind == "string":
-                out[name] = parse_any_time(c).cast("timestamp_ntz")
-            elif kind == "number":
-                out[name] = F.timestamp_millis(c.cast("long")).cast("timestamp_ntz")
+                out[name] = _read_time(df, name, [f for f, _ in found[name]])
+            elif kind == "number":  # milliseconds, shown in UTC
+                out[name] = F.timestamp_add("MILLISECOND", c.cast("long"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
             else:
                 out[name] = c.cast("timestamp_ntz") if kind == "moment" else F.lit(None).cast("timestamp_ntz")
     return (df.withColumns(out) if out else df).drop(*dropped)

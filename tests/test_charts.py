@@ -1,5 +1,6 @@
 """Chart numbers against brute force."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import skimlark as sk
 from skimlark.config import Config
+from skimlark.operators import sampling
 
 TINY = Config(single_task_rows=50)
 
@@ -144,3 +146,46 @@ def test_relationship_choice(spark):
     assert pick("n", "m") == "scatter" and pick("c", "n") == "group_box" and pick("c", "d") == "contingency"
     assert pick("n", "c", colour="d") == "grouped_box" and pick("c", "d", colour="c") == "stacked_bar"
     assert sk.relationship(df, "n", "t", types) == ("unsupported", None)
+
+
+def test_large_samples_are_exact_without_one_task(spark, monkeypatch):
+    """The n-th draw is found by counting, also when ranges are coarse and many rows draw alike."""
+    monkeypatch.setattr(sampling, "RANGES", 3)
+    monkeypatch.setattr(sampling, "LAST_ROWS", 5)
+    df = spark.range(4000).withColumn("same", F.lit(1)).repartition(7)
+    want = sorted(range(4000), key=lambda i: hashlib.md5(f"9:{i}".encode()).hexdigest())
+    for n in (1, 37, 2500, 3999):
+        got = sorted(r["id"] for r in sk.sample_rows(df, n, seed=9, key=["id"]).collect())
+        assert got == sorted(want[:n])
+        assert sk.sample_rows(df, n, seed=9).distinct().count() == n
+    assert sk.sample_rows(df, 1234, key=["same"]).select("id").distinct().count() == 1234  # all rows draw the same number
+
+
+def pixels(points, lo, hi, low, high, width=40, height=30):
+    """Pixels that the line through the points covers, column by column."""
+    xy = [((x - lo) / (hi - lo) * width, (y - low) / ((high - low) or 1) * (height - 1)) for x, y in points]
+    out = set()
+    for (x0, y0), (x1, y1) in zip(xy, xy[1:]):
+        for c in range(min(int(x0), width - 1), min(int(x1), width - 1) + 1):
+            a, b = max(x0, c), min(x1, c + 1)
+            ends = [y0 + (y1 - y0) * ((x - x0) / (x1 - x0) if x1 > x0 else k) for k, x in enumerate((a, b))]
+            out |= {(c, r) for r in range(int(min(ends) + 1e-9), int(max(ends) - 1e-9) + 1)}
+    return out
+
+
+def test_points_draw_the_same_line(spark):
+    rng = np.random.default_rng(8)
+    t = np.sort(rng.integers(0, 10**9, 3000))
+    v = np.round(np.cumsum(rng.normal(0, 1, 3000)), 2)
+    base = pd.Timestamp("2026-01-01")
+    df = spark.createDataFrame(pd.DataFrame({"t": base + pd.to_timedelta(t, unit="us"), "v": v}))
+    got = sk.time_series(df, "t", "v", points=40).toPandas()
+    assert len(got) <= 160
+    x = (pd.to_datetime(got["t"]) - base) // pd.Timedelta(microseconds=1)
+    kept, every = list(zip(x, got["value"])), sorted(zip(t.tolist(), v.tolist()))
+    bounds = int(t.min()), int(t.max()), v.min(), v.max()
+    assert set(kept) <= set(every)
+    assert pixels(kept, *bounds) == pixels(every, *bounds)
+    lines = sk.line_series(df, "v", order_by=["t", "v"], points=10)
+    assert lines.count() <= 40 and lines.agg(F.max("value")).first()[0] == v.max()
+    assert sk.time_series(df.limit(0), "t", "v", points=5).count() == 0
