@@ -13,8 +13,9 @@ from skimlark.operators.profile import (
 from skimlark.operators.quality import (
     column_facts, column_health, missingness_table, quality_flags, quality_summary, stray_signals, usable_columns)
 from skimlark.operators.sampling import aligned_series, sample_facts, sample_rows, time_axis
+from skimlark.operators.state import approximate_distinct, merge_states, profile_of_state, profile_state
 from skimlark.operators.types import (
-    bool_like, coerce_override, convert_types, effective_type_counts, infer_types, time_ratios, type_map, type_signals)
+    bool_like, coerce_override, convert_types, effective_type_counts, infer_types, time_formats, time_ratios, type_map, type_signals)
 from skimlark.plans.analyze import Analysis, analyze, default_pair
 from skimlark.sources.delimited import (
     cell_kind, csv_scan, delimiter_profile, encoding_check, header_score, header_scores, input_validate,

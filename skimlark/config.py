@@ -22,6 +22,7 @@ class Config:
     large_row_threshold: int = 200_000
     wide_table_threshold: int = 80
     plot_sample_size: int = 10_000
+    line_points: int = 2_000
     max_category_count: int = 30
     top_k_categories: int = 10
     high_cardinality_ratio: float = 0.5

@@ -30,6 +30,7 @@ KDE_STEPS = 120
 QQ_POINTS = 4000
 ACF_LAGS = (0, 2, 4, 6, 8)
 
+POINT_CHARTS = ("scatter",)  # charts with a mark for every row
 CATEGORY = ("categorical", "boolean")
 OTHER = "Other"
 
@@ -483,7 +484,7 @@ def chart_for(ta: str, tb: str, coloured: bool = False) -> str:
 
 
 def relationship(df: DataFrame, a: str, b: str, types: Mapping[str, str], *, colour: str | None = None,
-                 sample: int | None = None, config: Config = DEFAULT) -> tuple[str, DataFrame | None]:
+                 sample: int | None = None, points: int | None = None, config: Config = DEFAULT) -> tuple[str, DataFrame | None]:
     """The chart two columns call for by their effective types, and its numbers."""
     tint = colour if colour is not None and types.get(colour) in CATEGORY else None
     kind = chart_for(types[a], types[b], tint is not None)
@@ -494,6 +495,6 @@ def relationship(df: DataFrame, a: str, b: str, types: Mapping[str, str], *, col
         "grouped_box": lambda: grouped_box(df, number, other, tint, config=config),
         "contingency": lambda: contingency(df, a, b),
         "stacked_bar": lambda: stacked_bar(df, a, b, tint),
-        "time_series": lambda: time_series(df, other, number, sample=sample, config=config),
+        "time_series": lambda: time_series(df, other, number, sample=sample, points=points, config=config),
     }
     return kind, makers[kind]() if kind in makers else None

@@ -15,7 +15,6 @@ from skimlark.config import DEFAULT, Config
 from skimlark.functions.cube import rank_products
 from skimlark.functions.exprs import finite
 from skimlark.functions.order import materialize, running_total
-from skimlark.functions.values import melt
 from skimlark.operators.types import coerce_override
 
 Pair = tuple[str, str]
@@ -336,6 +335,13 @@ def _rank_values(values: DataFrame, middles: Sequence[float], sizes: Sequence[in
 
 # ---- matrices --------------------------------------------------------------
 
+def _diagonal(df: DataFrame, features: Sequence[str], method: str) -> DataFrame:
+    """Each feature with itself, as a local table: readers of the matrix read the data no more."""
+    counts = df.agg(*[F.count(finite(df, c)) for c in features]).first()
+    return df.sparkSession.createDataFrame([(c, c, method, n, 1.0) for c, n in zip(features, counts, strict=True)],
+                                           "feature_a string, feature_b string, method string, n long, r double")
+
+
 def correlate(df: DataFrame, pairs: Sequence[Pair], method: str, *, config: Config = DEFAULT) -> DataFrame:
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
@@ -350,17 +356,11 @@ def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pe
     """The full symmetric matrix in long form; the diagonal is 1. The triangle is computed once."""
     features, _ = bounded_features(features, config)
     upper = correlate(df, list(combinations(features, 2)), method, config=config)
-    counts = df.agg(*[F.count(finite(df, c)).alias(f"{i}_n") for i, c in enumerate(features)]) if features else None
     mirrored = upper.select(
         F.explode(F.array(F.struct("feature_a", "feature_b"),
                           F.struct(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b")))).alias("p"),
         "method", "n", "r").select("p.feature_a", "p.feature_b", "method", "n", "r")
-    if counts is None:
-        return mirrored
-    diagonal = melt(counts, features, ["n"]).select(
-        F.col("column").alias("feature_a"), F.col("column").alias("feature_b"), F.lit(method).alias("method"), "n",
-        F.lit(1.0).alias("r"))
-    return mirrored.unionByName(diagonal)
+    return mirrored.unionByName(_diagonal(df, features, method)) if features else mirrored
 
 
 def pearson_matrix(df: DataFrame, features: Sequence[str], *, config: Config = DEFAULT) -> DataFrame:

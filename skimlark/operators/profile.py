@@ -20,10 +20,10 @@ NUMERIC_FIELDS = [
     "zero_rate", "outlier_count", "outlier_rate"]
 
 
-def quartiles(df: DataFrame, columns: Sequence[str], config: Config = DEFAULT) -> dict[str, tuple[float, float, float]]:
+def quartiles(df: DataFrame, columns: Sequence[str], config: Config = DEFAULT, rows: int | None = None) -> dict[str, tuple[float, float, float]]:
     """Exact quartiles of each column's finite values: three numbers per column on the driver."""
     out = {}
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     for part in chunks(list(columns), config.columns_per_pass):
         table = exact_quantiles(df, {c: finite(df, c) for c in part}, rows=rows, config=config)
         out.update({r["column"]: tuple(r["q"]) for r in table.collect()})
@@ -35,16 +35,17 @@ def fences(q1: float, q3: float) -> tuple[float, float]:
     return q1 - reach, q3 + reach
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], *, config: Config = DEFAULT) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: Sequence[str], *, rows: int | None = None, config: Config = DEFAULT) -> DataFrame:
     """One row of moments, quartiles and outlier counts per column.
 
     The quartiles are found first. Then one aggregate over (column, value) cells,
     partial on every task, does the rest: power sums around the median, which is
     never more than one deviation from the mean, and values beyond the fences.
     Grouping by column keeps the aggregate's generated code the same for any number
-    of columns; very wide tables are read some columns at a time.
+    of columns; very wide tables are read some columns at a time. ``rows``: the
+    number of rows where it is known.
     """
-    cuts = quartiles(df, list(columns), config)
+    cuts = quartiles(df, list(columns), config, rows)
     return _stack([_power_sums(df, part, cuts) for part in chunks(list(columns), config.columns_per_pass)])
 
 
@@ -116,7 +117,7 @@ def field_statistics(df: DataFrame, columns: Sequence[str], *, config: Config =
         "column", "mean", "median", "std", "min", "max", "q1", "q3", "iqr", "skewness", "outlier_count")
 
 
-def categorical_profile(df: DataFrame, columns: Sequence[str], *, top_k: int | None = None,
+def categorical_profile(df: DataFrame, columns: Sequence[str], *, top_k: int | None = None, rows: int | None = None,
                         config: Config = DEFAULT) -> DataFrame:
     """Counts, exact distinct count and most frequent values, one row per column.
 
@@ -124,7 +125,7 @@ def categorical_profile(df: DataFrame, columns: Sequence[str], *, top_k: int | N
     """
     columns = list(columns)
     k = top_k or config.top_k_categories
-    rows = F.lit(df.count())
+    rows = F.lit(df.count() if rows is None else rows)
     names = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("position", "column"))
     counts = value_counts(df, columns)
     # both readers need the counts, so that they can share one shuffle

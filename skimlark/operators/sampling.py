@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skimlark.config import DEFAULT, Config
@@ -20,18 +20,19 @@ DRAWS = 16**13
 
 
 def sample_rows(df: DataFrame, n: int | None = None, *, seed: int | None = None, key: Sequence[str] | None = None,
-                order_by: Sequence[str] | None = None, config: Config = DEFAULT) -> DataFrame:
+                order_by: Sequence[str] | None = None, total: int | None = None, config: Config = DEFAULT) -> DataFrame:
     """Exactly ``n`` rows without replacement (all rows when there are no more).
 
     Every row draws a number and the n smallest win. With a unique ``key`` the
     number is a hash of seed and key, the same however the rows are
     partitioned; without one it is Spark's seeded ``rand`` (equal rows draw apart). Rows above a
     threshold that about n rows pass are dropped inside their task and the others written; the n-th
-    smallest draw is found by counting ranges of draws, so no task orders n rows, whatever n is.
+    smallest draw is found by counting ranges of draws, so no task orders n rows, whatever n is. ``total`` is
+    the number of rows where it is known.
     """
     n = config.plot_sample_size if n is None else n
     seed = config.random_seed if seed is None else seed
-    total = df.count()
+    total = df.count() if total is None else total
     if total <= n:
         return df.orderBy(*order_by) if order_by else df
     if key:
@@ -41,16 +42,21 @@ def sample_rows(df: DataFrame, n: int | None = None, *, seed: int | None = None,
         draw = F.floor(F.rand(seed) * DRAWS).cast("long")
     drawn = df.withColumn("_draw", draw)
     limit = min(DRAWS, math.ceil((n + 10 * math.sqrt(n) + 10) / total * DRAWS))
-    near = _numbered(drawn.where(F.col("_draw") < limit))  # about n rows
-    if near.count() < n:
-        limit, near = DRAWS, _numbered(drawn)
-    out = near.where(_among_smallest(near, n, limit)).drop("_draw", "_row")
+    near, held = _numbered(drawn.where(F.col("_draw") < limit))  # about n rows
+    if held < n:
+        limit, near = DRAWS, _numbered(drawn)[0]
+    if n <= config.broadcast_rows:  # few enough for every task to hand on n rows
+        out = near.orderBy("_draw", "_row").limit(n).drop("_draw", "_row")
+    else:
+        out = near.where(_among_smallest(near, n, limit)).drop("_draw", "_row")
     return out.orderBy(*order_by) if order_by else out
 
 
-def _numbered(drawn: DataFrame) -> DataFrame:
-    """The rows written, with a number that tells equal draws apart."""
-    return materialize(drawn.withColumn("_row", F.monotonically_increasing_id()))
+def _numbered(drawn: DataFrame) -> tuple[DataFrame, int]:
+    """The rows written, with a number that tells equal draws apart, and how many they are, observed while they are written."""
+    seen = Observation()
+    rows = materialize(drawn.withColumn("_row", F.monotonically_increasing_id()).observe(seen, F.count(F.lit(1)).alias("rows")))
+    return rows, seen.get["rows"]
 
 
 def _among_smallest(near: DataFrame, n: int, limit: int) -> Column:
@@ -98,14 +104,14 @@ def time_axis(types: Mapping[str, str]) -> str | None:
 
 def aligned_series(df: DataFrame, types: Mapping[str, str], columns: Sequence[str] | None = None, *,
                    sample: int | None = None, key: Sequence[str] | None = None, order_by: Sequence[str] | None = None,
-                   config: Config = DEFAULT) -> DataFrame:
+                   total: int | None = None, config: Config = DEFAULT) -> DataFrame:
     """Chart columns of the same rows: all of them, or one common sample.
 
     Numbers become finite doubles or null, moments ISO text, the rest text;
     ``x_axis`` repeats the first datetime column of the table.
     """
     if sample is not None:
-        df = sample_rows(df, sample, key=key, order_by=order_by, config=config)
+        df = sample_rows(df, sample, key=key, order_by=order_by, total=total, config=config)
     elif order_by:
         df = df.orderBy(*order_by)
     out = []

@@ -12,6 +12,7 @@ from skimlark.config import DEFAULT, Config
 from skimlark.functions.order import materialize
 from skimlark.functions.values import one_row
 from skimlark.operators import charts, correlation, profile, quality, sampling, types as semantic
+from skimlark.operators.state import profile_state
 from skimlark.sources.sink import write_results
 
 # The warning codes, and what every set of findings ends with.
@@ -24,7 +25,8 @@ LIMITATIONS = [
 
 
 # Small results that other tables build on: written once, so that nothing is scanned twice for them.
-SHARED = {"dataset", "numeric_profile", "categorical_profile", "datetime_profile", "pearson_matrix", "spearman_matrix"}
+SHARED = {"dataset", "numeric_profile", "categorical_profile", "datetime_profile", "pearson_matrix", "spearman_matrix", "sampled_rows",
+          "quality_summary", "warnings"}
 
 
 class Tables(Mapping):
@@ -117,16 +119,19 @@ def findings_table(dataset: DataFrame, summary: DataFrame, warnings: DataFrame)
 def analyze(df: DataFrame, *, overrides: Mapping[str, str] | None = None, pairs: Sequence[tuple[str, str]] = (),
             method: str = "pearson", threshold: float | None = None, order_by: Sequence[str] | None = None,
             sample_key: Sequence[str] | None = None, config: Config = DEFAULT) -> Analysis:
-    """Infer, profile, flag, select, chart, correlate; every table over all rows.
+    """Infer, profile, flag, select, chart, correlate.
 
-    Types, usable columns and features are small and decided on the driver; each
-    result table is planned when it is first asked for.
+    Every table is over all rows, but for ``sampled_rows``, which ``series`` and a scatter chart show
+    (``sample_facts`` tells whether rows were left out). Types, usable columns and features are small and decided on the
+    driver; each result table is planned when it is first asked for, and tables that say the same of a column share one scan.
     """
     if threshold is not None and not 0 <= threshold <= 1:
         raise ValueError("the correlation threshold lies between 0 and 1")
     chosen = semantic.check_overrides(overrides)
     small = quality.column_facts(df, overrides=chosen, config=config)  # a local table, one row per column
     verdicts = sorted(small.collect(), key=lambda r: r["ordinal"])
+    rows = verdicts[0]["n"] if verdicts else None
+    small = small.coalesce(1)  # a row per column: one task, no shuffle
     types = {r["column"]: r["effective_type"] for r in verdicts}
     usable_table = quality.usable_columns(small, config)
     kept = [c for c in quality.usable_list(usable_table) if types[c] != "ignore"]
@@ -156,15 +161,19 @@ def analyze(df: DataFrame, *, overrides: Mapping[str, str] | None = None, pairs:
     t.plan("missingness", lambda: quality.missingness_table(small, config))
     t.plan("warnings", lambda: warnings_table(t["dataset"], t["quality_summary"], truncated, config))
     t.plan("findings", lambda: findings_table(t["dataset"], t["quality_summary"], t["warnings"]))
-    t.plan("sample_facts", lambda: sampling.sample_facts(data, config=config))
-    t.plan("series", lambda: sampling.aligned_series(
-        data, types, charted, sample=config.plot_sample_size, key=sample_key, order_by=order_by, config=config))
+    t.plan("sample_facts", lambda: df.sparkSession.createDataFrame(
+        [(rows, min(rows, config.plot_sample_size), rows > config.plot_sample_size)], "original_count long, plotted_count long, sampled boolean"))
+    t.plan("sampled_rows", lambda: sampling.sample_rows(data, config.plot_sample_size, key=sample_key, total=rows, config=config))
+    t.plan("series", lambda: sampling.aligned_series(t["sampled_rows"], types, charted, order_by=order_by, config=config))
+    t.plan("profile_state", lambda: profile_state(data, config=config))
     if numeric:
-        t.plan("numeric_profile", lambda: profile.numeric_profile(data, numeric, config=config))
+        t.plan("numeric_profile", lambda: profile.numeric_profile(data, numeric, rows=rows, config=config))
     if plain:
-        t.plan("categorical_profile", lambda: profile.categorical_profile(data, plain, config=config))
-        t.plan("category_counts", lambda: charts.category_counts(data, plain, config=config))
-        t.plan("full_counts", lambda: charts.full_counts(data, plain, config=config))
+        t.plan("categorical_profile", lambda: profile.categorical_profile(data, plain, rows=rows, config=config))
+        top = lambda: t["categorical_profile"].select("column", "unique_count", F.posexplode("top_values").alias("i", "v")).select(
+            "column", (F.col("i") + 1).alias("rank"), "v.value", "v.count", "unique_count")
+        t.plan("category_counts", lambda: top().drop("unique_count"))
+        t.plan("full_counts", lambda: top().where(F.col("unique_count") <= config.full_counts_max_cardinality).drop("unique_count"))
     if dated:
         t.plan("datetime_profile", lambda: profile.datetime_profile(data, dated, order_by=order_by, config=config))
     if numeric or plain or dated:
@@ -173,11 +182,15 @@ def analyze(df: DataFrame, *, overrides: Mapping[str, str] | None = None, pairs:
     if features:
         for m in correlation.METHODS:
             t.plan(f"{m}_matrix", lambda m=m: correlation.correlation_matrix(data, features, m, config=config))
-        t.plan("random_subset", lambda: correlation.random_subset_corr(data, usable_features, method, config=config))
+        drawn = correlation.random_features(usable_features, config=config)
+        inside = F.col("feature_a").isin(drawn) & F.col("feature_b").isin(drawn)
+        t.plan("random_subset", lambda: t[f"{method}_matrix"].where(inside) if set(drawn) <= set(features)
+               else correlation.random_subset_corr(data, usable_features, method, config=config))
         t.plan("network_edges", lambda: correlation.network_edges(t[f"{method}_matrix"], features, threshold, config=config))
         t.plan("network_nodes", lambda: correlation.network_nodes(t["network_edges"], features))
     if pair is not None:
-        chart = lambda: charts.relationship(data, *pair, types, sample=config.plot_sample_size, config=config)[1]
-        if charts.chart_for(types[pair[0]], types[pair[1]]) != "unsupported":
-            t.plan("default_chart", chart)
+        kind = charts.chart_for(types[pair[0]], types[pair[1]])
+        shown = lambda: t["sampled_rows"] if kind in charts.POINT_CHARTS else data
+        if kind != "unsupported":
+            t.plan("default_chart", lambda: charts.relationship(shown(), *pair, types, points=config.line_points, config=config)[1])
     return Analysis(types, kept, features, pair, sampling.time_axis(types), t)

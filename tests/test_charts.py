@@ -157,8 +157,10 @@ def test_large_samples_are_exact_without_one_task(spark, monkeypatch):
     for n in (1, 37, 2500, 3999):
         got = sorted(r["id"] for r in sk.sample_rows(df, n, seed=9, key=["id"]).collect())
         assert got == sorted(want[:n])
+        assert got == sorted(r["id"] for r in sk.sample_rows(df, n, seed=9, key=["id"], config=Config(broadcast_rows=0)).collect())
         assert sk.sample_rows(df, n, seed=9).distinct().count() == n
-    assert sk.sample_rows(df, 1234, key=["same"]).select("id").distinct().count() == 1234  # all rows draw the same number
+    same = sk.sample_rows(df, 1234, key=["same"], config=Config(broadcast_rows=0))
+    assert same.select("id").distinct().count() == 1234  # all rows draw the same number
 
 
 def pixels(points, lo, hi, low, high, width=40, height=30):
