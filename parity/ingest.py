@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 import skimlark as sk
@@ -29,6 +30,37 @@ def csv_scan(spark, sf):
         "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
 
 
+def _raw_files(lines, path, first):
+    """Lines written as they are, each file with the given lines at its top."""
+    def run(batches):
+        start = pd.DataFrame({"line": first})
+        for pdf in batches:
+            yield pd.concat([start, pdf])
+            start = start[:0]
+
+    lines.mapInPandas(run, "line string").write.option("sep", "\x01").option("emptyValue", "").csv(path)
+
+
+@query("csv_preamble", oracle="SELECT o_orderkey, o_orderstatus, CAST(floor(o_totalprice) AS BIGINT) AS price, o_orderpriority FROM orders")
+def csv_preamble(spark, sf):
+    """Blank and other lines above the header of every file, semicolons, found by themselves."""
+    path = _folder(spark, "orders-preamble")
+    lines = table(spark, sf, "orders").selectExpr(
+        "concat_ws(';', string(o_orderkey), o_orderstatus, string(bigint(floor(o_totalprice))), o_orderpriority) AS line").repartition(3)
+    _raw_files(lines, path, ["Orders", "", "made by hand", "  ", "o_orderkey;o_orderstatus;price;o_orderpriority", ""])
+    return sk.csv_scan(spark, path, sep="auto", header=2)
+
+
+@query("malformed_lines", oracle="""
+SELECT CAST(o_orderkey AS VARCHAR) || ',' || o_orderstatus || repeat(',x', CAST(o_orderkey % 4 AS INT)) AS line, CAST(2 + o_orderkey % 4 AS INT) AS cells,
+  3 AS expected FROM orders WHERE o_orderkey % 4 <> 1""")
+def malformed_lines(spark, sf):
+    path = _folder(spark, "orders-malformed")
+    lines = table(spark, sf, "orders").selectExpr("concat(string(o_orderkey), ',', o_orderstatus, repeat(',x', int(o_orderkey % 4))) AS line").repartition(3)
+    _raw_files(lines.select("line"), path, ["key,status,x"])
+    return sk.malformed_lines(spark, path).drop("file")
+
+
 LINES_SQL = """(SELECT concat('cust-', CAST(o_custkey AS VARCHAR)) AS file,
   concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d')) AS line,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row FROM orders

@@ -19,7 +19,7 @@ from skimlark.operators.types import (
 from skimlark.plans.analyze import Analysis, analyze, default_pair
 from skimlark.sources.delimited import (
     cell_kind, csv_scan, delimiter_profile, encoding_check, header_score, header_scores, input_validate,
-    normalize_columns)
+    malformed_lines, normalize_columns)
 from skimlark.sources.sink import write_results
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -23,3 +23,7 @@ class NoColumns(InputError):
 
 class HeaderNotConfirmed(InputError):
     """A header row was guessed, but not surely enough to go on."""
+
+
+class WrongEncoding(InputError):
+    """Bytes are not of the encoding that the scan was told."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import skimlark as sk
 from skimlark.functions.exprs import json_safe
 from skimlark.sources.delimited import header_scores, normalize_names, read_lines
-from skimlark.sources.errors import HeaderNotConfirmed, InputEmpty, InputMissing, UnsupportedSuffix
+from skimlark.sources.errors import HeaderNotConfirmed, InputEmpty, InputMissing, UnsupportedSuffix, WrongEncoding
 
 
 def write(folder, name, text, encoding="utf-8"):
@@ -74,6 +74,41 @@ def test_header_only_malformed_and_encoding(spark, tmp_path):
     assert {r["stadt"] for r in latin.collect()} == {"Köln", "München"}
 
 
+def test_delimiter_is_found(spark, tmp_path):
+    for sep in ";\t|,":
+        df = sk.csv_scan(spark, write(tmp_path, f"s{ord(sep)}.csv", f"name{sep}value\nann{sep}1\n\"x{sep}y\"{sep}2\n"), sep="auto")
+        assert sorted(map(tuple, df.collect())) == [("ann", 1), (f"x{sep}y", 2)]
+
+
+def test_blank_lines_in_the_preamble(spark, tmp_path):
+    for i in range(3):
+        write(tmp_path, f"b{i}.csv", f"Report\n\n  \na,b\n\n{i},2\n")
+    df = sk.csv_scan(spark, str(tmp_path), header=1)
+    assert df.columns == ["a", "b"] and sorted(map(tuple, df.collect())) == [(0, 2), (1, 2), (2, 2)]
+
+
+def test_cells_with_line_breaks(spark, tmp_path):
+    path = write(tmp_path, "ml.csv", 'n,t\n1,"two\nlines, and ""more"""\n2,x,extra\n3\n')
+    df = sk.csv_scan(spark, path, header=0, multi_line=True)
+    assert sorted(map(tuple, df.collect())) == [(1, 'two\nlines, and "more"', None), (2, "x", "extra"), (3, None, None)]
+    with pytest.raises(ValueError):
+        sk.csv_scan(spark, write(tmp_path, "pre.csv", "Report\nn,t\n1,x\n"), header=1, multi_line=True)
+
+
+def test_malformed_lines_are_reported(spark, tmp_path):
+    path = write(tmp_path, "bad.csv", 'Report\nn,t\n1,"a,b"\n2\n\n3,x,"y,z"\n4,w\n')
+    got = sorted((r["line"], r["cells"], r["expected"]) for r in sk.malformed_lines(spark, path, header=1).collect())
+    assert got == [("2", 1, 2), ('3,x,"y,z"', 3, 2)]
+
+
+def test_mapping_and_wrong_encoding(spark, tmp_path):
+    df, mapping = sk.csv_scan(spark, write(tmp_path, "map.csv", "k,k, ,z\n1,2,3,4,5\n"), header=0, with_mapping=True)
+    assert df.columns == ["k", "k__2", "X3", "z", "X5"]
+    assert [tuple(r) for r in mapping.orderBy("position").collect()] == [(0, "k", "k"), (1, "k", "k__2"), (2, " ", "X3"), (3, "z", "z"), (4, None, "X5")]
+    with pytest.raises(WrongEncoding):
+        sk.csv_scan(spark, write(tmp_path, "w.csv", "stadt,n\nKöln,1\n", "latin-1"), header=0)
+
+
 def test_bad_inputs(spark, tmp_path):
     with pytest.raises(InputMissing):
         sk.csv_scan(spark, str(tmp_path / "none.csv"))
