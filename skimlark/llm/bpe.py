@@ -31,7 +31,9 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}
 _SPLIT = re.compile(f"[{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 END = "</w>"
-CACHED = 400_000
+CACHED = 16_000_000  # bytes of words kept by a task, about
+ARCS = 300_000  # arcs kept by a task
+LONG = 64  # longer strings are not kept
 
 
 def byte_letters() -> dict[int, str]:
@@ -96,6 +98,7 @@ class Automaton(dict):
         self.final = {t[: -len(END)]: i for t, i in known if t.endswith(END) and len(t) > len(END)}
         self.longest = max((len(t) for t, _ in known), default=1)
         self.arcs: dict[int, int] = {}
+        self.held = 0
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.marks = {t[:2] for t in self.special}
 
@@ -104,7 +107,7 @@ class Automaton(dict):
         key = state << 20 | label
         to = self.arcs.get(key)
         if to is None:
-            if len(self.arcs) > 2 * CACHED:
+            if len(self.arcs) > ARCS:
                 self.arcs.clear()
             to = self.arcs[key] = self.tables["target"][label] if allowed(self.tables, state, label) else -1
         return to
@@ -134,9 +137,18 @@ class Automaton(dict):
     def __missing__(self, chunk: str) -> bytes:
         low = chunk.replace("Σ", "σ").lower()
         ids = [i for piece in PIECES.findall(low) for i in self.word(piece)]
-        out = self[chunk] = np.array(ids, "<u4").tobytes()
+        out = np.array(ids, "<u4").tobytes()
+        if len(chunk) <= LONG:
+            self[chunk] = out
+            self.held += 200 + 4 * len(chunk) + len(out)
         return out
 
+    def forget(self) -> None:
+        """What was kept is given back."""
+        self.clear()
+        self.arcs.clear()
+        self.held = 0
+
     def encode(self, text: str | None) -> bytes:
         """Token numbers of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
@@ -147,8 +159,9 @@ class Automaton(dict):
         return self.plain(text)
 
     def plain(self, text: str) -> bytes:
-        if len(self) > CACHED:
+        if self.held > CACHED:
             self.clear()
+            self.held = 0
         text = unicodedata.normalize("NFC", text)
         chunks = [c for c in _SPLIT.split(text) if c] if _ODD.search(text) else text.split()
         return b"".join(map(self.__getitem__, chunks))
@@ -194,5 +207,9 @@ def _mapped(docs: DataFrame, path: str, key: str, schema: str, result) -> DataFr
             out = pd.DataFrame(rows, columns=names)
             out[key] = pdf["k"].array
             yield out
+        automaton.forget()  # the worker may serve other stages next
 
-    return docs.select(F.col(key).alias("k"), F.col("text")).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, {schema}")
+    kind = dict(docs.dtypes)[key]
+    # keys as text: pandas would round long ones beside nulls
+    rows = docs.select(F.col(key).cast("string").alias("k"), F.col("text")).mapInPandas(run, f"{key} string, {schema}")
+    return rows.withColumn(key, F.col(key).cast(kind))

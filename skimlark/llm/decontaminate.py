@@ -30,7 +30,7 @@ ITEMS = 10_000
 MISS = 1e-4
 CONTAINED = 75
 GATHERED = 400_000
-SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment double"
+SCHEMA = "doc_id string, item_id long, n_item long, n_shared long, containment double"
 
 
 def partition(n: int) -> int:
@@ -114,7 +114,7 @@ class Index:
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(doc_id, item_id, n_item, n_shared, containment)`` of every document that holds an item."""
     slabs = max(1, -(-items.count() // (ITEMS // 2)))
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
+    d = docs.select(F.col(key).cast("long").cast("string").alias("doc_id"), "text")  # as text: pandas would round long ids beside nulls
     out = None
     for slab in range(slabs):
         part = items if slabs == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slabs)) == slab)
@@ -122,7 +122,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> Data
         index = Index([(r["item_id"], text.shingle_set(r["text"])) for r in rows])
         found = _searched(d, docs.sparkSession.sparkContext.broadcast(index))
         out = found if out is None else out.union(found)
-    return out
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _searched(docs: DataFrame, shipped) -> DataFrame:
@@ -151,5 +151,6 @@ def _verified(index: Index, ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
             shared = int(np.isin(wanted, own, assume_unique=True).sum())
             if 100 * shared >= CONTAINED * len(wanted):
                 rows.append((i, item, len(wanted), shared, shared / len(wanted)))
-    out = pd.DataFrame(rows, columns=["doc_id", "item_id", "n_item", "n_shared", "containment"])
-    return out.astype({"doc_id": "Int64", "item_id": "Int64", "n_item": "int64", "n_shared": "int64", "containment": "float64"})
+    doc, item, n, shared, containment = zip(*rows, strict=True) if rows else [()] * 5
+    return pd.DataFrame({"doc_id": pd.Series(doc, dtype=object), "item_id": pd.array(item, "Int64"), "n_item": np.array(n, np.int64),
+                         "n_shared": np.array(shared, np.int64), "containment": np.array(containment, float)})

@@ -150,7 +150,7 @@ def _compared(a: tuple, b: tuple, hashlib) -> tuple:
             a[4].extension(0, prefixes, 0))
 
 
-SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+SCHEMA = ("doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double, common_prefix long")
 
 
@@ -180,7 +180,7 @@ def fingerprints(docs: DataFrame, rows_per_bucket: int = 4000) -> DataFrame:
     placed = d.withColumn("bucket", _bucket(key, cuts))
     firsts = placed.groupBy("bucket").agg(F.min(key).alias("first")).orderBy("bucket").collect()
     if not firsts:
-        return spark.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], SCHEMA.replace("doc_id string", "doc_id long"))
     before = {r["first"]: firsts[i - 1]["bucket"] for i, r in enumerate(firsts)}
     guests = F.broadcast(spark.createDataFrame(list(before.items()), "first long, goes int"))
     rows = placed.join(guests, key == F.col("first"), "left").select(
@@ -188,4 +188,6 @@ def fingerprints(docs: DataFrame, rows_per_bucket: int = 4000) -> DataFrame:
             F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.struct(F.col("goes").alias("bucket"), F.lit(1).alias("guest"))))).alias("p"))
     dealt = rows.select("p.bucket", "p.guest", "doc_id", "text").repartition(max(1, len(firsts)), "bucket")
     ordered = dealt.sortWithinPartitions("bucket", "guest", "doc_id", "text")
-    return ordered.mapInPandas(_rows, SCHEMA)
+    # ids as text: pandas would round long ones beside nulls
+    found = ordered.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_rows, SCHEMA)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))

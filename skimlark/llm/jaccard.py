@@ -16,7 +16,7 @@ rest would cost more than ``COMPARED`` comparisons, those outside the list's lar
 up to ``TURNS`` times; at last members still outside meet the others under both bounds, so no link between components is lost.
 
 Null and empty texts have no shingle, link with nothing and are their own component; fewer than five words are one shingle.
-Rows that share a doc_id count as one document with several texts. A row without doc_id lends its links but gets component
+Rows that share a doc_id are one document with several texts: these are in one component, and each row tells the size of its own set. A row without doc_id lends its links but gets component
 null if no member has an id. Other columns are not read. Classes are told apart by 64 bits: among 10**9 different sets two
 coincide with probability 0.03.
 """
@@ -63,8 +63,10 @@ def classes(docs: DataFrame) -> DataFrame:
             bits = np.array([parity(s) for s in sets], np.int64).reshape(-1, len(PARITY))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "n": [len(s) for s in sets], "cls": [class_key(s) for s in sets]} | dict(zip(PARITY, bits.T, strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, n long, cls long, " + ", ".join(f"{b} long" for b in PARITY))
+    # ids as text: pandas would round long ones beside nulls
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(
+        run, "doc_id string, n long, cls long, " + ", ".join(f"{b} long" for b in PARITY))
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _sets(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
@@ -283,6 +285,13 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame
     return both.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
 
 
+def one_document(members: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between the classes of rows that share a doc_id."""
+    own = members.where("n > 0 and doc_id is not null").select("doc_id", "cls")
+    several = own.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("last")).where("a < last").select("doc_id", "a")
+    return own.join(several, "doc_id").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row: component_id is the smallest doc_id reachable by links."""
     members = frames.kept(classes(docs))
@@ -306,7 +315,7 @@ def linked(docs: DataFrame) -> DataFrame:
     star = leveled.join(hubs, ["token", "level"]).where((F.col("cls") != F.col("hub.cls")) & possible("hub")).select(
         F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
     first = frames.kept(cold.where("c >= need").select("a", "b").union(star).distinct())
-    links = frames.kept(verified(docs, members, first))
+    links = frames.kept(verified(docs, members, first).union(one_document(members)))
     comps = frames.kept(frames.components(links))
 
     left_before = None

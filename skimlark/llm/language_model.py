@@ -274,10 +274,10 @@ def scored(p: dict, vocabulary: Vocabulary, docs: list[np.ndarray]) -> tuple[np.
 def scores(docs: DataFrame, training: Column, share: int = 1) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row; ``training`` says which rows are learnt from."""
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(True)).alias("learn"))
+    d = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", F.coalesce(training, F.lit(True)).alias("learn"))
     words = frames.written(counted(d.where("learn")), "words")
     total, distinct = (x or 0 for x in words.agg(F.sum("c"), F.count("*")).first())
-    frequent = words.orderBy(F.desc("c"), "word").limit(KNOWN).toPandas()
+    frequent = most_frequent(words, distinct)
     known_words, known_counts = frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["c"].to_numpy(np.int64)
     head_words = known_words[:HEADS].view(np.int64)
 
@@ -303,6 +303,25 @@ def scores(docs: DataFrame, training: Column, share: int = 1) -> DataFrame:
     return _with_rare(rows, words, total, distinct, vocabulary)
 
 
+def most_frequent(words: DataFrame, distinct: int) -> pd.DataFrame:
+    """The ``KNOWN`` most frequent words: a count is found that few enough words pass, so tasks do not each send a list of that length."""
+    least = 0
+    if distinct > KNOWN:
+        by_count = words.groupBy(F.least("c", F.lit(10_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()  # 10,000 rows at most
+        passed = 0
+        for r in by_count:
+            passed += r["n"]
+            if passed >= KNOWN:
+                least = r["c"]
+                break
+        near, missing = words.where(F.col("c") == least), KNOWN - (passed - r["n"])
+        if missing < r["n"] and least < 10_000:  # the smallest words of this count: those below a value that enough pass
+            cut = near.approxQuantile("word", [min(1.0, 1.1 * missing / r["n"] + 0.01)], 0.005)[0]
+            near = near.where(F.col("word") <= F.lit(int(cut)))
+        words = words.where(F.col("c") > least).unionByName(near)
+    return words.orderBy(F.desc("c"), "word").limit(KNOWN).toPandas()
+
+
 def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
     """Token streams of all texts, GATHERED tokens or a little more at a time, and what is left; longer texts are cut there."""
     streams, size = [], 0
@@ -372,12 +391,12 @@ def _scored(d: DataFrame, shipped) -> DataFrame:
             got["doc_id"], got["held_out"] = pdf["doc_id"].array, (~pdf["learn"]).array
             yield got
 
-    return d.mapInPandas(run, "n_tokens long, n_known long, base double, model double, rare array<long>, times array<long>, doc_id long, held_out boolean")
+    return d.mapInPandas(run, "n_tokens long, n_known long, base double, model double, rare array<long>, times array<long>, doc_id string, held_out boolean")
 
 
 def _with_rare(rows: DataFrame, words: DataFrame, total: int, distinct: int, vocabulary: Vocabulary) -> DataFrame:
     """Adds the counts of rare words by a join on the word: both scores gain log10(c + 1) of each."""
-    rows = frames.written(rows.withColumn("row", F.xxhash64(F.monotonically_increasing_id())), "scored")
+    rows = frames.written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     if distinct <= KNOWN:
         return _result(rows.drop("rare", "times"), total)
     left = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
@@ -388,4 +407,4 @@ def _with_rare(rows: DataFrame, words: DataFrame, total: int, distinct: int, voc
 
 
 def _result(rows: DataFrame, total: int) -> DataFrame:
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))

@@ -16,8 +16,8 @@ in no passage found meet further hubs, the smallest document left of each list,
 smaller documents of its lists that have one of the rarest shingles of its surroundings in common, as any two similar passages do.
 
 ``repeated`` returns one row per passage that a document with a smaller doc_id has, overlapping ones merged. Null, empty and
-short texts have no passage. Rows with null doc_id are not searched. Rows that share a doc_id are one document with several
-texts: the passages of each are reported. Other columns are not read.
+short texts have no passage. Rows with null doc_id are not searched. Rows that share a doc_id are told apart by keys of their
+own, which come after (or before) all ids: the passages of each are reported under the doc_id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ TURNS = 3
 RUN = 16
 COMMON = 20
 GAP = 12
-GATHERED = 1_000_000
+GATHERED = 300_000
 PIECE = 8_000_000  # longer documents are taken in overlapping pieces: places have 24 bits
 SEEDS = np.random.default_rng(3).integers(1, 2**63, FUNCTIONS, dtype=np.uint64)
 _PLACE = U((1 << 24) - 1)
@@ -359,8 +359,40 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "places", "p", "q").mapInPandas(compare, "a long, b long, a_first long, a_last long, b_first long, b_last long")
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """The rows with ``_key``: their doc_id, or a number of its own for rows that share one; and whether there are such rows."""
+    own = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    several = frames.kept(own.where("_key is not null").groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"))
+    if several.isEmpty():
+        return own, False
+    ends = own.agg(F.min("_key"), F.max("_key")).first()
+    number = F.monotonically_increasing_id()
+    if ends[1] < 1 << 61:
+        number = F.lit(ends[1] + 1) + number
+    elif ends[0] > -(1 << 61):
+        number = F.lit(ends[0] - 1) - number
+    else:
+        raise ValueError("doc_ids that rows share leave no room for keys of their own: ids reach to both ends of 64 bits")
+    marked = several.withColumn("_several", F.lit(True))
+    joined = own.join(F.broadcast(marked) if several.count() <= NEEDED else marked, "_key", "left")
+    return frames.written(joined.withColumn("_key", F.when(F.col("_several"), number).otherwise(F.col("_key"))).drop("_several"), "keyed"), True
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """``(doc_id, source_id, start_word, end_word)``: passages that a document of smaller doc_id has, overlapping and touching ones as one; end is exclusive."""
+    own, several = keyed(docs.select("doc_id", "text"))
+    found = repeated_keys(own.select(F.col("_key").alias("doc_id"), "text"))
+    if not several:
+        return found
+    ids = frames.kept(own.where("_key <> doc_id").select("_key", F.col("doc_id").cast("long").alias("_id")))
+    ids = F.broadcast(ids) if ids.count() <= NEEDED else ids
+    for c in ("doc_id", "source_id"):
+        found = found.join(ids, F.col(c) == F.col("_key"), "left").withColumn(c, F.coalesce("_id", c)).drop("_key", "_id")
+    return found
+
+
+def repeated_keys(docs: DataFrame) -> DataFrame:
+    """The same of rows whose doc_id is theirs alone, or null."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     known = copies(d)
     total = known.agg(F.sum("n_words")).first()[0] or 0

@@ -85,12 +85,15 @@ SHINGLES_SQL = r"""words AS (SELECT doc_id, list_filter(regexp_split_to_array(tr
 grams AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+4], ' ') END AS g
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0))"""
 ORACLES["op9_ngram_jaccard"] = f"""
-WITH RECURSIVE {SHINGLES_SQL},
-sizes AS (SELECT d.doc_id, count(g.g) AS n FROM documents d LEFT JOIN grams g ON d.doc_id = g.doc_id GROUP BY d.doc_id),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS doc_id, doc_id AS id, text FROM documents),
+{SHINGLES_SQL.replace("FROM documents", "FROM d")},
+sizes AS (SELECT d.doc_id, any_value(d.id) AS id, count(g.g) AS n FROM d LEFT JOIN grams g ON d.doc_id = g.doc_id GROUP BY d.doc_id),
 links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN sizes p ON p.doc_id = x.doc_id
-  JOIN sizes q ON q.doc_id = y.doc_id GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT s.doc_id, s.n AS n_shingles, min(r.b) AS component_id FROM sizes s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.n"""
+  JOIN sizes q ON q.doc_id = y.doc_id GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+  UNION SELECT x.doc_id, y.doc_id FROM sizes x JOIN sizes y ON x.id = y.id AND x.doc_id <> y.doc_id WHERE x.n > 0 AND y.n > 0),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.id AS doc_id, s.n AS n_shingles, min(o.id) AS component_id FROM sizes s JOIN reach r ON r.a = s.doc_id JOIN sizes o ON o.doc_id = r.b
+GROUP BY s.doc_id, s.id, s.n"""
 
 
 @query
