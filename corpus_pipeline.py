@@ -35,8 +35,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has; documents of which nothing is left go."""
-    spans = frames.kept(passages.repeated(docs).select("doc_id", "start_word", "end_word"))
-    return cut(docs, spans)
+    keyed, _ = passages.keyed(docs)  # rows that share a doc_id are cut each by its own spans
+    spans = frames.kept(passages.repeated_keys(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "start_word", "end_word"))
+    return cut(keyed, spans, "_key").drop("_key")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +51,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.tokenized(docs, vocabulary()).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
-def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Texts without word spans ``(doc_id, start_word, end_word)``; only documents with spans are looked at by word."""
-    lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_cut"))
+def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Texts without word spans ``(key, start_word, end_word)``; only documents with spans are looked at by word."""
+    lists = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_cut"))
     small = lists.count() <= jaccard.NEEDED // 10
-    joined = docs.join(F.broadcast(lists) if small else lists, "doc_id", "left").select(*docs.columns, "_cut")
+    joined = docs.join(F.broadcast(lists) if small else lists, key, "left").select(*docs.columns, "_cut")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
