@@ -17,7 +17,7 @@ smaller documents of its lists that have one of the rarest shingles of its surro
 
 ``repeated`` returns one row per passage that a document with a smaller doc_id has, overlapping ones merged. Null, empty and
 short texts have no passage. Rows with null doc_id are not searched. Rows that share a doc_id are told apart by keys of their
-own, which come after (or before) all ids: the passages of each are reported under the doc_id. Other columns are not read.
+own, which come after (or before) all ids: the passages of each that another document has are reported under the doc_id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -388,7 +388,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     ids = F.broadcast(ids) if ids.count() <= NEEDED else ids
     for c in ("doc_id", "source_id"):
         found = found.join(ids, F.col(c) == F.col("_key"), "left").withColumn(c, F.coalesce("_id", c)).drop("_key", "_id")
-    return found
+    return found.where("doc_id <> source_id")
 
 
 def repeated_keys(docs: DataFrame) -> DataFrame:
