@@ -30,6 +30,7 @@ CHAR_ROWS, CHAR_DIM = 1 << 12, 4
 INPUTS = WORD_DIM + 1 + CHAR_DIM
 EPOCHS, STEPS, BATCH, RATE = 6, 200, 64, 0.01
 WINDOWS_AT_ONCE = 2048
+WORDS_AT_ONCE = 100_000
 THRESHOLD = 0.3
 RESULT = ["score", "predicted", "n_windows", "worst_word"]
 
@@ -143,6 +144,21 @@ def logits(p: dict, odds: tuple, texts: list[Words]) -> tuple[np.ndarray, np.nda
     return out, owner
 
 
+def all_logits(p: dict, odds: tuple, texts: list[Words]) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all windows and their texts, about ``WORDS_AT_ONCE`` words at a time, so that memory does not grow with the texts."""
+    found, owners, at = [], [], 0
+    while at < len(texts):
+        stop, size = at + 1, len(texts[at])
+        while stop < len(texts) and size + len(texts[stop]) <= WORDS_AT_ONCE:
+            size += len(texts[stop])
+            stop += 1
+        z, owner = logits(p, odds, texts[at:stop])
+        found.append(z)
+        owners.append(owner + at)
+        at = stop
+    return np.concatenate(found), np.concatenate(owners)
+
+
 def gradients(p: dict, odds: tuple, chosen: list[tuple[Words, int]], labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the weighted logistic loss for one window of each text."""
     rows = [(w, np.arange(s, min(len(w), s + WINDOW))) for w, s in chosen]
@@ -243,7 +259,7 @@ def trained(values: list[str | None], labels: np.ndarray, weights: np.ndarray, s
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     time = 0
     for epoch in range(max(EPOCHS, min(4 * EPOCHS, STEPS * BATCH // (2 * len(learn))))):  # few texts: more epochs
-        z, owner = logits(p, odds, [texts[k] for k in learn])
+        z, owner = all_logits(p, odds, [texts[k] for k in learn])
         chosen = []
         for j, k in enumerate(learn):
             own = z[np.searchsorted(owner, j) : np.searchsorted(owner, j, side="right")]
@@ -264,7 +280,7 @@ def trained(values: list[str | None], labels: np.ndarray, weights: np.ndarray, s
                 s += 0.001 * (v * v - s)
                 p[k] -= (RATE * (m / (1 - 0.9**time)) / (np.sqrt(s / (1 - 0.999**time)) + 1e-7)).astype(np.float32)
     aside = np.flatnonzero(held) if len(set(labels[held].tolist())) > 1 else np.arange(len(texts))
-    z, owner = logits(p, odds, [texts[k] for k in aside])
+    z, owner = all_logits(p, odds, [texts[k] for k in aside])
     worst = np.maximum.reduceat(z, np.searchsorted(owner, np.arange(len(aside))))
     return p, odds, calibration(worst.astype(float), labels[aside], weights[aside])
 
@@ -301,7 +317,7 @@ def scores(docs: DataFrame, labels: DataFrame, training: Column, most_bad: int =
                 if shipped.value is not None:
                     p, odds, (slope, offset) = shipped.value
                     texts = [Words(t) for t in values]
-                    z, owner = logits(p, odds, texts)
+                    z, owner = all_logits(p, odds, texts)
                     first = np.searchsorted(owner, np.arange(len(values)))
                     n = np.diff(np.append(first, len(z)))
                     top = np.maximum.reduceat(z, first)
