@@ -10,8 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of texts that pass to Python hold 8 MB at most, so that a task's memory does not grow with its texts; a setting of the session's own stays."""
+    name, size = BATCH_BYTES
+    if spark.conf.get(name, None) in ("67108864b", "64MB", "67108864"):  # the default
+        spark.conf.set(name, str(size))
+
+
 def shared(spark: SparkSession) -> str:
     """Folder that driver and executors see: the session's ``spark.checkpoint.dir``; local masters without one get a temporary folder."""
+    small_batches(spark)
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or (
         context._jsc.sc().getCheckpointDir().get() if context._jsc.sc().getCheckpointDir().isDefined() else None)
@@ -38,6 +49,7 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
 
 
 def reader(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
