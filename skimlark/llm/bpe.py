@@ -31,8 +31,8 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}
 _SPLIT = re.compile(f"[{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 END = "</w>"
-CACHED = 16_000_000  # bytes of words kept by a task, about
-ARCS = 300_000  # arcs kept by a task
+CACHED = 96_000_000  # bytes of words kept by a Python worker, about
+ARCS = 800_000  # arcs kept by a Python worker
 LONG = 64  # longer strings are not kept
 
 
@@ -207,7 +207,6 @@ def _mapped(docs: DataFrame, path: str, key: str, schema: str, result) -> DataFr
             out = pd.DataFrame(rows, columns=names)
             out[key] = pdf["k"].array
             yield out
-        automaton.forget()  # the worker may serve other stages next
 
     kind = dict(docs.dtypes)[key]
     # keys as text: pandas would round long ones beside nulls
