@@ -31,7 +31,7 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}
 _SPLIT = re.compile(f"[{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 END = "</w>"
-CACHED = 96_000_000  # bytes of words kept by a Python worker, about
+CACHED = 400_000  # strings of at most LONG characters kept by a Python worker: 250 MB at the very most
 ARCS = 800_000  # arcs kept by a Python worker
 LONG = 64  # longer strings are not kept
 
@@ -98,7 +98,6 @@ class Automaton(dict):
         self.final = {t[: -len(END)]: i for t, i in known if t.endswith(END) and len(t) > len(END)}
         self.longest = max((len(t) for t, _ in known), default=1)
         self.arcs: dict[int, int] = {}
-        self.held = 0
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.marks = {t[:2] for t in self.special}
 
@@ -140,14 +139,12 @@ class Automaton(dict):
         out = np.array(ids, "<u4").tobytes()
         if len(chunk) <= LONG:
             self[chunk] = out
-            self.held += 200 + 4 * len(chunk) + len(out)
         return out
 
     def forget(self) -> None:
         """What was kept is given back."""
         self.clear()
         self.arcs.clear()
-        self.held = 0
 
     def encode(self, text: str | None) -> bytes:
         """Token numbers of a whole text as little-endian unsigned 32-bit integers."""
@@ -159,9 +156,8 @@ class Automaton(dict):
         return self.plain(text)
 
     def plain(self, text: str) -> bytes:
-        if self.held > CACHED:
+        if len(self) > CACHED:
             self.clear()
-            self.held = 0
         text = unicodedata.normalize("NFC", text)
         chunks = [c for c in _SPLIT.split(text) if c] if _ODD.search(text) else text.split()
         return b"".join(map(self.__getitem__, chunks))
