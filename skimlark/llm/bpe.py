@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skimlark.llm import text as text_tools
+
 #: The vocabulary's pre-split pattern and the white space of its normalizer.
 SPACE = "\t-\r \x85\xa0  -     　"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -170,11 +172,18 @@ class Automaton(dict):
 _ready: dict[int, Automaton] = {}
 
 
+def _forget() -> None:
+    for automaton in _ready.values():
+        automaton.forget()
+    _ready.clear()
+
+
 def _automaton(shipped) -> Automaton:
     """One automaton for each Python worker and vocabulary."""
     if id(shipped.value) not in _ready:
         _ready.clear()
         _ready[id(shipped.value)] = Automaton(shipped.value)
+        text_tools.keeps("bpe", _forget)
     return _ready[id(shipped.value)]
 
 

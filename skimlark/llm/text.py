@@ -6,6 +6,10 @@ the bytes of a word, mixed; a shingle is the mixed sum of five of those. Every f
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
 import numpy as np
 
 U = np.uint64
@@ -86,3 +90,23 @@ def shingle_set(text: str | None) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return x.astype(np.uint64, copy=False).view(np.int64)
+
+
+_keepers: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, forget: Callable[[], None]) -> None:
+    """An operator keeps something in this Python worker that ``forget`` gives back."""
+    _keepers[name] = forget
+
+
+def alone(name: str) -> None:
+    """At the start of a task: what other operators kept in this worker is given back to the system."""
+    others = [k for k in _keepers if k != name]
+    for k in others:
+        _keepers.pop(k)()
+    if others:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)

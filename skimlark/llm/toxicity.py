@@ -309,6 +309,7 @@ def scores(docs: DataFrame, labels: DataFrame, training: Column, most_bad: int =
     shipped = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text.alone("toxicity")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skimlark.llm import bpe, decontaminate, fingerprints, jaccard, language_model, passages, queries, repetition, wrappers
+from skimlark.llm import bpe, decontaminate, fingerprints, jaccard, language_model, passages, queries, repetition, text, wrappers
 from skimlark.llm.queries import vocabulary
 
 BIG = [2**60 + 1, 2**60 + 3, 2**60 + 5]
@@ -79,3 +79,13 @@ def test_most_frequent_words_are_exact(spark, monkeypatch, known):
     got = language_model.most_frequent(spark.createDataFrame(rows), len(rows))
     want = rows.sort_values(["c", "word"], ascending=[False, True]).head(known)
     assert got["word"].tolist() == want["word"].tolist()
+
+
+def test_what_another_operator_kept_is_given_back():
+    given = []
+    text.keeps("one", lambda: given.append("one"))
+    text.alone("one")
+    assert given == []
+    text.alone("other")
+    text.alone("other")
+    assert given == ["one"]
