@@ -156,6 +156,19 @@ def duplicate_rows(spark, sf):
     return finish(sk.duplicate_rows(table(spark, sf, "events").select("user_id", "event_type")), exact=["duplicate_rate"])
 
 
+LINES = "l_returnflag, l_linestatus, l_quantity, l_discount, l_tax"
+
+
+@query("duplicate_rows_proved", oracle=f"""
+WITH d AS (SELECT count(*) AS n FROM (SELECT DISTINCT {LINES} FROM lineitem))
+SELECT count(*) AS rows, any_value(d.n) AS distinct_rows, count(*) - any_value(d.n) AS duplicate_rows,
+  {sql_exact('(count(*) - any_value(d.n)) / CAST(count(*) AS DOUBLE)')} AS duplicate_rate
+FROM lineitem, d""")
+def duplicate_rows_proved(spark, sf):
+    lines = table(spark, sf, "lineitem").select(*LINES.split(", "))
+    return finish(sk.duplicate_rows(lines, proof=True), exact=["duplicate_rate"])
+
+
 # ---- quality ---------------------------------------------------------------
 
 RATE = "((n - non_null) / CAST(n AS DOUBLE))"

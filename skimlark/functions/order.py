@@ -54,6 +54,22 @@ def _join_seams(parts: DataFrame, seams: DataFrame, on: list[str], rows: int, co
     return parts.join(F.broadcast(seams) if small else seams, on)
 
 
+def attach_groups(base: DataFrame, table: DataFrame, by: Sequence[str], weight: str, config: Config = DEFAULT) -> DataFrame:
+    """``base`` joined with one row per group; ``weight`` counts the group's rows in ``base``.
+
+    A table beyond ``Config.broadcast_rows`` is cut in two: groups with more than a ``broadcast_rows``-th of all rows, which are
+    fewer than ``broadcast_rows`` by that, are broadcast; only rows of the others are shuffled. No hot group is one task. Null keys match nothing.
+    """
+    by = list(by)
+    if table.count() <= config.broadcast_rows:
+        return base.join(F.broadcast(table), by)
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.coalesce(F.col(weight), F.lit(0)) * config.broadcast_rows > total
+    hot = F.broadcast(table.where(heavy))
+    rest = base.join(F.broadcast(table.where(heavy).select(*by)), by, "left_anti").join(table.where(~heavy), by)
+    return base.join(hot, by).unionByName(rest)
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, rows: int, config: Config = DEFAULT
 ) -> DataFrame:
@@ -146,12 +162,11 @@ def _counted_quantiles(base, width, probs, by):
 
 
 def _attach(base: DataFrame, table: DataFrame, by: list[str], config: Config) -> DataFrame:
-    """Put the bracket columns next to the rows: literals, or a join by group."""
+    """Put the bracket columns next to the rows: literals, or a join by group, whose rows ``_rows`` counts."""
     if not by:
         row = table.first()
         return base.withColumns({c: F.lit(row[c]).cast(dict(table.dtypes)[c]) for c in table.columns})
-    small = table.count() <= config.broadcast_rows
-    return base.join(F.broadcast(table) if small else table, by)
+    return attach_groups(base, table, by, "_rows", config)
 
 
 def _bracketed_quantiles(base, width, probs, by, config):
@@ -159,17 +174,17 @@ def _bracketed_quantiles(base, width, probs, by, config):
     # Sketch per task slice first, then merge: no reducer meets all sketches of a big scan at once.
     slices = base.withColumn("_slice", F.spark_partition_id() % 512).groupBy(*by, "_slice").agg(
         *[F.kll_sketch_agg_double(f"_v{i}", F.lit(config.sketch_k)).alias(f"_s{i}") for i in ks],
-        *[F.count(f"_v{i}").alias(f"_c{i}") for i in ks])
+        *[F.count(f"_v{i}").alias(f"_c{i}") for i in ks], F.count(F.lit(1)).alias("_rows"))
     merged = slices.groupBy(*by).agg(
         *[F.kll_merge_agg_double(F.when(F.col(f"_c{i}") > 0, F.col(f"_s{i}"))).alias(f"_s{i}") for i in ks],
-        *[F.sum(f"_c{i}").alias(f"_n{i}") for i in ks])
+        *[F.sum(f"_c{i}").alias(f"_n{i}") for i in ks], F.sum("_rows").alias("_rows"))
 
     def edge(i, p, shift):
         at = min(1.0, max(0.0, p + shift))
         return F.when(F.col(f"_n{i}") > 0, F.kll_sketch_get_quantile_double(F.col(f"_s{i}"), F.lit(float(at))))
 
     brackets = materialize(merged.select(
-        *by, *[f"_n{i}" for i in ks],
+        *by, "_rows", *[f"_n{i}" for i in ks],
         *[edge(i, p, -config.sketch_slack).alias(f"_lo{i}_{j}") for i in ks for j, p in enumerate(probs)],
         *[edge(i, p, config.sketch_slack).alias(f"_hi{i}_{j}") for i in ks for j, p in enumerate(probs)]))
 
@@ -179,7 +194,7 @@ def _bracketed_quantiles(base, width, probs, by, config):
         *[F.count_if(F.col(f"_v{i}").between(F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}"))).alias(f"_in{i}_{j}")
           for i in ks for j in js])
     joined = brackets.join(counted, by) if by else _attach(brackets, counted, by, config)
-    checked = [F.col(c) for c in by] + [F.col(f"_n{i}") for i in ks]
+    checked = [F.col(c) for c in (*by, "_rows")] + [F.col(f"_n{i}") for i in ks]
     for i in ks:
         for j, p in enumerate(probs):
             place = F.lit(float(p)) * (F.col(f"_n{i}") - 1)
@@ -196,7 +211,7 @@ def _bracketed_quantiles(base, width, probs, by, config):
     final = materialize(joined.select(*checked))
     inside_rows = final.agg(F.sum(sum((F.col(f"_in{i}_{j}") for i in ks for j in js), F.lit(0)))).first()[0] or 0
 
-    edges = final.select(*by, *[f"{e}{i}_{j}" for e in ("_lo", "_hi") for i in ks for j in js])
+    edges = final.select(*by, "_rows", *[f"{e}{i}_{j}" for e in ("_lo", "_hi") for i in ks for j in js])
     rows = _attach(base, edges, by, config)
     cells = rows.select(*by, F.inline(F.array(*[
         F.struct(F.lit(i).alias("_k"), F.lit(j).alias("_j"),
@@ -207,12 +222,11 @@ def _bracketed_quantiles(base, width, probs, by, config):
 
     targets = final.select(*by, F.inline(F.array(*[
         F.struct(F.lit(i).alias("_k"), F.lit(j).alias("_j"), F.lit(float(p)).alias("_p"),
-                 F.col(f"_n{i}").alias("n"), F.col(f"_below{i}_{j}").alias("_below"),
+                 F.col(f"_n{i}").alias("n"), F.col(f"_in{i}_{j}").alias("_inside"), F.col(f"_below{i}_{j}").alias("_below"),
                  F.col(f"_known{i}_{j}").alias("_known"))
         for i in ks for j, p in enumerate(probs)]))).where("n > 0")
     on = [*by, "_k", "_j"]
-    small = bool(not by) or final.count() * width * len(probs) <= config.broadcast_rows
-    placed = ranked.join(F.broadcast(targets) if small else targets, on)
+    placed = attach_groups(ranked, targets, on, "_inside", config) if by else ranked.join(F.broadcast(targets), on)
     upto = F.col("_below") + F.col("before") + F.col("_c")
     place = F.col("_p") * (F.col("n") - 1)
     picks = placed.groupBy(*on).agg(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skimlark.config import DEFAULT, Config
 from skimlark.functions.exprs import cell_text, col, finite, iso_from_micros, micros, normal_quantile
-from skimlark.functions.order import exact_quantiles, materialize, running_total
+from skimlark.functions.order import attach_groups, exact_quantiles, materialize, running_total
 from skimlark.functions.values import melt, top_values, value_counts
 from skimlark.operators.profile import fences
 from skimlark.operators.sampling import sample_rows
@@ -190,10 +190,8 @@ def _boxes(rows: DataFrame, by: list[str], config: Config) -> DataFrame:
         *by, "n", q[0].alias("min"), q[1].alias("q1"), q[2].alias("median"), q[3].alias("q3"), q[4].alias("max"),
         iqr.alias("iqr"), (q[1] - 1.5 * iqr).alias("lower"), (q[3] + 1.5 * iqr).alias("upper"))
     boxes = materialize(boxes)
-    small = boxes.count() <= config.broadcast_rows
-    limits = boxes.select(*by, "lower", "upper")
     outside = (
-        rows.join(F.broadcast(limits) if small else limits, by)
+        attach_groups(rows, boxes.select(*by, "n", "lower", "upper"), by, "n", config)
         .groupBy(*by).agg(F.count_if((F.col("y") < F.col("lower")) | (F.col("y") > F.col("upper"))).alias("outliers")))
     return boxes.join(outside, by)
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from skimlark.config import DEFAULT, Config
 from skimlark.functions.exprs import (
     FLOATING, INTEGRAL, NESTED, TEMPORAL, col, dtype_of, finite, is_missing, iso_from_micros, micros, parse_number, present)
-from skimlark.functions.order import exact_quantiles, previous_value, running_total
+from skimlark.functions.order import attach_groups, exact_quantiles, materialize, previous_value, running_total
 from skimlark.functions.values import chunks, one_row, top_values, value_counts
 
 NUMERIC_FIELDS = [
@@ -156,57 +156,57 @@ def datetime_profile(df: DataFrame, columns: Sequence[str], *, order_by: Sequenc
     ``order_by`` (rows tied there may stand in any order); otherwise it is null.
     Intervals in microseconds.
     """
-    tables = []
-    for c in columns:
-        raw = df.select(col(c).alias("raw"))
-        span = raw.agg(F.count(F.lit(1)).alias("rows"), F.count("raw").alias("count"), F.min("raw").alias("lo"),
-                       F.max("raw").alias("hi"))
-        span = span.withColumns({e: micros(span, e) for e in ("lo", "hi")}).first()
-        rows, n = span["rows"], span["count"]
-        distinct = raw.where("raw IS NOT NULL").groupBy("raw").agg(F.count(F.lit(1)).alias("c"))
-        distinct = distinct.select(micros(distinct, "raw").alias("t"), "c")
-        steps = previous_value(distinct.withColumn("_one", F.lit(0)), ["_one"], ["t"], "t", rows, config)
-        # n sorted values have n - 1 gaps: repeats give zeros, distinct neighbours give steps
-        gaps = (
-            steps.select(F.inline(F.array(
-                F.struct((F.col("t") - F.col("previous")).alias("gap"), F.lit(1).cast("long").alias("c")),
-                F.struct(F.lit(0).cast("long").alias("gap"), (F.col("c") - 1).alias("c")))))
-            .where("gap IS NOT NULL AND c > 0").groupBy("gap").agg(F.sum("c").alias("c"))
-            .withColumn("_one", F.lit(0)))
-        upto = F.col("before") + F.col("c")
-        median = running_total(gaps, ["_one"], ["gap"], "c", rows, config).agg(
-            F.coalesce(F.max(F.when(F.col("gap") == 0, F.col("c"))), F.lit(0)).alias("duplicate_timestamp_count"),
-            ((F.min(F.when(upto > (n - 2) // 2, F.col("gap")))
-              + F.min(F.when(upto > (n - 1) // 2, F.col("gap")))) / 2).alias("median_interval_us"))
-        found = one_row(median, _in_order(df, c, order_by, rows, config))
-        lit = lambda x: F.lit(x).cast("long")
-        tables.append(found.select(
-            F.lit(c).alias("column"), lit(n).alias("count"), lit(rows - n).alias("missing_count"),
-            F.lit((rows - n) / rows if rows else None).cast("double").alias("missing_rate"),
-            iso_from_micros(lit(span["lo"])).alias("earliest"), iso_from_micros(lit(span["hi"])).alias("latest"),
-            lit(span["hi"] - span["lo"] if n > 1 else None).alias("span_us"),
-            F.col("duplicate_timestamp_count").cast("long").alias("duplicate_timestamp_count"),
-            F.when(F.lit(n > 0), F.col("monotonic_increasing")).alias("monotonic_increasing"),
-            "median_interval_us"))
-    return _stack(tables)
-
-
-def _in_order(df, column, order_by, rows, config):
-    """One row: does the column never fall along ``order_by``?
-
-    Equal order keys collapse to their smallest and largest value first, so a
-    frequent key costs one row; then neighbours are compared.
+    columns = list(columns)
+    moments = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), micros(df, c).cast("long").alias("t")) for i, c in enumerate(columns)])))
+    # all columns in one table of distinct moments, written once; the order is split by (column, moment)
+    distinct = materialize(moments.where("t IS NOT NULL").groupBy("position", "t").agg(F.count(F.lit(1)).alias("c")))
+    cells, rows = distinct.count(), df.count()
+    spans = materialize(distinct.groupBy("position").agg(F.sum("c").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")))  # a row per column
+    steps = previous_value(distinct, ["position"], ["t"], "t", cells, config)
+    # n sorted values have n - 1 gaps: repeats give zeros, distinct neighbours give steps
+    gaps = (
+        steps.select("position", F.inline(F.array(
+            F.struct((F.col("t") - F.col("previous")).alias("gap"), F.lit(1).cast("long").alias("c")),
+            F.struct(F.lit(0).cast("long").alias("gap"), (F.col("c") - 1).alias("c")))))
+        .where("gap IS NOT NULL AND c > 0").groupBy("position", "gap").agg(F.sum("c").alias("c")))
+    n, upto = F.col("n"), F.col("before") + F.col("c")
+    placed = running_total(gaps, ["position"], ["gap"], "c", 2 * cells, config).join(F.broadcast(spans.select("position", "n")), "position")
+    median = placed.groupBy("position").agg(
+        F.max(F.when(F.col("gap") == 0, F.col("c"))).alias("repeats"),
+        ((F.min(F.when(upto > F.floor((n - 2) / 2), F.col("gap")))
+          + F.min(F.when(upto > F.floor((n - 1) / 2), F.col("gap")))) / 2).alias("median_interval_us"))
+    base = df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column")) for i, c in enumerate(columns)])))
+    for found in (spans, median, _in_order(df, columns, order_by, rows, config)):
+        base = base.join(F.broadcast(found), "position", "left")
+    there, missing = F.coalesce(n, F.lit(0)).cast("long"), F.lit(rows).cast("long") - F.coalesce(n, F.lit(0))
+    return base.select(
+        "column", there.alias("count"), missing.alias("missing_count"),
+        F.try_divide(missing.cast("double"), F.lit(rows)).alias("missing_rate"),
+        iso_from_micros(F.col("lo")).alias("earliest"), iso_from_micros(F.col("hi")).alias("latest"),
+        F.when(n > 1, F.col("hi") - F.col("lo")).alias("span_us"),
+        F.coalesce("repeats", F.lit(0)).cast("long").alias("duplicate_timestamp_count"),
+        F.when(there > 0, F.col("monotonic_increasing")).alias("monotonic_increasing"), "median_interval_us")
+
+
+def _in_order(df, columns, order_by, rows, config):
+    """``position, monotonic_increasing``: does each column never fall along ``order_by``?
+
+    Equal order keys collapse to their smallest and largest values first, so a
+    frequent key costs one row; then neighbours are compared, column by column.
     """
     if not order_by:
-        return df.sparkSession.range(1).select(F.lit(None).cast("boolean").alias("monotonic_increasing"))
+        return df.sparkSession.range(0).select(F.lit(0).alias("position"), F.lit(None).cast("boolean").alias("monotonic_increasing"))
     keys = [f"_o{i}" for i in range(len(order_by))]
-    spans = (
-        df.select(col(column).alias("_t"), *[col(o).alias(k) for o, k in zip(order_by, keys)])
-        .where("_t IS NOT NULL").groupBy(*keys).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-        .withColumn("_one", F.lit(0)))
-    return previous_value(spans, ["_one"], keys, "_hi", rows, config).agg(
-        F.coalesce(F.bool_and(F.col("previous").isNull() | (F.col("previous") <= F.col("_lo"))), F.lit(True))
-        .alias("monotonic_increasing"))
+    spans = df.select(*[micros(df, c).cast("long").alias(f"_t{i}") for i, c in enumerate(columns)],
+                      *[col(o).alias(k) for o, k in zip(order_by, keys)]).groupBy(*keys).agg(
+        *[f(f"_t{i}").alias(f"{e}{i}") for i in range(len(columns)) for f, e in ((F.min, "_lo"), (F.max, "_hi"))])
+    cells = spans.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.col(f"_lo{i}").alias("_lo"), F.col(f"_hi{i}").alias("_hi"))
+        for i in range(len(columns))]))).where("_lo IS NOT NULL")
+    return previous_value(cells, ["position"], keys, "_hi", rows * len(columns), config).groupBy("position").agg(
+        F.bool_and(F.col("previous").isNull() | (F.col("previous") <= F.col("_lo"))).alias("monotonic_increasing"))
 
 
 def marked(c: Column, kind: T.DataType) -> Column:
@@ -221,29 +221,62 @@ def marked(c: Column, kind: T.DataType) -> Column:
     return F.struct(c.isNull(), c)
 
 
-def row_fingerprint(df: DataFrame) -> list[Column]:
-    """128 bits that stand for a whole row: two seeded hashes over values and null marks."""
+def _row_parts(df: DataFrame) -> list[Column]:
+    """Values and null marks of a whole row; equal rows have equal parts."""
     parts = []
     for f in df.schema.fields:
         c = present(df, f.name)
         parts += [marked(c, f.dataType)] if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else [c.isNull(), c]
-    return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "_h1"), (2, "_h2"))]
+    return parts
+
+
+def row_fingerprint(df: DataFrame) -> list[Column]:
+    """128 bits that stand for a whole row: two seeded hashes over values and null marks."""
+    return [F.xxhash64(F.lit(seed), *_row_parts(df)).alias(name) for seed, name in ((1, "_h1"), (2, "_h2"))]
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def duplicate_rows(df: DataFrame, *, proof: bool = False, bits: int = 64, config: Config = DEFAULT) -> DataFrame:
     """``rows, distinct_rows, duplicate_rows, duplicate_rate`` of whole rows.
 
     Rows are grouped by a 128-bit fingerprint, so the shuffle carries 16 bytes
     per distinct row instead of the row. Nulls are equal to each other, as are NaNs.
+
+    ``proof`` compares the rows themselves wherever a fingerprint occurs twice: the smallest and the largest row of a fingerprint
+    are equal, or its rows are counted by value. Only such rows are shuffled, after each task has reduced them to two a fingerprint.
+    ``bits`` narrows each of the two hashes, so that a test can make them collide.
     """
+    prints = df.select(*[F.shiftrightunsigned(h, 64 - bits).alias(n) if bits < 64 else h for h, n in zip(row_fingerprint(df), KEYS)])
+    groups = prints.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("c"))
+    hidden = F.lit(0)
+    if proof:
+        groups = materialize(groups)
+        hidden = F.lit(_hidden_rows(df, groups.where("c > 1"), bits, config))
     n, d = F.col("rows"), F.col("distinct_rows")
     return (
-        df.select(*row_fingerprint(df)).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("c"))
-        .agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_rows"))
+        groups
+        .agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), (F.count(F.lit(1)) + hidden).alias("distinct_rows"))
         .select("rows", "distinct_rows", (n - d).alias("duplicate_rows"),
                 F.coalesce(F.try_divide((n - d).cast("double"), n), F.lit(0.0)).alias("duplicate_rate")))
 
 
+KEYS = ["_h1", "_h2"]
+
+
+def _hidden_rows(df: DataFrame, groups: DataFrame, bits: int, config: Config) -> int:
+    """Number of different rows that share their fingerprint with a smaller one; ``groups`` are fingerprints with their counts."""
+    if groups.isEmpty():
+        return 0
+    hashes = [F.shiftrightunsigned(h, 64 - bits).alias(n) if bits < 64 else h for h, n in zip(row_fingerprint(df), KEYS)]
+    rows = df.select(*hashes, F.struct(*[p.alias(f"_{i}") for i, p in enumerate(_row_parts(df))]).alias("_row"))
+    ends = attach_groups(rows, groups, KEYS, "c", config).groupBy(*KEYS).agg(
+        F.min("_row").alias("lo"), F.max("_row").alias("hi"), F.count(F.lit(1)).alias("c"))
+    mixed = materialize(ends.where("NOT (lo <=> hi)").select(*KEYS, "c"))
+    if mixed.isEmpty():
+        return 0
+    each = attach_groups(rows, mixed, KEYS, "c", config).groupBy(*KEYS, "_row").agg(F.count(F.lit(1)).alias("c"))
+    return each.count() - mixed.count()
+
+
 def _bytes(df: DataFrame, name: str) -> Column:
     """Estimated size of one value: fixed width, or bytes of the text."""
     dtype, c = dtype_of(df, name), col(name)

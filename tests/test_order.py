@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skimlark.config import Config
 from skimlark.functions.exprs import finite
-from skimlark.functions.order import exact_quantiles, previous_value, running_total
+from skimlark.functions.order import attach_groups, exact_quantiles, previous_value, running_total
 
 TINY = Config(single_task_rows=50, broadcast_rows=1000, sketch_k=64, sketch_slack=0.05)
 PROBS = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
@@ -49,6 +49,36 @@ def test_grouped_quantiles(spark, config):
         np.testing.assert_allclose(r["q"], np.quantile(values, PROBS), rtol=1e-12)
 
 
+def many_groups():
+    """300 groups, of which one has a third of the rows."""
+    rng = np.random.default_rng(12)
+    g = np.where(rng.random(4000) < 0.34, 0, rng.integers(1, 300, 4000))
+    return pd.DataFrame({"g": g, "h": g % 7, "v": np.where(rng.random(4000) < 0.05, np.nan, rng.lognormal(1, 2, 4000))})
+
+
+@pytest.mark.parametrize("limit", [0, 1, 20, 1000])
+def test_quantiles_of_more_groups_than_are_broadcast(spark, limit):
+    pdf = many_groups()
+    config = Config(single_task_rows=50, broadcast_rows=limit, sketch_k=64, sketch_slack=0.05)
+    df = spark.createDataFrame(pdf)
+    got = exact_quantiles(df, {"v": finite(df, "v")}, PROBS, by=["g", "h"], config=config).collect()
+    assert len(got) == pdf.dropna().g.nunique()
+    for r in got:
+        values = pdf[pdf.g == r["g"]].v.dropna()
+        assert r["n"] == len(values)
+        np.testing.assert_allclose(r["q"], np.quantile(values, PROBS), rtol=1e-12)
+
+
+def test_hot_group_is_no_single_task(spark):
+    pdf = many_groups()
+    base = spark.createDataFrame(pdf).repartition(8)
+    table = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("s"))
+    joined = attach_groups(base, table, ["g"], "n", Config(broadcast_rows=20))
+    assert joined.count() == len(pdf)
+    hot = joined.where("g = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(hot) == 8 and max(r["count"] for r in hot) < (pdf.g == 0).sum() / 4
+
+
 def test_column_without_values_is_left_out(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)] * 40, "a double, b double")
     for config in (Config(), TINY):

@@ -122,6 +122,30 @@ def test_duplicates_are_null_safe(spark):
     assert (got["rows"], got["distinct_rows"], got["duplicate_rows"]) == (5, 3, 2)
 
 
+@pytest.mark.parametrize("bits", [64, 2, 0])
+@pytest.mark.parametrize("limit", [100_000, 3, 0])
+def test_colliding_fingerprints_are_told_apart(spark, bits, limit):
+    """Two bits a hash make nearly all rows collide; a third of the rows are one row."""
+    rng = np.random.default_rng(4)
+    rows = [(1, "hot", [1.0]) if i % 3 == 0 else (int(rng.integers(0, 40)), "x" * int(rng.integers(0, 3)), [float(rng.integers(0, 2))]) for i in range(900)]
+    rows += [(None, None, None), (None, None, None), (None, "", [])]
+    df = spark.createDataFrame(rows, "a int, b string, c array<double>")
+    got = sk.duplicate_rows(df, proof=True, bits=bits, config=sk.Config(broadcast_rows=limit)).first()
+    distinct = len({(a, b, None if c is None else tuple(c)) for a, b, c in rows})
+    assert (got["rows"], got["distinct_rows"], got["duplicate_rows"]) == (903, distinct, 903 - distinct)
+
+
+@pytest.mark.parametrize("values", ["map('a', 1, 'b', 2), map('b', 2, 'a', 1), map('a', 1), null", "struct(null, 1), struct(1, null), struct(1, null), null"])
+def test_proof_of_nested_rows(spark, values):
+    df = spark.sql(f"select explode(array({values})) as v")
+    assert [sk.duplicate_rows(df, proof=True, bits=b).first()["duplicate_rows"] for b in (64, 0)] == [1, 1]
+
+
+def test_proof_of_an_empty_table(spark):
+    got = sk.duplicate_rows(spark.createDataFrame([], "a int"), proof=True).first()
+    assert (got["rows"], got["distinct_rows"], got["duplicate_rate"]) == (0, 0, 0.0)
+
+
 def test_dataset_profile_counts(spark):
     df = spark.createDataFrame([(1.0, None), (None, None), (float("nan"), None), (1.0, None)], "a double, b string")
     p = sk.dataset_profile(df).first()
@@ -159,6 +183,39 @@ def test_datetime_profile_range_parts(spark):
     assert p["monotonic_increasing"] is False
 
 
+@pytest.mark.parametrize("config", [sk.Config(), sk.Config(single_task_rows=40)])
+def test_datetime_columns_together(spark, config):
+    """Kinds of time, nulls, a constant and an empty column in one call equal pandas, column by column."""
+    rng = np.random.default_rng(8)
+    days = pd.Series(pd.to_datetime("2025-01-01") + pd.to_timedelta(rng.integers(0, 90, 300), unit="D"))
+    pdf = pd.DataFrame({"i": range(300), "day": days.dt.date, "up": pd.to_datetime("2025-06-01") + pd.to_timedelta(np.arange(300) // 2, unit="h"),
+                        "gappy": days.where(rng.random(300) < 0.4), "same": pd.Timestamp("2025-03-03 04:05:06"), "none": pd.NaT, "one": pd.NaT})
+    pdf.loc[7, "one"] = pd.Timestamp("2025-02-02")
+    df = spark.createDataFrame(pdf, "i long, day date, up timestamp, gappy timestamp_ntz, same timestamp, none timestamp, one timestamp_ntz").repartition(5)
+    names = ["day", "up", "gappy", "same", "none", "one"]
+    got = sk.datetime_profile(df, names, order_by=["i"], config=config).collect()
+    assert [r["column"] for r in got] == names
+    for r in got:
+        v = pd.to_datetime(pdf[r["column"]]).dropna()
+        gaps = v.sort_values().diff().dropna()
+        assert (r["count"], r["missing_count"], r["duplicate_timestamp_count"]) == (len(v), 300 - len(v), v.duplicated().sum())
+        assert r["median_interval_us"] == (gaps.median().total_seconds() * 1e6 if len(gaps) else None)
+        assert r["span_us"] == ((v.max() - v.min()).total_seconds() * 1e6 if len(v) > 1 else None)
+        assert r["earliest"] == (v.min().strftime("%Y-%m-%dT%H:%M:%S.%f") if len(v) else None)
+        assert r["monotonic_increasing"] == (bool(v.is_monotonic_increasing) if len(v) else None)
+
+
+def test_datetime_jobs_do_not_grow_with_the_columns(spark):
+    df = spark.range(200).select("id", *[F.timestamp_micros(F.col("id") * 1000 * k).alias(f"t{k}") for k in range(1, 13)])
+    context, jobs = spark.sparkContext, []
+    for k in (2, 12):
+        context.setJobGroup(f"dates-{k}", "")
+        sk.datetime_profile(df, [f"t{i}" for i in range(1, k + 1)], order_by=["id"]).collect()
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"dates-{k}")))
+    context.setJobGroup("", "")
+    assert jobs[1] <= jobs[0]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "a double, s string, t timestamp_ntz")
     assert set(sk.type_map(df).values()) == {"unknown"}
