@@ -1,7 +1,9 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is the set of its five-word shingles; documents link when 100 * intersection >= 75 * union. Documents with
-equal sets form a class, of which one member is compared. Shingles have one global order, rare ones first. Two linked sets
+equal sets form a class, of which one member is compared. Shingles have one global order: the half that one bit of the hash names,
+rare ones first, then the other half. Only the first half is counted, as prefixes of a quarter of the set seldom reach beyond it; a
+shingle of the other half is taken for one that may be frequent. Two linked sets
 share at least m shingles of their m-prefixes (the first n - ceil(0.75 n) + m). Each document chooses its m by estimated cost: a
 longer prefix meets more lists but fewer candidates share m of them. Pairs that share fewer than the smaller m are not verified.
 Pairs that are left are verified with whole sets.
@@ -89,6 +91,11 @@ def _sets(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list[np.
         yield sets, keys
 
 
+def uncounted(h: np.ndarray) -> np.ndarray:
+    """The shingles at the end of the global order, whose documents are not counted."""
+    return (h >> U(33)) & U(1) == 1
+
+
 def _short(h: np.ndarray, bits: int) -> np.ndarray:
     """Bucket and 32 more bits of a shingle."""
     return (h >> U(64 - bits)) << U(32) | (h & U(0xFFFFFFFF))
@@ -107,36 +114,40 @@ def _dealt(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
 
 
 class Frequencies:
-    """What one pass over all documents tells about shingles, in a fixed size: the most frequent with their document frequencies, and a
-    bitmap that marks every shingle of two or more documents (and some others, the more the fuller it is)."""
+    """What one pass over all documents tells about the counted shingles, in a fixed size: the most frequent with their document
+    frequencies, and a bitmap that marks every shingle of two or more documents (and some others, the more the fuller it is)."""
 
     def __init__(self, bits: int, keys: np.ndarray, counts: np.ndarray, bitmap: np.ndarray):
         order = np.argsort(keys)
         self.bits, self.keys, self.counts, self.bitmap = bits, keys[order], counts[order], bitmap
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        """Document frequency, 1 if not among the most frequent."""
+        """Document frequency, 1 if not among the most frequent; ``LIST`` stands for an uncounted one."""
         out = np.ones(len(h), np.int64)
         if len(self.keys):
             short = _short(h, self.bits)
             at = np.minimum(np.searchsorted(self.keys, short), len(self.keys) - 1)
             same = self.keys[at] == short
             out[same] = self.counts[at[same]]
+        out[uncounted(h)] = LIST
         return out
 
     def shared(self, h: np.ndarray) -> np.ndarray:
-        """False only for shingles that stand in one document."""
+        """False only for counted shingles that stand in one document."""
         width = U(BITMAP >> self.bits)
         at = (h >> U(64 - self.bits)) * width + (h & U(0xFFFFFFFF)) % width
-        return (self.bitmap[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
+        return ((self.bitmap[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1) | uncounted(h)
 
 
 def frequencies(docs: DataFrame, bits: int) -> Frequencies:
-    """Document frequencies over all documents, counted in buckets of about BUCKET shingles."""
+    """Document frequencies over all documents, counted in buckets of at most about BUCKET shingles."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for sets, _ in _sets(batches, BUCKET):
             h = np.concatenate(sets)
+            h = h[~uncounted(h)]
+            if not len(h):
+                continue
             yield _dealt(h >> U(64 - bits), {"low": (h & U(0xFFFFFFFF)).astype(np.uint32)})
 
     def top(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +177,7 @@ def prefix(s: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
     are the entries shared out over m squared.
     """
     n = len(s)
-    order = np.lexsort((s, frequency))
+    order = np.lexsort((s, frequency, uncounted(s)))
     base = n - (3 * n + 3) // 4
     best, least = 1, None
     entries = np.cumsum(frequency[order[: base + MATCHES]] - 1)
@@ -198,7 +209,7 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
                 tokens.append(token)
                 owner.append(np.full(len(token), k, np.int64))
                 sizes.append(np.full(len(token), len(s) if len(s) < 1 << 24 else (1 << 24) - 1, np.uint32) << np.uint32(8) | np.uint32(need))
-                needs.append(frequency[where] > LIST)
+                needs.append((frequency[where] > LIST) | uncounted(token))
             if not sum(map(len, tokens)):
                 continue
             token, k, hot = np.concatenate(tokens), np.concatenate(owner), np.concatenate(needs)
@@ -269,7 +280,10 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame
             own = [text.shingle_set(t) for t in pdf["text"]]
             yield pd.DataFrame({"cls": [class_key(s) for s in own], "own": [packed(s) for s in own]})
 
-    blobs = frames.kept(some.mapInPandas(sets, "cls long, own binary").join(used, "cls", "left_semi").dropDuplicates(["cls"]))
+    blobs = frames.kept(some.mapInPandas(sets, "cls long, own binary").join(used, "cls", "left_semi"))
+    rows = blobs.agg(F.count("*"), F.count_distinct("cls")).first()
+    if rows[0] > rows[1]:  # rows that share a doc_id or have none: sets are only shuffled for these
+        blobs = frames.kept(blobs.dropDuplicates(["cls"]))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -276,3 +276,35 @@ def test_jaccard_bounds_never_exceed_the_difference():
         both, x, y = (rng.integers(1, 2**63, int(rng.integers(0, 300)), dtype=np.uint64) for _ in range(3))
         bits = jaccard.parity(np.concatenate([both, x])) ^ jaccard.parity(np.concatenate([both, y]))
         assert sum(int(b).bit_count() for b in bits.view(np.uint64)) <= len(x) + len(y)
+
+
+@pytest.mark.parametrize("longest", [12, 60, 400])
+def test_jaccard_links_where_prefixes_reach_uncounted_shingles(spark, longest):
+    """Near copies of short to medium texts, a frequent line in a third of them: components equal brute force."""
+    rng = np.random.default_rng(longest)
+    texts, line = [], " ".join(f"menu{i}" for i in range(8))
+    for _ in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10_000, rng.integers(1, longest))]
+        for _ in range(rng.integers(1, 5)):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), rng.integers(0, 3)):
+                copy[at] = f"n{rng.integers(0, 100_000)}"
+            texts.append(" ".join(copy) + (" " + line if rng.random() < 0.34 else ""))
+    hot = [f"h{x}" for x in range(longest)]
+    texts += [" ".join([*hot[:i], f"e{i}", *hot[i + 1 :]]) for i in range(min(longest, 80))]
+    sets = [text.shingle_set(t) for t in texts]
+    top = list(range(len(texts)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    got = jaccard.linked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: root(i) for i in range(len(texts))}
