@@ -1,9 +1,7 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is the set of its five-word shingles; documents link when 100 * intersection >= 75 * union. Documents with
-equal sets form a class, of which one member is compared. Shingles have one global order: the half that one bit of the hash names,
-rare ones first, then the other half. Only the first half is counted, as prefixes of a quarter of the set seldom reach beyond it; a
-shingle of the other half is taken for one that may be frequent. Two linked sets
+equal sets form a class, of which one member is compared. Shingles have one global order, rare ones first. Two linked sets
 share at least m shingles of their m-prefixes (the first n - ceil(0.75 n) + m). Each document chooses its m by estimated cost: a
 longer prefix meets more lists but fewer candidates share m of them. Pairs that share fewer than the smaller m are not verified.
 Pairs that are left are verified with whole sets.
@@ -44,6 +42,7 @@ HEAVY = 1 << 18
 BITMAP = 1 << 26
 BUCKET = 2_000_000
 NEEDED = 1_000_000
+MEMBERS = 128
 
 
 def class_key(s: np.ndarray) -> int:
@@ -91,11 +90,6 @@ def _sets(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list[np.
         yield sets, keys
 
 
-def uncounted(h: np.ndarray) -> np.ndarray:
-    """The shingles at the end of the global order, whose documents are not counted."""
-    return (h >> U(33)) & U(1) == 1
-
-
 def _short(h: np.ndarray, bits: int) -> np.ndarray:
     """Bucket and 32 more bits of a shingle."""
     return (h >> U(64 - bits)) << U(32) | (h & U(0xFFFFFFFF))
@@ -113,45 +107,64 @@ def _dealt(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+def steps(ascending: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as their differences, seven bits a byte, the last byte of each marked."""
+    d = np.diff(ascending.astype(np.uint64), prepend=U(0))
+    width = 1 + sum((d >= U(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(width)
+    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - width, width)
+    out = (np.repeat(d, width) >> (U(7) * place.astype(np.uint64)) & U(127)).astype(np.uint8)
+    out[ends - 1] |= 128
+    return out.tobytes()
+
+
+def unstepped(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    ends = np.flatnonzero(b & 128)
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
+    place = np.arange(len(b)) - np.repeat(starts, ends - starts + 1)
+    parts = (b & 127).astype(np.uint64) << (U(7) * place.astype(np.uint64))
+    return np.cumsum(np.add.reduceat(parts, starts) if len(starts) else parts).astype(np.uint32)
+
+
 class Frequencies:
-    """What one pass over all documents tells about the counted shingles, in a fixed size: the most frequent with their document
-    frequencies, and a bitmap that marks every shingle of two or more documents (and some others, the more the fuller it is)."""
+    """What one pass over all documents tells about shingles, in a fixed size: the most frequent with their document frequencies, and a
+    bitmap that marks every shingle of two or more documents (and some others, the more the fuller it is)."""
 
     def __init__(self, bits: int, keys: np.ndarray, counts: np.ndarray, bitmap: np.ndarray):
         order = np.argsort(keys)
         self.bits, self.keys, self.counts, self.bitmap = bits, keys[order], counts[order], bitmap
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        """Document frequency, 1 if not among the most frequent; ``LIST`` stands for an uncounted one."""
+        """Document frequency, 1 if not among the most frequent."""
         out = np.ones(len(h), np.int64)
         if len(self.keys):
             short = _short(h, self.bits)
             at = np.minimum(np.searchsorted(self.keys, short), len(self.keys) - 1)
             same = self.keys[at] == short
             out[same] = self.counts[at[same]]
-        out[uncounted(h)] = LIST
         return out
 
     def shared(self, h: np.ndarray) -> np.ndarray:
-        """False only for counted shingles that stand in one document."""
+        """False only for shingles that stand in one document."""
         width = U(BITMAP >> self.bits)
         at = (h >> U(64 - self.bits)) * width + (h & U(0xFFFFFFFF)) % width
-        return ((self.bitmap[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1) | uncounted(h)
+        return (self.bitmap[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
 
 
 def frequencies(docs: DataFrame, bits: int) -> Frequencies:
-    """Document frequencies over all documents, counted in buckets of at most about BUCKET shingles."""
+    """Document frequencies over all documents, counted in buckets of about BUCKET shingles."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for sets, _ in _sets(batches, BUCKET):
             h = np.concatenate(sets)
-            h = h[~uncounted(h)]
-            if not len(h):
-                continue
-            yield _dealt(h >> U(64 - bits), {"low": (h & U(0xFFFFFFFF)).astype(np.uint32)})
+            h = h[np.argsort(_short(h, bits))]
+            rows = _dealt(h >> U(64 - bits), {"low": (h & U(0xFFFFFFFF)).astype(np.uint32)})
+            rows["low"] = [steps(np.frombuffer(x, np.uint32)) for x in rows["low"]]
+            yield rows
 
     def top(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, n = np.unique(np.frombuffer(b"".join(pdf["low"]), np.uint32), return_counts=True)
+        low, n = np.unique(np.concatenate([unstepped(x) for x in pdf["low"]]), return_counts=True)
         marks = np.zeros(BITMAP >> bits, bool)
         marks[low[n > 1] % len(marks)] = True
         often = np.flatnonzero(n >= 3)
@@ -177,7 +190,7 @@ def prefix(s: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
     are the entries shared out over m squared.
     """
     n = len(s)
-    order = np.lexsort((s, frequency, uncounted(s)))
+    order = np.lexsort((s, frequency))
     base = n - (3 * n + 3) // 4
     best, least = 1, None
     entries = np.cumsum(frequency[order[: base + MATCHES]] - 1)
@@ -209,7 +222,7 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
                 tokens.append(token)
                 owner.append(np.full(len(token), k, np.int64))
                 sizes.append(np.full(len(token), len(s) if len(s) < 1 << 24 else (1 << 24) - 1, np.uint32) << np.uint32(8) | np.uint32(need))
-                needs.append((frequency[where] > LIST) | uncounted(token))
+                needs.append(frequency[where] > LIST)
             if not sum(map(len, tokens)):
                 continue
             token, k, hot = np.concatenate(tokens), np.concatenate(owner), np.concatenate(needs)
@@ -263,40 +276,81 @@ def unpacked(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _placed(pairs: DataFrame) -> DataFrame:
+    """``(cls, at)``: the blocks ``(hub, salt)`` to which a class's set goes. A block holds a hub and about ``MEMBERS`` of its partners, so a hub of many is many blocks."""
+    hub = F.col("hub") if "hub" in pairs.columns else F.col("a")
+    links = pairs.select(hub.alias("hub"), F.when(hub == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    heavy = links.groupBy("hub").agg(F.count("*").alias("many")).where(F.col("many") > MEMBERS)
+    salted = links.join(F.broadcast(heavy) if heavy.count() <= NEEDED else heavy, "hub", "left").select(
+        "hub", "other", F.coalesce(F.pmod(F.xxhash64("other"), F.ceil(F.col("many") / MEMBERS)), F.lit(0)).cast("int").alias("salt"))
+    places = salted.select(F.col("other").alias("cls"), "hub", "salt").union(salted.select(F.col("hub").alias("cls"), "hub", "salt")).distinct()
+    return places.groupBy("cls").agg(F.collect_list(F.struct("hub", "salt")).alias("at")).select(
+        "cls", F.transform("at", lambda x: x["hub"]).alias("hubs"), F.transform("at", lambda x: x["salt"]).alias("salts"))
+
+
 def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs ``(a, b)`` of classes whose sets are similar enough; ``members`` has the classes' documents."""
-    used = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = frames.kept(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(used, "cls", "left_semi"))
-    found = wanted.select("doc_id").distinct()
-    if found.count() <= NEEDED:
-        found = F.broadcast(found)
+    """Those pairs ``(a, b)`` of classes whose sets are similar enough; ``members`` has the classes' documents.
+
+    A set is shuffled once for each block it takes part in. ``hub`` names the member of a pair that has many partners, if known.
+    """
+    least = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    wanted = frames.kept(least.join(_placed(pairs), "cls"))
+    alone = wanted.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    alone = frames.kept(alone)  # documents of several texts
+    many = not alone.isEmpty()
+    simple = wanted.where("doc_id is not null")
+    simple = simple.join(alone, "doc_id", "left_anti") if many else simple
+    small = wanted.agg(F.sum(F.size("hubs") + 1)).first()[0] or 0
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = d.join(found, "doc_id", "left_semi")
-    if not wanted.where("doc_id is null").isEmpty():  # classes of rows without id alone: they are found by their sets below
-        some = some.union(d.where("doc_id is null"))
+    schema = "hub long, salt int, cls long, own binary"
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of blocks; of rows with equal sets one a task."""
+        seen = set()
         for pdf in batches:
-            own = [text.shingle_set(t) for t in pdf["text"]]
-            yield pd.DataFrame({"cls": [class_key(s) for s in own], "own": [packed(s) for s in own]})
-
-    blobs = frames.kept(some.mapInPandas(sets, "cls long, own binary").join(used, "cls", "left_semi"))
-    rows = blobs.agg(F.count("*"), F.count_distinct("cls")).first()
-    if rows[0] > rows[1]:  # rows that share a doc_id or have none: sets are only shuffled for these
-        blobs = frames.kept(blobs.dropDuplicates(["cls"]))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows, size = [], 0
+            for t, cls, hubs, salts in zip(pdf["text"], pdf["cls"], pdf["hubs"], pdf["salts"], strict=True):
+                s = text.shingle_set(t)
+                if cls in seen or class_key(s) != cls:
+                    continue
+                seen.add(cls)
+                own = packed(s)
+                for hub, salt in zip(hubs, salts, strict=True):
+                    rows.append((hub, salt, cls, own))
+                    size += len(own)
+                    if size > 8 << 20:
+                        yield pd.DataFrame(rows, columns=["hub", "salt", "cls", "own"])
+                        rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["hub", "salt", "cls", "own"])
+            if len(seen) > 1_000_000:
+                seen.clear()
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = unpacked(x), unpacked(y)
+            yield pd.DataFrame({"cls": [class_key(text.shingle_set(t)) for t in pdf["text"]], "text": pdf["text"].array})
+
+    blocks = d.join(F.broadcast(simple) if small <= NEEDED else simple, "doc_id").select("text", "cls", "hubs", "salts").mapInPandas(sets, schema)
+    odd = wanted.where("doc_id is null")
+    if many or not odd.isEmpty():  # rows without id and documents of several texts are found by their sets
+        odd = odd.union(wanted.join(alone, "doc_id", "left_semi").select(wanted.columns))
+        some = d.where("doc_id is null").union(d.join(alone, "doc_id", "left_semi")).select("text").mapInPandas(keys, "cls long, text string")
+        blocks = blocks.union(some.dropDuplicates(["cls"]).join(odd, "cls").select("text", "cls", "hubs", "salts").mapInPandas(sets, schema))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = dict(zip(pdf["cls"], pdf["own"], strict=True))
+        hub = int(pdf["hub"].iloc[0])
+        found = []
+        if hub in own:
+            x = unpacked(own.pop(hub))
+            for cls, o in own.items():
+                y = unpacked(o)
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * both >= 75 * (len(x) + len(y) - both))
-            yield pdf.loc[keep, ["a", "b"]]
+                if 100 * both >= 75 * (len(x) + len(y) - both):
+                    found.append((min(hub, cls), max(hub, cls)))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    with_x = pairs.select("a", "b").join(blobs.select(F.col("cls").alias("a"), F.col("own").alias("x")), "a")
-    both = with_x.join(blobs.select(F.col("cls").alias("b"), F.col("own").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
+    return blocks.groupBy("hub", "salt").applyInPandas(compare, "a long, b long")
 
 
 def one_document(members: DataFrame) -> DataFrame:
@@ -327,8 +381,9 @@ def linked(docs: DataFrame) -> DataFrame:
 
     hubs = leveled.groupBy("token", "level").agg(F.min(F.struct(-F.col("rest"), *told)).alias("hub"))
     star = leveled.join(hubs, ["token", "level"]).where((F.col("cls") != F.col("hub.cls")) & possible("hub")).select(
-        F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
-    first = frames.kept(cold.where("c >= need").select("a", "b").union(star).distinct())
+        F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"), F.col("hub.cls").alias("hub"))
+    near = cold.where("c >= need").select("a", "b", F.lit(None).cast("long").alias("hub"))
+    first = frames.kept(near.union(star).groupBy("a", "b").agg(F.coalesce(F.min("hub"), "a").alias("hub")))
     links = frames.kept(verified(docs, members, first).union(one_document(members)))
     comps = frames.kept(frames.components(links))
 
@@ -346,7 +401,7 @@ def linked(docs: DataFrame) -> DataFrame:
         met = placed.join(mixed.select("token", F.col("component").alias("top")), "token")
         hubs = met.where("component = top").groupBy("token", "level").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cls"), *told)).alias("hub"))
         star = met.where("component <> top").join(hubs, ["token", "level"]).where(possible("hub")).select(
-            F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct()
+            F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"), F.col("hub.cls").alias("hub")).groupBy("a", "b").agg(F.min("hub").alias("hub"))
         star = frames.kept(star.join(first, ["a", "b"], "left_anti"))
         links = frames.kept(links.union(verified(docs, members, star)))
         first = frames.kept(first.union(star))

@@ -278,9 +278,17 @@ def test_jaccard_bounds_never_exceed_the_difference():
         assert sum(int(b).bit_count() for b in bits.view(np.uint64)) <= len(x) + len(y)
 
 
-@pytest.mark.parametrize("longest", [12, 60, 400])
-def test_jaccard_links_where_prefixes_reach_uncounted_shingles(spark, longest):
+@pytest.mark.parametrize("n", [0, 1, 2, 3000])
+def test_steps_round_trip(n):
+    for top in (2, 300, 2**20, 2**32):
+        x = np.sort(np.random.default_rng(n).integers(0, top, n)).astype(np.uint32)
+        assert (jaccard.unstepped(jaccard.steps(x)) == x).all() and len(jaccard.steps(x)) <= 5 * n
+
+
+@pytest.mark.parametrize("longest, members", [(12, 128), (60, 3), (400, 128)])
+def test_jaccard_components_of_short_and_medium_texts(spark, monkeypatch, longest, members):
     """Near copies of short to medium texts, a frequent line in a third of them: components equal brute force."""
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
     rng = np.random.default_rng(longest)
     texts, line = [], " ".join(f"menu{i}" for i in range(8))
     for _ in range(60):
