@@ -66,7 +66,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     # ids as text: pandas would round long ones beside nulls
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id string, n long, cls long, " + ", ".join(f"{b} long" for b in PARITY))
+        text.tidy(run), "doc_id string, n long, cls long, " + ", ".join(f"{b} long" for b in PARITY))
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -173,7 +173,7 @@ def frequencies(docs: DataFrame, bits: int) -> Frequencies:
         return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1].array, "keys": [key.tobytes()], "counts": [n[often].astype(np.int64).tobytes()],
                              "marks": [np.packbits(marks, bitorder="little").tobytes()]})
 
-    rows = docs.select("text").mapInPandas(count, "bucket long, low binary").groupBy("bucket").applyInPandas(
+    rows = docs.select("text").mapInPandas(text.tidy(count), "bucket long, low binary").groupBy("bucket").applyInPandas(
         top, "bucket long, keys binary, counts binary, marks binary").collect()
     bitmap = np.zeros(BITMAP // 8, np.uint8)
     each = BITMAP // 8 >> bits
@@ -261,7 +261,7 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
             out.append(one.assign(kind=0)[["kind", "a", "b", "c", "need"]])
         return pd.concat(out)
 
-    rows = docs.select("text").mapInPandas(index, "bucket long, token binary, owner binary, size binary, rest binary, hot binary")
+    rows = docs.select("text").mapInPandas(text.tidy(index), "bucket long, token binary, owner binary, size binary, rest binary, hot binary")
     return rows.groupBy("bucket").applyInPandas(pairs, "kind int, a long, b long, c long, need long")
 
 
@@ -330,12 +330,12 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame
         for pdf in batches:
             yield pd.DataFrame({"cls": [class_key(text.shingle_set(t)) for t in pdf["text"]], "text": pdf["text"].array})
 
-    blocks = d.join(F.broadcast(simple) if small <= NEEDED else simple, "doc_id").select("text", "cls", "hubs", "salts").mapInPandas(sets, schema)
+    blocks = d.join(F.broadcast(simple) if small <= NEEDED else simple, "doc_id").select("text", "cls", "hubs", "salts").mapInPandas(text.tidy(sets), schema)
     odd = wanted.where("doc_id is null")
     if many or not odd.isEmpty():  # rows without id and documents of several texts are found by their sets
         odd = odd.union(wanted.join(alone, "doc_id", "left_semi").select(wanted.columns))
-        some = d.where("doc_id is null").union(d.join(alone, "doc_id", "left_semi")).select("text").mapInPandas(keys, "cls long, text string")
-        blocks = blocks.union(some.dropDuplicates(["cls"]).join(odd, "cls").select("text", "cls", "hubs", "salts").mapInPandas(sets, schema))
+        some = d.where("doc_id is null").union(d.join(alone, "doc_id", "left_semi")).select("text").mapInPandas(text.tidy(keys), "cls long, text string")
+        blocks = blocks.union(some.dropDuplicates(["cls"]).join(odd, "cls").select("text", "cls", "hubs", "salts").mapInPandas(text.tidy(sets), schema))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         own = dict(zip(pdf["cls"], pdf["own"], strict=True))
