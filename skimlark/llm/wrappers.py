@@ -1,19 +1,23 @@
 """Main text of web pages by wrapper induction.
 
-One wrapper is induced for each host, from the ``SAMPLE`` pages of smallest hash that differ: its tree is the largest page, to which the others are
+One wrapper is induced for each host, from all its pages: its tree is the page with the most tags, to which every other page is
 aligned by simple tree matching, the largest set of node pairs with equal tags that keeps parents and order. Aligned texts that are the
-same on all pages are template, the others are slots. Every page is then aligned with its host's wrapper alone, so that its text does not depend
+same on all pages that have them are template, the others are slots. Every page is then aligned with its host's wrapper alone, so that its text does not depend
 on how pages are dealt. The content region is the outermost article (or main) elements with a slot inside, else the slot container with the
 most varying text outside links. Parts of the region whose tag, role or class says navigation, advert and so on are dropped, and so are its
 template blocks before the first and after the last block with a slot, and those between that are links only: fixed headings between
-slots stay. A block is template if its texts all are, or if it stands on every page of the sample. Only ``SUPPORT`` pages or more that differ say
+slots stay. A block is template if its texts all are, or if it stands on every page of the host with text. Only three pages or more that differ say
 what is template in a region; copies and near copies of one page (half of all word triples in common) speak as one, else a page that is
-there three times would be template as a whole. A block with a slot stays whole, its fixed words too; a region without any slot too.
+there three times would be template as a whole: the wrapper's own page, the page of smallest hash that differs from it, and any page that differs
+from both. A block with a slot stays whole, its fixed words too; a region without any slot too.
+
+Two passes collect this evidence, a third takes the texts. Each task sums up its hosts by place of the wrapper's tree and by line, Spark adds the sums.
+What a host's tasks are told is shipped to all of them up to ``SHIPPED`` characters, else joined with the pages in parts of about ``PART``.
 
 The table of two lists of children is exact up to ``CELLS`` cells. Longer lists, of very long pages, are cut at subtrees of equal shape that occur once
 in both, and what is longer still in proportion, so that cost grows with a page and not with its square.
 
-Null html, empty html and pages without a region give the empty string. A page alone on its host is its own wrapper.
+Null html, empty html and pages without a region give the empty string. A page alone on its host has no template.
 Rows are kept one for one, also repeated ones; pages without a host share one wrapper; other columns are not read.
 """
 
@@ -21,24 +25,24 @@ from __future__ import annotations
 
 import bisect
 import html as entities
+import json
 import re
 from collections import Counter, OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skimlark.llm import frames
+from skimlark.llm import frames, text as text_tools
 
 HOSTS = 1_000_000  # most hosts whose numbers of parts are broadcast
-KEYS = 200_000  # most keys of sampled pages that are broadcast
-SALTS = 16
-SAMPLE = 24  # pages of a host that its wrapper is induced from
-PART = 256  # about so many pages of a host meet one copy of its wrapper
+KEYS = 200_000  # most keys of pages that are broadcast to fetch them
+SHIPPED = 16_000_000  # most characters that are shipped to every task
+PART = 256  # about so many pages of a host meet one copy of what it is told, where that is joined
 CELLS = 10_000  # largest table of two lists of children
-WRAPPERS = 8  # parsed wrappers that a task keeps
-SUPPORT = 3  # least number of differing pages that agree on a template block inside a region
+HELD = 1_000_000  # about so many characters of pages are kept as trees by a task
+WHOLE = -1  # the place that every page with text meets
 
 #: Element kinds of HTML, and the names that mark parts other than the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -270,23 +274,16 @@ def texts_of(root: Node) -> list[Node]:
     return out
 
 
-def kinds_of(trees: list[Node]) -> list[int]:
-    """Number of each page's kind: copies and near copies of a page are of its kind. Pages without text are of kind -1."""
-    kinds, firsts = [], []
-    for tree in trees:
-        words = " ".join(line for line, *_ in blocks(tree)).split()
-        own = set(zip(words, words[1:], words[2:], strict=False)) or ({tuple(words)} if words else set())
-        kind = -1
-        if own:
-            for kind, other in enumerate(firsts):
-                small, large = sorted((len(own), len(other)))
-                if 2 * small >= large and 3 * len(own & other) >= small + large:  # Jaccard similarity of a half
-                    break
-            else:
-                kind = len(firsts)
-                firsts.append(own)
-        kinds.append(kind)
-    return kinds
+def triples(tree: Node) -> set[tuple[str, ...]]:
+    """Word triples of a page, of a page with fewer words these; none without text."""
+    words = " ".join(line for line, *_ in blocks(tree)).split()
+    return set(zip(words, words[1:], words[2:], strict=False)) or ({tuple(words)} if words else set())
+
+
+def near(a: set, b: set) -> bool:
+    """Whether two pages are near copies: a Jaccard similarity of a half."""
+    small, large = sorted((len(a), len(b)))
+    return 2 * small >= large and 3 * len(a & b) >= small + large
 
 
 def _varying(node: Node, template: set[int], link: bool = False) -> int:
@@ -315,20 +312,26 @@ def _slotted(node: Node, fixed: set[int]) -> bool:
     return False
 
 
+def outermost(root: Node, wanted: str) -> list[Node]:
+    """Elements of a tag that no other of them holds, in page order."""
+    found, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.dropped:
+            continue
+        if x.tag == wanted:
+            found.append(x)
+        else:
+            todo += reversed(x.children)
+    return found
+
+
 def regions(root: Node, template: set[int], fixed: set[int]) -> list[Node]:
     """Outermost article elements with a slot, else such main elements, else the deepest container with nearly all varying text."""
     if not _slotted(root, fixed):
         fixed = set()
     for wanted in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            x = todo.pop()
-            if x.dropped:
-                continue
-            if x.tag == wanted:
-                found.append(x)
-            else:
-                todo += reversed(x.children)
+        found = outermost(root, wanted)
         slots = [x for x in found if _slotted(x, fixed)]
         if slots or found and not fixed:
             return slots or found
@@ -385,7 +388,7 @@ def blocks(region: Node) -> list[tuple[str, list[int], bool]]:
 
 
 class Wrapper:
-    """A host's tree, which of its texts are template (on two pages or more, and of ``SUPPORT`` kinds or more), and lines of every page."""
+    """A host's tree, which of its texts are template (on two pages or more, and on three that differ), and lines of every page."""
 
     def __init__(self, page: str | None, template: list[int], fixed: list[int], common: list[str]):
         self.page, self.root = page, parsed(page)
@@ -419,83 +422,219 @@ class Wrapper:
         return "\n".join(line for line, *_ in found)
 
 
+def lines_of(tree: Node) -> set[str]:
+    """Blocks of a page's article or main elements with text, else of the whole page."""
+    for wanted in ("article", "main"):
+        if found := [x for x in outermost(tree, wanted) if _slotted(x, set())]:
+            return {line for x in found for line, *_ in blocks(x)}
+    return {line for line, *_ in blocks(tree)}
+
+
+class Evidence:
+    """What a host's pages say about the texts of the page that its wrapper is made of."""
+
+    def __init__(self, page: str):
+        self.root = parsed(page)
+        self.places = {id(x): k for k, x in enumerate(texts_of(self.root))}
+        self.triples = triples(self.root)
+        self.lines = lines_of(self.root) if self.triples else None
+        self.differs: dict[int, bool] = {}
+        self.first: dict[int, int] = {}
+
+    def met(self, tree: Node) -> list[tuple[int, bool]]:
+        """Places of the texts that a page has too, and whether they are the same there."""
+        return [(self.places[id(x)], x.text == y.text) for x, y in matched(self.root, tree) if x.tag == "#"]
+
+    def add(self, page: str, digest: int) -> None:
+        """One more page: texts that differ, the page of smallest hash that is no near copy at each other place, lines that all pages have."""
+        tree = parsed(page)
+        met = self.met(tree)
+        for place, same in met:
+            self.differs[place] = self.differs.get(place, False) or not same
+        if self.lines != set() and blocks(tree):
+            lines = lines_of(tree)
+            self.lines = lines if self.lines is None else self.lines & lines
+        # only a page of smaller hash at a place that may be template is looked at by words
+        less = [k for k in (WHOLE, *(place for place, _ in met)) if not self.differs.get(k) and digest < self.first.get(k, digest + 1)]
+        if less and (own := triples(tree)) and not near(own, self.triples):
+            self.first.update(dict.fromkeys(less, digest))
+
+    def rows(self) -> list[tuple]:
+        """``(place, line, differs, first)``; the row of ``WHOLE`` is always there."""
+        places = [(k, None, self.differs.get(k, False), self.first.get(k)) for k in {WHOLE, *self.differs}]
+        return places + [(None, line, None, None) for line in sorted(self.lines or ())]
+
+
+class Support:
+    """Places that a third page meets which is no near copy of the wrapper's page nor of the first page that differs from it there."""
+
+    def __init__(self, page: str, firsts: dict[int, int], pages: dict[int, str]):
+        self.evidence = Evidence(page)
+        self.open, self.found = firsts, set()
+        self.first = {digest: triples(parsed(p)) for digest, p in pages.items()}
+
+    def add(self, page: str, digest: int) -> None:
+        if not self.open:
+            return
+        tree = parsed(page)
+        own = triples(tree)
+        if own and not near(own, self.evidence.triples):
+            apart = {first for first, other in self.first.items() if not near(own, other)}
+            met = [WHOLE, *(place for place, _ in self.evidence.met(tree))] if apart else []
+            now = {place for place in met if self.open.get(place) in apart}
+            self.found |= now
+            self.open = {place: first for place, first in self.open.items() if place not in now}
+
+    def rows(self) -> list[tuple]:
+        return [(place,) for place in sorted(self.found)]
+
+
 def induced(pages: list[str | None]) -> Wrapper:
-    """Wrapper of some pages of one host; equal pages count once."""
-    pages = list(dict.fromkeys(pages))
-    trees = [parsed(p) for p in pages]
-    largest = max(range(len(trees)), key=lambda k: trees[k].size)
-    kinds = kinds_of(trees)
-    seen: dict[int, list[tuple[int, Node]]] = {}
-    for k, tree in enumerate(trees):
-        for x, y in matched(trees[largest], tree):
-            if x.tag == "#":
-                seen.setdefault(id(x), []).append((k, y))
-    template, fixed = [], []
-    for place, x in enumerate(texts_of(trees[largest])):
-        met = seen[id(x)]
-        if len(met) > 1 and len({y.text for _, y in met}) == 1:
-            template.append(place)
-            if len({kinds[k] for k, _ in met} - {-1}) >= SUPPORT:
-                fixed.append(place)
-    wrapper = Wrapper(pages[largest], template, fixed, [])
-    if len(set(kinds) - {-1}) >= SUPPORT:  # the alignment may miss a block behind slots of differing number
-        wrapper.common = set.intersection(*({line for line, *_ in wrapper.lines(t)} for t, kind in zip(trees, kinds, strict=True) if kind >= 0))
-    return wrapper
+    """Wrapper of all pages of one host; equal pages count once."""
+    pages = [p for p in dict.fromkeys(pages) if p is not None]
+    if len(pages) < 2:
+        return Wrapper(None, [], [], [])
+    top = max(pages, key=lambda p: p.count("<"))
+    evidence = Evidence(top)
+    others = [(k, p) for k, p in enumerate(pages) if p != top]
+    for k, p in others:
+        evidence.add(p, k)
+    firsts = {place: k for place, k in evidence.first.items() if not evidence.differs.get(place)}
+    support = Support(top, firsts, {k: pages[k] for k in firsts.values()})
+    for k, p in others:
+        support.add(p, k)
+    template = sorted(k for k, differs in evidence.differs.items() if not differs)
+    return Wrapper(top, template, [k for k in template if k in support.found], sorted(evidence.lines or ()) if WHOLE in support.found else [])
 
 
 def main_texts(pages: list[str | None]) -> list[str]:
     """Main text of each of some pages of one host."""
-    wrapper = induced(pages) if pages else None
+    wrapper = induced(pages)
     return [wrapper.main_text(p) for p in pages]
 
 
+class Hosts:
+    """What a task makes of that its hosts are told. Those met last are kept, ``HELD`` characters or so; ``gone`` has the others."""
+
+    def __init__(self, shipped, make: Callable):
+        self.shipped, self.make, self.held, self.gone = shipped, make, 0, []
+        self.ready: OrderedDict = OrderedDict()
+
+    def of(self, host: str, told: str | None):
+        """None if the host is told nothing."""
+        if host in self.ready:
+            self.ready.move_to_end(host)
+            return self.ready[host][0]
+        told = self.shipped.value.get(host) if told is None else told
+        if told is None:
+            return None
+        made = self.make(**json.loads(told))
+        self.ready[host] = made, len(told)
+        self.held += len(told)
+        while self.held > HELD and len(self.ready) > 1:
+            other, (old, size) = self.ready.popitem(last=False)
+            self.held -= size
+            self.gone.append((other, old))
+        return made
+
+
+def _told(pages: DataFrame, told: DataFrame) -> tuple[DataFrame, object]:
+    """Pages with a column ``told`` by ``(host, told)``, which is null where the host's text is shipped, and what is shipped."""
+    context = pages.sparkSession.sparkContext
+    told = frames.kept(told)
+    if (told.agg(F.sum(F.length("told"))).first()[0] or 0) <= SHIPPED:
+        return pages.withColumn("told", F.lit(None).cast("string")), context.broadcast({r["host"]: r["told"] for r in told.collect()})
+    parts = frames.kept(pages.groupBy("host").agg(F.floor(F.count("*") / PART).cast("int").alias("parts")).where("parts > 0"))
+    copies = told.join(parts, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0))))).drop("parts")
+    large = F.broadcast(parts) if parts.count() <= HOSTS else parts
+    dealt = pages.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("html"), F.coalesce("parts", F.lit(0)) + 1).cast("int")).drop("parts")
+    return dealt.join(copies, ["host", "part"], "left").drop("part"), context.broadcast({})
+
+
+def _summed(pages: DataFrame, told: DataFrame, make: Callable, schema: str) -> DataFrame:
+    """Rows ``(host, ...)`` that each task has found out about its hosts; ``make`` takes the fields told and gives an object with ``add`` and ``rows``."""
+    rows, shipped = _told(pages.where("html is not null").select("host", F.xxhash64("html").alias("digest"), "html"), told)
+    names = ["host", *[x.split()[0] for x in schema.split(", ")]]
+
+    def found(hosts: list) -> pd.DataFrame:
+        return pd.DataFrame([(host, *row) for host, sums in hosts for row in sums.rows()], columns=names, dtype=object)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hosts = Hosts(shipped, make)
+        for pdf in batches:
+            for _, k in sorted(zip(pdf["host"], range(len(pdf)), strict=True)):
+                sums = hosts.of(pdf["host"].iat[k], pdf["told"].iat[k])
+                if sums is not None and int(pdf["digest"].iat[k]) != sums.digest:
+                    sums.add(pdf["html"].iat[k], int(pdf["digest"].iat[k]))
+            if hosts.gone:
+                yield found(hosts.gone)
+                hosts.gone = []
+        yield found([(host, sums) for host, (sums, _) in hosts.ready.items()])
+
+    return rows.mapInPandas(text_tools.tidy(run), f"host string, {schema}")
+
+
+def _collecting(page: str, digest: int) -> Evidence:
+    sums = Evidence(page)
+    sums.digest = digest
+    return sums
+
+
+def _supporting(page: str, digest: int, firsts: list[dict], pages: list[dict]) -> Support:
+    sums = Support(page, {f["place"]: f["first"] for f in firsts}, {q["first"]: q["page"] for q in pages})
+    sums.digest = digest
+    return sums
+
+
+def _fetched(pages: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(host, digest, page)`` of pages by ``(host, digest)``."""
+    keys = F.broadcast(keys) if keys.count() <= KEYS else keys
+    return pages.where("html is not null").select("host", F.xxhash64("html").alias("digest"), F.col("html").alias("page")).join(
+        keys, ["host", "digest"], "left_semi").dropDuplicates(["host", "digest"])
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, page, template, fixed, common)`` of every host in ``pages`` (host, page_id, html) that has two pages or more that differ."""
-
-    def induce(group: pd.DataFrame) -> pd.DataFrame:
-        w = induced(group.sort_values("digest")["html"].tolist())
-        return pd.DataFrame({"host": group["host"].iloc[:1].array, "page": [w.page], "template": [w.places[0]], "fixed": [w.places[1]], "common": [sorted(w.common)]})
-
-    digest = F.xxhash64("html").alias("digest")
-    keys = pages.where("html is not null").select("host", digest, "page_id").groupBy("host", "digest").agg(F.min("page_id").alias("page_id"))
-    some = keys.withColumn("salt", F.pmod("digest", F.lit(SALTS)))
-    for per in (Window.partitionBy("host", "salt"), Window.partitionBy("host")):  # a hot host's keys are thinned by many tasks first
-        some = some.withColumn("place", F.row_number().over(per.orderBy("digest"))).where(F.col("place") <= SAMPLE)
-    some = frames.kept(some.select("host", "digest", "page_id", "place"))
-    several = some.where("place = 2").select("host")
-    some = some.join(several, "host", "left_semi").select("host", "digest", "page_id")
-    if some.count() <= KEYS:  # else the pages are shuffled once more
-        some = F.broadcast(some)
-    same = [F.col("p.host") == F.col("k.host"), F.col("p.digest") == F.col("k.digest"), F.col("p.page_id").eqNullSafe(F.col("k.page_id"))]
-    sample = pages.select("host", digest, "page_id", "html").alias("p").join(some.alias("k"), same, "left_semi").dropDuplicates(["host", "digest"])
-    return sample.groupBy("host").applyInPandas(induce, "host string, page string, template array<int>, fixed array<int>, common array<string>")
+    """``(host, told)`` of every host in ``pages`` (host, html) that has two pages or more that differ: its wrapper's fields as JSON."""
+    digest = F.xxhash64("html")
+    tags = F.length("html") - F.length(F.replace(F.col("html"), F.lit("<"), F.lit("")))
+    hosts = pages.where("html is not null").groupBy("host").agg(
+        F.max(F.struct(tags.alias("tags"), digest.alias("digest"))).alias("top"), F.min(digest).alias("low"), F.max(digest).alias("high"))
+    tops = frames.kept(_fetched(pages, frames.kept(hosts.where("low <> high").select("host", "top.digest"))))
+    told = tops.select("host", F.to_json(F.struct("page", "digest")).alias("told"))
+    sums = frames.kept(_summed(pages, told, _collecting, "place int, line string, differs boolean, first long").groupBy("host", "place", "line").agg(
+        F.bool_or("differs").alias("differs"), F.min("first").alias("first"), F.count("*").alias("n")))
+    firsts = sums.where("first is not null and not differs").select("host", "place", "first")  # other places are slots
+    others = _fetched(pages, frames.kept(firsts.select("host", F.col("first").alias("digest")).distinct()))
+    told = tops.join(firsts.groupBy("host").agg(F.collect_list(F.struct("place", "first")).alias("firsts")), "host").join(
+        others.groupBy("host").agg(F.collect_list(F.struct(F.col("digest").alias("first"), "page")).alias("pages")), "host")
+    told = told.select("host", F.to_json(F.struct("page", "digest", "firsts", "pages")).alias("told"))
+    supported = frames.kept(_summed(pages, told, _supporting, "place int").distinct())
+    template = sums.where("place >= 0 and not differs").join(supported.withColumn("fixed", F.lit(True)), ["host", "place"], "left").groupBy("host").agg(
+        F.sort_array(F.collect_list("place")).alias("template"), F.sort_array(F.collect_list(F.when(F.col("fixed"), F.col("place")))).alias("fixed"))
+    tasks = sums.where(F.col("place") == WHOLE).select("host", F.col("n").alias("tasks")).join(supported.where(F.col("place") == WHOLE).select("host"), "host")
+    common = sums.where("line is not null").join(tasks, "host").where("n = tasks").groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("common"))
+    none = F.array()
+    found = tops.join(template, "host", "left").join(common, "host", "left").select(
+        "host", "page", F.coalesce("template", none.cast("array<int>")).alias("template"), F.coalesce("fixed", none.cast("array<int>")).alias("fixed"),
+        F.coalesce("common", none.cast("array<string>")).alias("common"))
+    return found.select("host", F.to_json(F.struct("page", "template", "fixed", "common")).alias("told"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every page."""
+    frames.shared(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
     p = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), "url", "html", host.alias("host"))
-    found = frames.kept(wrappers(p))
-    parts = frames.kept(p.groupBy("host").agg(F.floor(F.count("*") / PART).cast("int").alias("parts")).where("parts > 0"))
-    copies = found.join(parts, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0))))).drop("parts")
-    large = F.broadcast(parts) if parts.count() <= HOSTS else parts
-    dealt = p.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "html"), F.coalesce("parts", F.lit(0)) + 1).cast("int")).drop("parts")
+    rows, shipped = _told(p, wrappers(p))
     types = dict(pages.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready: OrderedDict[str, Wrapper] = OrderedDict()
+        hosts, alone = Hosts(shipped, Wrapper), Wrapper(None, [], [], [])
         for pdf in batches:
-            texts = []
-            for host, html, page, template, fixed, common in zip(*(pdf[c] for c in ("host", "html", "page", "template", "fixed", "common")), strict=True):
-                if page is None:
-                    w = Wrapper(None, [], [], [])
-                elif (w := ready.get(host)) is None:
-                    w = ready[host] = Wrapper(page, list(template), list(fixed), list(common))
-                    if len(ready) > WRAPPERS:
-                        ready.popitem(last=False)
-                texts.append(w.main_text(html))
+            pdf = pdf.sort_values("host", kind="stable")
+            texts = [(hosts.of(host, told) or alone).main_text(html) for host, told, html in zip(pdf["host"], pdf["told"], pdf["html"], strict=True)]
+            hosts.gone = []
             yield pd.DataFrame({"page_id": pdf["page_id"].array, "url": pdf["url"].array, "text": texts, "n_chars": [len(t) for t in texts]})
 
-    rows = dealt.join(copies, ["host", "part"], "left").select("page_id", "url", "html", "host", "page", "template", "fixed", "common")
-    out = rows.mapInPandas(run, f"page_id string, url {types['url']}, text string, n_chars long")
+    out = rows.mapInPandas(text_tools.tidy(run), f"page_id string, url {types['url']}, text string, n_chars long")
     return out.withColumn("page_id", F.col("page_id").cast("long"))

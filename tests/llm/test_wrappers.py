@@ -72,3 +72,16 @@ def test_texts_do_not_depend_on_how_pages_are_dealt(spark, monkeypatch):
     assert all(found[2**60 + k] == f"{k} first {k * 3} word {k + 5}\n{k} last {k * 7}" for k in range(60))
     assert found[None] == "Shared start\n1 first 3 word 6\nGo on\n1 last 7\nAll rights" and found[9] == ""
     assert wrappers.extracted(pages.where("false")).count() == 0
+
+
+def test_every_page_of_a_host_says_what_is_template(spark, monkeypatch):
+    """The first line differs on one page of 200, the last on none: the odd page is heard wherever it stands, whether texts are shipped or joined."""
+    page = lambda k, first: f"<article><p>{first}</p><p>{k} first {k * 3} word {k + 5}</p><p>All rights</p></article>"
+    odd = [7, 50, 93, 141, 188]
+    rows = [(1000 * o + k, f"http://h{o}/{k}", page(k, "Other start" if k == o else "Shared start")) for o in odd for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(16)
+    for shipped in (wrappers.SHIPPED, 0):
+        monkeypatch.setattr(wrappers, "SHIPPED", shipped)
+        monkeypatch.setattr(wrappers, "HELD", wrappers.HELD if shipped else 0)
+        found = {r["page_id"]: r["text"] for r in wrappers.extracted(pages).collect()}
+        assert found == {1000 * o + k: f"{'Other start' if k == o else 'Shared start'}\n{k} first {k * 3} word {k + 5}" for o in odd for k in range(200)}
