@@ -24,7 +24,24 @@ SCHEMA = ["column", "rows", "count", "finite_count", "positive_infinity_count",
           "earliest_us", "latest_us", "text_chars", "mean", "m2", "m3", "m4", "quantiles", "distinct"]
 
 
-def _cell(df: DataFrame, position: int, name: str) -> Column:
+HEAD = 1000
+"""Rows that are looked at for a value of each column that its moments are taken about; which one changes rounding only."""
+FAR = 1e150
+"""Values beyond are no pivots, so that no difference overflows."""
+
+
+def _pivots(df: DataFrame, columns: list[str]) -> list[float]:
+    """A finite value of each column or 0: moments of values that are far from 0 for their spread keep their digits about it."""
+    numbers = [c for c in columns if not isinstance(dtype_of(df, c), TEMPORAL + NESTED + (T.StringType,))]
+    if not numbers:
+        return [0.0] * len(columns)
+    head = df.select(*[finite(df, c).alias(str(i)) for i, c in enumerate(numbers)]).limit(HEAD)
+    row = head.agg(*[F.first(str(i), ignorenulls=True) for i in range(len(numbers))]).first()
+    near = {c: float(x) for c, x in zip(numbers, row, strict=True) if x is not None and abs(x) < FAR}
+    return [near.get(c, 0.0) for c in columns]
+
+
+def _cell(df: DataFrame, position: int, name: str, pivot: float) -> Column:
     dtype = dtype_of(df, name)
     there = present(df, name)
     number = F.lit(None).cast("double") if isinstance(dtype, TEMPORAL + NESTED + (T.StringType,)) else finite(df, name)
@@ -32,23 +49,24 @@ def _cell(df: DataFrame, position: int, name: str) -> Column:
     moment = micros(df, name) if isinstance(dtype, TEMPORAL) else F.lit(None).cast("long")
     chars = F.length(col(name)).cast("long") if isinstance(dtype, T.StringType) else F.lit(None).cast("long")
     value = F.lit(None).cast("long") if isinstance(dtype, NESTED) else F.when(there.isNotNull(), F.xxhash64(there + 0.0 if isinstance(dtype, FLOATING) else there))
-    return F.struct(F.lit(position).alias("position"), there.isNotNull().alias("there"), number.alias("v"), raw.alias("raw"), moment.alias("t"),
+    return F.struct(F.lit(position).alias("position"), there.isNotNull().alias("there"), number.alias("v"), F.lit(pivot).alias("pivot"), (number - F.lit(pivot)).alias("d"), raw.alias("raw"), moment.alias("t"),
                     chars.alias("chars"), value.alias("value"))
 
 
 def profile_state(df: DataFrame, columns: Sequence[str] | None = None, *, config: Config = DEFAULT) -> DataFrame:
-    """One row per column, from one scan; every task hands on one row a column.
+    """One row per column, from one scan and a look at the first rows; every task hands on one row a column.
 
     Numbers are summarised as they are stored; texts are only counted, measured and told apart.
     """
     columns = list(columns or df.columns)
-    cells = df.select(F.inline(F.array(*[_cell(df, i, c) for i, c in enumerate(columns)])))
+    pivots = _pivots(df, columns)
+    cells = df.select(F.inline(F.array(*[_cell(df, i, c, pivots[i]) for i, c in enumerate(columns)])))
     v, n = F.col("v"), F.count("v")
     central = cells.groupBy("position").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("there").alias("count"), n.alias("finite_count"),
         F.count_if(F.col("raw") == float("inf")).alias("positive_infinity_count"), F.count_if(F.col("raw") == float("-inf")).alias("negative_infinity_count"),
         F.count_if(v == 0).alias("zero_count"), F.min("v").alias("min"), F.max("v").alias("max"), F.min("t").alias("earliest_us"), F.max("t").alias("latest_us"),
-        F.sum("chars").alias("text_chars"), F.avg("v").alias("mean"), F.var_pop("v").alias("_var"), F.skewness("v").alias("_skew"), F.kurtosis("v").alias("_kurt"),
+        F.sum("chars").alias("text_chars"), (F.max("pivot") + F.avg("d")).alias("mean"), F.var_pop("d").alias("_var"), F.skewness("d").alias("_skew"), F.kurtosis("d").alias("_kurt"),
         F.kll_sketch_agg_double("v", F.lit(config.sketch_k)).alias("quantiles"), F.hll_sketch_agg("value", F.lit(DISTINCT_BITS)).alias("distinct"))
     n, var = F.col("finite_count"), F.col("_var")
     moments = {
