@@ -13,6 +13,7 @@ encoded each for itself. Special strings of the vocabulary inside a text are the
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import re
@@ -72,7 +73,42 @@ def compiled(path: str) -> dict:
     labels = [""] * max(size, 1 + max(special.values(), default=0))
     for token, i in [*vocab.items(), *special.items()]:
         labels[i] = token
-    return tables | {"born": born.tolist(), "left": left.tolist(), "target": target.tolist(), "labels": labels, "special": special}
+    return tables | {"born": born.tolist(), "left": left.tolist(), "target": target.tolist(), "labels": labels, "special": special} | spans(parent, removed)
+
+
+def spans(parent: list[int], removed: list[int]) -> dict:
+    """Each state's place in a walk down from the first one, and by label the spans of places below the states that took it out.
+
+    Spans of one label are apart, as a path takes an arc out once.
+    """
+    size = [1] * len(parent)
+    for state in range(len(parent) - 1, 0, -1):
+        size[parent[state]] += size[state]
+    place, free, below = [0] * len(parent), [1] * len(parent), {}
+    for state in range(1, len(parent)):
+        place[state] = free[parent[state]]
+        free[parent[state]] += size[state]
+        free[state] = place[state] + 1
+        below.setdefault(removed[state], []).append((place[state], place[state] + size[state]))
+    return {"place": place, "below": {label: [x for span in sorted(found) for x in span] for label, found in below.items()}}
+
+
+def has_arc(tables: dict, state: int, label: int) -> bool:
+    """Like ``allowed`` over finished tables: whether a state above took the label out is looked up among its spans."""
+    born, left, since, parent, place, below = (tables[k] for k in ("born", "left", "since", "parent", "place", "below"))
+    while state:
+        time = born[label]
+        if time < since[state]:
+            if (edges := below.get(label)) and bisect.bisect_right(edges, place[state]) % 2:
+                return False
+            if not time:
+                return True
+            while since[state] > time:
+                state = parent[state]
+            if not state:
+                return True
+        label = left[label]
+    return True
 
 
 def allowed(tables: dict, state: int, label: int) -> bool:
@@ -110,20 +146,24 @@ class Automaton(dict):
         if to is None:
             if len(self.arcs) > ARCS:
                 self.arcs.clear()
-            to = self.arcs[key] = self.tables["target"][label] if allowed(self.tables, state, label) else -1
+            to = self.arcs[key] = self.tables["target"][label] if has_arc(self.tables, state, label) else -1
         return to
 
     def word(self, word: str) -> list[int]:
         """Labels of the accepted path that spells the word: depth first, long arcs first; places that failed in a state stay closed."""
         s = "".join([self.letters[b] for b in word.encode("utf-8", "replace")])
         n, path, dead = len(s), [], set()
-        inner, final, step, longest = self.inner, self.final, self.step, self.longest
+        inner, final, known, step, longest = self.inner, self.final, self.arcs.get, self.step, self.longest
         at, state, length = 0, 0, min(n, longest)
         while at < n:
             while length:
                 label = final.get(s[at:]) if at + length == n else inner.get(s[at : at + length])
-                if label is not None and (to := step(state, label)) >= 0 and (at + length, to) not in dead:
-                    break
+                if label is not None:
+                    to = known(state << 20 | label)
+                    if to is None:
+                        to = step(state, label)
+                    if to >= 0 and not (dead and (at + length, to) in dead):
+                        break
                 length -= 1
             if length:
                 path.append((at, state, length, label))
@@ -137,7 +177,10 @@ class Automaton(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         low = chunk.replace("Σ", "σ").lower()
-        ids = [i for piece in PIECES.findall(low) for i in self.word(piece)]
+        if low.isascii() and low.isalpha():  # one piece
+            ids = self.word(low)
+        else:
+            ids = [i for piece in PIECES.findall(low) for i in self.word(piece)]
         out = np.array(ids, "<u4").tobytes()
         if len(chunk) <= LONG:
             self[chunk] = out

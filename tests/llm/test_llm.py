@@ -316,3 +316,12 @@ def test_jaccard_components_of_short_and_medium_texts(spark, monkeypatch, longes
                 top[b] = a
     got = jaccard.linked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: root(i) for i in range(len(texts))}
+
+
+def test_arcs_looked_up_by_spans_are_those_of_the_walk():
+    tables = bpe.compiled(vocabulary())
+    rng = np.random.default_rng(3)
+    labels = [i for i, born in enumerate(tables["born"]) if born >= 0]
+    pairs = [(tables["target"][u], v) for u, v in zip(rng.choice(labels, 20_000).tolist(), rng.choice(labels[:3000], 20_000).tolist(), strict=True)]
+    walked = [bpe.allowed(tables, *p) for p in pairs]
+    assert [bpe.has_arc(tables, *p) for p in pairs] == walked and 0 < sum(walked) < len(walked)
