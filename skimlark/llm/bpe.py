@@ -231,8 +231,11 @@ def _automaton(shipped) -> Automaton:
 
 
 def tokenized(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """``(key, ids binary, decoded string)`` of every row: the tokens as 32-bit integers and the text decoded from them."""
-    return _mapped(docs, path, key, "ids binary, decoded string", lambda ids, text: (bytes(ids), text))
+    """``(key, ids binary, decoded string)`` of every row: the tokens as 32-bit integers and the text decoded from them.
+
+    What a task kept is given back at its end: other operators may follow in the same workers.
+    """
+    return _mapped(docs, path, key, "ids binary, decoded string", lambda ids, text: (bytes(ids), text), small=True)
 
 
 def token_digests(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -241,20 +244,25 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
         len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()))
 
 
-def _mapped(docs: DataFrame, path: str, key: str, schema: str, result) -> DataFrame:
+def _mapped(docs: DataFrame, path: str, key: str, schema: str, result, small: bool = False) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(compiled(path))
     names = [key, *[x.split()[0] for x in schema.split(", ")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = _automaton(shipped)
-        for pdf in batches:
-            rows = []
-            for k, text in zip(pdf["k"], pdf["text"], strict=True):
-                ids = automaton.encode(text)
-                rows.append((k, *result(ids, automaton.decode(ids))))
-            out = pd.DataFrame(rows, columns=names)
-            out[key] = pdf["k"].array
-            yield out
+        try:
+            for pdf in batches:
+                rows = []
+                for k, text in zip(pdf["k"], pdf["text"], strict=True):
+                    ids = automaton.encode(text)
+                    rows.append((k, *result(ids, automaton.decode(ids))))
+                out = pd.DataFrame(rows, columns=names)
+                out[key] = pdf["k"].array
+                yield out
+        finally:
+            if small:
+                automaton.forget()
+                text_tools.trimmed()
 
     kind = dict(docs.dtypes)[key]
     # keys as text: pandas would round long ones beside nulls

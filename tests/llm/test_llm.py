@@ -325,3 +325,14 @@ def test_arcs_looked_up_by_spans_are_those_of_the_walk():
     pairs = [(tables["target"][u], v) for u, v in zip(rng.choice(labels, 20_000).tolist(), rng.choice(labels[:3000], 20_000).tolist(), strict=True)]
     walked = [bpe.allowed(tables, *p) for p in pairs]
     assert [bpe.has_arc(tables, *p) for p in pairs] == walked and 0 < sum(walked) < len(walked)
+
+
+def test_workers_keep_nothing_after_tokens(spark):
+    """The pipeline's last operator gives its caches back at the end of each task."""
+    docs = spark.createDataFrame([(i, words(i, 50)) for i in range(20)], "doc_id long, text string").coalesce(1)
+    bpe.tokenized(docs, vocabulary()).count()
+
+    def kept(_):
+        yield sum(len(a) + len(a.arcs) for a in bpe._ready.values())
+
+    assert spark.sparkContext.parallelize(range(8), 8).mapPartitions(kept).collect() == [0] * 8
