@@ -329,10 +329,12 @@ def test_arcs_looked_up_by_spans_are_those_of_the_walk():
 
 def test_workers_keep_nothing_after_tokens(spark):
     """The pipeline's last operator gives its caches back at the end of each task."""
-    docs = spark.createDataFrame([(i, words(i, 50)) for i in range(20)], "doc_id long, text string").coalesce(1)
-    bpe.tokenized(docs, vocabulary()).count()
+    docs = spark.createDataFrame([(i, words(i, 50)) for i in range(80)], "doc_id long, text string").repartition(8)
+    bpe.tokenized(docs, vocabulary()).write.format("noop").mode("overwrite").save()
 
-    def kept(_):
-        yield sum(len(a) + len(a.arcs) for a in bpe._ready.values())
+    def kept(batches):
+        for _ in batches:
+            yield pd.DataFrame({"n": [sum(len(a) + len(a.arcs) for a in bpe._ready.values())]})
 
-    assert spark.sparkContext.parallelize(range(8), 8).mapPartitions(kept).collect() == [0] * 8
+    found = [r["n"] for r in spark.range(0, 8, 1, 8).mapInPandas(kept, "n long").collect()]
+    assert found == [0] * 8
