@@ -19,9 +19,10 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +35,11 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}
 _SPLIT = re.compile(f"[{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 END = "</w>"
-CACHED = 400_000  # strings of at most LONG characters kept by a Python worker: 250 MB at the very most
+CACHED = 400_000  # strings, and pieces, of at most LONG characters kept by a Python worker: about 70 MB each, 250 MB at the very most
+FEW = 100_000  # the same in an operator that others follow in the same workers
 ARCS = 800_000  # arcs kept by a Python worker
 LONG = 64  # longer strings are not kept
+AT_ONCE = 256  # texts encoded before their tokens are handed on
 
 
 def byte_letters() -> dict[int, str]:
@@ -127,8 +130,9 @@ def allowed(tables: dict, state: int, label: int) -> bool:
 class Automaton(dict):
     """Encoder of white-space-free strings; as a dict it keeps the token bytes of strings seen lately."""
 
-    def __init__(self, tables: dict):
+    def __init__(self, tables: dict, most: int = CACHED):
         super().__init__()
+        self.most = most
         self.tables, self.labels, self.special = tables, tables["labels"], tables["special"]
         self.letters = byte_letters()
         known = [(t, i) for i, t in enumerate(self.labels) if i < len(tables["born"]) and tables["born"][i] >= 0]
@@ -136,6 +140,7 @@ class Automaton(dict):
         self.final = {t[: -len(END)]: i for t, i in known if t.endswith(END) and len(t) > len(END)}
         self.longest = max((len(t) for t, _ in known), default=1)
         self.arcs: dict[int, int] = {}
+        self.pieces: dict[str, bytes] = {}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.marks = {t[:2] for t in self.special}
 
@@ -151,13 +156,23 @@ class Automaton(dict):
 
     def word(self, word: str) -> list[int]:
         """Labels of the accepted path that spells the word: depth first, long arcs first; places that failed in a state stay closed."""
-        s = "".join([self.letters[b] for b in word.encode("utf-8", "replace")])
+        s = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode("utf-8", "replace")])
         n, path, dead = len(s), [], set()
-        inner, final, known, step, longest = self.inner, self.final, self.arcs.get, self.step, self.longest
+        inner, final, known, step, longest = self.inner.get, self.final.get, self.arcs.get, self.step, self.longest
         at, state, length = 0, 0, min(n, longest)
         while at < n:
+            if at + length == n:  # the rest of the word
+                label = final(s[at:])
+                if label is not None:
+                    to = known(state << 20 | label)
+                    if to is None:
+                        to = step(state, label)
+                    if to >= 0 and not (dead and (n, to) in dead):
+                        path.append((at, state, length, label))
+                        break
+                length -= 1
             while length:
-                label = final.get(s[at:]) if at + length == n else inner.get(s[at : at + length])
+                label = inner(s[at : at + length])
                 if label is not None:
                     to = known(state << 20 | label)
                     if to is None:
@@ -178,17 +193,29 @@ class Automaton(dict):
     def __missing__(self, chunk: str) -> bytes:
         low = chunk.replace("Σ", "σ").lower()
         if low.isascii() and low.isalpha():  # one piece
-            ids = self.word(low)
+            out = self.piece(low)
         else:
-            ids = [i for piece in PIECES.findall(low) for i in self.word(piece)]
-        out = np.array(ids, "<u4").tobytes()
+            out = b"".join(map(self.piece, PIECES.findall(low)))
         if len(chunk) <= LONG:
             self[chunk] = out
         return out
 
+    def piece(self, piece: str) -> bytes:
+        """Token bytes of one lower-cased piece: words that differ in capitals or the marks around them share it."""
+        out = self.pieces.get(piece)
+        if out is None:
+            ids = self.word(piece)
+            out = pack(f"<{len(ids)}I", *ids)
+            if len(piece) <= LONG:
+                if len(self.pieces) > self.most:
+                    self.pieces.clear()
+                self.pieces[piece] = out
+        return out
+
     def forget(self) -> None:
         """What was kept is given back."""
         self.clear()
+        self.pieces.clear()
         self.arcs.clear()
 
     def encode(self, text: str | None) -> bytes:
@@ -201,7 +228,7 @@ class Automaton(dict):
         return self.plain(text)
 
     def plain(self, text: str) -> bytes:
-        if len(self) > CACHED:
+        if len(self) > self.most:
             self.clear()
         text = unicodedata.normalize("NFC", text)
         chunks = [c for c in _SPLIT.split(text) if c] if _ODD.search(text) else text.split()
@@ -221,50 +248,48 @@ def _forget() -> None:
     _ready.clear()
 
 
-def _automaton(shipped) -> Automaton:
+def _automaton(shipped, most: int) -> Automaton:
     """One automaton for each Python worker and vocabulary."""
     if id(shipped.value) not in _ready:
         _ready.clear()
-        _ready[id(shipped.value)] = Automaton(shipped.value)
+        _ready[id(shipped.value)] = Automaton(shipped.value, most)
         text_tools.keeps("bpe", _forget)
     return _ready[id(shipped.value)]
 
 
-def tokenized(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """``(key, ids binary, decoded string)`` of every row: the tokens as 32-bit integers and the text decoded from them.
+def tokenized(docs: DataFrame, path: str, key: str = "doc_id", decoded: bool = True) -> DataFrame:
+    """``(key, ids binary, decoded string)`` of every row: the tokens as 32-bit integers and, if asked for, the text decoded from them.
 
     What a task kept is given back at its end: other operators may follow in the same workers.
     """
-    return _mapped(docs, path, key, "ids binary, decoded string", lambda ids, text: (bytes(ids), text), small=True)
+    if not decoded:
+        return _mapped(docs, path, key, "ids binary", [pa.binary()], lambda automaton, ids: (ids,), small=True)
+    return _mapped(docs, path, key, "ids binary, decoded string", [pa.binary(), pa.string()], lambda automaton, ids: (
+        ids, automaton.decode(ids).encode("utf-8", "replace").decode()), small=True)
 
 
 def token_digests(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """Like ``tokenized``, but number of tokens and SHA-256 of both outputs, taken in the same task."""
-    return _mapped(docs, path, key, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda ids, text: (
-        len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()))
+    return _mapped(docs, path, key, "n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()], lambda automaton, ids: (
+        len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(automaton.decode(ids).encode("utf-8", "replace")).hexdigest()))
 
 
-def _mapped(docs: DataFrame, path: str, key: str, schema: str, result, small: bool = False) -> DataFrame:
+def _mapped(docs: DataFrame, path: str, key: str, schema: str, kinds: list[pa.DataType], result, small: bool = False) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(compiled(path))
     names = [key, *[x.split()[0] for x in schema.split(", ")]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(shipped)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(shipped, FEW if small else CACHED)
         try:
-            for pdf in batches:
-                rows = []
-                for k, text in zip(pdf["k"], pdf["text"], strict=True):
-                    ids = automaton.encode(text)
-                    rows.append((k, *result(ids, automaton.decode(ids))))
-                out = pd.DataFrame(rows, columns=names)
-                out[key] = pdf["k"].array
-                yield out
+            for batch in batches:
+                for at in range(0, batch.num_rows, AT_ONCE):
+                    part = batch.slice(at, AT_ONCE)
+                    rows = [result(automaton, automaton.encode(t)) for t in part.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]], names=names)
         finally:
             if small:
-                automaton.forget()
+                _forget()
                 text_tools.trimmed()
 
-    kind = dict(docs.dtypes)[key]
-    # keys as text: pandas would round long ones beside nulls
-    rows = docs.select(F.col(key).cast("string").alias("k"), F.col("text")).mapInPandas(run, f"{key} string, {schema}")
-    return rows.withColumn(key, F.col(key).cast(kind))
+    rows = docs.select(F.col(key).alias("k"), F.col("text"))
+    return rows.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, {schema}")

@@ -338,3 +338,19 @@ def test_workers_keep_nothing_after_tokens(spark):
 
     found = [r["n"] for r in spark.range(0, 8, 1, 8).mapInPandas(kept, "n long").collect()]
     assert found == [0] * 8
+
+
+def test_words_that_differ_in_marks_and_capitals_are_walked_once(monkeypatch):
+    automaton, walked, word = bpe.Automaton(bpe.compiled(vocabulary())), [], bpe.Automaton.word
+    monkeypatch.setattr(bpe.Automaton, "word", lambda self, w: (walked.append(w), word(self, w))[1])
+    got = automaton.encode("lineitem Lineitem lineitem, (LINEITEM) lineitem")
+    assert walked.count("lineitem") == 1
+    assert got == b"".join(bpe.Automaton(automaton.tables).encode(w) for w in "lineitem Lineitem lineitem, (LINEITEM) lineitem".split())
+
+
+def test_words_take_their_letters_as_they_are_only_if_printable():
+    from tokenizers import Tokenizer
+
+    library, automaton = Tokenizer.from_file(vocabulary()), bpe.Automaton(bpe.compiled(vocabulary()))
+    for t in ("a\x7fb \x01\x02 ~!x", "naïve\xad x", "".join(map(chr, range(1, 0x250))), " ".join(map(chr, range(33, 0x250)))):
+        assert np.frombuffer(automaton.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
