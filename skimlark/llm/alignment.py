@@ -23,7 +23,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -39,6 +39,7 @@ CHUNK = 65_536  # bytes of a range
 FAN_IN = 8  # fragments that one reduction composes
 HEAVY = 1_000_000  # pairs sent to every task at most
 SLICE = 1_000_000  # bytes encoded together
+TOGETHER = 64  # units encoded as one text
 CACHED = 64_000_000  # bytes of units kept by a task, about
 WIDEST = 65_536  # tokens of a vocabulary
 HELD = 1_000_000  # distinct pairs that a task holds while counting
@@ -92,12 +93,14 @@ def spelled() -> list[bytes]:
 def walked(tokens: Open) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes of ``spelled`` in writing order, links and the offset where each ends, and the offsets where groups end."""
     a, a_ends, b, b_ends = tokens
-    at = np.searchsorted(b_ends, a_ends)
-    both = b_ends[np.minimum(at, len(b_ends) - 1)] == a_ends
-    last_a, last_b = np.flatnonzero(both), at[both]
-    more = b_ends[a_ends[np.minimum(np.searchsorted(a_ends, b_ends), len(a_ends) - 1)] != b_ends]
-    links_end = np.insert(a_ends, np.searchsorted(a_ends, more), more)
-    links = a[np.searchsorted(a_ends, links_end)] << 16 | b[np.searchsorted(b_ends, links_end)]
+    base = min(a_ends[0], b_ends[0])
+    ending = np.zeros((2, a_ends[-1] - base + 1), bool)  # by offset: whether a token of A, of B ends there
+    ending[0, a_ends - base] = ending[1, b_ends - base] = True
+    both = ending[1, a_ends - base]
+    last_a, last_b = np.flatnonzero(both), np.flatnonzero(ending[0, b_ends - base])
+    links_end = np.flatnonzero(ending[0] | ending[1])
+    of_a, of_b = (np.cumsum(ends[links_end]) - ends[links_end] for ends in ending)  # the tokens that the bytes up to there belong to
+    links, links_end = a[of_a] << 16 | b[of_b], links_end + base
     codes = np.empty(len(a) + len(b), np.int64)
     marked_a, marked_b = a.copy(), b.copy()
     marked_a[last_a] += WIDEST
@@ -155,7 +158,8 @@ def whole(x: Fragment) -> Closed:
 
 def units_of(text: str) -> list[str]:
     """The text cut at single spaces between other characters; these spaces belong to the units' beginnings."""
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+    single = "\n".join([" ".join(line.split()) for line in text.split("\n")]) == text
+    return text.split(" ") if single or not _ODD.search(text) else _CUT.split(text)
 
 
 class Encoders:
@@ -182,8 +186,44 @@ class Encoders:
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(v) for v in table], np.int64) for table in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
-        """The tokens of each text with a space before, each kind as one array with the number of each text, and whether both spell it."""
+    def encode(self, units: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """The tokens of each unit with a space before, each kind as one array with the number of each unit, and whether both spell it.
+
+        ``TOGETHER`` units are encoded as one text: neither tokenizer joins a space between two other characters to what precedes it.
+        Units that begin or end with white space, and texts that their tokens do not spell unit by unit, are encoded unit by unit.
+        """
+        fit = [i for i, u in enumerate(units) if u and not (u[0].isspace() or u[-1].isspace())]
+        calls = [fit[at : at + TOGETHER] for at in range(0, len(fit), TOGETHER)]
+        texts = [" ".join([units[i] for i in c]) for c in calls]
+        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b_ids = self.b.encode(texts, num_threads=1)
+        order, rest, found = [], sorted(set(range(len(units))).difference(fit)), []
+
+        def parted(c: list[int], calls: slice) -> bool:
+            raw, ends = "".join([" " + t for t in texts[calls]]).encode(), np.cumsum([1 + len(units[i].encode()) for i in c])
+            own = [_parted(list(chain.from_iterable(ids[calls])), *sizes, raw, ends) for ids, sizes in ((a_ids, (self.a_bytes, self.a_size)), (b_ids, (self.b_bytes, self.b_size)))]
+            if own[0] is None or own[1] is None:
+                return False
+            order.extend(c)
+            found.append((*own[0], *own[1]))
+            return True
+
+        if fit and not parted(fit, slice(None)):
+            for k, c in enumerate(calls):
+                if not parted(c, slice(k, k + 1)):
+                    rest += c
+        a, b, ok = self.each([units[i] for i in rest])
+        found.append((*a, *b))
+        a, a_counts, b, b_counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        ok = np.r_[np.ones(len(order), bool), ok]
+        if rest:
+            back = np.argsort(order + rest)
+            a, b = (v[_spread((np.cumsum(n) - n)[back], n[back])] for v, n in ((a, a_counts), (b, b_counts)))
+            a_counts, b_counts, ok = a_counts[back], b_counts[back], ok[back]
+        return (a, a_counts), (b, b_counts), ok
+
+    def each(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """The same of texts that are encoded each for itself."""
         spaced = [" " + t for t in texts]
         a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
@@ -200,6 +240,21 @@ class Encoders:
         return *out, ok
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of lists that begin at these places, one after the other."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def _parted(ids: list[int], table: list[bytes], size: np.ndarray, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The tokens of a text and how many end each of its units, if they spell it and each unit's end is one of theirs."""
+    values = np.array(ids, np.int64)
+    token_ends = np.cumsum(size[values])
+    at = np.searchsorted(token_ends, ends, "right") - 1
+    if not len(values) or (at < 0).any() or not np.array_equal(token_ends[at], ends) or b"".join(map(table.__getitem__, ids)) != raw:
+        return None
+    return values, np.diff(at, prepend=-1)
+
+
 class Lists:
     """Lists of numbers under one another, added to and gathered as arrays."""
 
@@ -217,9 +272,7 @@ class Lists:
         return self.starts[at + 1] - self.starts[at]
 
     def gather(self, at: np.ndarray) -> np.ndarray:
-        size = self.sizes(at)
-        shift = self.starts[at] - np.cumsum(size) + size
-        return self.values[np.repeat(shift, size) + np.arange(size.sum())].astype(np.int64)
+        return self.values[_spread(self.starts[at], self.sizes(at))].astype(np.int64)
 
 
 _ready: dict[tuple[str, str], Encoders] = {}
@@ -240,8 +293,10 @@ class Known:
         """The number of each unit; units not met before are encoded."""
         if self.bytes > CACHED:
             self.forget()
-        missing = [u for u in dict.fromkeys(units) if u not in self.place]
-        if missing:
+        at = np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            missing = list(dict.fromkeys([units[i] for i in new]))
             a, b, ok = self.encoders.encode(missing)
             n = len(self.place)
             self.place.update(zip(missing, range(n, n + len(missing)), strict=True))
@@ -249,7 +304,8 @@ class Known:
             self.b.add(*b)
             self.ok = np.r_[self.ok, ok]
             self.bytes += sum([200 + 3 * len(u) for u in missing])
-        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+            at[new] = np.fromiter(map(self.place.__getitem__, [units[i] for i in new]), np.int64, len(new))
+        return at
 
     def tokens(self, at: np.ndarray, start: int = 0) -> Open:
         """The tokens of these units beside one another, the first of which begins at a byte offset."""
@@ -258,7 +314,7 @@ class Known:
 
     def texts(self, lists: list[list[str]]) -> list[Closed]:
         """The groups of whole texts, each given by its units: all are walked as one stream in which each text ends a group."""
-        at = self.places([u for x in lists for u in x])
+        at = self.places(list(chain.from_iterable(lists)))
         size = np.array([len(x) for x in lists], np.int64)
         text = np.repeat(np.arange(len(lists)), size)
         bad = np.zeros(len(lists), bool)

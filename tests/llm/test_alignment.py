@@ -143,3 +143,22 @@ def test_ranges_cover_the_text_once():
         for low, high, at, part in parts:
             assert at <= low < high <= at + sum(1 + len(u) for u in part)
             assert sum(len(u) > 20 for u in part if high - low <= 20) <= 2
+
+
+def test_units_encoded_together_are_those_encoded_alone(monkeypatch):
+    e = A.Encoders(*PATHS)
+    units = [u for text in ODD for u in (A.units_of(text or "") + [text or ""])] + [f"unit{i}," for i in range(1000)]
+    for some in (units, units[-1000:], ["ﬁne", " a"], []):
+        (a, a_n), (b, b_n), ok = e.encode(some)
+        (c, c_n), (d, d_n), alone = e.each(some)
+        assert ok.tolist() == alone.tolist() and a_n.tolist() == c_n.tolist() and b_n.tolist() == d_n.tolist()
+        assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+    monkeypatch.setattr(A.Encoders, "each", lambda self, texts: pytest.fail("a unit alone") if texts else (((z := np.zeros(0, np.int64)), z), (z, z), np.zeros(0, bool)))
+    assert e.encode(units[-1000:])[2].all()
+
+
+def test_single_spaces_need_no_search(monkeypatch):
+    for text in ODD[1:] + ["a b\nc d", "a b \nc", "a\n b", "\na b\n", " \n", "a b\n ", "a\tb c", "a b c"]:
+        assert A.units_of(text) == (A._CUT.split(text) if A._ODD.search(text) else text.split(" "))
+    monkeypatch.setattr(A, "_ODD", None)
+    assert A.units_of("a b\nc d") == ["a", "b\nc", "d"]
