@@ -48,7 +48,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` of every document that is left, ids as little-endian 32-bit integers."""
-    return bpe.tokenized(docs, vocabulary()).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    return bpe.tokenized(docs, vocabulary(), decoded=False).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -68,7 +68,7 @@ def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in new], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array([t is None or bool(t) for t in new], pa.bool_()))
 
-    touched = joined.where("_cut is not null").mapInArrow(run, schema)
+    touched = joined.where("_cut is not null").mapInArrow(text.tidy(run), schema)
     return joined.where("_cut is null").select(docs.columns).unionByName(touched)
 
 

@@ -139,7 +139,7 @@ def _searched(docs: DataFrame, shipped) -> DataFrame:
                     ids, sets, size = [], [], 0
         yield _verified(index, ids, sets)
 
-    return docs.mapInPandas(run, SCHEMA)
+    return docs.mapInPandas(text.tidy(run), SCHEMA)
 
 
 def _verified(index: Index, ids: list, sets: list[np.ndarray]) -> pd.DataFrame:

@@ -123,7 +123,7 @@ def copies(docs: DataFrame) -> DataFrame:
                 n.append(len(words))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "n_words": n, "cls": keys})
 
-    rows = frames.kept(docs.mapInPandas(run, "doc_id long, n_words long, cls long"))
+    rows = frames.kept(docs.mapInPandas(text.tidy(run), "doc_id long, n_words long, cls long"))
     least = rows.groupBy("cls", "n_words").agg(F.min("doc_id").alias("rep"))
     return frames.kept(rows.join(least, ["cls", "n_words"]).select("doc_id", "n_words", "rep"))
 
@@ -180,7 +180,7 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
             out.append(pd.DataFrame({"kind": 0, "key": 0, "a": doc[same], "b": doc[same + gap], "x": anchor[same], "y": anchor[same + gap]}))
         return pd.concat(out)
 
-    rows = docs.mapInPandas(index, "bucket long, key binary, doc binary, anchor binary")
+    rows = docs.mapInPandas(text.tidy(index), "bucket long, key binary, doc binary, anchor binary")
     return rows.groupBy("bucket").applyInPandas(pairs, "kind int, key long, a long, b long, x int, y int")
 
 
@@ -200,7 +200,7 @@ def run_keys(docs: DataFrame) -> DataFrame:
                     keys, first = np.unique(keys[_distinct(picked)], return_index=True)
                     yield pd.DataFrame({"key": text.signed(keys), "doc": i, "place": _distinct(picked)[first]})
 
-    return docs.mapInPandas(run, "key long, doc long, place long")
+    return docs.mapInPandas(text.tidy(run), "key long, doc long, place long")
 
 
 def contexts(docs: DataFrame, places: DataFrame, before: int, after: int) -> DataFrame:
@@ -223,7 +223,7 @@ def contexts(docs: DataFrame, places: DataFrame, before: int, after: int) -> Dat
                     rows.append((r["key"], i, k, -(-3 * fewest // 4), np.unique(s[max(0, k - before) : k + after]).view(np.int64)))
             yield pd.DataFrame(rows, columns=["key", "doc", "place", "least", "own"])
 
-    return docs.join(wanted, "doc_id").mapInPandas(run, "key long, doc long, place long, least int, own array<long>")
+    return docs.join(wanted, "doc_id").mapInPandas(text.tidy(run), "key long, doc long, place long, least int, own array<long>")
 
 
 def remaining_pairs(docs: DataFrame, left: DataFrame, keys: DataFrame) -> DataFrame:
@@ -251,8 +251,8 @@ def remaining_pairs(docs: DataFrame, left: DataFrame, keys: DataFrame) -> DataFr
             yield out.loc[out.index.repeat(n)].assign(g=np.concatenate(picked) if picked else np.zeros(0, np.int64))
 
     schema = "key long, doc long, place long, g long"
-    b = mine.mapInPandas(rarest, schema).select("key", "g", F.col("doc").alias("b"), F.col("place").alias("y"))
-    a = theirs.mapInPandas(rarest, schema).select("key", "g", F.col("doc").alias("a"), F.col("place").alias("x"))
+    b = mine.mapInPandas(text.tidy(rarest), schema).select("key", "g", F.col("doc").alias("b"), F.col("place").alias("y"))
+    a = theirs.mapInPandas(text.tidy(rarest), schema).select("key", "g", F.col("doc").alias("a"), F.col("place").alias("x"))
     return b.join(a, ["key", "g"]).where("a < b").select("a", "b", "x", "y")
 
 
@@ -343,7 +343,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "own": [packed(text.shingles(t)) for t in pdf["text"]]})
 
-    blobs = frames.kept(among(docs, frames.kept(used), "left_semi").mapInPandas(arrays, "doc_id long, own binary"))
+    blobs = frames.kept(among(docs, frames.kept(used), "left_semi").mapInPandas(text.tidy(arrays), "doc_id long, own binary"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -356,7 +356,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     both = pairs.join(blobs.select(F.col("doc_id").alias("a"), F.col("own").alias("p")), "a").join(
         blobs.select(F.col("doc_id").alias("b"), F.col("own").alias("q")), "b")
-    return both.select("a", "b", "places", "p", "q").mapInPandas(compare, "a long, b long, a_first long, a_last long, b_first long, b_last long")
+    return both.select("a", "b", "places", "p", "q").mapInPandas(text.tidy(compare), "a long, b long, a_first long, a_last long, b_first long, b_last long")
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:

@@ -11,6 +11,7 @@ import gc
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 WORDS = 5
@@ -113,6 +114,7 @@ def trimmed() -> None:
     """Tables of powers and free memory of this worker go back to the system."""
     _powers.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
     if trim:
         trim(0)

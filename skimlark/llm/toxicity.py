@@ -330,6 +330,6 @@ def scores(docs: DataFrame, labels: DataFrame, training: Column, most_bad: int =
     result = T.StructType([T.StructField(c, t) for c, t in zip(RESULT, (T.DoubleType(), T.IntegerType(), T.LongType(), T.LongType()), strict=True)])
     if carried:
         taken = docs.drop(*RESULT)
-        return taken.mapInArrow(run, T.StructType(taken.schema.fields + result.fields))
+        return taken.mapInArrow(text.tidy(run), T.StructType(taken.schema.fields + result.fields))
     d = d.withColumn("held_out", ~F.coalesce(training, F.lit(True)))
-    return d.mapInArrow(run, T.StructType(d.schema.fields + result.fields)).drop("text")
+    return d.mapInArrow(text.tidy(run), T.StructType(d.schema.fields + result.fields)).drop("text")

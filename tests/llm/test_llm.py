@@ -354,3 +354,30 @@ def test_words_take_their_letters_as_they_are_only_if_printable():
     library, automaton = Tokenizer.from_file(vocabulary()), bpe.Automaton(bpe.compiled(vocabulary()))
     for t in ("a\x7fb \x01\x02 ~!x", "naïve\xad x", "".join(map(chr, range(1, 0x250))), " ".join(map(chr, range(33, 0x250)))):
         assert np.frombuffer(automaton.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_pipeline_tokens_are_not_decoded(spark):
+    """Its tasks hold and send no decoded texts, which are longer than the texts."""
+    docs = spark.createDataFrame([(i, words(i, 50)) for i in range(1000)], "doc_id long, text string").coalesce(1)
+    wanted = {r["doc_id"]: bytes(r["ids"]) for r in bpe.tokenized(docs, vocabulary()).collect()}
+    got = corpus_pipeline.tokens(spark, docs, "")
+    assert {r["doc_id"]: bytes(r["ids"]) for r in got.collect()} == wanted and all(r["n_tokens"] * 4 == len(r["ids"]) for r in got.collect())
+    plain = bpe.tokenized(docs, vocabulary(), decoded=False)
+    assert plain.columns == ["doc_id", "ids"]
+    assert {r["doc_id"]: bytes(r["ids"]) for r in plain.collect()} == wanted
+
+
+def test_tasks_of_the_pipeline_leave_workers_small(spark):
+    """Tables that a task of passages or toxicity grew, which a later one would find beside its own, are given back at its end."""
+    docs = spark.createDataFrame([(i, words(i % 8, 80), "en", "s", 1) for i in range(16)], "doc_id long, text string, lang string, source string, n_chars long").repartition(8)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id long, toxic int")
+
+    def kept(batches):
+        for _ in batches:
+            yield pd.DataFrame({"n": [len(text._powers)]})
+
+    left = lambda: {r["n"] for r in spark.range(0, 8, 1, 8).mapInPandas(kept, "n long").collect()}
+    toxicity.scores(docs, labels, F.lit(True), carried=True).write.format("noop").mode("overwrite").save()
+    assert left() == {0}
+    passages.repeated(docs.select("doc_id", "text")).write.format("noop").mode("overwrite").save()
+    assert left() == {0}
