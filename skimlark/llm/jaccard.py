@@ -262,7 +262,7 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
         return pd.concat(out)
 
     rows = docs.select("text").mapInPandas(text.tidy(index), "bucket long, token binary, owner binary, size binary, rest binary, hot binary")
-    return rows.groupBy("bucket").applyInPandas(pairs, "kind int, a long, b long, c long, need long")
+    return rows.groupBy("bucket").applyInPandas(text.settled(pairs), "kind int, a long, b long, c long, need long")
 
 
 def packed(s: np.ndarray) -> bytes:

@@ -44,6 +44,7 @@ RUN = 16
 COMMON = 20
 GAP = 12
 GATHERED = 300_000
+AT_ONCE = 150_000  # shingles whose signatures a task makes at a time
 PIECE = 8_000_000  # longer documents are taken in overlapping pieces: places have 24 bits
 SEEDS = np.random.default_rng(3).integers(1, 2**63, FUNCTIONS, dtype=np.uint64)
 _PLACE = U((1 << 24) - 1)
@@ -153,7 +154,7 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
                     bases.append(base)
                     sets.append(s[base : start + PIECE])
                     size += len(sets[-1]) + 1
-                    if size >= GATHERED:
+                    if size >= AT_ONCE:
                         yield from [deal()] if size > WIDTH + 2 else []
                         ids, sets, bases, size = [], [], [], 0
         if size > WIDTH + 2:
@@ -181,7 +182,7 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
         return pd.concat(out)
 
     rows = docs.mapInPandas(text.tidy(index), "bucket long, key binary, doc binary, anchor binary")
-    return rows.groupBy("bucket").applyInPandas(pairs, "kind int, key long, a long, b long, x int, y int")
+    return rows.groupBy("bucket").applyInPandas(text.settled(pairs), "kind int, key long, a long, b long, x int, y int")
 
 
 def run_keys(docs: DataFrame) -> DataFrame:

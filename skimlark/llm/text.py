@@ -130,3 +130,14 @@ def tidy(run: Callable) -> Callable:
             trimmed()
 
     return wrapped
+
+
+def settled(run: Callable) -> Callable:
+    """The same for a function of one large group: what it worked with goes back before its result is sent."""
+
+    def wrapped(pdf):
+        out = run(pdf)
+        trimmed()
+        return out
+
+    return wrapped

@@ -381,3 +381,14 @@ def test_tasks_of_the_pipeline_leave_workers_small(spark):
     assert left() == {0}
     passages.repeated(docs.select("doc_id", "text")).write.format("noop").mode("overwrite").save()
     assert left() == {0}
+
+
+def test_groups_of_signatures_give_memory_back_and_small_steps_find_the_same(spark, monkeypatch):
+    order = []
+    monkeypatch.setattr(text, "trimmed", lambda: order.append("trimmed"))
+    assert text.settled(lambda x: (order.append("run"), x)[1])(3) == 3 and order == ["run", "trimmed"]
+    monkeypatch.undo()
+    docs = spark.createDataFrame([(i, f"{words(i, 90)} {words(100 + i % 5, 80)} {words(50 + i, 60)}") for i in range(30)], "doc_id long, text string")
+    wanted = sorted(map(tuple, passages.repeated(docs).collect()))
+    monkeypatch.setattr(passages, "AT_ONCE", 400)
+    assert wanted and sorted(map(tuple, passages.repeated(docs).collect())) == wanted
