@@ -300,7 +300,8 @@ def scores(docs: DataFrame, labels: DataFrame, training: Column, most_bad: int =
     picked = [usable.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(most) for y, most in ((1, most_bad), (0, most_good))]
     ids = picked[0].union(picked[1]).toPandas()
     if len(ids):
-        sample = d.join(F.broadcast(spark.createDataFrame(ids)), "doc_id").toPandas().sort_values(["doc_id", "text"], na_position="first")
+        listed = spark.createDataFrame(pa.Table.from_pandas(ids, preserve_index=False))  # as Arrow: rows of pandas would start Python workers of another pool
+        sample = d.join(F.broadcast(listed), "doc_id").toPandas().sort_values(["doc_id", "text"], na_position="first")
     model = None
     if len(ids) and sample["toxic"].nunique() > 1:
         y = sample["toxic"].to_numpy(np.float64)

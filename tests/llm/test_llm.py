@@ -392,3 +392,15 @@ def test_groups_of_signatures_give_memory_back_and_small_steps_find_the_same(spa
     wanted = sorted(map(tuple, passages.repeated(docs).collect()))
     monkeypatch.setattr(passages, "AT_ONCE", 400)
     assert wanted and sorted(map(tuple, passages.repeated(docs).collect())) == wanted
+
+
+def test_toxicity_starts_no_second_pool_of_workers(spark, monkeypatch):
+    """Ids for the sample reach Spark as Arrow: local rows would pass Python workers beside those of the operators, and both pools stay."""
+    docs = spark.createDataFrame([(i, words(i % 8, 80)) for i in range(16)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id long, toxic int")
+
+    def refused(*args, **kwargs):
+        raise AssertionError("local rows were sent as an RDD")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert toxicity.scores(docs, labels, F.lit(True)).count() == 16
