@@ -22,7 +22,7 @@ own, which come after (or before) all ids: the passages of each that another doc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -204,10 +204,10 @@ def run_keys(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(text.tidy(run), "key long, doc long, place long")
 
 
-def contexts(docs: DataFrame, places: DataFrame, before: int, after: int) -> DataFrame:
+def contexts(docs: DataFrame, places: DataFrame, before: int, after: int, then: Callable | None = None, schema: str = "key long, doc long, place long, least int, own array<long>") -> DataFrame:
     """``(key, doc, place, least, own)`` for ``places`` (key, doc, place): distinct shingles from ``before`` ahead of a place to ``after`` behind it.
 
-    Similar passages around two such places share ``least`` of these shingles at least.
+    Similar passages around two such places share ``least`` of these shingles at least. ``then`` makes rows of ``schema`` of these in the same worker.
     """
     wanted = frames.kept(places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "place")).alias("at")))
 
@@ -224,7 +224,7 @@ def contexts(docs: DataFrame, places: DataFrame, before: int, after: int) -> Dat
                     rows.append((r["key"], i, k, -(-3 * fewest // 4), np.unique(s[max(0, k - before) : k + after]).view(np.int64)))
             yield pd.DataFrame(rows, columns=["key", "doc", "place", "least", "own"])
 
-    return docs.join(wanted, "doc_id").mapInPandas(text.tidy(run), "key long, doc long, place long, least int, own array<long>")
+    return docs.join(wanted, "doc_id").mapInPandas(text.tidy(run if then is None else lambda batches: then(run(batches))), schema)
 
 
 def remaining_pairs(docs: DataFrame, left: DataFrame, keys: DataFrame) -> DataFrame:
@@ -235,7 +235,6 @@ def remaining_pairs(docs: DataFrame, left: DataFrame, keys: DataFrame) -> DataFr
     """
     mine = frames.kept(contexts(docs, left, WIDTH - RUN, WIDTH))
     lists = frames.kept(left.select("key").distinct())
-    theirs = contexts(docs, keys.join(lists, "key", "left_semi").select("key", "doc", "place"), WIDTH - 1, RUN + WIDTH)
     counts = mine.select("doc", F.explode("own").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(f"n > {LIST}")
     often = counts.orderBy(F.desc("n"), "g").limit(GATHERED // 10).toPandas()
     shipped = docs.sparkSession.sparkContext.broadcast(np.sort(often["g"].to_numpy(np.int64)))
@@ -248,13 +247,17 @@ def remaining_pairs(docs: DataFrame, left: DataFrame, keys: DataFrame) -> DataFr
                 order = own[np.argsort(_found(own, shipped.value), kind="stable")]
                 picked.append(order[: max(0, len(order) - least + 1)])
                 n.append(len(picked[-1]))
-            out = pdf[["key", "doc", "place"]]
-            yield out.loc[out.index.repeat(n)].assign(g=np.concatenate(picked) if picked else np.zeros(0, np.int64))
-
-    schema = "key long, doc long, place long, g long"
-    b = mine.mapInPandas(text.tidy(rarest), schema).select("key", "g", F.col("doc").alias("b"), F.col("place").alias("y"))
-    a = theirs.mapInPandas(text.tidy(rarest), schema).select("key", "g", F.col("doc").alias("a"), F.col("place").alias("x"))
-    return b.join(a, ["key", "g"]).where("a < b").select("a", "b", "x", "y")
+            n = np.array(n, np.int64)
+            g = np.concatenate(picked).view(U) if picked else np.zeros(0, np.uint64)
+            both = text.mix(np.repeat(pdf["key"].to_numpy(np.int64).view(U), n) ^ text.mix(g))
+            yield pd.DataFrame({"at": text.signed(both), "doc": np.repeat(pdf["doc"].to_numpy(np.int64), n), "place": np.repeat(pdf["place"].to_numpy(np.int64), n)})
+
+    schema = "at long, doc long, place long"  # list and shingle go as one hash: pairs of a collision are compared in vain
+    b = mine.mapInPandas(text.tidy(rarest), schema).select("at", F.col("doc").alias("b"), F.col("place").alias("y"))
+    theirs = contexts(docs, keys.join(lists, "key", "left_semi").select("key", "doc", "place"), WIDTH - 1, RUN + WIDTH, rarest, schema)
+    a = theirs.select("at", F.col("doc").alias("a"), F.col("place").alias("x"))
+    rows = mine.agg(F.sum(F.greatest(F.lit(0), F.size("own") - F.col("least") + 1))).first()[0] or 0
+    return a.join(F.broadcast(b) if rows <= NEEDED else b, "at").where("a < b").select("a", "b", "x", "y")
 
 
 def _found(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import inspect
 
@@ -404,3 +405,28 @@ def test_toxicity_starts_no_second_pool_of_workers(spark, monkeypatch):
 
     monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
     assert toxicity.scores(docs, labels, F.lit(True)).count() == 16
+
+
+@pytest.mark.parametrize("needed", [0, 1_000_000])
+def test_last_search_of_passages_meets_the_same_places_by_either_join_with_one_worker_a_task(spark, monkeypatch, needed):
+    docs = spark.createDataFrame([(i, f"{words(i % 7, 70)} {words(200, 30)} {words(60 + i % 3, 70)}") for i in range(40)], "doc_id long, text string")
+    keys = spark.createDataFrame([(k, i, 66 + k) for i in range(40) for k in (0, 2)], "key long, doc long, place long")
+    left = keys.where("doc % 3 = 1")
+    monkeypatch.setattr(passages, "NEEDED", needed)
+    pairs = passages.remaining_pairs(docs, left, keys)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas ") == 2 and ("BroadcastHashJoin [at" in plan) == (needed > 0)
+    got = {tuple(r) for r in pairs.collect()}
+
+    def rows(before, after, some):  # the rarest shingles of each place, as the documents that were left have them
+        found = [tuple(r) for r in passages.contexts(docs, some, before, after).collect()]
+        often = {g for g, n in collections.Counter(g for r in mine for g in r[4]).items() if n > passages.LIST}
+        return {(r[0], g, r[1], r[2]) for r in found for g in sorted(r[4], key=lambda g: (g in often, g))[: max(0, len(r[4]) - r[3] + 1)]}
+
+    mine = [tuple(r) for r in passages.contexts(docs, left, passages.WIDTH - passages.RUN, passages.WIDTH).collect()]
+    b, a = rows(passages.WIDTH - passages.RUN, passages.WIDTH, left), rows(passages.WIDTH - 1, passages.RUN + passages.WIDTH, keys)
+    held = collections.defaultdict(list)
+    for k, g, doc, place in a:
+        held[k, g].append((doc, place))
+    wanted = {(i, doc, x, place) for k, g, doc, place in b for i, x in held[k, g] if i < doc}
+    assert wanted and got == wanted
