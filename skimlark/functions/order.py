@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions inside go at their end: for tables that are collected, which nobody reads again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def range_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, config: Config) -> DataFrame:
     """Rows split by range of (keys, order); ``_part`` numbers the ranges.
 

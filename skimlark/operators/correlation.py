@@ -212,7 +212,7 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], *, config: Config = DEF
     rows, masks, shared = _masks(base, features, pairs)
     tasks = sorted({(c, masks[p]) for p in pairs for c in p})
     if len(tasks) > config.columns_per_pass:
-        return _spearman_cube(base, features, pairs, rows, config)
+        return _spearman_cube(base, features, pairs, rows, min(shared.values()) == rows, config)
     number = {t: k for k, t in enumerate(tasks)}
     size = {(c, masks[p]): shared[p] for p in pairs for c in p}
     middles = [(size[t] + 1) / 2 for t in tasks]
@@ -249,19 +249,22 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], *, config: Config = DEF
     return _labelled(pairs, ranked.agg(*aggs), "spearman")
 
 
-def _spearman_cube(base: DataFrame, features: Sequence[str], pairs: Sequence[Pair], rows: int, config: Config) -> DataFrame:
+def _spearman_cube(base: DataFrame, features: Sequence[str], pairs: Sequence[Pair], rows: int, complete: bool, config: Config) -> DataFrame:
     """The same for many masks: all ranks of a column come from one ordering, one count per presence class."""
     columns = [f"f{i}" for i in range(len(features))]
-    n = np.zeros((len(features), len(features)), np.int64)
-    for r in pair_products(base, columns).select("i", "j", "n").toLocalIterator():  # names only
-        n[r["i"], r["j"]] = n[r["j"], r["i"]] = int(r["n"])
+    n = np.full((len(features), len(features)), rows, np.int64)
+    if not complete:
+        n[:] = 0
+        for r in pair_products(base, columns).select("i", "j", "n").toLocalIterator():  # names only
+            n[r["i"], r["j"]] = n[r["j"], r["i"]] = int(r["n"])
     sums = rank_products(base, columns, rows, n, config)
+    found = base.sparkSession.createDataFrame(sums, "i int, j int, sxx double, syy double, sxy double")  # one row per pair
     spread = F.sqrt(F.col("sxx") * F.col("syy"))
     at = {c: i for i, c in enumerate(features)}
     asked = base.sparkSession.createDataFrame(
         [(min(at[a], at[b]), max(at[a], at[b]), a, b, int(n[at[a], at[b]])) for a, b in pairs],
         "i int, j int, feature_a string, feature_b string, n long")
-    return F.broadcast(asked).join(sums, ["i", "j"], "left").select(  # one row per pair
+    return F.broadcast(asked).join(found, ["i", "j"], "left").select(
         "feature_a", "feature_b", F.lit("spearman").alias("method"), "n", F.when(spread > 0, F.col("sxy") / spread).alias("r"))
 
 
