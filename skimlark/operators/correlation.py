@@ -204,14 +204,15 @@ def _masks(base: DataFrame, features: Sequence[str], pairs: Sequence[Pair]) -> t
 def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], *, config: Config = DEFAULT) -> DataFrame:
     """``feature_a, feature_b, method, n, r``: Pearson of average ranks, ranked within each pair's rows.
 
-    Every (feature, mask) is ranked once and shared by all pairs on that mask.
+    Every (feature, mask) is ranked once and shared by all pairs on that mask. Beyond ``Config.single_task_rows`` rows, or with
+    many masks, the ranks of all masks come from one ordering of each feature.
     """
     features = sorted({c for p in pairs for c in p})
     at = {c: i for i, c in enumerate(features)}
     base = _finite_table(df, features)
     rows, masks, shared = _masks(base, features, pairs)
     tasks = sorted({(c, masks[p]) for p in pairs for c in p})
-    if len(tasks) > config.columns_per_pass:
+    if rows > config.single_task_rows or len(tasks) > config.columns_per_pass:
         return _spearman_cube(base, features, pairs, rows, min(shared.values()) == rows, config)
     number = {t: k for k, t in enumerate(tasks)}
     size = {(c, masks[p]): shared[p] for p in pairs for c in p}
@@ -224,11 +225,7 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], *, config: Config = DEF
             v = F.when(F.col(f"f{at[m]}").isNotNull(), v)
         return v
 
-    values = base.select(*[cell(t).alias(f"v{k}") for t, k in number.items()])
-    if rows <= config.single_task_rows:
-        ranked = _rank_rows(values, middles)
-    else:
-        ranked = _rank_values(values, middles, [size[t] for t in tasks], rows, config)
+    ranked = _rank_rows(base.select(*[cell(t).alias(f"v{k}") for t, k in number.items()]), middles)
 
     ends = [(number[a, masks[a, b]], number[b, masks[a, b]]) for a, b in pairs]
     if len(pairs) > config.pairs_per_pass:
@@ -250,7 +247,7 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[Pair], *, config: Config = DEF
 
 
 def _spearman_cube(base: DataFrame, features: Sequence[str], pairs: Sequence[Pair], rows: int, complete: bool, config: Config) -> DataFrame:
-    """The same for many masks: all ranks of a column come from one ordering, one count per presence class."""
+    """The same at any size: all ranks of a column come from one ordering, one count per presence class."""
     columns = [f"f{i}" for i in range(len(features))]
     n = np.full((len(features), len(features)), rows, np.int64)
     if not complete:
@@ -273,12 +270,9 @@ def _with_ids(values: DataFrame) -> DataFrame:
     return materialize(values.withColumn("_id", F.monotonically_increasing_id()))
 
 
-def _cells_of(values: DataFrame, tasks: Sequence[int], *keep: str, unless: Mapping[int, Column] | None = None) -> DataFrame:
-    """``keep..., task, v`` of the non-null values (``unless`` marks those already done)."""
-    value = {k: F.col(f"v{k}") for k in tasks}
-    for k, done in (unless or {}).items():
-        value[k] = F.when(~done, value[k])
-    cells = [F.struct(F.lit(k).alias("task"), value[k].alias("v")) for k in tasks]
+def _cells_of(values: DataFrame, tasks: Sequence[int], *keep: str) -> DataFrame:
+    """``keep..., task, v`` of the non-null values."""
+    cells = [F.struct(F.lit(k).alias("task"), F.col(f"v{k}").alias("v")) for k in tasks]
     return values.select(*keep, F.inline(F.array(*cells))).where("v IS NOT NULL")
 
 
@@ -301,41 +295,6 @@ def _rank_rows(values: DataFrame, middles: Sequence[float]) -> DataFrame:
     return _by_row(cells.withColumn("d", d), tasks, "d").drop("_id")
 
 
-def _rank_values(values: DataFrame, middles: Sequence[float], sizes: Sequence[int], rows: int, config: Config) -> DataFrame:
-    """Rank deviations ``d{task}`` at any size: ranks belong to distinct values, not to rows.
-
-    Ranks of columns with few distinct values, and of the most frequent values of
-    the others, are looked up by broadcast; only the remaining cells are shuffled
-    to their rank, so no frequent value becomes one task's work.
-    """
-    tasks = range(len(middles))
-    counts = _cells_of(values, tasks).groupBy("task", "v").agg(F.count(F.lit(1)).alias("c"))
-    ranks = materialize(
-        running_total(counts, ["task"], ["v"], "c", rows * len(middles), config)
-        .select("task", "v", "c", (F.col("before") + (F.col("c") + 1) / 2 - _middle(middles)).alias("d")))
-    distinct = {r["task"]: r["count"] for r in ranks.groupBy("task").count().collect()}  # one row per task
-    small, budget = [], config.broadcast_rows
-    for k in sorted(tasks, key=lambda k: distinct.get(k, 0)):
-        if distinct.get(k, 0) <= budget:
-            small.append(k)
-            budget -= distinct.get(k, 0)
-    large = [k for k in tasks if k not in small]
-    wide = _with_ids(values) if large else values
-    per_task = max(1, config.broadcast_rows // max(1, len(large)))
-    for k in tasks:
-        table = ranks.where(F.col("task") == k)
-        if k in large:  # values holding 1/per_task of the rows or more: at most per_task of them
-            table = table.where(F.col("c") * per_task >= sizes[k])
-        table = table.select(F.col("v").alias(f"v{k}"), F.col("d").alias(f"d{k}"))
-        wide = wide.join(F.broadcast(table), f"v{k}", "left")
-    if not large:
-        return wide.select(*[f"d{k}" for k in tasks])
-    rest = _cells_of(wide, large, "_id", unless={k: F.col(f"d{k}").isNotNull() for k in large})
-    cold = ranks.where(F.col("task").isin(large)).select("task", "v", "d")
-    joined = wide.join(_by_row(rest.join(cold, ["task", "v"]), large, "e"), "_id", "left")
-    return joined.select(*[F.coalesce(f"d{k}", f"e{k}").alias(f"d{k}") if k in large else F.col(f"d{k}") for k in tasks])
-
-
 # ---- matrices --------------------------------------------------------------
 
 def _diagonal(df: DataFrame, features: Sequence[str], method: str) -> DataFrame:

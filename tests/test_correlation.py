@@ -83,12 +83,13 @@ def on_disk(spark) -> int:
     return sum(os.path.getsize(os.path.join(d, f)) for top in tops for d, _, files in os.walk(top) for f in files)
 
 
-def test_ranks_under_masks_leave_no_copy_of_the_rows(spark):
+@pytest.mark.parametrize("gaps, config", [(0.2, Config(columns_per_pass=2)), (0, Config(single_task_rows=1000, broadcast_rows=100))])
+def test_ranks_leave_no_copy_of_the_rows(spark, gaps, config):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({f"c{i}": rng.normal(0, 1, 30_000) for i in range(8)})
-    df = spark.createDataFrame(pdf.where(rng.random(pdf.shape) > 0.2))
+    df = spark.createDataFrame(pdf.where(rng.random(pdf.shape) >= gaps))
     before = on_disk(spark)
-    sk.spearman_matrix(df, list(pdf), config=Config(columns_per_pass=2)).collect()
+    sk.spearman_matrix(df, list(pdf), config=config).collect()
     assert on_disk(spark) - before < 100_000  # 30000 rows of 8 doubles are 1.9 MB
 
 
