@@ -39,7 +39,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the actions inside go at their end: for tables that are collected, which nobody reads again."""
+    """Shuffle files of the actions inside go at their end: for tables that are collected or written, whose shuffles nobody reads again."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "true")

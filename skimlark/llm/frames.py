@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skimlark.functions.order import passing
 
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
@@ -36,9 +37,10 @@ def shared(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder; their lineage ends there."""
+    """The rows written once to the shared folder; their lineage ends there, and the shuffles that made them go."""
     shared(df.sparkSession)
-    return df.checkpoint()
+    with passing(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:

@@ -22,6 +22,7 @@ own, which come after (or before) all ids: the passages of each that another doc
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,9 +51,11 @@ SEEDS = np.random.default_rng(3).integers(1, 2**63, FUNCTIONS, dtype=np.uint64)
 _PLACE = U((1 << 24) - 1)
 
 
-def sequence_key(words: np.ndarray) -> int:
-    """Key of a word sequence."""
-    return int(text.signed(text.mix(np.array([text.mix(words + text.mix(np.arange(len(words), dtype=np.uint64))).sum(dtype=np.uint64)], np.uint64)))[0])
+def sequence_keys(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Keys of word sequences that stand one after the other: equal sequences have equal keys."""
+    place = np.arange(len(words)) - np.repeat(begins[:-1], np.diff(begins))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(text.mix(words + text.mix(place.astype(np.uint64))))])
+    return text.signed(text.mix(sums[begins[1:]] - sums[begins[:-1]]))
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -70,19 +73,23 @@ def compact_windows(order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     ``order`` has distinct values whose low 24 bits are the place; values below 2**24 separate documents.
     """
     least = (sliding_least(order, WIDTH) & _PLACE).astype(np.int64)
-    places = np.unique(least)
-    left, right = np.full(len(places), -1), np.full(len(places), len(order))
-    stack: list[int] = []
-    values, at = order[places].tolist(), places.tolist()
-    for i, v in enumerate(values):  # Cartesian tree: smaller neighbours on both sides
-        while stack and values[stack[-1]] > v:
-            right[stack.pop()] = at[i]
-        if stack:
-            left[i] = at[stack[-1]]
-        stack.append(i)
+    places = _distinct(least)  # the place of the least never goes back
+    values, at = order[places], np.append(places, [len(order), -1])  # the last for none on the left, the one before for none on the right
+    left, right = at[nearest_smaller(values)], at[len(places) - 1 - nearest_smaller(values[::-1])[::-1]]
     return least, places, left + 1, right - 1
 
 
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """Place of the nearest smaller one before each of some distinct values, or -1: what stands between is larger at every step."""
+    out = np.arange(-1, len(values) - 1)
+    left = np.flatnonzero(values[1:] < values[:-1]) + 1
+    while len(left):
+        out[left] = out[out[left]]
+        left = left[out[left] >= 0]
+        left = left[values[out[left]] > values[left]]
+    return out
+
+
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(key, document, anchor, first, last)`` of every signature of some documents: shingle places within the document."""
     gap = np.zeros(1, np.uint64)
@@ -117,12 +124,11 @@ def copies(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys, n = [], []
-            for t in pdf["text"]:
-                raw = text.lowered(t)
-                words = text.word_hashes(raw, *text.word_spans(raw))
-                keys.append(sequence_key(words))
-                n.append(len(words))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "n_words": n, "cls": keys})
+            for words, begins in text.several(pdf["text"]):
+                keys.append(sequence_keys(words, begins))
+                n.append(np.diff(begins))
+            if keys:
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "n_words": np.concatenate(n), "cls": np.concatenate(keys)})
 
     rows = frames.kept(docs.mapInPandas(text.tidy(run), "doc_id long, n_words long, cls long"))
     least = rows.groupBy("cls", "n_words").agg(F.min("doc_id").alias("rep"))
@@ -146,8 +152,7 @@ def candidates(docs: DataFrame, total: int) -> DataFrame:
             return _dealt(key >> U(64 - bits), {"key": key, "doc": np.array(ids, np.int64)[doc], "anchor": (anchor + np.array(bases)[doc]).astype(np.int32)})
 
         for pdf in batches:
-            for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                s = text.shingles(t)
+            for i, s in zip(pdf["doc_id"], text.all_shingles(pdf["text"]), strict=True):
                 for start in range(0, len(s), PIECE):
                     base = max(0, start - WIDTH)
                     ids.append(i)
@@ -192,8 +197,7 @@ def run_keys(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                s = text.shingles(t)
+            for i, s in zip(pdf["doc_id"], text.all_shingles(pdf["text"]), strict=True):
                 if len(s) >= COMMON:
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * text.powers(SEEDS[0] | U(1), len(s)))])
                     keys = text.mix((sums[RUN:] - sums[:-RUN]) * text.powers(back, len(s))[: len(s) - RUN + 1])
@@ -204,6 +208,13 @@ def run_keys(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(text.tidy(run), "key long, doc long, place long")
 
 
+def fewest_distinct(s: np.ndarray) -> int:
+    """The least number of different shingles among WIDTH in a row; WIDTH if there are fewer."""
+    if len(s) < WIDTH or len(np.unique(s)) == len(s):
+        return WIDTH
+    return min(len(np.unique(s[low : low + WIDTH])) for low in range(len(s) - WIDTH + 1))
+
+
 def contexts(docs: DataFrame, places: DataFrame, before: int, after: int, then: Callable | None = None, schema: str = "key long, doc long, place long, least int, own array<long>") -> DataFrame:
     """``(key, doc, place, least, own)`` for ``places`` (key, doc, place): distinct shingles from ``before`` ahead of a place to ``after`` behind it.
 
@@ -214,13 +225,10 @@ def contexts(docs: DataFrame, places: DataFrame, before: int, after: int, then:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, t, at in zip(pdf["doc_id"], pdf["text"], pdf["at"], strict=True):
-                s = text.shingles(t)
+            for i, s, at in zip(pdf["doc_id"], text.all_shingles(pdf["text"]), pdf["at"], strict=True):
                 for r in at:
                     k = r["place"]
-                    fewest = WIDTH
-                    for low in range(max(0, k + RUN - WIDTH), min(k, len(s) - WIDTH) + 1):
-                        fewest = min(fewest, len(np.unique(s[low : low + WIDTH])))
+                    fewest = fewest_distinct(s[max(0, k + RUN - WIDTH) : max(0, min(k, len(s) - WIDTH) + WIDTH)])
                     rows.append((r["key"], i, k, -(-3 * fewest // 4), np.unique(s[max(0, k - before) : k + after]).view(np.int64)))
             yield pd.DataFrame(rows, columns=["key", "doc", "place", "least", "own"])
 
@@ -264,7 +272,7 @@ def _found(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which values stand in the ordered ones."""
     if not len(ordered):
         return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+    return ordered.take(ordered.searchsorted(values), mode="clip") == values
 
 
 def _distinct(ordered: np.ndarray) -> np.ndarray:
@@ -282,24 +290,31 @@ def shared_spans(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]]) -
     """Passages ``(first, last)`` in shingles of y, then of x, that hold an anchor and are similar enough, of 50 words at least."""
     out: list[tuple[int, int, int, int]] = []
     at = np.flatnonzero(_found(y, np.sort(x)))
-    if not len(at):
+    if not len(at) or len(y) < WIDTH:
         return out
-    parted = {gap: np.flatnonzero(np.diff(at) > gap) for gap in (GAP, 6, 2, 1)}
+    places, gaps = at.tolist(), at[1:] - at[:-1]
+    runs = [np.flatnonzero(gaps > gap).tolist() for gap in (GAP, 6, 2, 1)]
+    partner = _partners(x, y, places)
 
     def covered(place: int) -> bool:
         return any(a <= place <= b for a, b, _, _ in out)
 
     def tried(cx: int, cy: int) -> None:
-        here = int(np.searchsorted(at, cy))
-        if here >= len(at) or at[here] != cy:
+        here = bisect_left(places, cy)
+        if here >= len(places) or places[here] != cy:
             return
-        for breaks in parted.values():
-            k = int(np.searchsorted(breaks, here))
-            low, high = at[breaks[k - 1] + 1] if k else at[0], at[breaks[k]] if k < len(breaks) else at[-1]
-            if high - low + 1 < LEAST_COMMON or len(y) < WIDTH:
+        before = None
+        for breaks in runs:
+            k = bisect_left(breaks, here)
+            run = breaks[k - 1] + 1 if k else 0, breaks[k] if k < len(breaks) else len(places) - 1
+            if run == before:
+                continue
+            before = run
+            low, high = places[run[0]], places[run[1]]
+            if high - low + 1 < LEAST_COMMON:
                 return
-            low, high = _widened(int(low), int(high), len(y))
-            span = _partner(x, y, cx, cy, low, high)
+            low, high = _widened(low, high, len(y))
+            span = partner(cx, cy, low, high)
             if span is not None:
                 out.append((low, high, *span))
                 return
@@ -307,10 +322,11 @@ def shared_spans(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]]) -
     for cx, cy in anchors:
         if not covered(cy):
             tried(cx, cy)
-    for breaks in (parted[GAP], parted[1]):  # the same passage may stand in y again, where no anchor is left
-        begins, ends = np.append(0, breaks + 1), np.append(breaks, len(at) - 1)
-        for k in np.flatnonzero(at[ends] - at[begins] >= LEAST_COMMON - 1):
-            middle = int(at[(begins[k] + ends[k]) // 2])
+    for breaks in (runs[0], runs[-1]):  # the same passage may stand in y again, where no anchor is left
+        for begin, end in zip([0, *[k + 1 for k in breaks]], [*breaks, len(places) - 1], strict=True):
+            if places[end] - places[begin] < LEAST_COMMON - 1:
+                continue
+            middle = places[(begin + end) // 2]
             if not covered(middle):
                 for cx in np.flatnonzero(x == y[middle]):
                     if covered(middle):
@@ -319,24 +335,46 @@ def shared_spans(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]]) -
     return out
 
 
-def _partner(x: np.ndarray, y: np.ndarray, cx: int, cy: int, low: int, high: int) -> tuple[int, int] | None:
-    """The passage of x around the anchor that fits y's passage, if their sets are similar enough."""
-    slack = (high - low + 1) // 3 + 8
-    begin, end = max(0, cx - (cy - low) - slack), min(len(x), cx + (high - cy) + slack + 1)
-    a = _distinct(np.sort(y[low : high + 1]))
-    hits = np.flatnonzero(_found(x[begin:end], a))
-    if not len(hits):
-        return None
-    here = int(np.searchsorted(hits, cx - begin))
-    breaks = np.flatnonzero(np.diff(hits) > GAP)
-    first = hits[breaks[breaks < here][-1] + 1] if (breaks < here).any() else hits[0]
-    last = hits[breaks[breaks >= here][0]] if (breaks >= here).any() else hits[-1]
-    first, last = _widened(begin + int(first), begin + int(last), len(x))
-    b = _distinct(np.sort(x[first : last + 1]))
-    both = int(_found(b, a).sum())
-    if last - first + 1 >= WIDTH and 100 * both >= 75 * (len(a) + len(b) - both):
-        return first, last
-    return None
+def _partners(x: np.ndarray, y: np.ndarray, places: list[int]) -> Callable[[int, int, int, int], tuple[int, int] | None]:
+    """The passage of x around an anchor that fits y's passage, if their sets are similar enough; ``places`` are those of y that x has too.
+
+    Anchors of equal distance between their places have the same surroundings in x, and those of one run there the same answer. A
+    passage of y with less than 75 hundredths of its set in x has no partner.
+    """
+    sets: dict[tuple[int, int], np.ndarray | None] = {}
+    near: dict[tuple[int, int, int], tuple[int, list[int], list[int], dict]] = {}
+
+    def answer(a: np.ndarray, begin: int, hits: list[int], breaks: list[int], k: int) -> tuple[int, int] | None:
+        first = hits[breaks[k - 1] + 1] if k else hits[0]
+        last = hits[breaks[k]] if k < len(breaks) else hits[-1]
+        first, last = _widened(begin + first, begin + last, len(x))
+        b = _distinct(np.sort(x[first : last + 1]))
+        both = int(np.count_nonzero(_found(b, a)))
+        return (first, last) if last - first + 1 >= WIDTH and 100 * both >= 75 * (len(a) + len(b) - both) else None
+
+    def partner(cx: int, cy: int, low: int, high: int) -> tuple[int, int] | None:
+        if (low, high) not in sets:
+            a = _distinct(np.sort(y[low : high + 1]))
+            most = bisect_left(places, high + 1) - bisect_left(places, low)
+            sets[low, high] = a if 100 * most >= 75 * len(a) else None
+        a = sets[low, high]
+        if a is None:
+            return None
+        key = low, high, cx - cy
+        if key not in near:
+            slack = (high - low + 1) // 3 + 8
+            begin, end = max(0, cx - cy + low - slack), min(len(x), cx - cy + high + slack + 1)
+            hits = np.flatnonzero(_found(x[begin:end], a))
+            near[key] = begin, hits.tolist(), np.flatnonzero(hits[1:] - hits[:-1] > GAP).tolist(), {}
+        begin, hits, breaks, answers = near[key]
+        if not hits:
+            return None
+        k = bisect_left(breaks, bisect_left(hits, cx - begin))
+        if k not in answers:
+            answers[k] = answer(a, begin, hits, breaks, k)
+        return answers[k]
+
+    return partner
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -345,7 +383,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "own": [packed(text.shingles(t)) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "own": [packed(s) for s in text.all_shingles(pdf["text"])]})
 
     blobs = frames.kept(among(docs, frames.kept(used), "left_semi").mapInPandas(text.tidy(arrays), "doc_id long, own binary"))
 

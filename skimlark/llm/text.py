@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 WORDS = 5
+TOGETHER = 1 << 17  # bytes of texts that are hashed together
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_INSIDE = bytes(b != 32 and not 9 <= b <= 13 for b in range(256))
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _BACK = U(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
@@ -47,11 +49,10 @@ def lowered(text: str | None) -> bytes:
 
 def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each word and the byte after its last."""
-    b = np.frombuffer(raw, np.uint8)
-    inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
-    step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = np.frombuffer(raw.translate(_INSIDE), bool)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
 
 
 def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -60,7 +61,9 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     b = np.frombuffer(raw, np.uint8)
     sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * powers(_BASE, len(b)), out=sums[1:])
+    own = _BYTE.take(b)
+    own *= powers(_BASE, len(b))
+    np.cumsum(own, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * powers(_BACK, len(b))[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -83,6 +86,34 @@ def shingles(text: str | None) -> np.ndarray:
     return roll(word_hashes(raw, *word_spans(raw)))
 
 
+def several(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes of some texts in a row, ``TOGETHER`` bytes at a time, and where each text's begin; the last number is their count."""
+
+    def hashed() -> tuple[np.ndarray, np.ndarray]:
+        joined = b" ".join(raws).translate(_LOWER)
+        starts, ends = word_spans(joined)
+        bounds = np.cumsum([0, *[len(r) + 1 for r in raws]])
+        return word_hashes(joined, starts, ends), np.searchsorted(starts, bounds)
+
+    raws, size = [], 0
+    for t in texts:
+        raws.append((t or "").encode("utf-8", "replace"))
+        size += len(raws[-1])
+        if size >= TOGETHER:
+            yield hashed()
+            raws, size = [], 0
+    if raws:
+        yield hashed()
+
+
+def all_shingles(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """``shingles`` of each text, one after the other."""
+    for words, begins in several(texts):
+        rolled = roll(words)
+        for begin, end in zip(begins.tolist(), begins[1:].tolist(), strict=False):
+            yield rolled[begin : end - WORDS + 1] if end - begin >= WORDS else roll(words[begin:end])
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Distinct shingles of a whole text, ascending."""
     return np.unique(shingles(text))
