@@ -401,6 +401,19 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "places", "p", "q").mapInPandas(text.tidy(compare), "a long, b long, a_first long, a_last long, b_first long, b_last long")
 
 
+def outside(rows: DataFrame, doc: str, place: str, spans: DataFrame) -> DataFrame:
+    """The rows whose place lies in none of the spans ``(b, b_first, b_last)`` of their document.
+
+    Places and spans stand in one order of each document, and the furthest end of the spans begun so far tells: no row meets each span.
+    """
+    at, end = F.col(place).cast("long").alias("_at"), F.col("b_last").cast("long").alias("_end")
+    begun = spans.select(F.col("b").alias("_doc"), F.col("b_first").cast("long").alias("_at"), end).distinct()
+    places = rows.select(F.col(doc).alias("_doc"), at, F.struct(*rows.columns).alias("_row"))
+    so_far = W.partitionBy("_doc").orderBy("_at", F.col("_end").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    both = begun.unionByName(places, allowMissingColumns=True).withColumn("_reached", F.max("_end").over(so_far))
+    return both.where("_row IS NOT NULL AND (_reached IS NULL OR _reached < _at)").select("_row.*")
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     """The rows with ``_key``: their doc_id, or a number of its own for rows that share one; and whether there are such rows."""
     own = docs.withColumn("_key", F.col("doc_id").cast("long"))
@@ -450,13 +463,11 @@ def repeated_keys(docs: DataFrame) -> DataFrame:
     first = frames.kept(grouped(rows.where("kind = 0").select("a", "b", "x", "y").union(star)))
     spans = frames.kept(verified(singles, first))
 
-    seen = frames.kept(spans.select(F.col("b").alias("doc"), "b_first", "b_last").distinct())
-    alone = starred.join(seen, (starred["doc"] == seen["doc"]) & starred["y"].between(seen["b_first"], seen["b_last"]), "left_anti").select("doc").distinct()
+    alone = outside(starred, "doc", "y", spans).select("doc").distinct()
     listed = among(singles, frames.kept(lists.select(F.col("doc").alias("doc_id")).distinct()), "left_semi")
     keys = frames.kept(run_keys(listed))
     own = keys.join(frames.kept(alone), "doc", "left_semi")
-    own = own.join(seen, (own["doc"] == seen["doc"]) & own["place"].between(seen["b_first"], seen["b_last"]), "left_anti")
-    own = own.select("key", F.col("doc").alias("b"), F.col("place").alias("y"))
+    own = outside(own, "doc", "place", spans).select("key", F.col("doc").alias("b"), F.col("place").alias("y"))
     lists = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("hub")).where("n > 1")
     met = own.join(lists.where(f"n > {LIST}"), "key").select(F.col("hub.doc").alias("a"), "b", F.col("hub.place").alias("x"), "y")
     short = keys.join(lists.where(f"n <= {LIST}").select("key"), "key", "left_semi").select("key", F.col("doc").alias("a"), F.col("place").alias("x"))
@@ -466,16 +477,13 @@ def repeated_keys(docs: DataFrame) -> DataFrame:
     if not second.isEmpty():
         spans = frames.kept(spans.union(verified(singles, second)))
 
-    def uncovered(rows: DataFrame, by: DataFrame) -> DataFrame:
-        s = by.select(F.col("b").alias("doc"), "b_first", "b_last").distinct()
-        return frames.kept(rows.join(s, (rows["b"] == s["doc"]) & rows["y"].between(s["b_first"], s["b_last"]), "left_anti"))
-
     def new(pairs: DataFrame, tried: DataFrame) -> DataFrame:
         once = pairs.groupBy("a", "b").agg(F.array(F.min(F.struct("x", "y"))).alias("places"))
         return frames.kept(once.join(tried, ["a", "b"], "left_anti"))
 
     tried = first.select("a", "b").union(second.select("a", "b"))
-    left = uncovered(own.join(lists.where(f"n > {LIST}").select("key", F.col("hub.doc").alias("least")), "key").where("b > least").drop("least"), spans)
+    left = own.join(lists.where(f"n > {LIST}").select("key", F.col("hub.doc").alias("least")), "key").where("b > least").drop("least")
+    left = frames.kept(outside(left, "b", "y", spans))
     waiting = left
     for _ in range(TURNS):
         if waiting.isEmpty():
@@ -487,7 +495,7 @@ def repeated_keys(docs: DataFrame) -> DataFrame:
         if not pairs.isEmpty():
             got = frames.kept(verified(singles, pairs))
             tried, spans = tried.union(pairs.select("a", "b")), spans.union(got)
-            left, waiting = uncovered(left, got), uncovered(waiting, got)
+            left, waiting = frames.kept(outside(left, "b", "y", got)), frames.kept(outside(waiting, "b", "y", got))
     if not left.isEmpty():
         pairs = new(remaining_pairs(singles, left.select("key", F.col("b").alias("doc"), F.col("y").alias("place")), keys), tried)
         if not pairs.isEmpty():

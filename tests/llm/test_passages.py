@@ -90,3 +90,14 @@ def test_written_rows_leave_no_shuffles(spark):
     with order.passing(spark):
         assert rows.groupBy("id").count().count() == 200_000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") != "true"
+
+
+def test_places_outside_of_spans_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    spans = [(int(b), int(f), int(f + n), "x") for b, f, n in zip(rng.integers(0, 6, 80), rng.integers(0, 400, 80), rng.integers(0, 30, 80), strict=True)]
+    places = [(int(k), int(b), int(y)) for k, b, y in zip(rng.integers(0, 9, 900), rng.integers(0, 8, 900), rng.integers(0, 450, 900), strict=True)] + [(1, 7, 5)] * 2
+    ends = [(9, b, f + d) for b, f, e, _ in spans[:20] for d in (-1, 0, e - f, e - f + 1)]
+    rows = spark.createDataFrame(places + ends, "key long, b long, y int")
+    got = sorted(map(tuple, passages.outside(rows, "b", "y", spark.createDataFrame(spans + spans[:5], "b long, b_first long, b_last long, other string")).collect()))
+    assert got == sorted((k, b, y) for k, b, y in places + ends if not any(b == d and f <= y <= e for d, f, e, _ in spans))
+    assert passages.outside(rows, "b", "y", spark.createDataFrame([], "b long, b_first long, b_last long")).count() == len(places + ends)
